@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import idfile, packing
+from . import addquant, idfile, nearvec, packing, setjoin
 from .common import Scratch
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,5 +24,17 @@ def op4_ranked_id_file(spark, sf_dir):
     return idfile.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_ranked_id_file)}
+def op6_additive_quantisation(spark, sf_dir):
+    return addquant.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0", "vec_id", "embedding", 20)
+
+
+def op8_rotation_code_dedup(spark, sf_dir):
+    return nearvec.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.93)
+
+
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return setjoin.link_components(table(spark, sf_dir, "documents"), 4, 85)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_ranked_id_file, op6_additive_quantisation, op7_ngram_jaccard_join, op8_rotation_code_dedup)}
 ORACLE = {}
