@@ -50,16 +50,10 @@ def cuts(b: np.ndarray) -> np.ndarray:
     return out
 
 
-class Memo:
-    """Piece hash -> ids, of one worker."""
+class PieceMemo:
+    """Piece hash -> ids, of one worker. Subclasses say where texts may be cut (flags), hash spans, and encode new pieces (add)."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.hash = SpanHash(20_011)
+    def __init__(self):
         self.clear()
 
     def clear(self):
@@ -68,18 +62,7 @@ class Memo:
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _whole(self, text: bytes) -> np.ndarray:
-        return np.array(self._encode([text.decode("utf-8", "replace")])[0], np.uint32)
-
-    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) > MEMO_PIECES:
-            self.clear()
-        got = self._encode(pieces)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
+    def insert(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         first = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate((self.flat, flat))
         at = np.searchsorted(self.keys, keys)  # both are sorted
@@ -90,46 +73,73 @@ class Memo:
         at[at == len(self.keys)] = 0
         return at, (self.keys[at] == keys) if len(self.keys) else np.zeros(len(keys), bool)
 
-    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the rows of one block, and where each row's ids start."""
-        n = len(offsets) - 1
-        if self.special and any(s in (raw := data.tobytes()) for s in self.special):
-            parts = []
-            for i in range(n):
-                row = raw[offsets[i] : offsets[i + 1]]
-                if any(s in row for s in self.special):
-                    parts.append(self._whole(row))
-                else:
-                    parts.append(self._plain(data[offsets[i] : offsets[i + 1]], np.array([0, len(row)]))[0])
-            return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        return self._plain(data, offsets)
+    def find_all(self, hashes, data, starts, ends):
+        """Where the memo has each piece; new ones are encoded first."""
+        keys, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at, there = self._find(keys)
+        if not there.all():
+            if len(self.keys) > MEMO_PIECES:
+                self.clear()
+                there[:] = False
+            new = np.flatnonzero(~there)
+            self.add(keys[new], data, starts[one[new]], ends[one[new]])
+            at, there = self._find(keys)
+        return at[inverse]
 
-    def _plain(self, data, offsets):
+    def run(self, data, offsets) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of one block, and where each row's ids start."""
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        flags = cuts(data)
+        flags = self.flags(data)
         flags[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(flags)
         ends = np.concatenate((starts[1:], [len(data)]))
-        keys, one, inverse = np.unique(self.hash(data, starts, ends), return_index=True, return_inverse=True)
-        at, there = self._find(keys)
-        if not there.all():
-            new = np.flatnonzero(~there)
-            raw = data.tobytes()
-            self._add(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in one[new]])
-            at, there = self._find(keys)
-            if not there.all():  # the memo was emptied on the way: encode what it held before
-                new = np.flatnonzero(~there)
-                self._add(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in one[new]])
-                at, there = self._find(keys)
-        first, size = self.first[at][inverse], self.size[at][inverse]
+        at = self.find_all(self.hash(data, starts, ends), data, starts, ends)
+        first, size = self.first[at], self.size[at]
         total = np.cumsum(size)
         ids = self.flat[np.repeat(first - (total - size), size) + np.arange(total[-1])]
         total = np.concatenate(([0], total))
         return ids, total[np.searchsorted(starts, offsets)]
 
 
+class Memo(PieceMemo):
+    """Pieces of a byte-level BPE file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hash = SpanHash(20_011)
+        super().__init__()
+
+    flags = staticmethod(cuts)
+
+    def _encode(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def add(self, keys, data, starts, ends):
+        raw = data.tobytes()
+        got = self._encode([raw[a:z].decode("utf-8", "replace") for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        self.insert(keys, np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum())), size)
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of one block, and where each row's ids start; rows with a special token's string go whole."""
+        if self.special and any(s in (raw := data.tobytes()) for s in self.special):
+            parts = []
+            for i in range(len(offsets) - 1):
+                row = raw[offsets[i] : offsets[i + 1]]
+                if any(s in row for s in self.special):
+                    parts.append(np.array(self._encode([row.decode("utf-8", "replace")])[0], np.uint32))
+                else:
+                    parts.append(self.run(data[offsets[i] : offsets[i + 1]], np.array([0, len(row)]))[0])
+            return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return self.run(data, offsets)
+
+
 _memos: dict[str, Memo] = {}
 
 
