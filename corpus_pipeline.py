@@ -8,19 +8,26 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from karst.llm import langid, linededup, packing, pii, setjoin
 from karst.llm.common import Scratch
 
 
+def _wrapped(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns a stage works on, and all of a row as one, so that no name can clash with the operator's own."""
+    return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without text or without any letter go."""
-    return langid.identify(docs, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    return langid.identify(_wrapped(docs, "doc_id", "text", "lang"), ["row"]).where("lang_pred <> 'und'").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks are taken out of all texts but the first."""
-    return linededup.remove(docs).select(*docs.columns)
+    out = linededup.remove(_wrapped(docs, "doc_id", "text"))
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
