@@ -2,16 +2,18 @@
 
 Every link of Jaccard similarity at or above the threshold counts; none is estimated.
 
-1. Two documents at or above the threshold share a token among the first n - ceil(t n) + 1 of each, in any one order
-   of all tokens. The order here: tokens that many documents have come last, then by hash. Which tokens those are is
-   counted over all documents and kept as a bitmap of fixed size; an error there costs time, never a link.
-2. Documents with equal sets are one class. Only classes that share a leading token with another class go on.
+1. Of two documents at or above the threshold, the first n - ceil(t n) + l tokens of each, in any one order of all
+   tokens, have l in common. The order here: tokens that few documents have come first. How many have a token is counted
+   over all documents in a sketch of fixed size; an error there costs time, never a link. l is LEAD, or less for a set
+   so small that it must match in fewer.
+2. Documents with equal sets are one class. Only classes that share l leading tokens with others go on.
 3. Similar documents form groups (equal min-hash, at most about GROUP documents): within a group all pairs are compared
    with numpy, and so most of a large cluster falls into one component without listing its pairs.
-4. The token-group matrix: leading tokens -> groups of one component. A class that shares a leading token with a group
-   of another component is a query to it: its overlap with the union of the group's tokens bounds its overlap with
-   every member, and only groups whose bound reaches ceil(t n) are opened and their members compared. Links inside a
-   component that is already connected need no comparison, for they cannot change the answer.
+4. The token-group matrix: leading tokens -> groups of one component. A class that shares leading tokens with a group
+   of another component is a query to it. How many they share and where the first lies bound the overlap; of groups
+   that this leaves, the overlap with the union of the group's tokens bounds that with every member, and only groups
+   whose bound reaches ceil(t n) are opened and their members compared. Links inside a component that is already
+   connected need no comparison, for they cannot change the answer.
 
 Cases: null or word-less texts have an empty set and link with nothing; fewer than k words are one shingle; rows
 with a null doc_id take no part (their component is null); repeated doc_ids are one document that links if either
@@ -30,8 +32,10 @@ from .common import BLOCK_BYTES, Scratch, SpanHash, components, mix, utf8_blocks
 
 #: Documents of one group, about; and tokens of one group, about.
 GROUP, GROUP_TOKENS = 48, 2_000_000
-#: A token of more documents than this comes last in the order; of at most 2**MAP_BITS / 8 tokens, the most frequent.
-COMMON, MAP_BITS = 32, 25
+#: Slots of the sketch, as a power of two, and the ranges in which they travel; bits of a bitmap of ids.
+SLOT_BITS, RANGES, MAP_BITS = 25, 1024, 25
+#: Leading tokens that two sets must share.
+LEAD = 4
 #: Queries that meet a group in one task.
 QUERIES = 256
 
@@ -74,37 +78,67 @@ def shingle_sets(column, k: int):
                 yield lo + i, np.zeros(0, np.uint64)
 
 
+def must(n: int, percent: int) -> int:
+    """The least overlap of a set of n with any that it links with."""
+    return -(-percent * n // 100)
+
+
 def lead(n: int, percent: int) -> int:
-    """How many leading tokens of a set of n must hold a common one."""
-    return n - -(-percent * n // 100) + 1
+    """How many leading tokens of a set of n must hold min(LEAD, must(n)) common ones."""
+    least = must(n, percent)
+    return n - least + min(LEAD, least)
 
 
-def _common_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(token, n): documents that have the token in the first part, half as long again as needed, of their hash order."""
+def sketch(docs: DataFrame, k: int) -> np.ndarray:
+    """Of each slot of the top bits of a token, the level of how many tokens of documents fall in it (15: 15; above: by doublings).
 
-    def run(batches):
+    Each task counts in an array of its own (up to 255), sent compressed by ranges; ranges are summed as they stream in."""
+
+    def count(batches):
         import pyarrow as pa
 
+        own = np.zeros(1 << SLOT_BITS, np.uint8)
+        shift = np.uint64(64 - SLOT_BITS)
+
+        def put(parts):
+            slot, n = np.unique(np.concatenate(parts) >> shift, return_counts=True)
+            own[slot] = np.minimum(own[slot].astype(np.int64) + n, 255)
+
         for batch in batches:
             parts, size = [], 0
             for _, tokens in shingle_sets(batch.column(0), k):
-                if len(tokens):
-                    own = tokens[: lead(len(tokens), percent) * 3 // 2 + 1]
-                    parts.append(own)
-                    size += len(own)
-                if size > 400_000:
-                    yield _counted(parts)
+                parts.append(tokens)
+                size += len(tokens)
+                if size > 1_000_000:
+                    put(parts)
                     parts, size = [], 0
             if parts:
-                yield _counted(parts)
+                put(parts)
+        if own.any():
+            rows = own.reshape(RANGES, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), pa.array([pa.compress(r.tobytes(), "zstd", asbytes=True) for r in rows], pa.binary())], ["range", "z"])
 
-    def _counted(parts):
+    def add(batches):
         import pyarrow as pa
 
-        token, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
-
-    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        width = (1 << SLOT_BITS) // RANGES
+        sums = {}
+        for batch in batches:
+            for r, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(pa.decompress(z, width, "zstd", asbytes=True), np.uint8)
+                if r not in sums:
+                    sums[r] = np.zeros(width, np.int64)
+                sums[r] += part
+        for r, n in sums.items():
+            level = np.where(n < 16, n, 11 + np.log2(np.maximum(n, 1)).astype(np.int64)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["range", "level"])
+
+    parts = docs.select("text").mapInArrow(count, "range int, z binary")
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = np.zeros((RANGES, (1 << SLOT_BITS) // RANGES), np.uint8)
+    for r, level in parts.repartition(n, "range").mapInArrow(add, "range int, level binary").collect():  # the sketch's size in all
+        out[r] = np.frombuffer(level, np.uint8)
+    return out.reshape(-1)
 
 
 def bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -126,39 +160,40 @@ def _second(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens ^ np.uint64(0xA24BAED4963EE407))
 
 
-def _described(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
-    """(doc_id, n, class, lead tokens) of every document."""
+def _described(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
+    """(doc_id, n, class, ga, gb, leading tokens) of every document."""
 
     def run(batches):
         import pyarrow as pa
 
-        bits = common.value
+        level_of = levels.value
+        shift = np.uint64(64 - SLOT_BITS)
         for batch in batches:
             names = batch.column(0)
-            rows, n, sig, leads = [], [], [], []
+            rows, n, sig, ga, gb, leads = [], [], [], [], [], []
             for row, tokens in shingle_sets(batch.column(1), k):
                 rows.append(row)
                 n.append(len(tokens))
                 sig.append(hashlib.blake2b(tokens, digest_size=16).digest())
-                p = lead(len(tokens), percent) if len(tokens) else 0
-                late = in_bitmap(bits, tokens)
-                own = tokens[~late][:p]
-                if len(own) < p:
-                    own = np.concatenate((own, tokens[late][: p - len(own)]))
-                leads.append(own.view(np.int64))
+                ga.append(int(tokens[0].view(np.int64)) if len(tokens) else None)
+                gb.append(int(_second(tokens).min().view(np.int64)) if len(tokens) else None)
+                p = lead(len(tokens), percent)
+                # tokens are sorted by hash, so a stable sort by level gives the order (level, hash)
+                leads.append(tokens[np.argsort(level_of[tokens >> shift], kind="stable")[:p]].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in leads]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(leads) if leads else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists], ["doc_id", "n", "class", "leads"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(ga, pa.int64()), pa.array(gb, pa.int64()), lists], ["doc_id", "n", "class", "ga", "gb", "leads"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, class binary, leads array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, class binary, ga long, gb long, leads array<long>")
 
 
-def _tokens_of(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(cid, n, ga, gb, tokens) of the documents whose id is in the bitmap, and a few more."""
+def _tokens_of(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    """(cid, n, tokens) of the documents of some ids, read from the texts again; a bitmap of the ids leaves out nearly all others."""
+    spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("cid").alias("h")), "h"))
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         bits = wanted.value
         for batch in batches:
@@ -169,7 +204,7 @@ def _tokens_of(docs: DataFrame, k: int, wanted) -> DataFrame:
             names, rows, done = batch.column(0), [], 0
             for row, tokens in shingle_sets(batch.column(1), k):
                 if len(tokens):
-                    rows.append((row, len(tokens), int(tokens[0].view(np.int64)), int(_second(tokens).min().view(np.int64)), tokens.tobytes()))
+                    rows.append((row, len(tokens), tokens.tobytes()))
                     done += len(tokens)
                 if done > 1_000_000:
                     yield _rows(names, rows)
@@ -179,10 +214,10 @@ def _tokens_of(docs: DataFrame, k: int, wanted) -> DataFrame:
     def _rows(names, rows):
         import pyarrow as pa
 
-        row, n, ga, gb, tokens = zip(*rows, strict=True) if rows else ((),) * 5
-        return pa.RecordBatch.from_arrays([names.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (n, ga, gb)), pa.array(tokens, pa.binary())], ["cid", "n", "ga", "gb", "tokens"])
+        row, n, tokens = zip(*rows, strict=True) if rows else ((),) * 3
+        return pa.RecordBatch.from_arrays([names.take(pa.array(row, pa.int64())), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], ["cid", "n", "tokens"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(run, "cid long, n long, ga long, gb long, tokens binary")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(run, "cid long, n long, tokens binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -220,12 +255,12 @@ def _pairs_of(percent: int):
     return run
 
 
-def _within(tokens: DataFrame, key: str, percent: int, least: int) -> DataFrame:
-    """All links within the groups of one min-hash, of keys that at least so many classes share."""
-    sizes = tokens.groupBy(key).agg(F.count("*").alias("c"), F.sum("n").alias("total")).where(F.col("c") >= least)
+def _parts(ids: DataFrame, key: str, least: int) -> DataFrame:
+    """(cid, key, part) of the classes in groups of one min-hash that at least so many classes share."""
+    sizes = ids.groupBy(key).agg(F.count("*").alias("c"), F.sum("n").alias("total")).where(F.col("c") >= least)
     parts = F.ceil(F.greatest(F.col("c") / GROUP, F.col("total") / GROUP_TOKENS))
-    rows = tokens.select(key, "cid", "tokens").join(sizes, key).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(key)), parts))
-    return rows.select(key, "part", "cid", "tokens").groupBy(key, "part").applyInArrow(_pairs_of(percent), "u long, v long")
+    rows = ids.select(key, "cid").join(sizes, key)
+    return rows.select("cid", F.lit(key).alias("by"), F.col(key).alias("key"), F.pmod(F.xxhash64("cid", F.lit(key)), parts).alias("part"))
 
 
 def _opened(percent: int):
@@ -262,23 +297,40 @@ def _opened(percent: int):
     return run
 
 
-def _across(shared: DataFrame, groups: DataFrame, tokens: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links between classes of different components. shared: (token, cid, n, comp); groups: (cid, gid)."""
+def _asked(shared: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(gid, cid): groups of another component that a class must be compared with. shared: (token, pos, cid, n, comp)."""
     by = shared.groupBy("token", "comp").agg(F.count("*").alias("c"))
     major = by.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major")).where("comps > 1").select("token", "major")
     rest = scratch.save(shared.join(major, "token"), "rest")
-    # of two components that share a token one is not its major one: only the others' classes are queries
-    asks = rest.where("comp <> major").select("token", "cid", F.col("comp").alias("own"), F.col("n").alias("size"))
-    matrix = rest.join(groups, "cid").groupBy("token", "gid", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    fits = (F.col("own") != F.col("comp")) & (F.col("low") * percent <= F.col("size") * 100) & (F.col("size") * percent <= F.col("high") * 100)
-    # by token, hot or not, a join that adaptive execution may split; equal pairs fold within the tasks
-    asked = asks.join(matrix, "token").where(fits).groupBy("gid", "cid").agg(F.count("*").alias("c")).select("gid", "cid")
-    asked = scratch.save(asked, "asked")
+    matrix = scratch.save(rest.join(groups, "cid").groupBy("token", "gid", "comp", "major").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first")), "matrix")
+    # Of two components that share a token one at least is not its major one. Each pair of groups meets once a token:
+    # where neither is of the major component, by the order of their ids.
+    facts = ("gid", "low", "high", "first")
+    one = matrix.where("comp <> major").select("token", F.col("comp").alias("comp1"), F.struct(*facts).alias("one"))
+    two = matrix.select("token", F.col("comp").alias("comp2"), "major", F.struct(*facts).alias("two"))
+    fits = (F.col("comp1") != F.col("comp2")) & (F.col("one.low") * percent <= F.col("two.high") * 100) & (F.col("two.low") * percent <= F.col("one.high") * 100)
+    once = (F.col("comp2") == F.col("major")) | (F.col("one.gid") < F.col("two.gid"))
+    pairs = one.join(two, "token").where(fits & once)
+    ordered = F.col("one.gid") < F.col("two.gid")
+    pairs = pairs.select(F.when(ordered, F.col("one")).otherwise(F.col("two")).alias("p"), F.when(ordered, F.col("two")).otherwise(F.col("one")).alias("q"))
+    sides = [f(f"{side}.{c}").alias(f"{side}_{c}") for side in "pq" for f, c in ((F.min, "low"), (F.max, "high"), (F.min, "first"))]
+    pairs = pairs.groupBy(F.col("p.gid").alias("p"), F.col("q.gid").alias("q")).agg(F.count("*").alias("common"), *sides)
+    # nothing before the first common token is common: that bounds the overlap from either side
+    least = (F.col("p_low") + F.col("q_low")) * percent
+    few = F.least(F.lit(LEAD), F.ceil(F.least("p_low", "q_low") * percent / 100))
+    pairs = pairs.where((F.col("common") >= few) & ((F.col("p_high") - F.col("p_first")) * (100 + percent) >= least) & ((F.col("q_high") - F.col("q_first")) * (100 + percent) >= least))
+    return scratch.save(pairs.join(groups, F.col("p") == F.col("gid")).select(F.col("q").alias("gid"), "cid"), "asked")
+
+
+def _across(docs: DataFrame, k: int, asked: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between queries and the groups they ask."""
     parts = scratch.save(asked.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("parts")), "parts")
     queries = asked.join(parts, "gid").withColumn("part", F.pmod(F.xxhash64("cid"), "parts")).select("gid", "part", "cid")
     members = groups.join(parts, "gid").select("gid", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "cid")
     # written, so that few ids are known to be few before the sets are joined to them
-    queries, members = (scratch.save(df, name).join(scratch.load("tokens", tokens.schema).select("cid", "tokens"), "cid").select("gid", "part", "cid", "tokens") for df, name in ((queries, "queries"), (members, "members")))
+    queries, members = scratch.save(queries, "queries"), scratch.save(members, "members")
+    tokens = scratch.save(_tokens_of(docs, k, queries.select("cid").union(members.select("cid")).distinct()), "far_tokens", "none")
+    queries, members = (df.join(scratch.load("far_tokens", tokens.schema).select("cid", "tokens"), "cid").select("gid", "part", "cid", "tokens") for df in (queries, members))
     return members.groupBy("gid", "part").cogroup(queries.groupBy("gid", "part")).applyInArrow(_opened(percent), "u long, v long")
 
 
@@ -286,39 +338,34 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """documents (doc_id, text) -> (doc_id, n_shingles, component_id), by word k-shingles and Jaccard >= percent / 100."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "setjoin")
-    counts = scratch.save(_common_tokens(docs, k, percent).where(f"n > {COMMON}"), "common")
-    sizes = sorted(((int(r[0]), int(r[1])) for r in counts.groupBy(F.floor(F.log2("n"))).count().collect()), reverse=True)
-    floor, total = 64, 0
-    for bucket, n in sizes:  # the most frequent tokens, as many as the bitmap holds well
-        total += n
-        if total > (1 << MAP_BITS) // 8:
-            break
-        floor = bucket
-    common = spark.sparkContext.broadcast(bitmap(counts.where(F.log2("n") >= floor), "token"))
-    scratch.drop("common")
-    described = scratch.save(_described(docs, k, percent, common), "described")
+    levels = spark.sparkContext.broadcast(sketch(docs, k))
+    described = scratch.save(_described(docs, k, percent, levels), "described")
 
     classes = described.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("cid"))
     classes = scratch.save(classes, "classes")
-    first = described.join(classes, "class").where("doc_id = cid").select("cid", "n", "leads")
-    postings = first.select(F.explode("leads").alias("token"), "cid", "n")
+    first = described.join(classes, "class").where("doc_id = cid").select("cid", "n", "ga", "gb", "leads")
+    postings = first.select(F.posexplode("leads").alias("pos", "token"), "cid", "n")
     twice = postings.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
     shared = scratch.save(postings.join(twice, "token"), "shared")
 
-    some = shared.select("cid").distinct()
-    wanted = spark.sparkContext.broadcast(bitmap(some.select(F.xxhash64("cid").alias("h")), "h"))
-    tokens = scratch.save(_tokens_of(docs, k, wanted), "tokens", "none")
-    near = scratch.save(_within(tokens, "ga", percent, 2).union(_within(tokens, "gb", percent, GROUP)), "near")
+    few = F.least(F.lit(LEAD), F.ceil(F.col("n") * percent / 100 * percent / 100))
+    some = shared.groupBy("cid").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= few).select("cid")
+    ids = scratch.save(first.select("cid", "n", "ga", "gb").join(some, "cid", "left_semi"), "ids")
+    parts = scratch.save(_parts(ids, "ga", 2).union(_parts(ids, "gb", GROUP)), "near_parts")
+    tokens = scratch.save(_tokens_of(docs, k, parts.select("cid").distinct()), "tokens", "none")
+    near = parts.join(tokens.select("cid", "tokens"), "cid").groupBy("by", "key", "part").applyInArrow(_pairs_of(percent), "u long, v long")
     found = scratch.save(components(near, scratch, "near_cc"), "found")
+    scratch.drop("tokens")
 
     comp = F.coalesce("component", "cid").alias("comp")
     named = found.withColumnRenamed("node", "cid")
-    shared = shared.join(named, "cid", "left").select("token", "cid", "n", comp)
-    grouped = tokens.select("cid", "n", "ga").join(named, "cid", "left").select("cid", "n", "ga", comp)
+    shared = shared.join(ids.select("cid"), "cid", "left_semi").join(named, "cid", "left").select("token", "pos", "cid", "n", comp)
+    grouped = ids.select("cid", "n", "ga").join(named, "cid", "left").select("cid", "n", "ga", comp)
     chunk = grouped.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("chunks"))
     groups = grouped.join(chunk, "comp").select("cid", F.xxhash64("comp", F.pmod(F.xxhash64("ga", "cid"), "chunks")).alias("gid"))
     groups = scratch.save(groups, "groups")
-    far = scratch.save(_across(shared, groups, tokens, percent, scratch), "far")
+    asked = _asked(shared, groups, percent, scratch)
+    far = scratch.save(_across(docs, k, asked, groups, percent, scratch), "far")
 
     links = far.select("u", "v").union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
     final = scratch.save(components(links, scratch, "cc"), "final")
