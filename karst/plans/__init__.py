@@ -4,7 +4,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("basic", "more")
+MODULES = ("basic", "more", "planning")
 
 
 def _load():
