@@ -56,7 +56,7 @@ query("fn_severity_precedence", "SELECT finding_id, CASE greatest(CASE WHEN s >=
 query("fn_level_from_rating", "SELECT severity, CASE WHEN severity IN ('Critical', 'High') THEN 'error' WHEN severity = 'Medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM findings GROUP BY 1, 2")(lambda v: v.findings.groupBy("severity", S.level_from_rating(F.col("severity")).alias("level")).agg(F.count("*").alias("n")))
 query("fn_norm_snippet", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM documents")(lambda v: v.documents.select("doc_id", S.norm_snippet(F.col("text")).alias("t")))
 query("fn_fingerprint", "SELECT finding_id, substr(sha256(concat_ws('|', scan_type, path, severity)), 1, 32) AS fp FROM findings")(lambda v: v.findings.select("finding_id", S.fingerprint(F.col("scan_type"), F.col("path"), F.col("severity")).alias("fp")))
-query("fn_file_blob_id")(lambda v: v.documents.select("doc_id", S.file_blob_id(F.col("text")).alias("blob_id")))
+query("fn_file_blob_id", "SELECT doc_id, sha1(concat('blob ', CAST(strlen(text) AS VARCHAR), chr(0), text)) AS blob_id FROM documents")(lambda v: v.documents.select("doc_id", S.file_blob_id(F.col("text")).alias("blob_id")))
 query("fn_edge_id", "SELECT from_key, to_key, sha256(concat_ws('|', 't1', from_key, edge_type, to_key)) AS edge_id FROM edges")(lambda v: v.edges.select("from_key", "to_key", S.edge_id(F.lit("t1"), F.col("from_key"), F.col("to_key"), F.col("edge_type")).alias("edge_id")))
 query("fn_repo_key", "SELECT c_custkey, concat('git.example.com/', lower(c_mktsegment), '/r', CAST(c_custkey AS VARCHAR(20))) AS repo FROM customer")(lambda v: v.customer.select("c_custkey", S.repo_key(F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('https://u:p@Git.example.com/', c_mktsegment, '/R', c_custkey, '.git') WHEN 1 THEN concat('git@git.example.com:', c_mktsegment, '/r', c_custkey) ELSE concat('ssh://git@git.example.com/', c_mktsegment, '/r', c_custkey, '/') END")).alias("repo")))
 query("fn_norm_uri", "SELECT finding_id, path FROM findings")(lambda v: v.findings.select("finding_id", S.norm_uri(F.expr("CASE package_id % 3 WHEN 0 THEN concat('file://', path) WHEN 1 THEN concat('././', path) ELSE path END")).alias("path")))
@@ -94,7 +94,7 @@ query("gr_k_hop", _REACH.format(req=_V["requirements"], limit=" WHERE r.d < 2"))
 query("gr_reachable", _REACH.format(req=_V["requirements"], limit=""))(lambda v: G.reachable(_EDGES(v).withColumn("certain", F.expr("from_key % 2 = 0")), _SEEDS(v)).select("node", F.col("level").alias("distance")))
 query("gr_blast_radius", f"WITH RECURSIVE r(node, d) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 9 UNION SELECT q.child, r.d + 1 FROM r JOIN ({_V['requirements']}) q ON q.parent = r.node) SELECT node, min(d) AS distance FROM r GROUP BY 1")(lambda v: G.blast_radius(_EDGES(v), v.part.where("p_partkey = 9").select(F.col("p_partkey").alias("node"))).select("node", "distance"))
 query("gr_path_to_entry", _REACH.format(req=_V["requirements"], limit="").replace("min(d) AS distance", "min(d) + 1 AS links"))(lambda v: G.shortest_chain(_EDGES(v), _SEEDS(v)).select("node", F.size("chain").alias("links")))
-query("gr_shortest_chain")(lambda v: G.shortest_chain(_EDGES(v), _SEEDS(v)).select("node", "distance", F.array_join("chain", ">").alias("chain")))
+query("gr_shortest_chain", f"WITH RECURSIVE r(node, d, chain) AS (SELECT p_partkey, 0, [CAST(p_partkey AS VARCHAR)] FROM part WHERE p_partkey % 97 = 50 UNION SELECT q.parent, r.d + 1, list_append(r.chain, CAST(q.parent AS VARCHAR)) FROM r JOIN ({_V['requirements']}) q ON q.child = r.node) SELECT node, d AS distance, array_to_string(min(chain), '>') AS chain FROM (SELECT *, min(d) OVER (PARTITION BY node) AS m FROM r) WHERE d = m GROUP BY 1, 2")(lambda v: G.shortest_chain(_EDGES(v), _SEEDS(v)).select("node", "distance", F.array_join("chain", ">").alias("chain")))
 query("gr_direct_parents", "SELECT DISTINCT child, parent FROM requirements WHERE child IN (SELECT package_id FROM packages WHERE is_deleted)")(lambda v: G.direct_parents(v.requirements, v.packages.where("is_deleted").select(F.col("package_id").alias("child"))))
 query("gr_edge_contract", "SELECT edge_type, split_part(from_key, ':', 1) AS from_scheme, NOT (edge_type = 'owns') AS legal, count(*) AS n FROM edges GROUP BY 1, 2, 3")(lambda v: G.edge_contract(v.edges, v.spark.sql("SELECT * FROM VALUES ('deployed_as', 'image', 'cloud'), ('exposed_via', 'cloud', 'net'), ('contains', 'image', 'pkg') AS t(edge_type, from_scheme, to_scheme)")).groupBy("edge_type", "from_scheme", "legal").agg(F.count("*").alias("n")))
 query("gr_unconnected", "SELECT k FROM (SELECT concat('image:', CAST(p_partkey AS VARCHAR(20))) AS k FROM part) WHERE k NOT IN (SELECT from_key FROM edges) AND k NOT IN (SELECT to_key FROM edges)")(lambda v: G.unconnected(v.part.selectExpr("concat('image:', p_partkey) AS k"), v.edges, "k"))
@@ -148,7 +148,11 @@ query("lc_provenance_verdict", "SELECT CASE WHEN x IS NULL THEN 'not_shipped' WH
 query("tx_chunk", "SELECT doc_id, count(*) AS chunks, CAST(sum(w) AS BIGINT) AS words FROM (SELECT doc_id, least(n - s, 512) AS w FROM (SELECT doc_id, n, unnest(range(0, greatest(n - 100, 1), 412)) AS s FROM (SELECT doc_id, len(string_split_regex(trim(text, chr(32) || chr(10) || chr(9) || chr(13)), '[ \\t\\n\\r\\f\\v]+')) AS n FROM documents))) GROUP BY 1")(lambda v: T.chunk(v.documents.withColumn("text", F.expr("trim(BOTH ' \n\t\r' FROM text)")), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("words").alias("words")))
 query("tx_vector_topk", "SELECT query_id, vec_id, pos FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) DESC, v.vec_id) AS pos FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) >= 0.0) WHERE pos <= 5")(lambda v: T.vector_topk(v.embeddings, v.embeddings.where("vec_id % 100 = 0"), 5, 0.0).select("query_id", "vec_id", "pos"))
 query("tx_dim_guard", "SELECT vec_id, CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'wrong_length' END AS rejected FROM embeddings")(lambda v: T.dim_guard(v.embeddings, "embedding", 64).select("vec_id", "rejected"))
-query("tx_token_overlap")(lambda v: T.token_overlap(v.benchmark.where("item_id % 2 = 0").selectExpr("item_id AS question_id", "text AS question"), v.benchmark.selectExpr("item_id AS canon_id", "text AS canon")))
+query("tx_token_overlap", """
+WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM benchmark),
+s AS (SELECT q.item_id AS question_id, c.item_id AS canon_id, 1.0 * len(list_intersect(q.w, c.w)) / (len(q.w) + len(c.w) - len(list_intersect(q.w, c.w))) AS score FROM t q JOIN t c ON len(list_intersect(q.w, c.w)) > 0 WHERE q.item_id % 2 = 0)
+SELECT question_id, canon_id, round(score, 6) AS score, CASE WHEN score - coalesce(nxt, 0) < 0.05 THEN 'ambiguous' ELSE 'resolved' END AS state
+FROM (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, canon_id)) WHERE n = 1""")(lambda v: T.token_overlap(v.benchmark.where("item_id % 2 = 0").selectExpr("item_id AS question_id", "text AS question"), v.benchmark.selectExpr("item_id AS canon_id", "text AS canon")))
 query("tx_catalog_search", "SELECT p_partkey, 1 AS hits FROM part WHERE list_contains(string_split_regex(lower(p_type), '[^a-z0-9]+'), 'promo')")(lambda v: T.catalog_search(v.part, "p_type", ["promo"]).select("p_partkey", "hits"))
 query("tx_context_block", "SELECT conv_id, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS block FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3 GROUP BY 1")(lambda v: T.context_block(v.conversations, "conv_id", "turn", "text", "role"))
 query("po_bind_policy", "SELECT severity, count(*) AS n FROM findings WHERE severity IN ('Critical', 'High', 'Medium') GROUP BY 1")(lambda v: at_or_above(v.findings, "severity", Policy(v.policy).floor("severity_floor"), v.severity_rank).groupBy("severity").agg(F.count("*").alias("n")))
