@@ -9,11 +9,12 @@ Every link of Jaccard similarity at or above the threshold counts; none is estim
 2. Documents with equal sets are one class. Only classes that share l leading tokens with others go on.
 3. Similar documents form groups (equal min-hash, at most about GROUP documents): within a group all pairs are compared
    with numpy, and so most of a large cluster falls into one component without listing its pairs.
-4. The token-group matrix: leading tokens -> groups of one component. A class that shares leading tokens with a group
-   of another component is a query to it. How many they share and where the first lies bound the overlap; of groups
-   that this leaves, the overlap with the union of the group's tokens bounds that with every member, and only groups
-   whose bound reaches ceil(t n) are opened and their members compared. Links inside a component that is already
-   connected need no comparison, for they cannot change the answer.
+4. The token-group matrix: leading tokens -> components and their groups. Two components that share leading tokens
+   are compared, the smaller one's classes being queries to the larger one's groups, unless the number of tokens they
+   share, or the place of the first, shows that no two of their classes can link. A query's overlap with the union of a
+   group's tokens bounds that with every member, and only groups whose bound reaches ceil(t n) are opened. Each
+   token's major component is asked first; what it does not take in then meets everyone, so no token's classes are
+   paired off. Links inside a component need no comparison, for they cannot change the answer.
 
 Cases: null or word-less texts have an empty set and link with nothing; fewer than k words are one shingle; rows
 with a null doc_id take no part (their component is null); repeated doc_ids are one document that links if either
@@ -33,7 +34,7 @@ from .common import BLOCK_BYTES, Scratch, SpanHash, components, mix, utf8_blocks
 #: Documents of one group, about; and tokens of one group, about.
 GROUP, GROUP_TOKENS = 48, 2_000_000
 #: Slots of the sketch, as a power of two, and the ranges in which they travel; bits of a bitmap of ids.
-SLOT_BITS, RANGES, MAP_BITS = 25, 1024, 25
+SLOT_BITS, RANGES, MAP_BITS = 24, 1024, 25
 #: Leading tokens that two sets must share.
 LEAD = 4
 #: Queries that meet a group in one task.
@@ -109,7 +110,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
             for _, tokens in shingle_sets(batch.column(0), k):
                 parts.append(tokens)
                 size += len(tokens)
-                if size > 1_000_000:
+                if size > 250_000:
                     put(parts)
                     parts, size = [], 0
             if parts:
@@ -206,7 +207,7 @@ def _tokens_of(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
                 if len(tokens):
                     rows.append((row, len(tokens), tokens.tobytes()))
                     done += len(tokens)
-                if done > 1_000_000:
+                if done > 250_000:
                     yield _rows(names, rows)
                     rows, done = [], 0
             yield _rows(names, rows)
@@ -297,40 +298,48 @@ def _opened(percent: int):
     return run
 
 
-def _asked(shared: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(gid, cid): groups of another component that a class must be compared with. shared: (token, pos, cid, n, comp)."""
-    by = shared.groupBy("token", "comp").agg(F.count("*").alias("c"))
+def _asked(shared: DataFrame, members: DataFrame, percent: int, scratch: Scratch, name: str, everyone: bool) -> DataFrame:
+    """(gid, cid): groups that a class must be compared with, of components that share leading tokens.
+
+    shared: (token, pos, cid, n, comp); members: (cid, gid, comp). Each token is one row a component. Components meet a
+    token's major component, the one of most classes there, or all others (everyone), each pair once a token."""
+    facts = [F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first")]
+    by = shared.groupBy("token", "comp").agg(F.count("*").alias("c"), *facts)
     major = by.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major")).where("comps > 1").select("token", "major")
-    rest = scratch.save(shared.join(major, "token"), "rest")
-    matrix = scratch.save(rest.join(groups, "cid").groupBy("token", "gid", "comp", "major").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first")), "matrix")
-    # Of two components that share a token one at least is not its major one. Each pair of groups meets once a token:
-    # where neither is of the major component, by the order of their ids.
-    facts = ("gid", "low", "high", "first")
-    one = matrix.where("comp <> major").select("token", F.col("comp").alias("comp1"), F.struct(*facts).alias("one"))
-    two = matrix.select("token", F.col("comp").alias("comp2"), "major", F.struct(*facts).alias("two"))
-    fits = (F.col("comp1") != F.col("comp2")) & (F.col("one.low") * percent <= F.col("two.high") * 100) & (F.col("two.low") * percent <= F.col("one.high") * 100)
-    once = (F.col("comp2") == F.col("major")) | (F.col("one.gid") < F.col("two.gid"))
+    matrix = scratch.save(by.join(major, "token"), f"{name}_matrix")
+    own = ("comp", "low", "high", "first")
+    one = matrix.where("comp <> major").select("token", F.struct(*own).alias("one"))
+    two = (matrix if everyone else matrix.where("comp = major")).select("token", "major", F.struct(*own).alias("two"))
+    fits = (F.col("one.comp") != F.col("two.comp")) & (F.col("one.low") * percent <= F.col("two.high") * 100) & (F.col("two.low") * percent <= F.col("one.high") * 100)
+    once = (F.col("two.comp") == F.col("major")) | (F.col("one.comp") < F.col("two.comp"))
     pairs = one.join(two, "token").where(fits & once)
-    ordered = F.col("one.gid") < F.col("two.gid")
+    ordered = F.col("one.comp") < F.col("two.comp")
     pairs = pairs.select(F.when(ordered, F.col("one")).otherwise(F.col("two")).alias("p"), F.when(ordered, F.col("two")).otherwise(F.col("one")).alias("q"))
     sides = [f(f"{side}.{c}").alias(f"{side}_{c}") for side in "pq" for f, c in ((F.min, "low"), (F.max, "high"), (F.min, "first"))]
-    pairs = pairs.groupBy(F.col("p.gid").alias("p"), F.col("q.gid").alias("q")).agg(F.count("*").alias("common"), *sides)
-    # nothing before the first common token is common: that bounds the overlap from either side
-    least = (F.col("p_low") + F.col("q_low")) * percent
-    few = F.least(F.lit(LEAD), F.ceil(F.least("p_low", "q_low") * percent / 100))
-    pairs = pairs.where((F.col("common") >= few) & ((F.col("p_high") - F.col("p_first")) * (100 + percent) >= least) & ((F.col("q_high") - F.col("q_first")) * (100 + percent) >= least))
-    return scratch.save(pairs.join(groups, F.col("p") == F.col("gid")).select(F.col("q").alias("gid"), "cid"), "asked")
-
-
-def _across(docs: DataFrame, k: int, asked: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    pairs = pairs.groupBy(F.col("p.comp").alias("p"), F.col("q.comp").alias("q")).agg(F.count("*").alias("common"), *sides)
+    if everyone:
+        # nothing before the first common token is common: that bounds the overlap from either side
+        least = (F.col("p_low") + F.col("q_low")) * percent
+        few = F.least(F.lit(LEAD), F.ceil(F.least("p_low", "q_low") * percent / 100))
+        pairs = pairs.where((F.col("common") >= few) & ((F.col("p_high") - F.col("p_first")) * (100 + percent) >= least) & ((F.col("q_high") - F.col("q_first")) * (100 + percent) >= least))
+    # the smaller of two components asks the groups of the larger
+    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
+    pairs = pairs.select("p", "q").join(sizes.select(F.col("comp").alias("p"), F.col("size").alias("ps")), "p").join(sizes.select(F.col("comp").alias("q"), F.col("size").alias("qs")), "q")
+    p_asks = F.col("ps") <= F.col("qs")
+    pairs = pairs.select(F.when(p_asks, F.col("p")).otherwise(F.col("q")).alias("asker"), F.when(p_asks, F.col("q")).otherwise(F.col("p")).alias("asked"))
+    groups = members.select(F.col("comp").alias("asked"), "gid").distinct()
+    return pairs.join(members.select(F.col("comp").alias("asker"), "cid"), "asker").join(groups, "asked").select("gid", "cid").distinct()
+
+
+def _across(docs: DataFrame, k: int, asked: DataFrame, groups: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Links between queries and the groups they ask."""
-    parts = scratch.save(asked.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("parts")), "parts")
+    parts = scratch.save(asked.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("parts")), f"{name}_parts")
     queries = asked.join(parts, "gid").withColumn("part", F.pmod(F.xxhash64("cid"), "parts")).select("gid", "part", "cid")
     members = groups.join(parts, "gid").select("gid", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "cid")
     # written, so that few ids are known to be few before the sets are joined to them
-    queries, members = scratch.save(queries, "queries"), scratch.save(members, "members")
-    tokens = scratch.save(_tokens_of(docs, k, queries.select("cid").union(members.select("cid")).distinct()), "far_tokens", "none")
-    queries, members = (df.join(scratch.load("far_tokens", tokens.schema).select("cid", "tokens"), "cid").select("gid", "part", "cid", "tokens") for df in (queries, members))
+    queries, members = scratch.save(queries, f"{name}_queries"), scratch.save(members, f"{name}_members")
+    tokens = scratch.save(_tokens_of(docs, k, queries.select("cid").union(members.select("cid")).distinct()), f"{name}_tokens", "none")
+    queries, members = (df.join(scratch.load(f"{name}_tokens", tokens.schema).select("cid", "tokens"), "cid").select("gid", "part", "cid", "tokens") for df in (queries, members))
     return members.groupBy("gid", "part").cogroup(queries.groupBy("gid", "part")).applyInArrow(_opened(percent), "u long, v long")
 
 
@@ -358,16 +367,25 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     scratch.drop("tokens")
 
     comp = F.coalesce("component", "cid").alias("comp")
-    named = found.withColumnRenamed("node", "cid")
-    shared = shared.join(ids.select("cid"), "cid", "left_semi").join(named, "cid", "left").select("token", "pos", "cid", "n", comp)
-    grouped = ids.select("cid", "n", "ga").join(named, "cid", "left").select("cid", "n", "ga", comp)
+    grouped = ids.select("cid", "n", "ga").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "ga", comp)
     chunk = grouped.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("chunks"))
     groups = grouped.join(chunk, "comp").select("cid", F.xxhash64("comp", F.pmod(F.xxhash64("ga", "cid"), "chunks")).alias("gid"))
     groups = scratch.save(groups, "groups")
-    asked = _asked(shared, groups, percent, scratch)
-    far = scratch.save(_across(docs, k, asked, groups, percent, scratch), "far")
+    shared = shared.join(ids.select("cid"), "cid", "left_semi").select("token", "pos", "cid", "n")
+
+    # First against each token's major component alone, which takes in most of what is left of large clusters; then
+    # everyone, without the questions that have been asked.
+    links, asked = found.select(F.col("node").alias("u"), F.col("component").alias("v")), None
+    for name in ("major", "all"):
+        members = scratch.save(groups.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", comp), f"{name}_ids")
+        rows = shared.join(members.select("cid", "comp"), "cid")
+        ask = _asked(rows, members, percent, scratch, name, name == "all")
+        asked = scratch.save(ask if asked is None else ask.join(asked, ["gid", "cid"], "left_anti"), f"{name}_asked")
+        far = scratch.save(_across(docs, k, asked, groups, percent, scratch, name), f"{name}_far")
+        links = links.union(far.select("u", "v"))
+        if name == "major":
+            found = scratch.save(components(links, scratch, "major_cc"), "major_found")
 
-    links = far.select("u", "v").union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
     final = scratch.save(components(links, scratch, "cc"), "final")
     ids = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").select("class", F.coalesce("component", "cid").alias("component_id"))
     out = described.select("doc_id", "n", "class").join(ids, "class", "left")
