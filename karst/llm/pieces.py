@@ -80,15 +80,17 @@ class Model:
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of hashes; -1 where there is no piece."""
         at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        ids, scores = np.full(len(h), -1, np.int32), np.full(len(h), NONE)
-        left = np.arange(len(h))
-        for k in range(self.tries):
+        key = self.key[at]
+        hit = key == h
+        ids, scores = np.where(hit, self.id[at], np.int32(-1)), np.where(hit, self.score[at], NONE)
+        left = np.flatnonzero(~hit & (key != 0))
+        for k in range(1, self.tries):
+            if not len(left):
+                break
             slot = (at[left] + k) & ((1 << self.bits) - 1)
             hit = self.key[slot] == h[left]
             ids[left[hit]], scores[left[hit]] = self.id[slot[hit]], self.score[slot[hit]]
             left = left[~hit & (self.id[slot] >= 0)]
-            if not len(left):
-                break
         return ids, scores
 
     def candidates(self, chars: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,55 +177,80 @@ class Words(PieceMemo):
         return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
     def solve(self, chars, starts, ends):
-        """(ids, sizes, scores) of words given by bounds."""
+        """(ids, sizes, scores) of words given by bounds; words of like length are solved together, up to 64 characters."""
         m, model = len(starts), self.model
         size = ends - starts
-        ids_of, score = [None] * m, np.zeros(m)
-        short = np.flatnonzero(size <= 64)
-        short = short[np.argsort(size[short], kind="stable")]
-        for lo in range(0, len(short), 20_000):
-            part = short[lo : lo + 20_000]
-            w = int(size[part].max())
-            grid = starts[part][:, None] + np.arange(w)
-            inside = np.arange(w) < size[part][:, None]
-            own = np.where(inside, chars[np.minimum(grid, len(chars) - 1)], 0).astype(np.uint64)
-            v = mix(own + np.uint64(977))
-            longest = min(model.longest, w)
-            value = np.full((len(part), w + 1), NONE)
-            value[:, 0] = 0
-            back, ids = np.zeros((len(part), w + 1), np.int32), np.full((len(part), w + 1), -1, np.int32)
-            h = np.zeros((len(part), w), np.uint64)
-            found = []
-            for k in range(longest):
-                h[:, k:] += v[:, : w - k] * (model.powers[k - 1] if k else np.uint64(1))
-                i, s = model.look(mix(h[:, k:].ravel()))
-                i, s = i.reshape(len(part), w - k), s.reshape(len(part), w - k)
-                if k == 0:
-                    s = np.where(i < 0, model.unknown, s)
-                found.append((i, s))
-            for e in range(1, w + 1):
-                for k in range(min(e, longest), 0, -1):  # of equal ones the longest
-                    i, s = found[k - 1]
-                    total = value[:, e - k] + s[:, e - k]
-                    better = total > value[:, e]
-                    value[better, e], back[better, e], ids[better, e] = total[better], k, i[better, e - k]
-            at = size[part].copy()
-            row = np.arange(len(part))
-            score[part] = value[row, at]
-            steps = []
-            while at.any():
-                steps.append((ids[row, at], at.copy(), at > 0))
-                at = at - np.where(at > 0, back[row, at], 0)
-            for r, p in enumerate(part.tolist()):
-                pairs = [(i[r], e[r]) for i, e, on in steps if on[r]][::-1]
-                ids_of[p] = model.spell(chars[starts[p] : ends[p]], np.array([x for x, _ in pairs], np.int64), np.array([y for _, y in pairs], np.int64))
+        score, sizes, firsts = np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        flats, done = [], 0
+
+        def put(words, flat, n):
+            nonlocal done
+            sizes[words], firsts[words] = n, done + np.cumsum(n) - n
+            flats.append(flat)
+            done += len(flat)
+
+        low = 0
+        for high in (6, 9, 13, 18, 26, 40, 64):
+            group = np.flatnonzero((size > low) & (size <= high))
+            low = high
+            step = max(256, 300_000 // high)
+            for lo in range(0, len(group), step):
+                part = group[lo : lo + step]
+                score[part], flat, n = self._solve(chars, starts[part], size[part])
+                put(part, flat, n)
         for p in np.flatnonzero(size > 64).tolist():
             own = chars[starts[p] : ends[p]]
             value, back, ids, _ = model.best(own, np.zeros(1), np.array([len(own)]))
             score[p] = value[-1]
-            ids_of[p] = model.trace(own, back, ids, len(own))[0]
-        sizes = np.array([len(x) for x in ids_of], np.int64)
-        return np.concatenate(ids_of) if m else np.zeros(0, np.uint32), sizes, score
+            flat = model.trace(own, back, ids, len(own))[0]
+            put(np.array([p]), flat, np.array([len(flat)]))
+        flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
+        total = np.cumsum(sizes)
+        return flat[np.repeat(firsts - (total - sizes), sizes) + np.arange(len(flat))], sizes, score
+
+    def _solve(self, chars, starts, size):
+        """(scores, ids, numbers of ids) of words of like length, characters down and words across."""
+        model, m, w = self.model, len(starts), int(size.max())
+        longest = min(model.longest, w)
+        place = np.arange(w)[:, None]
+        own = np.where(place < size, chars[np.minimum(starts + place, len(chars) - 1)], 0).astype(np.uint64)
+        v = mix(own + np.uint64(977))
+        h = np.zeros((w, m), np.uint64)
+        # of each end, pieces from the longest to the shortest: the first of equal sums is the longest
+        scores, names = np.full((w, longest, m), NONE), np.full((w, longest, m), -1, np.int32)
+        for k in range(longest):
+            h[k:] += v[: w - k] * (model.powers[k - 1] if k else np.uint64(1))
+            i, x = model.look(mix(h[k:]).ravel())
+            scores[k:, longest - 1 - k], names[k:, longest - 1 - k] = x.reshape(-1, m), i.reshape(-1, m)
+        scores[:, -1][names[:, -1] < 0] = model.unknown
+        value, back, ids = np.full((w + 1, m), NONE), np.zeros((w + 1, m), np.int64), np.full((w + 1, m), -1, np.int32)
+        value[0] = 0
+        column = np.arange(m)
+        for e in range(1, w + 1):
+            k = min(e, longest)
+            total = value[e - k : e] + scores[e - 1, longest - k :]
+            best = np.argmax(total, 0)
+            value[e], back[e], ids[e] = total[best, column], k - best, names[e - 1, longest - k + best, column]
+        at, steps, on = size.copy(), [], []
+        while at.any():
+            steps.append(ids[at, column])
+            on.append(at > 0)
+            at = at - np.where(at > 0, back[at, column], 0)
+        steps, on = np.stack(steps[::-1], 1), np.stack(on[::-1], 1)
+        flat, n = steps[on], on.sum(1)
+        odd = np.flatnonzero(((steps < 0) & on).any(1))
+        if len(odd):  # unknown characters: spell those words out
+            lists = np.split(flat, np.cumsum(n)[:-1])
+            for p in odd.tolist():
+                lengths = []
+                e = int(size[p])
+                while e:
+                    lengths.append(e)
+                    e -= int(back[e, p])
+                lists[p] = model.spell(chars[starts[p] : starts[p] + size[p]], lists[p], np.array(lengths[::-1]))
+                n[p] = len(lists[p])
+            flat = np.concatenate(lists)
+        return value[size, column], flat.astype(np.uint32), n
 
     def add(self, keys, data, starts, ends):
         flat, sizes, score = self.solve(data, starts, ends)
@@ -344,7 +371,7 @@ def _whole(docs: DataFrame, path: str) -> DataFrame:
             at = 0
             while at < len(texts):
                 z, size = at, 0
-                while z < len(texts) and (size < 400_000 or z == at):
+                while z < len(texts) and (size < 1_000_000 or z == at):
                     size += len(texts[z] or "")
                     z += 1
                 chars = [characters(t or "") for t in texts[at:z]]
