@@ -28,7 +28,7 @@ from .tokens import token_blocks
 MAGIC = b"KID1"
 NULL_ID = -(2**63)
 #: Ids after which a block is closed; bounds the memory of writer and reader (one longer document is one block).
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 18
 #: Documents of one shard, about.
 SHARD_ROWS = 20_000
 
