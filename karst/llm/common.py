@@ -80,6 +80,7 @@ def utf8_blocks(column, limit: int = BLOCK_BYTES):
             block = np.concatenate([data[offsets[i] : offsets[i] + lengths[i]] for i in range(row, last)] or [data[:0]])
         yield row, last, block, at
         row = last
+    pa.default_memory_pool().release_unused()
 
 
 class SpanHash:

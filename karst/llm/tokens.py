@@ -15,7 +15,7 @@ import numpy as np
 from .common import SpanHash, utf8_blocks
 
 #: Distinct pieces that a worker remembers before it starts anew; bounds its memory.
-MEMO_PIECES = 2_500_000
+MEMO_PIECES = 1_000_000
 
 
 def _byte_classes():
