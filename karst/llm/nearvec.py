@@ -3,7 +3,8 @@
 A unit vector o is rotated and replaced by its signs, a unit vector b; f = <b, o> is stored as its correction factor.
 With s = <b, q>, s / f estimates <o, q> without bias, with standard error sqrt((1 - f^2) / (f^2 (d - 1))) over
 rotations; and f s + sqrt((1 - f^2) (1 - s^2)) is a bound that always holds. A pair is recomputed exactly, in double
-precision, unless one of both bounds puts it under the threshold (the estimate by CONFIDENCE standard errors).
+precision, unless one of both bounds puts it under the threshold (the estimate by CONFIDENCE standard errors, which is
+more than it can err by in up to 65 dimensions and a matter of probability beyond).
 
 Equal vectors of a label are one class with a count. Classes of a label are dealt into blocks of bounded size, and
 pairs of blocks are compared in one task each; what leaves a task is each class's number of links and a spanning
