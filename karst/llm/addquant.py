@@ -4,7 +4,9 @@ Codebooks are fitted on a bounded sample (SAMPLE rows with the smallest hashes o
 the earlier stages leave; every row is then encoded by beam search over the stages, so a later codeword may correct an
 earlier choice. An index row holds the codes, the norm of the decoded vector and the norm of what it misses. A query
 looks its inner products with all codewords up in a table, adds those of a row's codes, and the best SHORTLIST rows of
-each index block are scored exactly on the original vectors, in double precision.
+each index block are scored exactly on the original vectors, in double precision. So are all others of the block whose
+sum, with MARGIN times the error to be expected from the norm of what the codes miss, reaches the k-th best so found:
+how many are opened follows from the codes' errors and not from a fixed number.
 
 Queries and index rows meet block by block: every query block against every index block in a task of its own, of
 which only the k best per query leave.
@@ -24,7 +26,7 @@ from .common import Scratch
 from .vectors import array, matrix, usable
 
 SAMPLE, STAGES, WORDS, BEAM, FIT_ROUNDS = 8192, 8, 256, 4, 6
-INDEX_BLOCK, QUERY_BLOCK, SHORTLIST = 8192, 512, 160
+INDEX_BLOCK, QUERY_BLOCK, SHORTLIST, MARGIN = 8192, 512, 160, 2.5
 
 
 def fit(sample: np.ndarray, stages: int = STAGES, words: int = WORDS, seed: int = 5) -> np.ndarray:
@@ -103,6 +105,7 @@ def _search(books: np.ndarray, k: int, shortlist: int):
         if len(have) and len(rows):
             code = np.frombuffer(b"".join(group.column("code").filter(pa.array(~query)).to_pylist()), np.uint8 if words <= 256 else np.int16).reshape(-1, stages)
             cv, cid = v[have], ids[have]
+            error = MARGIN * array(group.column("missed"))[have] / np.sqrt(d)
             for lo in range(0, len(rows), 128):
                 own = rows[lo : lo + 128]
                 q = v[own]
@@ -113,8 +116,12 @@ def _search(books: np.ndarray, k: int, shortlist: int):
                 keep = min(len(have), shortlist)
                 best = np.argpartition(-score, keep - 1, 1)[:, :keep]
                 for i in range(len(own)):
-                    exact = cv[best[i]] @ q[i]
-                    names = cid[best[i]]
+                    first = best[i][cid[best[i]] != ids[own[i]]]
+                    exact = cv[first] @ q[i]
+                    least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+                    more = np.flatnonzero(score[i] + np.linalg.norm(q[i]) * error >= least)
+                    opened = np.union1d(first, more)
+                    exact, names = cv[opened] @ q[i], cid[opened]
                     order = np.lexsort((names, -exact))
                     order = order[names[order] != ids[own[i]]][:k]
                     out[0].append(np.full(len(order), ids[own[i]]))
@@ -144,8 +151,8 @@ def search(df: DataFrame, queries: str, id_col: str = "vec_id", vector_col: str
     asked = coded.where(queries).select("id", "v")
     blocks, asks = max(1, -(-total // INDEX_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
     # every index block meets every query block: one row of a block for each block of the other side
-    have = coded.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("b"), F.explode(F.expr(f"sequence(0L, {asks - 1}L)")).alias("a"), F.lit(0).alias("asks"), "id", "v", "code")
-    want = asked.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(asks)).alias("a"), F.lit(1).alias("asks"), "id", "v", F.lit(None).cast("binary").alias("code"))
+    have = coded.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("b"), F.explode(F.expr(f"sequence(0L, {asks - 1}L)")).alias("a"), F.lit(0).alias("asks"), "id", "v", "code", "missed")
+    want = asked.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(asks)).alias("a"), F.lit(1).alias("asks"), "id", "v", F.lit(None).cast("binary").alias("code"), F.lit(0.0).cast("float").alias("missed"))
     found = have.union(want).groupBy("a", "b").applyInArrow(_search(books, k, shortlist), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
