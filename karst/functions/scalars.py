@@ -23,23 +23,39 @@ def _pick(c: Column, table: dict[str, str]) -> Column:
     return out
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def cvss3_base(vector: Column) -> Column:
     """Base score of a version 3 vector; null if a metric is missing or unknown.
 
     Rounded up as the specification's integer rule says: on the score times 100,000."""
-    m = F.str_to_map(vector, F.lit("/"), F.lit(":"))
-    get = lambda k: F.try_element_at(m, F.lit(k))
-    changed = get("S") == "C"
-    pr = F.when(changed, _pick(get("PR"), CVSS3["PR_C"])).otherwise(_pick(get("PR"), CVSS3["PR_U"]))
-    iss = 1 - (1 - _pick(get("C"), CVSS3["CIA"])) * (1 - _pick(get("I"), CVSS3["CIA"])) * (1 - _pick(get("A"), CVSS3["CIA"]))
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
-    exploit = 8.22 * _pick(get("AV"), CVSS3["AV"]) * _pick(get("AC"), CVSS3["AC"]) * pr * _pick(get("UI"), CVSS3["UI"])
-    raw = F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit)
-    raw = F.when(raw > 10, F.lit(10.0)).otherwise(raw)
-    scaled = F.round(raw * 100000).cast("long")
-    up = F.when(scaled % 10000 == 0, scaled / 100000.0).otherwise((F.floor(scaled / 10000) + 1) / 10.0)
-    known = vector.startswith("CVSS:3") & get("S").isin("U", "C")
-    return F.when(known & raw.isNotNull(), F.when(impact <= 0, F.lit(0.0)).otherwise(up))
+    metrics = F.str_to_map(vector, F.lit("/"), F.lit(":"))
+    get = lambda m, k: F.try_element_at(m, F.lit(k))
+
+    def parts(m):
+        changed = get(m, "S") == "C"
+        pr = F.when(changed, _pick(get(m, "PR"), CVSS3["PR_C"])).otherwise(_pick(get(m, "PR"), CVSS3["PR_U"]))
+        c, i, a = (1 - _pick(get(m, k), CVSS3["CIA"]) for k in "CIA")
+        exploit = 8.22 * _pick(get(m, "AV"), CVSS3["AV"]) * _pick(get(m, "AC"), CVSS3["AC"]) * pr * _pick(get(m, "UI"), CVSS3["UI"])
+        return F.struct(changed.alias("changed"), get(m, "S").isin("U", "C").alias("known"), (1 - c * i * a).alias("iss"), exploit.alias("exploit"))
+
+    def impact(x):
+        own = F.when(x["changed"], 7.52 * (x["iss"] - 0.029) - 3.25 * F.pow(x["iss"] - 0.02, F.lit(15.0))).otherwise(6.42 * x["iss"])
+        return F.struct(x["changed"].alias("changed"), x["known"].alias("known"), own.alias("impact"), (own + x["exploit"]).alias("sum"))
+
+    def rounded(x):
+        raw = F.when(x["changed"], 1.08 * x["sum"]).otherwise(x["sum"])
+        return F.struct(x["known"].alias("known"), x["impact"].alias("impact"), F.round(F.when(raw > 10, F.lit(10.0)).otherwise(raw) * 100000).cast("long").alias("scaled"))
+
+    def score(x):
+        up = F.when(x["scaled"] % 10000 == 0, x["scaled"] / 100000.0).otherwise((F.floor(x["scaled"] / 10000) + 1) / 10.0)
+        return F.when(x["known"] & x["scaled"].isNotNull(), F.when(x["impact"] <= 0, F.lit(0.0)).otherwise(up))
+
+    out = _let(metrics, lambda m: _let(parts(m), lambda p: _let(impact(p), lambda i: _let(rounded(i), score))))
+    return F.when(vector.startswith("CVSS:3"), out)
 
 
 def severity_band(score: Column) -> Column:
