@@ -93,11 +93,11 @@ class Rows:
     def __init__(self, features, counts):
         size = np.array([len(f) for f in features])
         self.ends = np.concatenate(([0], np.cumsum(size)))
-        self.feature = np.concatenate(features) if len(features) else np.zeros(0, np.int64)
-        value = np.concatenate(counts).astype(float) if len(counts) else np.zeros(0)
-        self.owner = np.repeat(np.arange(len(size)), size)
+        self.feature = np.concatenate(features).astype(np.int32) if len(features) else np.zeros(0, np.int32)
+        value = np.concatenate(counts).astype(np.float32) if len(counts) else np.zeros(0, np.float32)
+        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
         norm = np.sqrt(np.bincount(self.owner, value * value, len(size)))
-        self.value = value / np.maximum(norm[self.owner], 1e-12)
+        self.value = value / np.maximum(norm[self.owner], 1e-12).astype(np.float32)
 
     def dot(self, w):
         return np.bincount(self.owner, self.value * w[self.feature], len(self.ends) - 1)
@@ -150,7 +150,7 @@ def fit(lang: list[str], features: list[np.ndarray], counts: list[np.ndarray]) -
     keep = [i for i, f in enumerate(features) if len(f)]
     if not keep:
         return None
-    rows = Rows([np.asarray(features[i], np.int64) for i in keep], [np.asarray(counts[i], np.int64) for i in keep])
+    rows = Rows([np.asarray(features[i], np.int32) for i in keep], [np.asarray(counts[i], np.int32) for i in keep])
     languages = sorted({lang[i] for i in keep})
     y = np.array([languages.index(lang[i]) for i in keep])
     means = np.stack([rows.back((y == k) / max(1, (y == k).sum())) for k in range(len(languages))])
