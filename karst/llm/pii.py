@@ -84,16 +84,16 @@ def regions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
     if not MAYBE.search(text):
         return []
     out: list[tuple[int, int]] = []
-    for m in TRIGGER.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        a, z = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        a = max([a, *(e for _, _, e in base if e <= m.start())])
-        z = min([z, *(s for s, _, _ in base if s >= m.end())])
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
-        else:
-            out.append((a, z))
+    lo = 0
+    for s, e in [*((s, e) for s, _, e in base), (len(text), len(text))]:
+        if lo < s:
+            for m in TRIGGER.finditer(text, lo, s):
+                a, z = max(lo, m.start() - AROUND), min(s, m.end() + AROUND)
+                if out and a < out[-1][1]:
+                    out[-1] = (out[-1][0], max(z, out[-1][1]))
+                else:
+                    out.append((a, z))
+        lo = max(lo, e)
     return out
 
 
