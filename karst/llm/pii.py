@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -73,10 +74,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---------------------------------------------------------------- regions, tokens, segments
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
-#: What an entity in another spelling needs: several digits close together, or a written-out "at" and "dot".
-TRIGGER = re.compile(r"[0-9](?:[^A-Za-z0-9]{0,3}[0-9]){5,}|[A-Za-z0-9]\s?(?:\[at\]|\(at\)|\bat\b)\s?[A-Za-z0-9-]{1,40}\s?(?:\[dot\]|\(dot\)|\bdot\b)", re.I)
+#: What an entity in another spelling needs: several digits close together, or a written-out "at" and "dot", or an "at"
+#: in brackets before a host with a plain dot. Four short numbers are looked for apart, by their tokens (`_fours`).
+_AT, _DOT, _LABEL = r"(?:\[at\]|\(at\)|\bat\b)", r"(?:\[dot\]|\(dot\)|\bdot\b)", "[A-Za-z0-9-]{1,63}"
+TRIGGER = re.compile(rf"[0-9](?:[^A-Za-z0-9]{{0,3}}[0-9]){{5,}}|(?<=[A-Za-z0-9._-])\s?(?:{_AT}\s?{_LABEL}(?:\s?(?:{_DOT}|\.)\s?{_LABEL}){{0,10}}?\s?{_DOT}|[\[(]at[\])]\s?{_LABEL}\.[A-Za-z0-9])", re.I)
+HOST = re.compile(rf"[\[(]at[\])]\s?(?:{_LABEL}\.)+[A-Za-z0-9]", re.I)
+NUMBER = re.compile("[0-9]+")
 WORD_AT, WORD_DOT = re.compile(r"[\[(]?at[\])]?$", re.I), re.compile(r"dot", re.I)
-MAYBE = re.compile(r"dot|[0-9]", re.I)
+MAYBE = re.compile(r"dot|[0-9]|[\[(]at[\])]", re.I)
+
+
+def _fours(text: str, lo: int, hi: int):
+    """(start, end) of each four successive numbers of at most three digits that one segment can hold."""
+    near: list[tuple[int, int, int]] = []  # start, end, tokens between it and the number before
+    for m in NUMBER.finditer(text, lo, hi):
+        if m.end() - m.start() > 3:
+            near = []
+            continue
+        if near:
+            between = sum(1 for _ in islice(TOKEN.finditer(text, near[-1][1], m.start()), MAX_TOKENS - 3))
+            near = [*near[-3:], (m.start(), m.end(), between)] if between <= MAX_TOKENS - 4 else [(m.start(), m.end(), 0)]
+        else:
+            near = [(m.start(), m.end(), 0)]
+        if len(near) == 4 and sum(n for _, _, n in near[1:]) <= MAX_TOKENS - 4:
+            yield near[0][0], m.end()
 
 
 def regions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -87,8 +108,8 @@ def regions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
     lo = 0
     for s, e in [*((s, e) for s, _, e in base), (len(text), len(text))]:
         if lo < s:
-            for m in TRIGGER.finditer(text, lo, s):
-                a, z = max(lo, m.start() - AROUND), min(s, m.end() + AROUND)
+            for x, y in sorted([*(m.span() for m in TRIGGER.finditer(text, lo, s)), *_fours(text, lo, s)]):
+                a, z = max(lo, x - AROUND), min(s, y + AROUND)
                 if out and a < out[-1][1]:
                     out[-1] = (out[-1][0], max(z, out[-1][1]))
                 else:
@@ -97,6 +118,8 @@ def regions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
     return out
 
 
+#: The last dot of a host may be plain only after an "at" in brackets.
+SHAPE = re.compile(r"[A-Za-z0-9._-]+\s?(?:(?:\[at\]|\(at\)|at)\s?[A-Za-z0-9-]+(?:\s?(?:\[dot\]|\(dot\)|dot|\.)\s?[A-Za-z0-9-]+)*\s?(?:\[dot\]|\(dot\)|dot)\s?|(?:\[at\]|\(at\))\s?(?:[A-Za-z0-9-]+\.)+)[A-Za-z]{2,6}", re.I)
 GROUPS = ("3-3-4", "3-4", "4-4-4-4", "4-6-5", "1-3-3-4", "2-3-3-4", "1-3-4")
 NAMES = ("one", "tokens", "digits<7", "digits7", "digits8-9", "digits10", "digits11", "digits12", "digits13-15", "digits16", "digits17-19", "digits>19", "luhn", "ip4", "dots", "dashes", "spaces", "slashes", "colons", "brackets", "open", "plus", "at", "dot", "at and dot", "tld", "letters", "joined before", "joined after", "edge", "email shape", *GROUPS)
 
@@ -113,6 +136,7 @@ def features(tokens: list[str], i: int, j: int) -> np.ndarray | None:
     n = len(digits)
     words = [t for t in part if t.isalpha()]
     at, dot = any(w.lower() == "at" for w in words) or "@" in part, any(w.lower() == "dot" for w in words)
+    dot = dot or at and "." in part and HOST.search(text) is not None
     if n < 7 and not (at and dot) and not (len(groups) == 4 and max(map(len, groups)) <= 3):
         return None
     f = np.zeros(len(NAMES))
@@ -135,7 +159,7 @@ def features(tokens: list[str], i: int, j: int) -> np.ndarray | None:
     put("joined before", float(i > 0 and (tokens[i - 1].isalnum() or tokens[i - 1] in "-./+@_")))
     put("joined after", float(j < len(tokens) and (tokens[j].isalnum() or tokens[j] in "-/@_")))
     put("edge", float(i == 0 or j == len(tokens)))
-    put("email shape", float(re.fullmatch(r"[A-Za-z0-9._-]+\s?(?:\[at\]|\(at\)|at)\s?[A-Za-z0-9-]+(?:\s?(?:\[dot\]|\(dot\)|dot|\.)\s?[A-Za-z0-9-]+)*\s?(?:\[dot\]|\(dot\)|dot)\s?[A-Za-z]{2,6}", text, re.I) is not None))
+    put("email shape", float(SHAPE.fullmatch(text) is not None))
     shape = "-".join(str(len(g)) for g in groups)
     if shape in GROUPS and not words:
         put(shape)
@@ -220,7 +244,10 @@ def respelled(kind: int, text: str, rng: random.Random) -> str:
         user, _, host = text.partition("@")
         return user + at + host.replace(".", dot)
     if kind == 1:
-        return rng.choice(["[.]", "(.)", " . "]).join(text.split("."))
+        sign, parts = rng.choice(["[.]", "(.)", " . "]), text.split(".")
+        if rng.random() < 0.5:  # short addresses, which are rare in a corpus, are learned from long ones
+            parts = [p[: rng.randint(1, 2)] for p in parts]
+        return sign.join(parts)
     if kind == 2:
         return rng.choice([".", "/", "  "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
     local = digits[-10:].rjust(10, "2")
@@ -230,7 +257,7 @@ def respelled(kind: int, text: str, rng: random.Random) -> str:
 def distractor(rng: random.Random) -> str:
     """A number that is no personal data."""
     n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    made = rng.choice(["{0}-{1:02d}-{2:02d}", "{1:02d}/{2:02d}/{0}", "{0}-{1:02d}-{2:02d} {1:02d}:{2:02d}:{2:02d}", "{3}", "{4}", "{5},{6}.{7}", "{1}.{2}.{3}", "{0} {0} {0}", "{8}", "1. 2. 3. {1}. {2}.", "{0}, {0}, {0}", "{5},{6},{6}"])
+    made = rng.choice(["{0}-{1:02d}-{2:02d}", "{1:02d}/{2:02d}/{0}", "{0}-{1:02d}-{2:02d} {1:02d}:{2:02d}:{2:02d}", "{3}", "{4}", "{5},{6}.{7}", "{1}.{2}.{3}", "{0} {0} {0}", "{8}", "1. 2. 3. {1}. {2}.", "{0}, {0}, {0}", "{5},{6},{6}", "{1}, {2}, {1}, {2}", "{1} {2} {1} {2} {1}", "{1}-{2} {1}-{2}", "{1}. {2}. {1}. {2}."])
     long = n(rng.choice([7, 8, 9, 10, 11, 12, 13, 16, 18, 22]))
     while len(long) >= 12 and luhn(long):
         long = n(len(long))

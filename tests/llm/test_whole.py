@@ -15,3 +15,14 @@ def test_pii_beside_base_matches(found):
     assert found("call (415) 555-2671, 10.0.0.1") == [("phone", "(415) 555-2671"), ("ip", "10.0.0.1")]
     assert found("(415) 555-2671, 4111 1111 1111 1111") == [("phone", "(415) 555-2671"), ("card", "4111 1111 1111 1111")]
     assert pii.regions("1.2.3.4 x 5.6.7.8", pii.base_spans("1.2.3.4 x 5.6.7.8")) == []
+
+
+@pytest.mark.parametrize("text", ["10[.]0[.]0[.]1", "8[.]8[.]8[.]8", "bob [at] example.com", "jane at mail.example dot com"])
+def test_pii_in_short_and_mixed_spellings(found, text):
+    assert pii.regions(f"see {text} now", [])
+    assert [t for _, t in found(f"see {text} now")] == [text]
+
+
+def test_pii_of_plain_numbers(found):
+    for text in ("meet us at example.com today", "1, 2, 3, 4", "steps 1. 2. 3. 4.", "scores 1-2 3-4 5-6", "In 2 of 3 cases we saw 4 or 5 of them"):
+        assert found(text) == []
