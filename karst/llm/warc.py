@@ -10,7 +10,8 @@ Records are rows with their bytes; `write_files` puts them into a table of gzip
 `read_records` parses bytes back into rows. Every step is per page, so there is no shuffle.
 
 Cases: a null page is an empty payload; a null URL makes an empty target URI; bytes that are not valid text become
-replacement characters; unclosed tags, scripts and comments end with the page; null or repeated ids and pages make
+replacement characters; unclosed tags, scripts, styles and comments end with the page, other unclosed elements
+keep their text; null or repeated ids and pages make
 records like others (equal ones get equal ids); an empty table gives no rows; other columns are not read.
 """
 
@@ -29,7 +30,8 @@ NAMESPACE = uuid.UUID("7d0e4f3c-53a1-4c83-9d0f-6b1f9e7c2a55")
 DATE = "2000-01-01T00:00:00Z"
 RECORD = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, record binary"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template|svg)(?=[\s/>])", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "svg")}
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<(?:[a-zA-Z/!?])[^<>]*(?:>|\Z)")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
@@ -48,9 +50,40 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, chr(0).join(parts))}>"
 
 
+def _without_blocks(page: str) -> str:
+    """A page without comments, scripts, styles, templates and drawings. Unclosed comments, scripts and styles end with
+    the page; of other unclosed elements, and of an svg closed in its own tag, the tag alone goes."""
+    parts, done, at, missing = [], 0, 0, set()  # missing: what no longer occurs behind here, so each is sought once
+    while m := _OPEN.search(page, at):
+        name = (m[1] or "").lower()
+        if not name:
+            end = page.find("-->", m.end()) + 3
+            end = len(page) if end < 3 else end
+        else:
+            tag = 0 if ">" in missing else page.find(">", m.end()) + 1
+            if not tag:
+                missing.add(">")
+                at = m.end()
+                continue
+            close = None
+            if name == "svg" and page[tag - 2] == "/":
+                end = tag
+            elif name not in missing and (close := _CLOSE[name].search(page, tag)):
+                end = close.end()
+            elif name in ("script", "style"):
+                end = len(page)
+            else:
+                missing.add(name)
+                at = tag
+                continue
+        parts.append(page[done : m.start()])
+        done = at = end
+    return " ".join([*parts, page[done:]])
+
+
 def plain_text(page: str) -> str:
     """A page without markup: block elements end lines, entities are resolved, white space is folded."""
-    text = _DROP.sub(" ", page)
+    text = _without_blocks(page)
     text = _TAG.sub("", _BLOCK.sub("\n", text))
     text = _SPACES.sub(" ", html.unescape(text))
     return _LINES.sub("\n", text).strip()

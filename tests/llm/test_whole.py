@@ -2,7 +2,7 @@
 
 import pytest
 
-from karst.llm import pii
+from karst.llm import pii, warc
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +26,13 @@ def test_pii_in_short_and_mixed_spellings(found, text):
 def test_pii_of_plain_numbers(found):
     for text in ("meet us at example.com today", "1, 2, 3, 4", "steps 1. 2. 3. 4.", "scores 1-2 3-4 5-6", "In 2 of 3 cases we saw 4 or 5 of them"):
         assert found(text) == []
+
+
+def test_text_behind_custom_and_closed_tags():
+    for tag in ("<svg-icon name=x></svg-icon>", "<template-card>", "<script-loader />", "<svg width=1 />", "<svg>", "<noscript>", "<template x=1>"):
+        assert warc.plain_text(f"<p>a</p>{tag}<p>rest</p>") == "a\nrest", tag
+    for block in ("<!-- x -->", "<script >x</script >", "<STYLE>x</style>", "<svg><path/>x</svg>", "<svg\n>x</svg>", "<template>x</template>"):
+        assert warc.plain_text(f"<p>a</p>{block}<p>rest</p>") == "a\nrest", block
+    for tail in ("<!-- x", "<script>x", "<style/>x"):
+        assert warc.plain_text(f"<p>a</p>{tail}<p>rest</p>") == "a", tail
+    assert warc.plain_text("<svg>" * 20000 + "x" + "<template>" * 20000) == "x"
