@@ -31,9 +31,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group linked by five-word shingles at a similarity of 0.8: the one of the smallest id."""
-    kept = setjoin.link_components(docs, 5, 80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One document stays of each group linked by five-word shingles at a similarity of 0.8: the one of the smallest id.
+
+    Rows of one doc_id and different texts are different documents, of which the smallest text hash goes first; of rows
+    that share both, the one whose other columns come first as JSON stays. Rows with a null doc_id go.
+    """
+    scratch = Scratch(spark, "near_rows")
+    own = _wrapped(docs.where("doc_id is not null"), "doc_id", "text").withColumn("hash", F.xxhash64("text"))
+    several = own.groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least < most").select("doc_id", "least")
+    keyed = own.join(scratch.save(several, "several"), "doc_id", "left")
+    # the operator's ids: doc_id itself, and a hash of both for a doc_id's further texts
+    keyed = keyed.withColumn("id", F.when(F.col("least").isNull() | (F.col("hash") == F.col("least")), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")).cast("long"))
+    further = scratch.save(keyed.where("hash <> least").select("id", "doc_id").distinct(), "further")
+    links = setjoin.link_components(keyed.select(F.col("id").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("id"), "component_id")
+    links = links.join(further, "id", "left").withColumn("place", F.struct(F.coalesce("doc_id", "id").alias("doc_id"), (F.col("doc_id").isNotNull()).alias("further"), "id"))
+    kept = links.groupBy("component_id").agg(F.min("place").alias("place")).select("place.id")
+    others = F.to_json(F.struct(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "text")))
+    out = keyed.join(kept, "id", "left_semi").groupBy("id", "text").agg(F.min_by("row", others).alias("row"))
+    return out.select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

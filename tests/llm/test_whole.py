@@ -1,7 +1,9 @@
 """Cases in which the corpus operators once did less than the whole job."""
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from karst.llm import pii, warc
 
 
@@ -36,3 +38,14 @@ def test_text_behind_custom_and_closed_tags():
     for tail in ("<!-- x", "<script>x", "<style/>x"):
         assert warc.plain_text(f"<p>a</p>{tail}<p>rest</p>") == "a", tail
     assert warc.plain_text("<svg>" * 20000 + "x" + "<template>" * 20000) == "x"
+
+
+TEXTS = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abc"}
+
+
+def test_near_duplicates_of_one_id(spark, tmp_path):
+    rows = [(1, TEXTS["a"], "x"), (1, TEXTS["a"], "w"), (1, TEXTS["b"], "x"), (2, TEXTS["b"], "x"), (3, TEXTS["c"], "x"), (3, TEXTS["a"], "x"), (-(2**40), TEXTS["c"] + " more", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    for order in (docs, docs.orderBy(F.desc("doc_id"), F.desc("text"), "hash")):
+        got = corpus_pipeline.near_duplicates(spark, order, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == sorted([(1, TEXTS["a"], "w"), (1, TEXTS["b"], "x"), (-(2**40), TEXTS["c"] + " more", "x")])
