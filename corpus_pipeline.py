@@ -20,8 +20,10 @@ def _wrapped(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or without any letter go."""
-    return langid.identify(_wrapped(docs, "doc_id", "text", "lang"), ["row"]).where("lang_pred <> 'und'").select("row.*")
+    """Documents whose language can be told; those without text or without any letter go, whether there is a model or not."""
+    out = langid.identify(_wrapped(docs, "doc_id", "text", "lang"), ["row"])
+    # without any usable label there is no model and all is 'und', which says nothing about a text
+    return out.where((F.col("lang_pred") != "und") | F.col("row").getField("text").rlike("\\p{L}")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

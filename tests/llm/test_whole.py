@@ -49,3 +49,8 @@ def test_near_duplicates_of_one_id(spark, tmp_path):
     for order in (docs, docs.orderBy(F.desc("doc_id"), F.desc("text"), "hash")):
         got = corpus_pipeline.near_duplicates(spark, order, str(tmp_path)).collect()
         assert sorted(map(tuple, got)) == sorted([(1, TEXTS["a"], "w"), (1, TEXTS["b"], "x"), (-(2**40), TEXTS["c"] + " more", "x")])
+
+
+def test_documents_without_labels_stay(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "words", None), (2, "12 !", None), (3, None, None), (4, "\u65e5", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()} == {1, 4}
