@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -18,6 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def rounds_of(first: int, last: int | None):
+    """The numbers of a loop's rounds; without end where last is None, for each round that goes on reaches new nodes."""
+    return itertools.count(first) if last is None else range(first, last + 1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut a loop's lineage with a written table, which survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
@@ -35,12 +41,12 @@ def neighbors(edges: DataFrame, seeds: DataFrame, direction: str = "out", edge_t
     return (out if direction == "out" else back if direction == "in" else out.union(back)).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int = 1000) -> DataFrame:
-    """(node, distance, parent) of what the seeds reach within so many hops: the nearest, then the smallest parent."""
+def reach(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
+    """(node, distance, parent) of what the seeds reach within so many hops (None: all): the nearest, then the smallest parent."""
     edges = edges.select("from_key", "to_key").distinct()
     seen = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")))
     frontier = seen
-    for hop in range(1, hops + 1):
+    for hop in rounds_of(1, hops):
         step = edges.join(frontier.select(F.col("node").alias("from_key")), "from_key")
         step = step.groupBy(F.col("to_key").alias("node")).agg(F.min(F.col("from_key").cast("string")).alias("parent"))
         frontier = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("distance"), "parent"))
@@ -50,17 +56,17 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int = 1000) -> DataFrame:
     return seen
 
 
-def blast_radius(edges: DataFrame, seeds: DataFrame, hops: int = 1000) -> DataFrame:
+def blast_radius(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
     """Everything that reaches the seeds, against the arrows."""
     return reach(edges.select(F.col("to_key").alias("from_key"), F.col("from_key").alias("to_key")), seeds, hops)
 
 
-def reachable(calls: DataFrame, entries: DataFrame, rounds: int = 1000) -> DataFrame:
+def reachable(calls: DataFrame, entries: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, level, parent, certain): the parent of the smallest (uncertain, name) of the level before."""
     calls = calls.groupBy("from_key", "to_key").agg(F.bool_or("certain").alias("certain"))
     seen = cut(entries.select("node").distinct().select("node", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("certain")))
     frontier = seen
-    for level in range(1, rounds + 1):
+    for level in rounds_of(1, rounds):
         step = calls.join(frontier.select(F.col("node").alias("from_key")), "from_key")
         best = F.min(F.struct((~F.col("certain")).alias("u"), F.col("from_key").alias("p")))
         step = step.groupBy(F.col("to_key").alias("node")).agg(best.alias("b"))
@@ -69,15 +75,17 @@ def reachable(calls: DataFrame, entries: DataFrame, rounds: int = 1000) -> DataF
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError("rounds ended before the nodes did")
     return seen
 
 
-def shortest_chain(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
+def shortest_chain(edges: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, distance, chain): the shortest chain from a root, ties by the names along it."""
     edges = edges.select("from_key", "to_key").distinct()
     seen = cut(roots.select("node").distinct().select("node", F.lit(0).alias("distance"), F.array(F.col("node").cast("string")).alias("chain")))
     frontier = seen
-    for hop in range(1, rounds + 1):
+    for hop in rounds_of(1, rounds):
         step = edges.join(frontier.select(F.col("node").alias("from_key"), "chain"), "from_key")
         step = step.groupBy(F.col("to_key").alias("node")).agg(F.min("chain").alias("c"))
         new = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("distance"), F.concat("c", F.array(F.col("node").cast("string"))).alias("chain"))
@@ -85,6 +93,8 @@ def shortest_chain(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> Data
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError("rounds ended before the nodes did")
     return seen
 
 
@@ -132,19 +142,22 @@ def running_state(df: DataFrame, key: str, running: DataFrame, recorded: DataFra
     return df.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-def waves(reads: DataFrame, rounds: int = 64) -> DataFrame:
+def waves(reads: DataFrame, rounds: int | None = None) -> DataFrame:
     """(job, wave): 1 for a job that reads no other, else 1 + the highest of those it reads; null on or behind a cycle."""
     jobs = reads.select(F.col("job").alias("j")).union(reads.select(F.col("reads").alias("j"))).distinct().withColumnRenamed("j", "job")
     left = cut(reads.select("job", "reads").distinct())
-    done = cut(jobs.join(left, "job", "left_anti").select("job", F.lit(1).alias("wave")))
+    known = jobs.where("job is not null")
+    done = cut(known.join(left, "job", "left_anti").select("job", F.lit(1).alias("wave")))
     ready = done
-    for wave in range(2, rounds + 1):
+    for wave in rounds_of(2, rounds):
         left = cut(left.join(ready.select(F.col("job").alias("reads")), "reads", "left_anti").select("job", "reads"))
-        new = jobs.join(done.select("job"), "job", "left_anti").join(left, "job", "left_anti").select("job", F.lit(wave).alias("wave"))
+        new = known.join(done.select("job"), "job", "left_anti").join(left, "job", "left_anti").select("job", F.lit(wave).alias("wave"))
         ready = cut(new)
         if ready.isEmpty():
             break
         done = done.unionByName(ready)
+    else:
+        raise RuntimeError("rounds ended before the nodes did")
     return jobs.join(done, "job", "left")
 
 
