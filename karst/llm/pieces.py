@@ -7,17 +7,22 @@ before, exit state e that the last piece reaches e characters into the next chun
 between them. Matrices multiply in (max, +), which is associative: first in blocks of FAN chunks, then over the
 blocks of a document; the products fix every chunk's entry and exit state, and each chunk is then traced back alone.
 
+The numbers are complex: the real part adds up scores, held as multiples of 2**-16 so that the order of adding does not
+matter; the imaginary part adds up a tie number of each piece, fixed by its place in its word and its length. Complex
+numbers compare by their real parts first, so ties are settled alike wherever a text is cut.
+
 White space begins a piece and never lies after another character within one, so the lattice falls into words there;
 each distinct word is solved once per worker, many at a time in numpy, and only the words at a chunk's ends need the
 matrix. A vocabulary with pieces across words is refused.
 
 Cases: null and empty texts give no ids; characters of no piece become byte pieces; a U+2581 in a text decodes to a
-space; equal scores take the longer last piece, and across chunks the smaller overhang; null or repeated ids and rows
+space; equal scores take the larger sum of tie numbers, so ids do not depend on CHUNK; null or repeated ids and rows
 are encoded like others; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -42,7 +47,7 @@ class Model:
         n = sp.get_piece_size()
         self.bytes = {sp.id_to_piece(i): i for i in range(n) if sp.is_byte(i)}
         self.byte_ids = np.array([self.bytes.get(f"<0x{b:02X}>", sp.unk_id()) for b in range(256)])
-        kept = [(sp.id_to_piece(i), sp.get_score(i), i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        kept = [(sp.id_to_piece(i), round(sp.get_score(i) * 65536) / 65536, i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         if any(b == chr(SPACE) and a != chr(SPACE) for p, _, _ in kept for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece of this model reaches over white space")
         self.longest = max(len(p) for p, _, _ in kept)
@@ -107,6 +112,16 @@ class Model:
         scores[alone, 0] = self.unknown
         return ids, scores
 
+    def weights(self, scores: np.ndarray, start: int = 0) -> np.ndarray:
+        """Scores of candidates (ends x lengths) with their tie numbers; the stretch begins at character `start` of its word."""
+        n, length = scores.shape
+        place = (start + np.arange(n)[:, None] - np.arange(length)).astype(np.uint64)
+        return scores + 1j * self._ties(place, np.arange(length, dtype=np.uint64))
+
+    @staticmethod
+    def _ties(place: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (mix(place * np.uint64(64) + length + np.uint64(1)) >> np.uint64(44)).astype(float)
+
     def spell(self, chars: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Ids with unknown characters (-1) as byte pieces."""
         if (ids >= 0).all():
@@ -116,22 +131,35 @@ class Model:
             out += [i] if i >= 0 else self.byte_ids[np.frombuffer(chr(chars[e - 1]).encode("utf-8", "replace"), np.uint8)].tolist()
         return np.array(out, np.uint32)
 
-    def best(self, chars: np.ndarray, start: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of one stretch: scores to every end from each start, and back pointers (as piece lengths) and ids.
+    def forward(self, scores: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        """Best scores (positions x entries) of reaching each position of one stretch; no piece begins at or after size.
 
-        start: entry scores of the first positions. Returns (values, lengths, ids, scores of ends)."""
-        n = len(chars)
-        ids, scores = self.candidates(chars, self.longest)
-        value = np.full(n + 1, NONE)
+        scores: of the candidates, ends x lengths; start: entry scores of the first positions, positions x entries."""
+        n, longest = len(scores), self.longest
+        value = np.full((n + 1, start.shape[1]), NONE, complex)
         value[: len(start)] = start[: n + 1]
-        back = np.zeros(n + 1, np.int32)
+        for i in range(1, min(n, size) + 1):
+            k = min(i, longest)
+            value[i] = np.maximum(value[i], (value[i - k : i][::-1] + scores[i - 1, :k, None]).max(0))
+        for i in range(size + 1, n + 1):
+            lo = max(0, i - longest)
+            if lo < size:
+                value[i] = np.maximum(value[i], (value[lo:size][::-1] + scores[i - 1, i - size : i - lo, None]).max(0))
+        return value
+
+    def best(self, scores: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Like forward from position 0: scores, and back pointers as piece lengths."""
+        n, longest = len(scores), self.longest
+        value, back = np.full(n + 1, NONE, complex), np.zeros(n + 1, np.int64)
+        value[0] = 0
         for i in range(1, n + 1):
-            k = min(i, self.longest)
-            total = value[i - k : i][::-1] + scores[i - 1, :k]
-            j = k - 1 - int(np.argmax(total[::-1]))  # of equal ones the longest
-            if total[j] > value[i]:
-                value[i], back[i] = total[j], j + 1
-        return value, back, ids, value[ends]
+            k, least = min(i, longest), max(0, i - size)  # at least `least` + 1 characters, to begin before size
+            total = (value[i - k : i - least][::-1] + scores[i - 1, least:k])[::-1]
+            if len(total):
+                j = int(np.argmax(total))
+                if total[j].real > NONE / 2:
+                    value[i], back[i] = total[j], k - j
+        return value, back
 
     def trace(self, chars, back, ids, end: int) -> tuple[np.ndarray, int]:
         """Ids from the back pointers, and where the first one begins."""
@@ -150,17 +178,13 @@ class Model:
 
 
 class Words(PieceMemo):
-    """Distinct words -> ids and score; words of one length are solved together."""
+    """Distinct words -> ids; words of one length are solved together."""
 
     def __init__(self, path: str):
         self.model = Model(path)
         super().__init__()
         self.up = self.down = np.zeros(0, np.uint64)
 
-    def clear(self):
-        super().clear()
-        self.score = np.zeros(0)
-
     def flags(self, chars):
         out = np.zeros(len(chars), bool)
         out[1:] = (chars[1:] == SPACE) & (chars[:-1] != SPACE)
@@ -177,10 +201,10 @@ class Words(PieceMemo):
         return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
     def solve(self, chars, starts, ends):
-        """(ids, sizes, scores) of words given by bounds; words of like length are solved together, up to 64 characters."""
+        """(ids, sizes) of words given by bounds; words of like length are solved together, up to 64 characters."""
         m, model = len(starts), self.model
         size = ends - starts
-        score, sizes, firsts = np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        sizes, firsts = np.zeros(m, np.int64), np.zeros(m, np.int64)
         flats, done = [], 0
 
         def put(words, flat, n):
@@ -196,39 +220,42 @@ class Words(PieceMemo):
             step = max(256, 300_000 // high)
             for lo in range(0, len(group), step):
                 part = group[lo : lo + step]
-                score[part], flat, n = self._solve(chars, starts[part], size[part])
+                flat, n = self._solve(chars, starts[part], size[part])
                 put(part, flat, n)
         for p in np.flatnonzero(size > 64).tolist():
             own = chars[starts[p] : ends[p]]
-            value, back, ids, _ = model.best(own, np.zeros(1), np.array([len(own)]))
-            score[p] = value[-1]
+            ids, scores = model.candidates(own, model.longest)
+            _, back = model.best(model.weights(scores), len(own))
             flat = model.trace(own, back, ids, len(own))[0]
             put(np.array([p]), flat, np.array([len(flat)]))
         flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
         total = np.cumsum(sizes)
-        return flat[np.repeat(firsts - (total - sizes), sizes) + np.arange(len(flat))], sizes, score
+        return flat[np.repeat(firsts - (total - sizes), sizes) + np.arange(len(flat))], sizes
 
     def _solve(self, chars, starts, size):
-        """(scores, ids, numbers of ids) of words of like length, characters down and words across."""
+        """(ids, numbers of ids) of words of like length, characters down and words across."""
         model, m, w = self.model, len(starts), int(size.max())
         longest = min(model.longest, w)
         place = np.arange(w)[:, None]
         own = np.where(place < size, chars[np.minimum(starts + place, len(chars) - 1)], 0).astype(np.uint64)
         v = mix(own + np.uint64(977))
         h = np.zeros((w, m), np.uint64)
-        # of each end, pieces from the longest to the shortest: the first of equal sums is the longest
+        # of each end, pieces from the longest to the shortest
         scores, names = np.full((w, longest, m), NONE), np.full((w, longest, m), -1, np.int32)
         for k in range(longest):
             h[k:] += v[: w - k] * (model.powers[k - 1] if k else np.uint64(1))
             i, x = model.look(mix(h[k:]).ravel())
             scores[k:, longest - 1 - k], names[k:, longest - 1 - k] = x.reshape(-1, m), i.reshape(-1, m)
         scores[:, -1][names[:, -1] < 0] = model.unknown
-        value, back, ids = np.full((w + 1, m), NONE), np.zeros((w + 1, m), np.int64), np.full((w + 1, m), -1, np.int32)
+        # the piece that ends at e and begins at s of a word has the same tie number in all words
+        size_of = np.arange(longest, 0, -1)
+        ties = 1j * model._ties((np.arange(1, w + 1)[:, None] - size_of).astype(np.uint64), (size_of - 1).astype(np.uint64))
+        value, back, ids = np.full((w + 1, m), NONE, complex), np.zeros((w + 1, m), np.int64), np.full((w + 1, m), -1, np.int32)
         value[0] = 0
         column = np.arange(m)
         for e in range(1, w + 1):
             k = min(e, longest)
-            total = value[e - k : e] + scores[e - 1, longest - k :]
+            total = value[e - k : e] + (scores[e - 1, longest - k :] + ties[e - 1, longest - k :, None])
             best = np.argmax(total, 0)
             value[e], back[e], ids[e] = total[best, column], k - best, names[e - 1, longest - k + best, column]
         at, steps, on = size.copy(), [], []
@@ -250,82 +277,72 @@ class Words(PieceMemo):
                 lists[p] = model.spell(chars[starts[p] : starts[p] + size[p]], lists[p], np.array(lengths[::-1]))
                 n[p] = len(lists[p])
             flat = np.concatenate(lists)
-        return value[size, column], flat.astype(np.uint32), n
+        return flat.astype(np.uint32), n
 
     def add(self, keys, data, starts, ends):
-        flat, sizes, score = self.solve(data, starts, ends)
-        at = np.searchsorted(self.keys, keys)
-        self.score = np.insert(self.score, at, score)
-        self.insert(keys, flat, sizes)
-
-    def scores(self, chars, starts, ends) -> np.ndarray:
-        at = self.find_all(self.hash(chars, starts, ends), chars, starts, ends)
-        return self.score[at]
+        self.insert(keys, *self.solve(data, starts, ends))
 
     # ------------------------------------------------ chunks
 
-    def matrix(self, chars: np.ndarray, size: int) -> np.ndarray:
-        """The transfer matrix of chars[:size]; what follows is the look-ahead of longest - 1 characters at most."""
+    def _edges(self, chunks: list[np.ndarray], sizes: list[int]):
+        """Of each chunk, the first and the last place before `size` where a word begins (both None if there is none)."""
+        for chars, size in zip(chunks, sizes, strict=True):
+            cuts = np.flatnonzero(self.flags(chars)[:size])
+            yield (int(cuts[0]), int(cuts[-1])) if len(cuts) else (None, None)
+
+    @staticmethod
+    def _begins(chars: np.ndarray, at: int) -> bool:
+        """Whether a word begins at a place after the first."""
+        return at > 0 and chars[at] == SPACE and chars[at - 1] != SPACE
+
+    def _looked_up(self, parts: list[np.ndarray], starts: list[int]):
+        """(ids, weights) of the candidates of each of several stretches, looked up together; starts: where in a word each begins."""
+        model = self.model
+        ends = np.cumsum([0, *map(len, parts)])
+        ids, scores = model.candidates(np.concatenate(parts), model.longest) if ends[-1] else (np.zeros((0, model.longest), np.int32), np.zeros((0, model.longest)))
+        return [(ids[a:z], model.weights(scores[a:z], s)) for a, z, s in zip(ends[:-1].tolist(), ends[1:].tolist(), starts, strict=True)]
+
+    def matrices(self, chunks: list[np.ndarray], sizes: list[int], behind: list[int]) -> list[np.ndarray]:
+        """The transfer matrices of chunks, chars[:size] of each; what follows is the look-ahead of longest - 1 characters at most.
+
+        behind: how many characters before each chunk the word at its start begins. Every path crosses the same whole words of a chunk, whose score is one constant of the matrix and is left out:
+        which path is best does not depend on it."""
         k = self.model.longest
-        out = np.full((k, k), NONE)
-        cuts = np.flatnonzero(self.flags(chars)[:size])
-        ahead = len(chars) - size
-        if not len(cuts):
-            for s in range(min(k, size + ahead + 1)):
-                start = np.full(s + 1, NONE)
-                start[s] = 0
-                value = self._crossing(chars, start, size)[0]
-                out[s, : ahead + 1] = value[size:]
-            return out
-        first, last = cuts[0], cuts[-1]
-        middle = np.append(cuts[:-1], []).astype(np.int64)
-        total = self.scores(chars, middle, cuts[1:]).sum() if len(middle) else 0.0
-        tail = self._crossing(chars[last:], np.zeros(1), size - last)[0]
-        for s in range(min(k, first + 1)):
-            start = np.full(s + 1, NONE)
-            start[s] = 0
-            head = self.model.best(chars[:first], start, np.array([first]))[0][first] if first else 0.0
-            out[s, : ahead + 1] = head + total + tail[size - last :]
-        return out
-
-    def _crossing(self, chars, start, size):
-        """Like best, but no piece begins at or after size: only pieces begun before it may reach beyond."""
-        value, back, ids, _ = self.model.best(chars[:size], start, np.array([size]))
-        n = len(chars)
-        if n > size:
-            full, scores = self.model.candidates(chars, self.model.longest)
-            wide = np.full(n + 1, NONE)
-            wide[: size + 1] = value
-            if len(start) > size + 1:
-                wide[size + 1 : len(start)] = start[size + 1 :]
-            more = np.zeros(n + 1, np.int32)
-            more[: size + 1] = back
-            for i in range(size + 1, n + 1):
-                for k in range(min(i, self.model.longest), i - size, -1):
-                    if full[i - 1, k - 1] >= 0 and wide[i - k] + scores[i - 1, k - 1] > wide[i]:
-                        wide[i], more[i] = wide[i - k] + scores[i - 1, k - 1], k
-            value, back, ids = wide, more, full
-        return value, back, ids
-
-    def chunk_ids(self, chars: np.ndarray, size: int, entry: int, leave: int) -> np.ndarray:
-        """The ids that begin in chars[entry:size], given where they must end."""
-        cuts = np.flatnonzero(self.flags(chars)[:size])
-        cuts = cuts[cuts >= entry]
-        start = np.full(entry + 1, NONE)
-        start[entry] = 0
-        if not len(cuts):
-            value, back, ids = self._crossing(chars, start, size)
-            return self.model.trace(chars, back, ids, size + leave)[0]
-        first, last = cuts[0], cuts[-1]
-        head = np.zeros(0, np.uint32)
-        if first > entry:
-            own = chars[entry:first]
-            _, back, ids, _ = self.model.best(own, np.zeros(1), np.array([len(own)]))
-            head = self.model.trace(own, back, ids, len(own))[0]
-        middle = self.run(chars[first:last], np.array([0, last - first]))[0] if last > first else np.zeros(0, np.uint32)
-        own = chars[last:]
-        _, back, ids = self._crossing(own, np.zeros(1), size - last)
-        return np.concatenate((head, middle, self.model.trace(own, back, ids, size - last + leave)[0]))
+        edges = list(self._edges(chunks, sizes))
+        texts = [x for chars, (first, last) in zip(chunks, edges, strict=True) for x in ((chars[:0], chars) if first is None else (chars[:first], chars[last:]))]
+        parts = self._looked_up(texts, [x for b, (first, _) in zip(behind, edges, strict=True) for x in (b, b if first is None else 0)])
+        made = []
+        for i, (chars, size, (first, last)) in enumerate(zip(chunks, sizes, edges, strict=True)):
+            own = np.full((k, k), NONE, complex)
+            width = len(chars) - size + 1
+            if first is None:
+                own[:, :width] = self.model.forward(parts[2 * i + 1][1], np.where(np.eye(k) > 0, 0.0, NONE), size)[size:].T
+            else:
+                head = self.model.forward(parts[2 * i][1], np.where(np.eye(k) > 0, 0.0, NONE)[: first + 1], first)[first]
+                tail = self.model.forward(parts[2 * i + 1][1], np.zeros((1, 1)), size - last)[size - last :, 0]
+                own[:, :width] = head[:, None] + tail
+            made.append(np.maximum(own, NONE))
+        return made
+
+    def chunk_ids(self, chunks: list[np.ndarray], sizes: list[int], behind: list[int], entries: list[int], leaves: list[int]) -> list[np.ndarray]:
+        """The ids that begin in chars[entry:size] of each chunk, given where they must end: size + leave."""
+        model, bounds = self.model, []
+        for chars, size, entry in zip(chunks, sizes, entries, strict=True):
+            cuts = np.flatnonzero(self.flags(chars)[:size])
+            cuts = cuts[cuts >= entry]
+            bounds.append((int(cuts[0]), int(cuts[-1])) if len(cuts) else (entry, entry))
+        middles = [chars[first:last] for chars, (first, last) in zip(chunks, bounds, strict=True)]
+        flat, at = self.run(np.concatenate(middles), np.cumsum([0, *map(len, middles)]))
+        ends = [chars[: size + leave] for chars, size, leave in zip(chunks, sizes, leaves, strict=True)]
+        parts = [x for chars, entry, (first, last) in zip(ends, entries, bounds, strict=True) for x in (chars[entry:first], chars[last:])]
+        starts = [x for chars, b, entry, (first, last) in zip(chunks, behind, entries, bounds, strict=True) for x in (b + entry, b + entry if first == last == entry and not self._begins(chars, entry) else 0)]
+        looked, made = self._looked_up(parts, starts), []
+        for i, (size, (first, last)) in enumerate(zip(sizes, bounds, strict=True)):
+            own = []
+            for part, (ids, scores), limit in ((parts[2 * i], looked[2 * i], first), (parts[2 * i + 1], looked[2 * i + 1], size - last)):
+                own.append(model.trace(part, model.best(scores, min(limit, len(part)))[1], ids, len(part))[0])
+            made.append(np.concatenate((own[0], flat[at[i] : at[i + 1]], own[1])))
+        return made
 
 
 _words: dict[str, Words] = {}
@@ -350,7 +367,7 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def chain(matrices: list[np.ndarray], entry: int, leave: int) -> list[tuple[int, int]]:
     """(entry, exit) states of each chunk of a run with known ends; of equal ones the smaller overhang."""
     k = len(matrices[0]) if matrices else 0
-    reach = [np.where(np.arange(k) == entry, 0.0, NONE)]
+    reach = [np.where(np.arange(k) == entry, 0.0, NONE).astype(complex)]
     for m in matrices:
         reach.append((reach[-1][:, None] + m).max(0))
     states, out = leave, []
@@ -395,7 +412,9 @@ def _rows(names, chunk, chunks, own, expected, model, first):
 
 
 def _split(docs: DataFrame, longest: int, chunk: int) -> DataFrame:
-    """Long texts -> (key, doc_id, chunk, n_chunks, size, text): chunks with the look-ahead that pieces begun in them need."""
+    """Long texts -> (key, doc_id, chunk, n_chunks, size, behind, text): chunks with the look-ahead that pieces begun in them
+    need, and how many characters before each the word at its start begins."""
+    begins = re.compile(f"(?<!{chr(SPACE)}){chr(SPACE)}")
 
     def run(batches):
         import pyarrow as pa
@@ -406,12 +425,18 @@ def _split(docs: DataFrame, longest: int, chunk: int) -> DataFrame:
                 n = -(-len(text) // chunk)
                 if n > 1 and len(text) - (n - 1) * chunk < longest:
                     n -= 1  # no chunk shorter than a piece
+                word = 0
                 for lo in range(0, n, 64):
-                    parts = [(i, len(text[i * chunk : (i + 1) * chunk if i < n - 1 else None]), text[i * chunk : (i + 1) * chunk + longest - 1 if i < n - 1 else None]) for i in range(lo, min(n, lo + 64))]
+                    parts = []
+                    for i in range(lo, min(n, lo + 64)):
+                        for m in begins.finditer(text, max(0, (i - 1) * chunk + 1), i * chunk + 1):
+                            word = m.start()
+                        end = (i + 1) * chunk if i < n - 1 else len(text)
+                        parts.append((i, end - i * chunk, text[i * chunk : end + longest - 1], i * chunk - word))
                     m = len(parts)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * m, pa.int64()), pa.array([name] * m, pa.int64()), *(pa.array(x, t) for x, t in (([p[0] for p in parts], pa.int32()), ([n] * m, pa.int32()), ([p[1] for p in parts], pa.int32()), ([p[2] for p in parts], pa.string())))], ["key", "doc_id", "chunk", "n_chunks", "size", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * m, pa.int64()), pa.array([name] * m, pa.int64()), *(pa.array(x, t) for x, t in (([p[0] for p in parts], pa.int32()), ([n] * m, pa.int32()), ([p[1] for p in parts], pa.int32()), ([p[3] for p in parts], pa.int64()), ([p[2] for p in parts], pa.string())))], ["key", "doc_id", "chunk", "n_chunks", "size", "behind", "text"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, chunk int, n_chunks int, size int, text string")
+    return docs.mapInArrow(run, "key long, doc_id long, chunk int, n_chunks int, size int, behind long, text string")
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
@@ -434,13 +459,13 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, with_ids: bool = Fals
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                made = [memo.matrix(_chars(t), n).tobytes() for n, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                made = [m.tobytes() for m in memo.matrices([_chars(t) for t in part.column(4).to_pylist()], part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["key", "chunk", "matrix"])
 
-    moves = scratch.save(spread.select("key", "chunk", "size", "text").mapInArrow(matrices, "key long, chunk int, matrix binary"), "moves").withColumn("block", F.expr(f"cast(chunk div {FAN} as int)"))
+    moves = scratch.save(spread.select("key", "chunk", "size", "behind", "text").mapInArrow(matrices, "key long, chunk int, matrix binary"), "moves").withColumn("block", F.expr(f"cast(chunk div {FAN} as int)"))
 
     def square(raw):
-        return np.frombuffer(raw, float).reshape(longest, longest)
+        return np.frombuffer(raw, complex).reshape(longest, longest)
 
     def multiply(group):
         import pyarrow as pa
@@ -476,11 +501,11 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, with_ids: bool = Fals
                 part = batch.slice(lo, 64)
                 c = {n: x.to_pylist() for n, x in zip(part.schema.names, part.columns, strict=True)}
                 chars = [_chars(t) for t in c["text"]]
-                own = [memo.chunk_ids(x, n, s, e) for x, n, s, e in zip(chars, c["size"], c["entry"], c["leave"], strict=True)]
+                own = memo.chunk_ids(chars, c["size"], c["behind"], c["entry"], c["leave"])
                 expected = [t[s : n + e].replace(chr(SPACE), " ")[k == 0 :] for t, n, s, e, k in zip(c["text"], c["size"], c["entry"], c["leave"], c["chunk"], strict=True)]
                 yield _rows(part.column("doc_id"), c["chunk"], c["n_chunks"], own, expected, memo.model, [k == 0 for k in c["chunk"]])
 
-    long = chunks.join(states, ["key", "chunk"]).select("doc_id", "chunk", "n_chunks", "size", "text", "entry", "leave").mapInArrow(back, short.schema)
+    long = chunks.join(states, ["key", "chunk"]).select("doc_id", "chunk", "n_chunks", "size", "behind", "text", "entry", "leave").mapInArrow(back, short.schema)
     out = short.union(long)
     return out if with_ids else out.drop("ids")
 

@@ -3,11 +3,12 @@
 The pre-tokenizer of such a file splits a text before each white-space run that follows something else, and between
 an ASCII letter or digit and ASCII punctuation. Pieces cut there encode on their own, so every distinct piece is
 encoded once per worker by the `tokenizers` library and the ids of a text are gathered from a table. A text that
-holds a special token's string is encoded whole.
+holds a special token's string is encoded whole, and so is every text where the file states another pre-tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -51,40 +52,81 @@ def cuts(b: np.ndarray) -> np.ndarray:
 
 
 class PieceMemo:
-    """Piece hash -> ids, of one worker. Subclasses say where texts may be cut (flags), hash spans, and encode new pieces (add)."""
+    """Piece hash -> ids, of one worker, in an open hash table. Subclasses say where texts may be cut (flags), hash spans, and encode new pieces (add).
+
+    A piece is known by its 64-bit hash; its bytes are not kept."""
 
     def __init__(self):
         self.clear()
 
     def clear(self):
-        self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.count = self.used = 0
+        self.first, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32)
+        self._table(13)
+
+    def _table(self, bits: int) -> None:
+        self.bits = bits
+        self.key, self.slot = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _room(self, name: str, n: int) -> None:
+        """Make an array at least n long, at twice its length or more, so that growing costs little."""
+        own = getattr(self, name)
+        if len(own) < n:
+            setattr(self, name, np.concatenate((own, np.zeros(max(n, 2 * len(own)) - len(own), own.dtype))))
+
+    def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Put distinct keys into the table."""
+        at, mask = (keys >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.key[at[left]] == 0]
+            self.key[at[free]] = keys[free]  # of several for one place the last stays
+            won = free[self.key[at[free]] == keys[free]]
+            self.slot[at[won]] = numbers[won]
+            left = left[self.key[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & mask
 
     def insert(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
-        first = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate((self.flat, flat))
-        at = np.searchsorted(self.keys, keys)  # both are sorted
-        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
-
-    def _find(self, keys):
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return at, (self.keys[at] == keys) if len(self.keys) else np.zeros(len(keys), bool)
+        """Remember the ids (flat, so many each) of distinct new keys."""
+        n, end = self.count + len(keys), self.used + len(flat)
+        for name, m in (("first", n), ("size", n), ("flat", end)):
+            self._room(name, m)
+        self.flat[self.used : end] = flat
+        self.first[self.count : n], self.size[self.count : n] = self.used + np.cumsum(size) - size, size
+        if 2 * n > len(self.key):
+            old, numbers = self.key, self.slot
+            self._table(max(self.bits + 1, (2 * n).bit_length()))
+            self._place(old[old != 0], numbers[old != 0])
+        self._place(keys, np.arange(self.count, n, dtype=np.int32))
+        self.count, self.used = n, end
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of keys, -1 for unknown ones."""
+        at, mask = (keys >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        there = self.key[at]
+        out = np.where(there == keys, self.slot[at], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & mask
+            there = self.key[at[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.slot[at[left[hit]]]
+            left = left[~hit & (there != 0)]
+        return out
 
     def find_all(self, hashes, data, starts, ends):
         """Where the memo has each piece; new ones are encoded first."""
-        keys, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at, there = self._find(keys)
-        if not there.all():
-            if len(self.keys) > MEMO_PIECES:
+        hashes = np.maximum(hashes, np.uint64(1))  # zero marks free places
+        at = self._find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if self.count > MEMO_PIECES:
                 self.clear()
-                there[:] = False
-            new = np.flatnonzero(~there)
-            self.add(keys[new], data, starts[one[new]], ends[one[new]])
-            at, there = self._find(keys)
-        return at[inverse]
+                new = np.arange(len(hashes))
+            keys, one = np.unique(hashes[new], return_index=True)
+            self.add(keys, data, starts[new[one]], ends[new[one]])
+            at[new] = self._find(hashes[new])
+        return at
 
     def run(self, data, offsets) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of one block, and where each row's ids start."""
@@ -96,7 +138,7 @@ class PieceMemo:
         starts = np.flatnonzero(flags)
         ends = np.concatenate((starts[1:], [len(data)]))
         at = self.find_all(self.hash(data, starts, ends), data, starts, ends)
-        first, size = self.first[at], self.size[at]
+        first, size = self.first[at], self.size[at].astype(np.int64)
         total = np.cumsum(size)
         ids = self.flat[np.repeat(first - (total - size), size) + np.arange(total[-1])]
         total = np.concatenate(([0], total))
@@ -111,6 +153,11 @@ class Memo(PieceMemo):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            known = json.load(file)
+        before = known.get("pre_tokenizer") or {}
+        # of another pre-tokenizer, or after a normaliser, pieces need not encode on their own
+        self.whole = bool(known.get("normalizer")) or before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.hash = SpanHash(20_011)
         super().__init__()
@@ -128,11 +175,12 @@ class Memo(PieceMemo):
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of one block, and where each row's ids start; rows with a special token's string go whole."""
-        if self.special and any(s in (raw := data.tobytes()) for s in self.special):
+        raw = data.tobytes() if self.whole or self.special else b""
+        if self.whole or any(s in raw for s in self.special):
             parts = []
             for i in range(len(offsets) - 1):
                 row = raw[offsets[i] : offsets[i + 1]]
-                if any(s in row for s in self.special):
+                if self.whole or any(s in row for s in self.special):
                     parts.append(np.array(self._encode([row.decode("utf-8", "replace")])[0], np.uint32))
                 else:
                     parts.append(self.run(data[offsets[i] : offsets[i + 1]], np.array([0, len(row)]))[0])
