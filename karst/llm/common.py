@@ -11,19 +11,33 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step handles at once; bounds a Python worker's memory.
 BLOCK_BYTES = 1 << 19
+#: Bytes of one Arrow batch between Spark and a Python worker; Spark's own bound of 64 MB is held several times over by both.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets
+    a folder of its own; on a cluster a local folder would lose data, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-karst-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on this session's Arrow batches hold about BATCH_BYTES at most."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 class Scratch:
-    """Tables written in the shared folder to cut lineage; `drop` deletes those that no later step reads."""
+    """Tables written in the shared folder to cut lineage; `drop` deletes those that no later step reads, and the driver's
+    end those that are left."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -32,7 +46,9 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        small_batches(df).write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
         return self.load(name, df.schema)
 
     def load(self, name: str, schema=None) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8_blocks
+from .common import small_batches, utf8_blocks
 
 SAMPLE, BITS, FIT_STEPS, SOFT = 400, 15, 60, 1.0
 WIDTH = 2 << BITS
@@ -73,7 +73,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(lang, feature, count) lists of documents (lang, text); as long as the features at most."""
+    """(lang, features as 16-bit numbers, counts as 32-bit numbers) of documents (lang, text); as long as the features at most."""
 
     def run(batches):
         import pyarrow as pa
@@ -82,28 +82,45 @@ def profiles(docs: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in utf8_blocks(batch.column(1)):
                 grams, at, _ = ngrams(data, offsets)
                 own = [np.unique(grams[at[i] : at[i + 1]], return_counts=True) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tolist() for x, _ in own], pa.list_(pa.int32())), pa.array([c.tolist() for _, c in own], pa.list_(pa.int32()))], ["lang", "feature", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.astype("<u2").tobytes() for x, _ in own], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in own], pa.binary())], ["lang", "feature", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, feature array<int>, n array<int>")
+    return small_batches(docs).select("lang", "text").mapInArrow(run, "lang string, feature binary, n binary")
 
 
 class Rows:
-    """Sparse rows of unit length."""
-
-    def __init__(self, features, counts):
-        size = np.array([len(f) for f in features])
-        self.ends = np.concatenate(([0], np.cumsum(size)))
-        self.feature = np.concatenate(features).astype(np.int32) if len(features) else np.zeros(0, np.int32)
-        value = np.concatenate(counts).astype(np.float32) if len(counts) else np.zeros(0, np.float32)
-        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        norm = np.sqrt(np.bincount(self.owner, value * value, len(size)))
-        self.value = value / np.maximum(norm[self.owner], 1e-12).astype(np.float32)
+    """Sparse rows of unit length, worked on a few at a time."""
+
+    def __init__(self, features: list[bytes], counts: list[bytes]):
+        self.ends = np.cumsum([0, *(len(f) // 2 for f in features)])
+        self.feature = np.frombuffer(b"".join(features), "<u2")
+        self.value = np.frombuffer(b"".join(counts), "<u4").astype(np.float32)
+        n = len(self.ends) - 1
+        # runs of rows of about 200,000 features
+        self.runs = [0]
+        while self.runs[-1] < n:
+            self.runs.append(max(self.runs[-1] + 1, int(np.searchsorted(self.ends, self.ends[self.runs[-1]] + 200_000, "right")) - 1))
+        for lo, hi, at in self._parts():
+            own = self.value[self.ends[lo] : self.ends[hi]]
+            own /= np.repeat(np.sqrt(np.add.reduceat(own * own, at)), np.diff(self.ends[lo : hi + 1])).astype(np.float32)
+        self.total = self._each(lambda own, _: own)
+
+    def _parts(self):
+        for lo, hi in zip(self.runs[:-1], self.runs[1:], strict=True):
+            yield lo, hi, self.ends[lo:hi] - self.ends[lo]
+
+    def _each(self, f):
+        return np.concatenate([np.add.reduceat(f(self.value[self.ends[lo] : self.ends[hi]], self.feature[self.ends[lo] : self.ends[hi]]), at, dtype=float) for lo, hi, at in self._parts()])
 
     def dot(self, w):
-        return np.bincount(self.owner, self.value * w[self.feature], len(self.ends) - 1)
+        return self._each(lambda own, feature: own * w[feature])
 
     def back(self, r):
-        return np.bincount(self.feature, self.value * r[self.owner], WIDTH)
+        out = np.zeros(WIDTH)
+        for lo, hi, _ in self._parts():
+            if r[lo:hi].any():
+                a, z = self.ends[lo], self.ends[hi]
+                out += np.bincount(self.feature[a:z], self.value[a:z] * np.repeat(r[lo:hi], np.diff(self.ends[lo : hi + 1])), WIDTH)
+        return out
 
 
 def machine(rows: Rows, sign: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -145,14 +162,13 @@ def families_of(means: np.ndarray) -> list[list[int]]:
     return groups
 
 
-def fit(lang: list[str], features: list[np.ndarray], counts: list[np.ndarray]) -> Model | None:
-    """Fit families and machines on a bounded sample."""
-    keep = [i for i, f in enumerate(features) if len(f)]
-    if not keep:
+def fit(lang: list[str], features: list[bytes], counts: list[bytes]) -> Model | None:
+    """Fit families and machines on a bounded sample, as `profiles` writes it; every row has a feature."""
+    if not lang:
         return None
-    rows = Rows([np.asarray(features[i], np.int32) for i in keep], [np.asarray(counts[i], np.int32) for i in keep])
-    languages = sorted({lang[i] for i in keep})
-    y = np.array([languages.index(lang[i]) for i in keep])
+    rows = Rows(features, counts)
+    languages = sorted(set(lang))
+    y = np.array([languages.index(name) for name in lang])
     means = np.stack([rows.back((y == k) / max(1, (y == k).sum())) for k in range(len(languages))])
     families = families_of(np.sqrt(means))
     family = np.array([next(i for i, f in enumerate(families) if k in f) for k in range(len(languages))])[y]
@@ -162,8 +178,7 @@ def fit(lang: list[str], features: list[np.ndarray], counts: list[np.ndarray]) -
     def add(sign, use, what):
         w = machine(rows, sign, use)
         # how many times the mean weight of a text's n-grams its margin is: a slope fitted to the sample, with which the logistic gives a score
-        total = np.bincount(rows.owner, rows.value, len(y))
-        margin = sign * rows.dot(w) / np.maximum(total, 1e-12)
+        margin = sign * rows.dot(w) / np.maximum(rows.total, 1e-12)
         a = 1 / max(np.abs(margin[use]).mean(), 1e-9)
         weights.append(w)
         scales.append(3 * a)
@@ -175,7 +190,7 @@ def fit(lang: list[str], features: list[np.ndarray], counts: list[np.ndarray]) -
     for f in families:
         for a, b in combinations(f, 2):
             add(np.where(y == a, 1.0, -1.0), (y == a) | (y == b), ("pair", a, b))
-    w = np.stack(weights, 1).astype(np.float32) if weights else np.zeros((WIDTH, 0), np.float32)
+    w = np.array(weights, np.float32).reshape(-1, WIDTH)
     return Model(languages, families, w, np.array(scales), plan)
 
 
@@ -211,30 +226,31 @@ def decide(model: Model, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
     """Add lang_pred and score to the given columns of documents, from text alone."""
+    extra = [] if "text" in columns else [F.col("text").alias("_text")]
+    skip, place = len(extra), 0 if extra else columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            text = batch.column(0)
+            text = batch.column(place)
             names, scores = np.full(len(text), "und", object), np.zeros(len(text))
             if model is not None:
                 for lo, hi, data, offsets in utf8_blocks(text):
                     grams, at, some = ngrams(data, offsets)
-                    sums = np.zeros((len(grams) + 1, len(model.plan)))
+                    sums, means = np.zeros(len(grams) + 1), np.zeros((hi - lo, len(model.plan)))
                     for j in range(len(model.plan)):
-                        np.cumsum(model.weights[grams, j], out=sums[1:, j])
-                    means = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)[:, None]
+                        np.cumsum(model.weights[j][grams], out=sums[1:], dtype=float)
+                        means[:, j] = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
                     best, sure = decide(model, means)
                     ascii_letters = np.concatenate(([0], np.cumsum(LETTERS[data] - 0x61 < 26)))
                     some &= at[1:] > at[:-1]
                     for i in np.flatnonzero(some):
                         if ascii_letters[offsets[i + 1]] > ascii_letters[offsets[i]] or any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))):
                             names[lo + i], scores[lo + i] = model.languages[best[i]], sure[i]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names.tolist(), pa.string()), pa.array(scores)], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], pa.array(names.tolist(), pa.string()), pa.array(scores)], [*batch.schema.names[skip:], "lang_pred", "score"])
 
-    rows = docs.select(F.col("text").alias("_text"), *columns)
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("lang_pred", "string").add("score", "double"))
+    return small_batches(docs).select(*extra, *columns).mapInArrow(run, docs.select(*columns).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def sample(labelled: DataFrame) -> DataFrame:
@@ -251,9 +267,8 @@ def sample(labelled: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame) -> Model | None:
     """Fit a model on documents (doc_id, text, lang) of which lang is known."""
-    got = profiles(sample(labelled)).toPandas()
-    got = got.assign(key=got["feature"].map(lambda f: tuple(f[:50]))).sort_values(["lang", "key"], kind="stable")
-    return fit(got["lang"].tolist(), list(got["feature"]), list(got["n"]))
+    got = sorted(tuple(r) for r in profiles(sample(labelled)).where("length(feature) > 0").collect())  # at most SAMPLE rows a language
+    return fit(*([r[i] for r in got] for i in range(3)))
 
 
 def held_out():

@@ -10,7 +10,8 @@ A chunk that a third of all documents share is one row on one side of a join tha
 
 Cases: null texts stay null and empty ones empty; a text all of whose chunks are repeated becomes empty, its row stays;
 rows with a null doc_id take no part and stay as they are; repeated rows of one doc_id and text are treated alike;
-an empty table gives no rows; all other columns, whatever their names, are passed on by `remove`.
+different texts of one id are documents apart, of which the smaller bytes are kept where both are first; an empty
+table gives no rows; all other columns, whatever their names, are passed on by `remove`.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def _chunk(k: str) -> str:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """Adds the lines and the last line of each chunk, as _lines and _ends."""
+    """Adds the lines and the last line of each chunk, as _lines and _ends. The caller's columns are out of reach here: `_parted`."""
     return docs.withColumn("_lines", F.expr(_LINES)).withColumn("_h", F.expr(_HASH)).withColumn("_ends", F.expr(_ENDS)).drop("_h")
 
 
@@ -46,21 +47,35 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """documents (doc_id, text, ...) -> the same columns with repeated chunks taken out of text, n_chunks, n_removed."""
+    """documents (doc_id, text, ...) -> the same columns with repeated chunks taken out of text, and n_chunks, n_removed,
+    which replace columns of these names."""
+    kept = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
+    return removed(docs.select(*(F.col(f"`{c}`") for c in kept)), kept, True)
+
+
+def removed(docs: DataFrame, columns: list[str], counted: bool = False) -> DataFrame:
+    """The given columns of documents with repeated chunks taken out of text; counted adds n_chunks and n_removed."""
+    # the caller's other columns travel as one, so no name can clash
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")] if rest else []))
     own = docs.select("doc_id", "text")
     places = _places(own)
     first = places.groupBy("key").agg(F.min(F.struct("doc_id", "k")).alias("f"), F.max(F.struct("doc_id", "k")).alias("l")).where("f < l").select("key", "f")
     wanted = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("f.k").alias("k"), "key")).alias("_want"))
-    kept = chunked(own.join(wanted, "doc_id")).withColumn("w", F.explode("_want")).select("w.key", F.expr(_chunk("w.k")).alias("kept")).dropDuplicates(["key"])
+    # of several texts of one id, the chunk is the one that the key was made of
+    held = chunked(own.join(wanted, "doc_id")).withColumn("w", F.explode("_want")).where("w.k < size(_ends)").select("w.key", F.expr(_chunk("w.k")).alias("kept"))
+    held = held.where("xxhash64(kept) = key").groupBy("key").agg(F.min("kept").alias("kept"))
     others = places.join(first, "key").where("struct(doc_id, k) <> f").select("key", "doc_id", "k")
-    marks = others.join(kept, "key").groupBy("doc_id").agg(F.collect_list(F.struct("k", "kept")).alias("_marks"))
-    joined = chunked(docs.join(marks, "doc_id", "left"))
-    gone = F.expr(f"transform(filter(coalesce(_marks, array()), m -> {_chunk('m.k')} = m.kept), m -> m.k)")
+    marks = others.join(held, "key").groupBy("doc_id").agg(F.collect_list(F.struct("k", "kept")).alias("_marks"))
+    joined = chunked(packed.join(marks, "doc_id", "left"))
+    gone = F.expr(f"transform(filter(coalesce(_marks, array()), m -> m.k < size(_ends) and {_chunk('m.k')} = m.kept), m -> m.k)")
     joined = joined.withColumn("_gone", F.array_distinct(gone))
-    rest = F.expr(f"array_join(transform(array_except(sequence(0, size(_ends) - 1), _gone), k -> {_chunk('k')}), '\n')")
-    text = F.when(F.size("_gone") > 0, rest).otherwise(F.col("text"))
-    columns: list[Column] = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size("_ends")).cast("long").alias("n_chunks"), F.size("_gone").cast("long").alias("n_removed"))
+    rest_of = F.expr(f"array_join(transform(array_except(sequence(0, size(_ends) - 1), _gone), k -> {_chunk('k')}), '\n')")
+    text = F.when(F.size("_gone") > 0, rest_of).otherwise(F.col("text"))
+    out: list[Column] = [text.alias("text") if c == "text" else F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in columns]
+    if counted:
+        out += [F.when(F.col("text").isNull(), 0).otherwise(F.size("_ends")).cast("long").alias("n_chunks"), F.size("_gone").cast("long").alias("n_removed")]
+    return joined.select(*out)
 
 
 ORACLE = f"""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from karst.llm import pii, warc
+from karst.llm import linededup, pieces, pii, queries, warc
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,30 @@ def test_near_duplicates_of_one_id(spark, tmp_path):
 def test_documents_without_labels_stay(spark, tmp_path):
     docs = spark.createDataFrame([(1, "words", None), (2, "12 !", None), (3, None, None), (4, "\u65e5", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()} == {1, 4}
+
+
+def test_near_duplicates_without_ids(spark, tmp_path):
+    rows = [(None, TEXTS["a"], "x"), (None, TEXTS["b"], "x"), (None, TEXTS["b"], "w"), (7, TEXTS["a"], "x"), (None, None, "x"), (8, "  ", "x"), (9, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, further string")
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(7, TEXTS["a"], "x"), (None, TEXTS["b"], "w"), (None, None, "x"), (8, "  ", "x"), (9, "", "x")], key=repr)
+
+
+def test_lines_of_clashing_names(spark):
+    copied = "one line of words\nand a second line\nand a third one\nthe fourth line"
+    rows = [(1, copied, 5, 6, "c", 7), (2, copied, 5, 6, "c", 7), (3, "x\n" + copied, 5, 6, "c", 7), (3, "y", 5, 6, "c", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _lines int, row int, _ends string, n_removed int")
+    got = linededup.remove(docs)
+    assert got.columns == ["doc_id", "text", "_lines", "row", "_ends", "n_chunks", "n_removed"]
+    assert {tuple(r)[2:5] for r in got.collect()} == {(5, 6, "c")} and got.count() == 4
+    plain = linededup.remove(docs.select("doc_id", "text"))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted((r["doc_id"], r["text"]) for r in plain.collect())
+
+
+@pytest.mark.parametrize("text", ["ab" * 900 + " " * 70 + "xyz" * 50, "a" * 300 + " b" * 40 + "日本" * 60, "the theta of all the words " * 40])
+def test_ids_do_not_depend_on_chunks(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    made = set()
+    for chunk in (17, 40, 101, 100_000):
+        made.add(b"".join(bytes(r["ids"]) for r in sorted(pieces.encode(docs, queries.PIECES, chunk, with_ids=True).collect(), key=lambda r: r["chunk"])))
+    assert len(made) == 1 and pieces.decode(made.pop(), queries.PIECES) == text
