@@ -15,51 +15,63 @@ from karst.llm.common import Scratch
 
 
 def _wrapped(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns a stage works on, and all of a row as one, so that no name can clash with the operator's own."""
-    return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    """The columns a stage works on, and the others of a row as one, so that no name can clash with the operator's own."""
+    return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in columns)).alias("row"))
+
+
+def _unwrapped(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*(F.col(c) if c in columns else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or without any letter go, whether there is a model or not."""
-    out = langid.identify(_wrapped(docs, "doc_id", "text", "lang"), ["row"])
+    """Documents whose language can be told; those without text or without any letter go, whether there is a model or not.
+
+    Null and repeated ids are rows like others; rows with a null id or a null language are not learned from."""
+    out = langid.identify(_wrapped(docs, "doc_id", "text", "lang"), ["doc_id", "text", "lang", "row"])
     # without any usable label there is no model and all is 'und', which says nothing about a text
-    return out.where((F.col("lang_pred") != "und") | F.col("row").getField("text").rlike("\\p{L}")).select("row.*")
+    out = out.where((F.col("lang_pred") != "und") | F.col("text").rlike("\\p{L}"))
+    return _unwrapped(out, docs, "doc_id", "text", "lang")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks are taken out of all texts but the first."""
-    out = linededup.remove(_wrapped(docs, "doc_id", "text"))
-    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+    """Repeated multi-line chunks are taken out of all texts but the first. Every row stays: rows with a null id or a null
+    text as they are, repeated rows treated alike, a text that is all repeated as an empty one."""
+    return linededup.removed(docs, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group linked by five-word shingles at a similarity of 0.8: the one of the smallest id.
 
-    Rows of one doc_id and different texts are different documents, of which the smallest text hash goes first; of rows
-    that share both, the one whose other columns come first as JSON stays. Rows with a null doc_id go.
+    Rows of one doc_id and different texts are different documents, of which the smallest text hash goes first; so are rows
+    with a null doc_id and different texts, which come after all others. Of rows that share both id and text, the one whose
+    other columns come first as JSON stays. Texts without words are linked with nothing and stay.
     """
     scratch = Scratch(spark, "near_rows")
-    own = _wrapped(docs.where("doc_id is not null"), "doc_id", "text").withColumn("hash", F.xxhash64("text"))
-    several = own.groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least < most").select("doc_id", "least")
-    keyed = own.join(scratch.save(several, "several"), "doc_id", "left")
-    # the operator's ids: doc_id itself, and a hash of both for a doc_id's further texts
-    keyed = keyed.withColumn("id", F.when(F.col("least").isNull() | (F.col("hash") == F.col("least")), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")).cast("long"))
-    further = scratch.save(keyed.where("hash <> least").select("id", "doc_id").distinct(), "further")
+    keyed = _wrapped(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
+    several = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least < most").select("doc_id", "least")
+    keyed = keyed.join(scratch.save(several, "several"), "doc_id", "left")
+    # the operator's ids: doc_id itself, and a hash of id and text for what has no id of its own
+    own = F.col("doc_id").isNotNull() & (F.col("least").isNull() | (F.col("hash") == F.col("least")))
+    keyed = keyed.withColumn("further", ~own).withColumn("id", F.when(own, F.col("doc_id")).otherwise(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text")).cast("long"))
+    further = scratch.save(keyed.where("further").select("id", "doc_id", "further").distinct(), "further")
     links = setjoin.link_components(keyed.select(F.col("id").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("id"), "component_id")
-    links = links.join(further, "id", "left").withColumn("place", F.struct(F.coalesce("doc_id", "id").alias("doc_id"), (F.col("doc_id").isNotNull()).alias("further"), "id"))
+    links = links.join(further, "id", "left").withColumn("further", F.coalesce("further", F.lit(False)))
+    owner = F.when(F.col("further"), F.col("doc_id")).otherwise(F.col("id"))
+    links = links.withColumn("place", F.struct(owner.isNull().alias("nameless"), owner.alias("doc_id"), "further", "id"))
     kept = links.groupBy("component_id").agg(F.min("place").alias("place")).select("place.id")
-    others = F.to_json(F.struct(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "text")))
-    out = keyed.join(kept, "id", "left_semi").groupBy("id", "text").agg(F.min_by("row", others).alias("row"))
-    return out.select("row.*")
+    others = F.to_json(F.struct(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text"))))
+    out = keyed.join(kept, "id", "left_semi").groupBy("id", "text").agg(F.first("doc_id").alias("doc_id"), F.min_by("row", others).alias("row"))
+    return _unwrapped(out, docs, "doc_id", "text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets. Every row stays, whatever its id; null texts stay null."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 1024 tokens."""
+    """Where each piece of each document lies in sequences of 1024 tokens. A null text is an empty one; null and repeated ids
+    are rows like others."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
