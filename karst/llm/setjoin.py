@@ -39,6 +39,8 @@ SLOT_BITS, RANGES, MAP_BITS = 24, 1024, 25
 LEAD = 4
 #: Queries that meet a group in one task.
 QUERIES = 256
+#: Components of a token beyond which they meet by classes of length, each STEP-th of a power of e.
+MANY, STEP = 256, 16
 
 _words = SpanHash(4_049)
 _weights = np.random.default_rng(7_907).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,6 +159,25 @@ def in_bitmap(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as the differences of their upper 48 bits, low bytes together, compressed: about 5 bytes each."""
+    import pyarrow as pa
+
+    own = tokens >> np.uint64(16)
+    own = own[np.append(True, own[1:] != own[:-1])]
+    planes = np.diff(own, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
+    return len(own).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :6] = np.frombuffer(pa.decompress(raw[4:], 6 * n, "zstd", asbytes=True), np.uint8).reshape(6, n).T
+    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _second(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens ^ np.uint64(0xA24BAED4963EE407))
 
@@ -205,7 +226,7 @@ def _tokens_of(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
             names, rows, done = batch.column(0), [], 0
             for row, tokens in shingle_sets(batch.column(1), k):
                 if len(tokens):
-                    rows.append((row, len(tokens), tokens.tobytes()))
+                    rows.append((row, len(tokens), packed(tokens)))
                     done += len(tokens)
                 if done > 250_000:
                     yield _rows(names, rows)
@@ -246,7 +267,7 @@ def _pairs_of(percent: int):
         import pyarrow as pa
 
         cid = np.asarray(group.column("cid").combine_chunks())
-        sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
+        sets = [unpacked(t) for t in group.column("tokens").to_pylist()]
         size = np.array([len(s) for s in sets])
         inter = overlaps(sets)
         link = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
@@ -273,14 +294,14 @@ def _opened(percent: int):
         u, v = [], []
         if members.num_rows and queries.num_rows:
             names = members.column("cid").to_pylist()
-            sets = [np.frombuffer(t, np.uint64) for t in members.column("tokens").to_pylist()]
+            sets = [unpacked(t) for t in members.column("tokens").to_pylist()]
             union, inverse = np.unique(np.concatenate(sets), return_inverse=True)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             order = np.argsort(inverse, kind="stable")
             owner, starts = owner[order], np.searchsorted(inverse[order], np.arange(len(union) + 1))
             size = np.array([len(s) for s in sets])
             for cid, raw in zip(queries.column("cid").to_pylist(), queries.column("tokens").to_pylist(), strict=True):
-                own = np.frombuffer(raw, np.uint64)
+                own = unpacked(raw)
                 at = np.searchsorted(union, own)
                 at[at == len(union)] = 0
                 at = at[union[at] == own]
@@ -305,14 +326,24 @@ def _asked(shared: DataFrame, members: DataFrame, percent: int, scratch: Scratch
     token's major component, the one of most classes there, or all others (everyone), each pair once a token."""
     facts = [F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first")]
     by = shared.groupBy("token", "comp").agg(F.count("*").alias("c"), *facts)
-    major = by.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major")).where("comps > 1").select("token", "major")
+    major = by.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major")).where("comps > 1").select("token", "comps", "major")
     matrix = scratch.save(by.join(major, "token"), f"{name}_matrix")
-    own = ("comp", "low", "high", "first")
-    one = matrix.where("comp <> major").select("token", F.struct(*own).alias("one"))
-    two = (matrix if everyone else matrix.where("comp = major")).select("token", "major", F.struct(*own).alias("two"))
-    fits = (F.col("one.comp") != F.col("two.comp")) & (F.col("one.low") * percent <= F.col("two.high") * 100) & (F.col("two.low") * percent <= F.col("one.high") * 100)
+    # Nothing before a pair's first common token is common, and one of the first LEAD common ones has LEAD - 1 before it at
+    # most: with the lengths that bounds the overlap, so most rows can only meet much shorter ones, and hot tokens' rows
+    # meet by classes of length. That leaves at least the first LEAD common tokens of every pair that can link.
+    size = lambda c: F.floor(F.log(F.greatest(c, F.lit(1))) * STEP)
+    least = F.ceil(F.col("low") * percent / 100)
+    most = F.floor(((F.col("high") - F.col("first") + LEAD - 1) * (100 + percent) - F.col("low") * percent) / percent)
+    bounded = matrix.select("*", least.alias("least"), most.alias("most"))
+    hot, once_only = F.col("comps") > MANY, F.array(F.lit(0).cast("long"))
+    own = F.struct("comp", "low", "high", "first", "least", "most")
+    one = bounded.where("comp <> major AND most >= least").select("token", "comps", F.explode(F.when(hot, F.sequence(size("least"), size("most"))).otherwise(once_only)).alias("length"), own.alias("one"))
+    two = (bounded if everyone else bounded.where("comp = major")).select("token", "major", F.explode(F.when(hot, F.sequence(size("low"), size("high"))).otherwise(once_only)).alias("length"), own.alias("two"))
+    fits = (F.col("one.comp") != F.col("two.comp")) & (F.col("one.least") <= F.col("two.high")) & (F.col("two.least") <= F.col("one.high")) & (F.col("two.low") <= F.col("one.most")) & (F.col("one.low") <= F.col("two.most"))
     once = (F.col("two.comp") == F.col("major")) | (F.col("one.comp") < F.col("two.comp"))
-    pairs = one.join(two, "token").where(fits & once)
+    # several classes of length may bring a pair together: it counts in the first
+    once = once & (~hot | (F.col("length") == F.greatest(size("two.low"), size("one.least"))))
+    pairs = one.join(two, ["token", "length"]).where(fits & once)
     ordered = F.col("one.comp") < F.col("two.comp")
     pairs = pairs.select(F.when(ordered, F.col("one")).otherwise(F.col("two")).alias("p"), F.when(ordered, F.col("two")).otherwise(F.col("one")).alias("q"))
     sides = [f(f"{side}.{c}").alias(f"{side}_{c}") for side in "pq" for f, c in ((F.min, "low"), (F.max, "high"), (F.min, "first"))]
