@@ -67,14 +67,14 @@ SELECT * FROM (VALUES ('open_statuses', 'set', 'Open,In Progress', 'default'), (
   ('include_risk_accepted', 'switch', 'false', 'default'), ('due_soon_days', 'days', '14', 'own')) AS t(key, kind, value, origin)""",
     "deadlines": "SELECT * FROM (VALUES ('Critical', 7), ('High', 30), ('Medium', 90), ('Low', 180)) AS t(severity, days)",
     "scan_base": """
-SELECT CONCAT('f', CAST(l_partkey % 700 AS VARCHAR(20)), '-', CAST(l_suppkey % 10 AS VARCHAR(20))) AS fingerprint,
-       min(concat('src/f', CAST(l_partkey % 40 AS VARCHAR(20)), '.py')) AS path, min(l_returnflag) AS rule
-FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01 00:00:00' AND l_linenumber < 3 GROUP BY 1""",
+SELECT CONCAT('f', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS fingerprint,
+       min(concat('src/f', CAST(CAST(floor(l_partkey / 5) AS BIGINT) AS VARCHAR(20)), CASE WHEN l_linenumber = 7 THEN '.pyi' ELSE '.py' END)) AS path, min(l_returnflag) AS rule
+FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01 00:00:00' GROUP BY 1""",
     "scan_head": """
-SELECT CONCAT('f', CAST(l_partkey % 700 AS VARCHAR(20)), '-', CAST(l_suppkey % 10 AS VARCHAR(20))) AS fingerprint,
-       min(concat('src/f', CAST(l_partkey % 40 AS VARCHAR(20)), '.py')) AS path, min(l_linestatus) AS rule
-FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01 00:00:00' AND l_linenumber < 3 GROUP BY 1""",
-    "scan_scope": "SELECT DISTINCT concat('src/f', CAST(p_partkey % 40 AS VARCHAR(20)), '.py') AS path FROM part WHERE p_partkey % 40 < 25",
+SELECT CONCAT('f', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS fingerprint,
+       min(concat('src/f', CAST(CAST(floor(l_partkey / 5) AS BIGINT) AS VARCHAR(20)), CASE WHEN l_linenumber = 6 THEN '.pyi' ELSE '.py' END)) AS path, min(l_linestatus) AS rule
+FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01 00:00:00' GROUP BY 1""",
+    "scan_scope": "SELECT DISTINCT concat('src/f', CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS VARCHAR(20)), '.py') AS path FROM part WHERE p_size < 40",
 }
 
 

@@ -160,8 +160,8 @@ def pep440_key(version: Column) -> Column:
 
 
 def lowest_fix_above(installed: Column, fixes: Column, key=version_key) -> Column:
-    """The lowest fix above the installed version; the lowest of all if none sorts above."""
-    keyed = F.transform(F.filter(fixes, lambda f: f.isNotNull()), lambda f: F.struct(key(f).alias("k"), f.alias("v")))
+    """The lowest fix above the installed version; the lowest of all if none sorts above. What cannot be read comes last."""
+    keyed = F.transform(F.filter(fixes, lambda f: f.isNotNull()), lambda f: F.struct(key(f).isNull().alias("unreadable"), key(f).alias("k"), f.alias("v")))
     above = F.filter(keyed, lambda f: f["k"] > key(installed))
     return F.coalesce(F.array_min(above)["v"], F.array_min(keyed)["v"])
 

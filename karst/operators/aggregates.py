@@ -52,7 +52,7 @@ def monthly_flow(df: DataFrame, start: str = "first_detected", end: str = "fixed
 
 def severity_split(df: DataFrame, ranks: DataFrame, floor: int) -> DataFrame:
     """Rows at or above a rank, below it, and unclassified."""
-    out = df.join(F.broadcast(ranks), "severity", "left")
+    out = df.join(ranks, "severity", "left")
     box = F.when(F.coalesce(F.col("rnk"), F.lit(0)) == 0, "unclassified").when(F.col("rnk") >= floor, "at_or_above").otherwise("below")
     return out.groupBy(box.alias("box")).agg(F.count("*").alias("n"))
 

@@ -105,7 +105,7 @@ def direct_parents(requirements: DataFrame, packages: DataFrame) -> DataFrame:
 def edge_contract(edges: DataFrame, contract: DataFrame) -> DataFrame:
     """Edges with whether their type may join these schemes."""
     e = edges.withColumn("from_scheme", F.split_part("from_key", F.lit(":"), F.lit(1))).withColumn("to_scheme", F.split_part("to_key", F.lit(":"), F.lit(1)))
-    return e.join(F.broadcast(contract.withColumn("_ok", F.lit(True))), ["edge_type", "from_scheme", "to_scheme"], "left").withColumn("legal", F.coalesce("_ok", F.lit(False))).drop("_ok")
+    return e.join(contract.withColumn("_ok", F.lit(True)), ["edge_type", "from_scheme", "to_scheme"], "left").withColumn("legal", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
 def unconnected(entities: DataFrame, edges: DataFrame, key: str) -> DataFrame:

@@ -52,10 +52,15 @@ def owner_with_source(df: DataFrame, assets: DataFrame, repositories: DataFrame)
 def either_key(left: DataFrame, right: DataFrame, left_id: str, keys: list[tuple[str, str]], right_id: str) -> DataFrame:
     """Match on any of several key pairs: one row per left and right row; unmatched left rows stay.
 
-    A union of equi-joins, for an OR between them would compare all pairs."""
-    hits = [left.select(left_id, F.col(a).alias("_k")).join(right.select(right_id, F.col(b).alias("_k")), "_k").select(left_id, right_id) for a, b in keys]
-    pairs = reduce(DataFrame.union, hits).distinct()
-    return left.select(left_id).join(pairs, left_id, "left")
+    Each key of the right side is one row with its ids, joined by equality; an OR between the keys would compare all
+    pairs. Only the ids that one row matches are gathered, as many as it returns."""
+    out = left
+    for i, (a, b) in enumerate(keys):
+        side = right.where(F.col(b).isNotNull()).groupBy(F.col(b).alias(f"_key{i}")).agg(F.collect_set(right_id).alias(f"_ids{i}"))
+        out = out.join(side, F.col(a) == F.col(f"_key{i}"), "left")
+    none = F.array().cast(f"array<{right.schema[right_id].dataType.simpleString()}>")
+    ids = reduce(F.array_union, (F.coalesce(F.col(f"_ids{i}"), none) for i in range(len(keys))))
+    return out.select(left_id, F.explode_outer(ids).alias(right_id))
 
 
 def semi_running(df: DataFrame, running: DataFrame, key: str) -> DataFrame:
@@ -100,11 +105,16 @@ def line_range(points: DataFrame, ranges: DataFrame, key: str, at: str, low: str
     return points.withColumn("_bin", F.expr(f"{at} div {bin_size}")).join(binned, [key, "_bin"]).where(f"{at} BETWEEN {low} AND {high}").drop("_bin")
 
 
-def policy_asof(df: DataFrame, policy: DataFrame, at: str, key: list[str], row_id: str, value: str) -> DataFrame:
-    """The value in force when the row was raised; later changes do not move it."""
-    pairs = df.join(policy, key).where(F.col("valid_from") <= F.col(at))
-    best = pairs.groupBy(row_id).agg(F.max_by(value, "valid_from").alias(value))
-    return df.join(best, row_id, "left")
+def policy_asof(df: DataFrame, policy: DataFrame, at: str, key: list[str], value: str) -> DataFrame:
+    """The value in force when the row was raised; later changes do not move it. Of two values from one time the larger holds.
+
+    Each version is a span up to the next one of its key, so a row meets its key's versions once and keeps one at most."""
+    versions = policy.groupBy(*key, "valid_from").agg(F.max(value).alias(value))
+    spans = versions.withColumn("_until", F.lead("valid_from").over(Window.partitionBy(*key).orderBy("valid_from")))
+    spans = spans.select(*(F.col(k).alias(f"_of_{k}") for k in key), F.col("valid_from").alias("_from"), "_until", value)
+    same = reduce(lambda p, q: p & q, (F.col(k) == F.col(f"_of_{k}") for k in key))
+    held = (F.col(at) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
+    return df.join(spans, same & held, "left").select(*df.columns, value)
 
 
 def precedence(scoped: DataFrame, general: DataFrame, key: str) -> DataFrame:

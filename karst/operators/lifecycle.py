@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +42,21 @@ def group_entries(df: DataFrame, action: list[str], row_id: str) -> DataFrame:
 
 
 def route_alerts(alerts: DataFrame, routes: DataFrame, fields: list[str]) -> DataFrame:
-    """(alert, route) pairs of routes whose stated fields all match; an unstated field matches any. Routes are a settings table."""
-    condition = F.lit(True)
-    for f in fields:
-        condition = condition & (routes[f"want_{f}"].isNull() | routes[f"want_{f}"].eqNullSafe(alerts[f]))
-    return alerts.join(F.broadcast(routes), condition).select("alert_id", "route")
+    """(alert, route) pairs of routes whose stated fields all match; an unstated field matches any.
+
+    Routes differ in which fields they state: for each such pattern (as many as 2 to the number of fields at most) an alert
+    asks with its values of the stated fields and nulls elsewhere, so one join on equality finds them."""
+    stated = [F.col(f"want_{f}").isNotNull().alias(f) for f in fields]
+    patterns = [tuple(r) for r in routes.select(*stated).distinct().collect()]
+    if not patterns:
+        return alerts.select("alert_id").limit(0).crossJoin(routes.select("route").limit(0))
+    asks = F.array(*(F.struct(F.lit(i).alias("_pattern"), *(F.when(F.lit(on), F.col(f)).alias(f"_ask_{f}") for f, on in zip(fields, p, strict=True))) for i, p in enumerate(sorted(patterns))))
+    number = reduce(lambda a, x: a.when(x[1], F.lit(x[0])), enumerate(reduce(lambda p, q: p & q, (F.col(f"want_{f}").isNotNull() == F.lit(on) for f, on in zip(fields, p, strict=True))) for p in sorted(patterns)), F.when(F.lit(False), 0))
+    own = alerts.select("alert_id", F.explode(asks).alias("a")).select("alert_id", "a.*")
+    same = reduce(lambda p, q: p & q, (F.col(f"_ask_{f}").eqNullSafe(F.col(f"want_{f}")) for f in fields))
+    # an alert that lacks a stated field matches no route that states it
+    full = reduce(lambda p, q: p & q, (F.col(f"want_{f}").isNull() | F.col(f"_ask_{f}").isNotNull() for f in fields))
+    return own.join(routes.withColumn("_route_pattern", number), (F.col("_pattern") == F.col("_route_pattern")) & same & full).select("alert_id", "route")
 
 
 def box_of_item(df: DataFrame) -> DataFrame:
@@ -63,13 +75,6 @@ def work_queue(df: DataFrame, by: list[str], row_id: str, measured: DataFrame) -
     return df.groupBy(*by).agg(F.count("*").alias("alerts"), F.min(row_id).alias("first_alert")).join(measured, by, "left_anti")
 
 
-def target_line(candidates: DataFrame, installed_key: str, affected: DataFrame, by: list[str], key: Column) -> DataFrame:
-    """The lowest candidate above the installed version that no advisory still affects: on the installed line first."""
-    clean = candidates.join(affected, [*by, "candidate"], "left_anti").where(key > F.col(installed_key))
-    order = Window.partitionBy(*by).orderBy(F.desc("same_line"), key)
-    return clean.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-
-
 def falls_out(requirements: DataFrame, removed: DataFrame) -> DataFrame:
     """Packages all of whose requirers are removed."""
     gone = removed.select(F.col("package").alias("parent")).distinct().withColumn("_g", F.lit(True))

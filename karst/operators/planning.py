@@ -229,25 +229,81 @@ def scope_check(places: DataFrame, planned: DataFrame, current: DataFrame) -> Da
 
 
 def signature_change(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(symbol, params: array of name, kind, default, type) before and after -> what changed.
+    """(symbol, params: array of name, kind, default, type) before and after -> what changed, and what of it can break a call.
 
-    Parameters are compared by place and by name within a row, so symbols meet once, by name."""
+    Kinds are posonly, pos, kw, args and kwargs. `breaks` lists (rule, name, at): what changed for callers, at which place
+    of the positional sequence. Parameters are compared by place and by name within a row, so symbols meet once, by name.
+    A change of names alone that no caller can notice (an optional parameter behind all others) is annotation_only."""
     both = old.select("symbol", F.col("params").alias("a")).join(new.select("symbol", F.col("params").alias("b")), "symbol", "full_outer")
     names = lambda c: F.transform(c, lambda p: p["name"])
     part = lambda f: F.exists(F.zip_with("a", "b", lambda x, y: ~x[f].eqNullSafe(y[f])), lambda d: d)
-    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a").eqNullSafe(F.col("b")), "identical").when(names("a") != names("b"), "params_changed").when(part("kind"), "kind_changed").when(part("default"), "default_changed").otherwise("annotation_only")
+    both = both.withColumn("breaks", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), _facts(F.col("a"), F.col("b"))).otherwise(F.array().cast("array<struct<rule:string,name:string,at:int>>")))
+    hard = F.size(F.filter("breaks", lambda f: f["rule"] != "default_changed"))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a").eqNullSafe(F.col("b")), "identical").when((names("a") != names("b")) & (hard > 0), "params_changed").when((names("a") == names("b")) & part("kind"), "kind_changed").when(F.size("breaks") > 0, F.when(hard > 0, "params_changed").otherwise("default_changed")).otherwise("annotation_only")
     gone = F.size(F.array_except(names("a"), names("b")))
-    need = F.size(F.filter("b", lambda p: p["default"].isNull() & ~F.array_contains(names("a"), p["name"])))
-    return both.select("symbol", change.alias("change"), F.coalesce(gone, F.lit(0)).alias("removed_params"), F.coalesce(need, F.lit(0)).alias("new_required"))
+    need = F.size(F.filter("b", lambda p: p["default"].isNull() & p["kind"].isin("posonly", "pos", "kw") & ~F.array_contains(names("a"), p["name"])))
+    return both.select("symbol", change.alias("change"), F.coalesce(gone, F.lit(0)).alias("removed_params"), F.coalesce(need, F.lit(0)).alias("new_required"), "breaks")
+
+
+def _facts(a: Column, b: Column) -> Column:
+    """What callers can notice between two parameter lists, as (rule, name, at)."""
+    placed = lambda c: F.filter(c, lambda p: p["kind"].isin("posonly", "pos"))
+    named = lambda c: F.filter(c, lambda p: p["kind"].isin("pos", "kw"))
+    called = lambda c, name: F.try_element_at(F.filter(c, lambda p: p["name"] == name), F.lit(1))
+    fact = lambda rule, name, at: F.struct(rule.alias("rule"), name.alias("name"), at.cast("int").alias("at"))
+    have = lambda c, name: F.exists(c, lambda p: p["name"] == name)
+    # a caller who passes n values by place binds the first n parameters
+    by_place = F.transform(
+        placed(a),
+        lambda p, i: fact(
+            F.when(F.try_element_at(placed(b), i + 1).isNotNull(), F.when((F.try_element_at(placed(b), i + 1)["name"] != p["name"]) & (p["kind"] != "posonly"), "position_renamed"))
+            .when(~have(b, p["name"]), "positional_removed").when(have(placed(b), p["name"]), "moved").otherwise("now_keyword_only"),
+            p["name"], i,
+        ),
+    )
+    # a name that a caller may pass must still be taken by name
+    by_name = F.transform(
+        named(a),
+        lambda p: fact(
+            F.when(called(named(b), p["name"]).isNull(), F.when(have(b, p["name"]), "no_longer_keyword").otherwise("keyword_removed"))
+            .when(p["default"].isNotNull() & called(named(b), p["name"])["default"].isNull(), "lost_default")
+            .when(~p["default"].eqNullSafe(called(named(b), p["name"])["default"]) & p["default"].isNotNull(), "default_changed"),
+            p["name"], F.array_position(F.transform(placed(b), lambda q: q["name"]), p["name"]) - 1,
+        ),
+    )
+    variadic = F.transform(F.filter(a, lambda p: p["kind"].isin("args", "kwargs") & ~F.exists(b, lambda q: q["kind"] == p["kind"])), lambda p: fact(F.lit("variadic_removed"), p["name"], F.lit(None)))
+    count = F.when(F.size(F.filter(a, lambda p: p["kind"] == "posonly")) != F.size(F.filter(b, lambda p: p["kind"] == "posonly")), F.array(fact(F.lit("positional_only_count"), F.lit(None).cast("string"), F.lit(None)))).otherwise(F.array().cast("array<struct<rule:string,name:string,at:int>>"))
+    # what is new behind the old positional sequence, and new keywords without a default
+    added = F.transform(
+        placed(b),
+        lambda q, i: fact(
+            F.when((i >= F.size(placed(a))) & ~have(a, q["name"]), F.when(q["default"].isNull(), "required_added").when(F.exists(F.slice(placed(b), i + 2, F.size(placed(b))), lambda r: have(a, r["name"])), "optional_inserted")),
+            q["name"], i,
+        ),
+    )
+    keywords = F.transform(F.filter(b, lambda q: (q["kind"] == "kw") & q["default"].isNull() & ~have(a, q["name"])), lambda q: fact(F.lit("required_keyword_added"), q["name"], F.lit(None)))
+    return F.filter(F.concat(by_place, by_name, variadic, count, added, keywords), lambda f: f["rule"].isNotNull())
 
 
 def call_safety(calls: DataFrame, facts: DataFrame) -> DataFrame:
-    """(symbol, keywords, spread) calls against facts (symbol, change, removed, new_required): the worst of safe, unknown and breaks per symbol."""
+    """(symbol, positional: how many values by place, self included; keywords; spread: whether it unpacks arguments) calls
+    against (symbol, change, breaks) of `signature_change`: the worst of safe, unknown and breaks per symbol.
+
+    A call is safe only where nothing that changed can reach it; what a fact does not settle is unknown."""
     out = calls.join(facts, "symbol")
-    breaks = (F.col("new_required") > 0) | F.arrays_overlap("keywords", "removed")
-    rank = F.when(F.col("change").isin("identical", "annotation_only", "default_changed"), 0).when(F.col("spread"), 1).when(F.coalesce(breaks, F.lit(False)), 2).otherwise(0)
-    worst = F.max(rank)
-    return out.groupBy("symbol").agg(F.when(worst == 2, "breaks").when(worst == 1, "unknown").otherwise("safe").alias("safety"), F.count("*").alias("calls"))
+    by_place = lambda f: F.col("positional") > f["at"]
+    by_name = lambda f: F.array_contains("keywords", f["name"])
+
+    def state(f):
+        hit = F.when(f["rule"].isin("position_renamed", "moved", "now_keyword_only", "optional_inserted"), by_place(f))
+        hit = hit.when(f["rule"] == "positional_removed", by_place(f) | by_name(f)).when(f["rule"].isin("keyword_removed", "no_longer_keyword"), by_name(f))
+        hit = hit.when(f["rule"].isin("lost_default", "required_added", "required_keyword_added"), ~by_name(f) & ~F.coalesce(by_place(f), F.lit(False)))
+        # null: a default that changed, variadics, counts of nameless parameters
+        return F.when(hit, 2).when(hit.isNull() | F.col("spread"), 1).otherwise(0)
+
+    worst = F.when(F.col("change").isin("identical", "annotation_only"), 0).when(F.col("change") == "removed", 2).when(F.size("breaks") > 0, F.array_max(F.transform("breaks", state))).otherwise(1)
+    most = F.max(worst)
+    return out.groupBy("symbol").agg(F.when(most == 2, "breaks").when(most == 1, "unknown").otherwise("safe").alias("safety"), F.count("*").alias("calls"))
 
 
 def api_touch(changes: DataFrame, usage: DataFrame, aliases: DataFrame, complete: bool) -> DataFrame:

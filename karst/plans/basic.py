@@ -79,13 +79,12 @@ query("join_nth_occurrence", """
 SELECT coalesce(a.path, b.path) AS path, coalesce(a.n, b.n) AS n, a.fingerprint AS base_id, b.fingerprint AS head_id
 FROM (SELECT path, fingerprint, row_number() OVER (PARTITION BY path ORDER BY fingerprint) AS n FROM scan_base) a
 FULL JOIN (SELECT path, fingerprint, row_number() OVER (PARTITION BY path ORDER BY fingerprint) AS n FROM scan_head) b ON a.path = b.path AND a.n = b.n""")(lambda v: J.nth_occurrence(v.scan_base.selectExpr("path", "fingerprint AS base_id"), v.scan_head.selectExpr("path", "fingerprint AS head_id"), ["path"], ["base_id"], ["head_id"]))
-query("join_path_suffix", """
-SELECT c.path, (SELECT x.covered_path FROM (SELECT concat('f', CAST(p_partkey % 60 AS VARCHAR(20)), '.py') AS covered_path FROM part GROUP BY 1) x WHERE x.covered_path = split_part(c.path, '/', 2)) AS covered_path
-FROM (SELECT DISTINCT path FROM scan_head) c""")(lambda v: J.path_suffix(v.scan_head, v.part.selectExpr("concat('f', CAST(p_partkey % 60 AS STRING), '.py') AS covered_path").distinct()))
+_COVERED = "SELECT DISTINCT concat('f', CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS VARCHAR(20)), '.py') AS covered_path FROM part WHERE p_size > 20"
+query("join_path_suffix", f"SELECT c.path, x.covered_path FROM (SELECT DISTINCT path FROM scan_head) c LEFT JOIN ({_COVERED}) x ON x.covered_path = split_part(c.path, '/', 2)")(lambda v: J.path_suffix(v.scan_head, v.part.where("p_size > 20").selectExpr("concat('f', CAST(floor(p_partkey / 5) AS BIGINT), '.py') AS covered_path").distinct()))
 query("join_line_range", "SELECT p.p_partkey AS id, r.s_suppkey AS span FROM part p JOIN supplier r ON p.p_partkey % 10 = r.s_suppkey % 10 AND p.p_size * 10 BETWEEN r.s_suppkey * 3 AND r.s_suppkey * 3 + 90")(lambda v: J.line_range(v.part.selectExpr("p_partkey AS id", "p_partkey % 10 AS f", "p_size * 10 AS line"), v.supplier.selectExpr("s_suppkey AS span", "s_suppkey % 10 AS f", "s_suppkey * 3 AS a", "s_suppkey * 3 + 90 AS z"), "f", "line", "a", "z").select("id", "span"))
 query("join_policy_asof", """
 SELECT f.finding_id, (SELECT max_by(d.days, d.valid_from) FROM (SELECT severity, days, TIMESTAMP '1992-01-01 00:00:00' AS valid_from FROM deadlines UNION ALL SELECT severity, days * 2, TIMESTAMP '1995-06-17 00:00:00' FROM deadlines) d WHERE d.severity = f.severity AND d.valid_from <= f.first_detected) AS days
-FROM findings f""")(lambda v: J.policy_asof(v.findings.select("finding_id", "severity", "first_detected").distinct().withColumn("row_id", F.col("finding_id")), v.deadlines.selectExpr("severity", "days", "TIMESTAMP '1992-01-01 00:00:00' AS valid_from").union(v.deadlines.selectExpr("severity", "days * 2", "TIMESTAMP '1995-06-17 00:00:00'")), "first_detected", ["severity"], "row_id", "days").join(v.findings.select("finding_id"), "finding_id").select("finding_id", "days"))
+FROM findings f""")(lambda v: J.policy_asof(v.findings.select("finding_id", "severity", "first_detected"), v.deadlines.selectExpr("severity", "days", "TIMESTAMP '1992-01-01 00:00:00' AS valid_from").union(v.deadlines.selectExpr("severity", "days * 2", "TIMESTAMP '1995-06-17 00:00:00'")), "first_detected", ["severity"], "days").select("finding_id", "days"))
 query("join_precedence", "SELECT asset_id, team, origin FROM (SELECT asset_id, team, 'scoped' AS origin FROM assets WHERE environment = 'prod' UNION ALL SELECT s_suppkey, 'general', 'tenant' FROM supplier WHERE s_suppkey NOT IN (SELECT asset_id FROM assets WHERE environment = 'prod'))")(lambda v: J.precedence(v.assets.where("environment = 'prod'").select("asset_id", "team"), v.supplier.selectExpr("s_suppkey AS asset_id", "'general' AS team"), "asset_id"))
 query("join_reference_first", "SELECT f.severity, d.days, count(*) AS n FROM findings f JOIN deadlines d ON f.severity = d.severity GROUP BY 1, 2")(lambda v: J.reference_first(v.findings, v.deadlines, "severity").groupBy("severity", "days").agg(F.count("*").alias("n")))
 query("join_cve_intel", """

@@ -33,7 +33,7 @@ SELECT owner, severity, n, overdue, round(100.0 * n / sum(n) OVER (), 2) AS shar
 def _(v):
     policy = Policy(v.policy)
     rows = P.open_population(v.findings, policy.values("open_statuses"), policy.switch("include_risk_accepted"))
-    rows = rows.join(v.assets.select("asset_id", "team", F.lit(1).alias("_a")), "asset_id", "left").join(v.repositories.select("repository_id", "owner"), "repository_id", "left").join(F.broadcast(v.deadlines), "severity", "left")
+    rows = rows.join(v.assets.select("asset_id", "team", F.lit(1).alias("_a")), "asset_id", "left").join(v.repositories.select("repository_id", "owner"), "repository_id", "left").join(v.deadlines, "severity", "left")
     due = S.deadline(F.col("first_detected"), F.col("days"))
     out = rows.groupBy(F.coalesce("team", "owner", F.lit("Unknown")).alias("owner"), "severity").agg(F.count("*").alias("n"), F.count_if(S.sla_state(due, F.expr(AS_OF), 14) == "breached").alias("overdue"), F.count_if(F.col("is_false_positive").isNull()).alias("unreported"), F.count("_a").alias("with_asset"))
     from pyspark.sql import Window
@@ -74,8 +74,8 @@ query("fn_prerelease", "SELECT package_id, package_id % 3 = 0 AS pre FROM packag
 query("fn_path_scope", "SELECT finding_id, CASE WHEN package_id % 2 = 0 THEN 'tests' END AS scope FROM findings")(lambda v: v.findings.select("finding_id", S.path_scope(F.expr("CASE WHEN package_id % 2 = 0 THEN concat('lib/tests/', path) ELSE path END")).alias("scope")))
 query("fn_log_clean", "SELECT turn, conv_id, substr(regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), 1, 400) AS line FROM conversations")(lambda v: v.conversations.select("turn", "conv_id", S.log_clean(F.concat(F.lit("2024-01-02T03:04:05.1Z "), F.lit("\x1b[31m"), "text", F.lit("\x1b[0m"))).alias("line")))
 query("fn_secret_mask", "SELECT p_partkey, concat('token = ', '[MASKED]', ' end') AS masked, 'assignment' AS kinds FROM part")(lambda v: v.part.select("p_partkey", S.secret_mask(F.expr("concat('token = ', md5(p_name), ' end')")).alias("masked"), F.array_join(S.secret_kinds(F.expr("concat('token = ', md5(p_name), ' end')")), ",").alias("kinds")))
-query("fn_deadline", "SELECT finding_id, CAST(CASE WHEN days IS NOT NULL THEN first_detected + INTERVAL '1' DAY * CAST(days AS INT) END AS DATE) AS due FROM findings f LEFT JOIN deadlines d ON f.severity = d.severity")(lambda v: v.findings.join(F.broadcast(v.deadlines), "severity", "left").select("finding_id", S.deadline(F.col("first_detected"), F.col("days")).cast("date").alias("due")))
-query("fn_sla_state", f"SELECT CASE WHEN days IS NULL THEN 'none' WHEN due < {AS_OF} THEN 'breached' WHEN due <= {AS_OF} + INTERVAL '14' DAY THEN 'due_soon' ELSE 'on_track' END AS state, count(*) AS n FROM (SELECT days, first_detected + INTERVAL '1' DAY * CAST(days AS INT) AS due FROM findings f LEFT JOIN deadlines d ON f.severity = d.severity) GROUP BY 1")(lambda v: v.findings.join(F.broadcast(v.deadlines), "severity", "left").groupBy(S.sla_state(S.deadline(F.col("first_detected"), F.col("days")), F.expr(AS_OF), 14).alias("state")).agg(F.count("*").alias("n")))
+query("fn_deadline", "SELECT finding_id, CAST(CASE WHEN days IS NOT NULL THEN first_detected + INTERVAL '1' DAY * CAST(days AS INT) END AS DATE) AS due FROM findings f LEFT JOIN deadlines d ON f.severity = d.severity")(lambda v: v.findings.join(v.deadlines, "severity", "left").select("finding_id", S.deadline(F.col("first_detected"), F.col("days")).cast("date").alias("due")))
+query("fn_sla_state", f"SELECT CASE WHEN days IS NULL THEN 'none' WHEN due < {AS_OF} THEN 'breached' WHEN due <= {AS_OF} + INTERVAL '14' DAY THEN 'due_soon' ELSE 'on_track' END AS state, count(*) AS n FROM (SELECT days, first_detected + INTERVAL '1' DAY * CAST(days AS INT) AS due FROM findings f LEFT JOIN deadlines d ON f.severity = d.severity) GROUP BY 1")(lambda v: v.findings.join(v.deadlines, "severity", "left").groupBy(S.sla_state(S.deadline(F.col("first_detected"), F.col("days")), F.expr(AS_OF), 14).alias("state")).agg(F.count("*").alias("n")))
 query("fn_age_columns", "SELECT finding_id, date_diff('day', CAST(first_detected AS DATE), DATE '1999-01-01') AS age FROM findings")(lambda v: v.findings.select("finding_id", S.age_days(F.col("first_detected"), F.expr(AS_OF)).alias("age")))
 query("fn_label_parts", "SELECT finding_id, concat_ws(' on ', cve_id, CAST(asset_id AS VARCHAR(20))) AS title FROM findings")(lambda v: v.findings.select("finding_id", P.label("cve_id", "asset_id").alias("title")))
 query("fn_json_bag", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda v: v.events.select("event_id", F.from_json("props", "k int")["k"].alias("k")))
@@ -84,17 +84,19 @@ query("fn_canonical_type", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'None|
 
 # ------------------------------------------------ graphs
 
-query("gr_neighbors", "SELECT DISTINCT from_key AS seed, to_key AS neighbor FROM edges WHERE edge_type = 'deployed_as' AND from_key IN (SELECT concat('image:', CAST(s_suppkey AS VARCHAR(20))) FROM supplier WHERE s_suppkey <= 3) UNION SELECT DISTINCT to_key, from_key FROM edges WHERE edge_type = 'deployed_as' AND to_key IN (SELECT concat('image:', CAST(s_suppkey AS VARCHAR(20))) FROM supplier WHERE s_suppkey <= 3)")(lambda v: G.neighbors(v.edges, v.supplier.where("s_suppkey <= 3").selectExpr("concat('image:', s_suppkey) AS node"), "both", "deployed_as"))
-_REACH = "WITH RECURSIVE r(node, d) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 97 = 50 UNION SELECT q.parent, r.d + 1 FROM r JOIN ({req}) q ON q.child = r.node{limit}) SELECT node, min(d) AS distance FROM r GROUP BY 1"
+query("gr_neighbors", "SELECT DISTINCT from_key AS seed, to_key AS neighbor FROM edges WHERE edge_type = 'deployed_as' AND from_key IN (SELECT concat('image:', CAST(asset_id AS VARCHAR(20))) FROM assets WHERE is_exposed) UNION SELECT DISTINCT to_key, from_key FROM edges WHERE edge_type = 'deployed_as' AND to_key IN (SELECT concat('image:', CAST(asset_id AS VARCHAR(20))) FROM assets WHERE is_exposed)")(lambda v: G.neighbors(v.edges, v.assets.where("is_exposed").selectExpr("concat('image:', asset_id) AS node"), "both", "deployed_as"))
+_REACH = "WITH RECURSIVE r(node, d) AS (SELECT package_id, 0 FROM ({seeds}) UNION SELECT q.parent, r.d + 1 FROM r JOIN ({req}) q ON q.child = r.node{limit}) SELECT node, min(d) AS distance FROM r GROUP BY 1"
 from ..fixtures import VIEWS as _V  # noqa: E402
 
+#: Where walks begin: packages that were removed.
+_REMOVED = f"SELECT package_id FROM ({_V['packages']}) WHERE is_deleted"
 _EDGES = lambda v: v.requirements.select(F.col("child").alias("from_key"), F.col("parent").alias("to_key"))
-_SEEDS = lambda v: v.part.where("p_partkey % 97 = 50").select(F.col("p_partkey").alias("node"))
-query("gr_k_hop", _REACH.format(req=_V["requirements"], limit=" WHERE r.d < 2"))(lambda v: G.reach(_EDGES(v), _SEEDS(v), 2).select("node", "distance"))
-query("gr_reachable", _REACH.format(req=_V["requirements"], limit=""))(lambda v: G.reachable(_EDGES(v).withColumn("certain", F.expr("from_key % 2 = 0")), _SEEDS(v)).select("node", F.col("level").alias("distance")))
-query("gr_blast_radius", f"WITH RECURSIVE r(node, d) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 9 UNION SELECT q.child, r.d + 1 FROM r JOIN ({_V['requirements']}) q ON q.parent = r.node) SELECT node, min(d) AS distance FROM r GROUP BY 1")(lambda v: G.blast_radius(_EDGES(v), v.part.where("p_partkey = 9").select(F.col("p_partkey").alias("node"))).select("node", "distance"))
-query("gr_path_to_entry", _REACH.format(req=_V["requirements"], limit="").replace("min(d) AS distance", "min(d) + 1 AS links"))(lambda v: G.shortest_chain(_EDGES(v), _SEEDS(v)).select("node", F.size("chain").alias("links")))
-query("gr_shortest_chain", f"WITH RECURSIVE r(node, d, chain) AS (SELECT p_partkey, 0, [CAST(p_partkey AS VARCHAR)] FROM part WHERE p_partkey % 97 = 50 UNION SELECT q.parent, r.d + 1, list_append(r.chain, CAST(q.parent AS VARCHAR)) FROM r JOIN ({_V['requirements']}) q ON q.child = r.node) SELECT node, d AS distance, array_to_string(min(chain), '>') AS chain FROM (SELECT *, min(d) OVER (PARTITION BY node) AS m FROM r) WHERE d = m GROUP BY 1, 2")(lambda v: G.shortest_chain(_EDGES(v), _SEEDS(v)).select("node", "distance", F.array_join("chain", ">").alias("chain")))
+_SEEDS = lambda v: v.packages.where("is_deleted").select(F.col("package_id").alias("node"))
+query("gr_k_hop", _REACH.format(req=_V["requirements"], seeds=_REMOVED, limit=" WHERE r.d < 2"))(lambda v: G.reach(_EDGES(v), _SEEDS(v), 2).select("node", "distance"))
+query("gr_reachable", _REACH.format(req=_V["requirements"], seeds=_REMOVED, limit=""))(lambda v: G.reachable(_EDGES(v).withColumn("certain", F.expr("from_key % 2 = 0")), _SEEDS(v)).select("node", F.col("level").alias("distance")))
+query("gr_blast_radius", f"WITH RECURSIVE r(node, d) AS (SELECT package_id, 0 FROM ({_REMOVED}) UNION SELECT q.child, r.d + 1 FROM r JOIN ({_V['requirements']}) q ON q.parent = r.node) SELECT node, min(d) AS distance FROM r GROUP BY 1")(lambda v: G.blast_radius(_EDGES(v), _SEEDS(v)).select("node", "distance"))
+query("gr_path_to_entry", _REACH.format(req=_V["requirements"], seeds=_REMOVED, limit="").replace("min(d) AS distance", "min(d) + 1 AS links"))(lambda v: G.shortest_chain(_EDGES(v), _SEEDS(v)).select("node", F.size("chain").alias("links")))
+query("gr_shortest_chain", f"WITH RECURSIVE r(node, d, chain) AS (SELECT package_id, 0, [CAST(package_id AS VARCHAR)] FROM ({_REMOVED}) UNION SELECT q.parent, r.d + 1, list_append(r.chain, CAST(q.parent AS VARCHAR)) FROM r JOIN ({_V['requirements']}) q ON q.child = r.node) SELECT node, d AS distance, array_to_string(min(chain), '>') AS chain FROM (SELECT *, min(d) OVER (PARTITION BY node) AS m FROM r) WHERE d = m GROUP BY 1, 2")(lambda v: G.shortest_chain(_EDGES(v), _SEEDS(v)).select("node", "distance", F.array_join("chain", ">").alias("chain")))
 query("gr_direct_parents", "SELECT DISTINCT child, parent FROM requirements WHERE child IN (SELECT package_id FROM packages WHERE is_deleted)")(lambda v: G.direct_parents(v.requirements, v.packages.where("is_deleted").select(F.col("package_id").alias("child"))))
 query("gr_edge_contract", "SELECT edge_type, split_part(from_key, ':', 1) AS from_scheme, NOT (edge_type = 'owns') AS legal, count(*) AS n FROM edges GROUP BY 1, 2, 3")(lambda v: G.edge_contract(v.edges, v.spark.sql("SELECT * FROM VALUES ('deployed_as', 'image', 'cloud'), ('exposed_via', 'cloud', 'net'), ('contains', 'image', 'pkg') AS t(edge_type, from_scheme, to_scheme)")).groupBy("edge_type", "from_scheme", "legal").agg(F.count("*").alias("n")))
 query("gr_unconnected", "SELECT k FROM (SELECT concat('image:', CAST(p_partkey AS VARCHAR(20))) AS k FROM part) WHERE k NOT IN (SELECT from_key FROM edges) AND k NOT IN (SELECT to_key FROM edges)")(lambda v: G.unconnected(v.part.selectExpr("concat('image:', p_partkey) AS k"), v.edges, "k"))
@@ -123,7 +125,7 @@ FROM (SELECT p_partkey, p_size AS b, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1
 query("dq_rollup_consistency", "SELECT severity, 0 AS difference FROM findings GROUP BY 1")(lambda v: Q.rollup_consistency(v.findings, v.findings.groupBy("severity").agg(F.count("cve_id").alias("a"), F.count_if(F.col("cve_id").isNull()).alias("b")).selectExpr("severity", "a + b AS total"), "severity", "total"))
 query("dq_column_supply", "SELECT concat('c', CAST(p_partkey AS VARCHAR(20))) AS column_name, CASE WHEN p_size % 5 = 0 THEN 'never_collected' WHEN p_size % 3 = 0 THEN 'connect_a_tool' WHEN p_size % 2 = 0 THEN 'failing' WHEN p_partkey % 4 = 0 THEN 'not_reported' ELSE 'supplied' END AS supply FROM part")(lambda v: Q.column_supply(v.part.selectExpr("concat('c', p_partkey) AS column_name", "p_partkey % 4 AS filled"), v.part.where("p_size % 5 <> 0").selectExpr("concat('c', p_partkey) AS column_name", "p_size AS tool"), v.part.selectExpr("p_size AS tool", "p_size % 3 <> 0 AS connected", "p_size % 2 <> 0 AS healthy").distinct()))
 query("dq_empty_reason", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'blocked' WHEN p_size % 3 = 0 THEN 'unknown' WHEN p_size % 2 = 0 THEN 'stale' WHEN p_partkey % 4 = 0 THEN 'empty' ELSE 'live' END AS reason FROM part")(lambda v: Q.empty_reason(v.part.selectExpr("p_partkey", "CASE WHEN p_size % 5 = 0 THEN 'failing' ELSE 'supplied' END AS supply", "CASE WHEN p_size % 3 <> 0 THEN p_size % 2 <> 0 END AS synced", "p_partkey % 4 AS n_rows")).select("p_partkey", "reason"))
-query("dq_assumption_ledger", "SELECT k.severity, CAST(d.days AS VARCHAR) AS value, CASE WHEN d.days IS NULL THEN 'unknown' ELSE 'measured' END AS basis FROM severity_rank k LEFT JOIN deadlines d ON k.severity = d.severity")(lambda v: Q.assumption_ledger(v.severity_rank, v.deadlines.selectExpr("severity", "CAST(days AS STRING) AS value", "'measured' AS basis"), "severity"))
+query("dq_assumption_ledger", "SELECT k.severity, CAST(d.days AS VARCHAR) AS value, CASE WHEN d.days IS NULL THEN 'unknown' ELSE 'measured' END AS basis FROM (SELECT DISTINCT severity FROM findings) k LEFT JOIN deadlines d ON k.severity = d.severity")(lambda v: Q.assumption_ledger(v.findings.select("severity").distinct(), v.deadlines.selectExpr("severity", "CAST(days AS STRING) AS value", "'measured' AS basis"), "severity"))
 
 # ------------------------------------------------ life cycle
 
@@ -136,7 +138,7 @@ query("lc_rule_alerts", "SELECT DISTINCT package_id, md5(CAST(package_id AS VARC
 query("lc_group_entries", "SELECT package_id, scan_type, count(*) AS members, min(finding_id) AS first_member, count(*) FILTER (WHERE status = 'Fixed') AS closed FROM findings GROUP BY 1, 2")(lambda v: L.group_entries(v.findings, ["package_id", "scan_type"], "finding_id"))
 query("lc_route_alerts", "SELECT finding_id AS alert_id, r.route FROM findings f JOIN (VALUES ('r1', 'Critical', NULL), ('r2', NULL, 'type1'), ('r3', 'High', 'type2')) AS r(route, s, t) ON (r.s IS NULL OR r.s = f.severity) AND (r.t IS NULL OR r.t = f.scan_type)")(lambda v: L.route_alerts(v.findings.select(F.col("finding_id").alias("alert_id"), "severity", "scan_type"), v.spark.sql("SELECT * FROM VALUES ('r1', 'Critical', NULL), ('r2', NULL, 'type1'), ('r3', 'High', 'type2') AS t(route, want_severity, want_scan_type)"), ["severity", "scan_type"]))
 query("lc_box_of_item", "SELECT CASE WHEN is_deleted THEN 'closed:moved' WHEN status = 'Fixed' THEN 'closed:fixed' WHEN is_false_positive THEN 'closed:false_positive' WHEN is_risk_accepted THEN 'closed:accepted' ELSE 'attention' END AS box, count(*) AS n FROM findings GROUP BY 1")(lambda v: L.box_of_item(v.findings).groupBy("box").agg(F.count("*").alias("n")))
-query("lc_lower_priority", "SELECT repository_id, max(CASE WHEN package_id % 3 = 0 THEN least(rnk, 1) ELSE rnk END) AS rank, count(*) AS members FROM findings f JOIN severity_rank r ON f.severity = r.severity GROUP BY 1")(lambda v: L.lower_priority(v.findings.join(F.broadcast(v.severity_rank), "severity"), v.packages.where("package_id % 3 = 0").selectExpr("package_id", "1 AS rank"), "package_id", "repository_id", "rnk"))
+query("lc_lower_priority", "SELECT repository_id, max(CASE WHEN package_id % 3 = 0 THEN least(rnk, 1) ELSE rnk END) AS rank, count(*) AS members FROM findings f JOIN severity_rank r ON f.severity = r.severity GROUP BY 1")(lambda v: L.lower_priority(v.findings.join(v.severity_rank, "severity"), v.packages.where("package_id % 3 = 0").selectExpr("package_id", "1 AS rank"), "package_id", "repository_id", "rnk"))
 query("lc_work_queue", "SELECT package_id, scan_type, count(*) AS alerts, min(finding_id) AS first_alert FROM findings WHERE NOT (package_id % 5 = 0 AND scan_type = 'type1') GROUP BY 1, 2")(lambda v: L.work_queue(v.findings, ["package_id", "scan_type"], "finding_id", v.findings.where("package_id % 5 = 0 AND scan_type = 'type1'").select("package_id", "scan_type").distinct()))
 query("lc_falls_out", "SELECT child FROM requirements GROUP BY 1 HAVING bool_and(parent % 2 = 0)")(lambda v: L.falls_out(v.requirements, v.packages.where("package_id % 2 = 0").select(F.col("package_id").alias("package"))))
 query("lc_gate_landed", "SELECT package_id, CASE WHEN package_id % 5 = 0 THEN 'gone' WHEN package_id % 3 > 0 THEN 'landed' ELSE 'short' END AS verdict FROM packages")(lambda v: L.gate_landed(v.packages, v.packages.where("package_id % 5 <> 0").selectExpr("package_id", "CASE WHEN package_id % 3 > 0 THEN '10.2' ELSE '9.8' END AS version"), v.packages.selectExpr("package_id", "'10.1' AS target"), ["package_id"], S.version_key))
@@ -164,18 +166,20 @@ query("po_table_fn", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, unnest(rang
 # ------------------------------------------------ readers and writers, over documents that Spark makes from the tables
 
 _SARIF = "to_json(named_struct('version', '2.1.0', 'runs', array(named_struct('tool', named_struct('driver', named_struct('name', scan_type, 'rules', array(named_struct('id', severity, 'name', severity), named_struct('id', severity, 'name', 'later')))), 'results', array(named_struct('ruleId', severity, 'level', 'error', 'message', named_struct('text', status), 'locations', array(named_struct('physicalLocation', named_struct('artifactLocation', named_struct('uri', path), 'region', named_struct('startLine', CAST(package_id % 90 AS INT))))))))))) AS content"
-_reports = lambda v: v.findings.selectExpr("finding_id AS doc", _SARIF)
+# few, large files make few tasks: spread before documents are made and parsed
+_spread = lambda v: v.findings.repartition(v.spark.sparkContext.defaultParallelism)
+_reports = lambda v: _spread(v).selectExpr("finding_id AS doc", _SARIF)
 query("src_sarif_findings", "SELECT finding_id AS doc, scan_type AS tool, severity AS rule, 'error' AS level, status AS message, path, CAST(package_id % 90 AS INT) AS line FROM findings")(lambda v: D.sarif_findings(_reports(v)).select("doc", "tool", "rule", "level", "message", "path", "line"))
 query("src_sarif_rules", "SELECT finding_id AS doc, 0 AS run, severity AS rule, severity AS name FROM findings")(lambda v: D.sarif_rules(_reports(v)))
-_scans = lambda v: v.findings.selectExpr("finding_id AS doc", "to_json(named_struct('Results', array(named_struct('Target', path, 'Class', CASE WHEN package_id % 2 = 0 THEN 'lang-pkgs' ELSE 'os-pkgs' END, 'Packages', array(named_struct('Name', concat('p', package_id), 'Version', '1.0', 'Relationship', CASE WHEN package_id % 3 = 0 THEN 'direct' END)), 'Vulnerabilities', array(named_struct('VulnerabilityID', coalesce(cve_id, 'GHSA-x'), 'PkgName', concat('p', package_id), 'InstalledVersion', '1.0', 'FixedVersion', CASE WHEN package_id % 3 = 0 THEN '1.1' ELSE '' END, 'Severity', upper(severity), 'CweIDs', array('CWE-79', 'CWE-80'))))))) AS content")
+_scans = lambda v: _spread(v).selectExpr("finding_id AS doc", "to_json(named_struct('Results', array(named_struct('Target', path, 'Class', CASE WHEN package_id % 2 = 0 THEN 'lang-pkgs' ELSE 'os-pkgs' END, 'Packages', array(named_struct('Name', concat('p', package_id), 'Version', '1.0', 'Relationship', CASE WHEN package_id % 3 = 0 THEN 'direct' END)), 'Vulnerabilities', array(named_struct('VulnerabilityID', coalesce(cve_id, 'GHSA-x'), 'PkgName', concat('p', package_id), 'InstalledVersion', '1.0', 'FixedVersion', CASE WHEN package_id % 3 = 0 THEN '1.1' ELSE '' END, 'Severity', upper(severity), 'CweIDs', array('CWE-79', 'CWE-80'))))))) AS content")
 query("src_scanner_vulns", "SELECT finding_id AS doc, path AS target, CASE WHEN package_id % 2 = 0 THEN 'lang-pkgs' ELSE 'os-pkgs' END AS class, coalesce(cve_id, 'GHSA-x') AS vulnerability, cve_id, concat('p', CAST(package_id AS VARCHAR(20))) AS package, '1.0' AS installed, CASE WHEN package_id % 3 = 0 THEN '1.1' END AS fixed, severity, 'CWE-79' AS cwe FROM findings")(lambda v: D.scanner_vulns(_scans(v)))
 query("src_scanner_packages", "SELECT finding_id AS doc, path AS target, concat('p', CAST(package_id AS VARCHAR(20))) AS package, '1.0' AS version, CASE WHEN package_id % 3 = 0 THEN 'direct' ELSE 'unknown' END AS relationship FROM findings")(lambda v: D.scanner_packages(_scans(v)))
 query("src_scan_scope", "SELECT DISTINCT finding_id AS doc, path FROM findings WHERE package_id % 2 = 0")(lambda v: D.scan_scope(_scans(v)))
 _advice = lambda v: v.part.selectExpr("p_partkey AS doc", "to_json(named_struct('id', concat('A-', p_partkey), 'aliases', array(concat('CVE-', p_partkey), concat('G-', p_size)), 'severity', array(named_struct('type', 'CVSS_V3', 'score', p_type)), 'affected', array(named_struct('package', named_struct('name', p_name, 'ecosystem', p_brand), 'ranges', array(named_struct('type', 'SEMVER', 'events', array(map('introduced', '0'), map('fixed', concat(p_size, '.0')))))))) ) AS content")
 query("src_advisories", "SELECT concat('A-', CAST(p_partkey AS VARCHAR(20))) AS id, p_name AS name, p_brand AS ecosystem, e, CASE WHEN e = 0 THEN '0' END AS introduced, CASE WHEN e = 1 THEN concat(CAST(p_size AS VARCHAR(20)), '.0') END AS fixed FROM part, (VALUES (0), (1)) AS t(e)")(lambda v: D.advisories(_advice(v))["ranges"].select("id", "name", "ecosystem", "e", "introduced", "fixed"))
-_signals = lambda v: v.part.selectExpr("p_partkey AS doc", "to_json(named_struct('results', array(named_struct('check_id', p_type, 'path', p_name, 'start', named_struct('line', p_size), 'extra', named_struct('metadata', named_struct('confidence', 'HIGH', 'impact', p_brand, 'subcategory', array('vuln'))))), 'errors', array(named_struct('type', CASE WHEN p_size % 2 = 0 THEN 'Timeout' ELSE 'SyntaxError' END, 'path', p_name)), 'paths', named_struct('scanned', array(p_name, p_type)))) AS content")
+_signals = lambda v: v.part.selectExpr("p_partkey AS doc", '''replace(to_json(named_struct('results', array(named_struct('check_id', p_type, 'path', p_name, 'start', named_struct('line', p_size), 'extra', named_struct('metadata', named_struct('confidence', 'HIGH', 'impact', p_brand, 'subcategory', array('vuln'))))), 'errors', array(named_struct('type', CASE WHEN p_size % 2 = 0 THEN 'Timeout' ELSE 'SyntaxError' END, 'path', p_name), named_struct('type', CASE WHEN p_size % 3 = 0 THEN '@' ELSE 'Other' END, 'path', p_name)), 'paths', named_struct('scanned', array(p_name, p_type)))), '"type":"@"', '"type":["PartialParsing",[{"path":"x"}]]') AS content''')
 query("src_rule_signals", "SELECT p_partkey AS doc, p_type AS rule, p_name AS path, p_size AS line, 'HIGH' AS confidence, p_brand AS impact, CAST(NULL AS VARCHAR) AS likelihood, 'vuln' AS subcategory FROM part")(lambda v: D.rule_signals(_signals(v)))
-query("src_scan_coverage", "SELECT p_partkey AS doc, CASE WHEN p_name = p_type THEN 1 ELSE 2 END AS scanned, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS unparsed, 0 AS partial, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS timeouts FROM part")(lambda v: D.scan_coverage(_signals(v)))
+query("src_scan_coverage", "SELECT p_partkey AS doc, CASE WHEN p_name = p_type THEN 1 ELSE 2 END AS scanned, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS unparsed, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS partial, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS timeouts FROM part")(lambda v: D.scan_coverage(_signals(v)))
 _lock = lambda v: v.part.selectExpr("p_partkey AS doc", "concat('--index-url https://x', '\n', 'a', p_size, '==1.', p_size, '\n    # via\n    #   root\n    #   b', p_size, '\nb', p_size, '==2.0\n    # via a', p_size, '\n') AS content")
 query("src_lock_edges", "SELECT p_partkey AS doc, concat('a', s) AS package, 'root' AS parent, 4 AS line FROM (SELECT p_partkey, CAST(p_size AS VARCHAR(20)) AS s FROM part) UNION ALL SELECT p_partkey, concat('a', CAST(p_size AS VARCHAR(20))), concat('b', CAST(p_size AS VARCHAR(20))), 5 FROM part UNION ALL SELECT p_partkey, concat('b', CAST(p_size AS VARCHAR(20))), concat('a', CAST(p_size AS VARCHAR(20))), 7 FROM part")(lambda v: D.lock_edges(_lock(v)))
 query("src_lock_resolutions", "SELECT p_partkey AS doc, 2 AS line, concat('a', CAST(p_size AS VARCHAR(20))) AS package, concat('1.', CAST(p_size AS VARCHAR(20))) AS version, 'other' AS origin FROM part UNION ALL SELECT p_partkey, 6, concat('b', CAST(p_size AS VARCHAR(20))), '2.0', 'other' FROM part")(lambda v: D.lock_resolutions(_lock(v)))

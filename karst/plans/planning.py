@@ -63,7 +63,15 @@ query("lc_explain_move", "SELECT p_partkey AS package_id, CASE WHEN p_partkey %
 query("lc_scope_check", "SELECT c_custkey AS repository_id, 'p' AS path, CASE WHEN c_custkey % 3 = 0 THEN 'stale' WHEN c_custkey % 2 = 0 THEN 'in_plan' ELSE 'out_of_scope' END AS state FROM customer")(lambda v: N.scope_check(*(v.customer.where(w).selectExpr("c_custkey AS repository_id", "'p' AS path") for w in ("true", "c_custkey % 2 = 0", "c_custkey % 3 > 0"))))
 _params = lambda v, t: v.part.where(f"p_partkey % 11 <> {t[0]}").selectExpr("p_partkey AS symbol", f"array(named_struct('name', 'a', 'kind', 'pos', 'default', CAST(NULL AS STRING), 'type', 'int'), named_struct('name', {t[1]}, 'kind', {t[2]}, 'default', {t[3]}, 'type', {t[4]})) AS params")
 query("lc_signature_change", "SELECT p_partkey AS symbol, CASE WHEN p_partkey % 11 = 1 THEN 'added' WHEN p_partkey % 11 = 2 THEN 'removed' WHEN p_size % 5 = 0 THEN 'params_changed' WHEN p_size % 5 = 1 THEN 'kind_changed' WHEN p_size % 5 = 2 THEN 'default_changed' WHEN p_size % 5 = 3 THEN 'annotation_only' ELSE 'identical' END AS change, CASE WHEN p_size % 5 = 0 AND p_partkey % 11 NOT IN (1, 2) THEN 1 ELSE 0 END AS removed_params FROM part")(lambda v: N.signature_change(_params(v, (1, "'b'", "'pos'", "'1'", "'int'")), _params(v, (2, "CASE WHEN p_size % 5 = 0 THEN 'c' ELSE 'b' END", "CASE WHEN p_size % 5 = 1 THEN 'kw' ELSE 'pos' END", "CASE WHEN p_size % 5 = 2 THEN '2' ELSE '1' END", "CASE WHEN p_size % 5 = 3 THEN 'str' ELSE 'int' END"))).select("symbol", "change", "removed_params"))
-query("lc_call_safety", "SELECT p_size AS symbol, CASE WHEN p_size % 2 = 0 THEN 'safe' WHEN bool_or(p_partkey % 5 = 1) THEN 'breaks' WHEN bool_or(p_partkey % 5 = 0) THEN 'unknown' ELSE 'safe' END AS safety, count(*) AS calls FROM part GROUP BY 1")(lambda v: N.call_safety(v.part.selectExpr("p_size AS symbol", "array(CASE WHEN p_partkey % 5 = 1 THEN 'b' ELSE 'a' END) AS keywords", "p_partkey % 5 = 0 AS spread"), v.part.selectExpr("p_size AS symbol", "CASE WHEN p_size % 2 = 0 THEN 'annotation_only' ELSE 'params_changed' END AS change", "array('b') AS removed", "0 AS new_required").distinct()))
+# of a(first, second=1, third=2): six ways in which it changed, by symbol
+_WAYS = "CASE p_size % 6 {} END"
+_A = "named_struct('name', 'first', 'kind', 'pos', 'default', CAST(NULL AS STRING), 'type', 'int')"
+_B, _C, _D = (f"named_struct('name', '{n}', 'kind', '{k}', 'default', '{d}', 'type', '{t}')" for n, k, d, t in (("second", "pos", "1", "int"), ("third", "pos", "2", "int"), ("extra", "pos", "0", "int")))
+_AFTER = [f"array({_A}, {_B}, {_C})", f"array({_A}, {_D}, {_B}, {_C})", f"array({_A}, {_C})", f"array({_A}, {_B}, {_C.replace('pos', 'kw')})", f"array({_A}, {_B.replace(chr(39) + '1' + chr(39), chr(39) + '7' + chr(39))}, {_C})", f"array({_A}, {_B}, {_C.replace('int', 'str')}, {_D})"]
+_CALLS = "SELECT p_size, p_size % 6 AS way, p_partkey % 4 AS n, CASE WHEN p_partkey % 5 = 1 THEN 'second' WHEN p_partkey % 5 = 2 THEN 'third' ELSE 'other' END AS k, p_partkey % 7 = 0 AS spread FROM part"
+query("lc_call_safety", f"SELECT p_size AS symbol, CASE max(CASE WHEN way IN (0, 5) THEN 0 WHEN way = 4 THEN 1 WHEN (way = 1 AND n > 1) OR (way = 2 AND (n > 1 OR k = 'second')) OR (way = 3 AND n > 2) THEN 2 WHEN spread THEN 1 ELSE 0 END) WHEN 2 THEN 'breaks' WHEN 1 THEN 'unknown' ELSE 'safe' END AS safety, count(*) AS calls FROM ({_CALLS}) GROUP BY 1")(
+    lambda v: N.call_safety(v.part.selectExpr("p_size AS symbol", "CAST(p_partkey % 4 AS INT) AS positional", "array(CASE WHEN p_partkey % 5 = 1 THEN 'second' WHEN p_partkey % 5 = 2 THEN 'third' ELSE 'other' END) AS keywords", "p_partkey % 7 = 0 AS spread"), N.signature_change(v.part.selectExpr("p_size AS symbol", f"{_AFTER[0]} AS params").dropDuplicates(["symbol"]), v.part.selectExpr("p_size AS symbol", f"{_WAYS.format(' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_AFTER)))} AS params").dropDuplicates(["symbol"])))
+)
 query("lc_api_touch", "SELECT p_partkey AS package_id, CASE WHEN p_size % 2 = 0 AND p_size % 3 > 0 THEN '4' ELSE '3' END AS verdict, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS sites FROM part")(lambda v: N.api_touch(v.part.selectExpr("p_partkey AS package_id", "'pkg.f' AS symbol", "CASE WHEN p_size % 3 = 0 THEN 'annotation_only' ELSE 'removed' END AS kind"), v.part.where("p_size % 2 = 0").selectExpr("p_partkey AS package_id", "CASE WHEN p_partkey % 2 = 0 THEN 'alias.f' ELSE 'pkg.f' END AS symbol"), v.spark.sql("SELECT 'alias.f' AS symbol, 'pkg.f' AS canonical"), True))
 query("lc_weak_answer", "SELECT package_id, path, greatest(n - 10, 0) AS more FROM (SELECT l_partkey AS package_id, concat('p', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-', CAST(l_shipdate AS VARCHAR)) AS path, count(*) OVER (PARTITION BY l_partkey) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY concat('p', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-', CAST(l_shipdate AS VARCHAR))) AS r FROM lineitem WHERE l_linenumber % 2 = 0 AND l_partkey % 3 = 0) WHERE r <= 10")(lambda v: N.weak_answer(v.part.selectExpr("p_partkey AS package_id", "CASE WHEN p_partkey % 3 = 0 THEN 'not_imported' ELSE 'imported' END AS answer"), v.lineitem.selectExpr("l_partkey AS package_id", "concat('p', l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', CAST(l_shipdate AS STRING)) AS path", "CASE WHEN l_linenumber % 2 = 0 THEN 'm = importlib(x)' ELSE 'import x' END AS text")))
 query("tx_cited_check", "SELECT p_partkey AS sentence_id, p_partkey % 3 = 1 AND (p_partkey + 3) IN (SELECT p_partkey FROM part) AS holds FROM part")(lambda v: N.cited_check(v.part.selectExpr("p_partkey AS sentence_id", "array(p_partkey, p_partkey + 3) AS cites"), v.part.selectExpr("p_partkey AS claim", "CASE WHEN p_partkey % 3 = 1 THEN 'unchanged' ELSE 'changed' END AS state")))

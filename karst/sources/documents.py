@@ -31,7 +31,9 @@ def parsed(docs: DataFrame, schema: str) -> DataFrame:
 def sarif_findings(docs: DataFrame) -> DataFrame:
     """One row per result of every run, at its first location."""
     runs = parsed(docs, SARIF).select("doc", F.posexplode("d.runs").alias("run", "r"))
-    rows = runs.select("doc", "run", F.col("r.tool.driver.name").alias("tool"), F.try_element_at("r.versionControlProvenance", F.lit(1)).alias("vc"), F.posexplode("r.results").alias("result", "x"))
+    # of a run only what its results need goes on
+    runs = runs.select("doc", "run", F.col("r.tool.driver.name").alias("tool"), F.try_element_at("r.versionControlProvenance", F.lit(1)).alias("vc"), F.col("r.results").alias("results"))
+    rows = runs.select("doc", "run", "tool", "vc", F.posexplode("results").alias("result", "x"))
     place = F.try_element_at("x.locations", F.lit(1))["physicalLocation"]
     return rows.select("doc", "run", "result", "tool", F.col("x.ruleId").alias("rule"), F.coalesce("x.level", F.lit("warning")).alias("level"), F.col("x.message.text").alias("message"), place["artifactLocation"]["uri"].alias("path"), place["region"]["startLine"].alias("line"), place["region"]["snippet"]["text"].alias("snippet"), F.try_element_at("x.partialFingerprints", F.lit("primary")).alias("fingerprint"), F.col("vc.repositoryUri").alias("repository"), F.col("vc.revisionId").alias("revision"), F.col("x.properties").alias("properties"))
 
@@ -78,9 +80,11 @@ def rule_signals(docs: DataFrame) -> DataFrame:
 def scan_coverage(docs: DataFrame) -> DataFrame:
     """Files scanned, unparsed and partly parsed, and rules that timed out, of each document; row-local."""
     d = parsed(docs, SIGNALS)
-    kinds = lambda *names: F.size(F.array_distinct(F.transform(F.filter("d.errors", lambda e: e["type"].isin(*names)), lambda e: e["path"])))
+    # an error's type is a word, or a list whose first item is the word
+    of = lambda e: F.when(e["type"].startswith("["), F.get(F.from_json(e["type"], "array<string>"), 0)).otherwise(e["type"])
+    kinds = lambda *names: F.size(F.array_distinct(F.transform(F.filter("d.errors", lambda e: of(e).isin(*names)), lambda e: e["path"])))
     none = lambda c: F.coalesce(c, F.lit(0))
-    return d.select("doc", none(F.size(F.array_distinct("d.paths.scanned"))).alias("scanned"), none(kinds("SyntaxError", "ParseError")).alias("unparsed"), none(kinds("PartialParsing")).alias("partial"), none(F.size(F.filter("d.errors", lambda e: e["type"] == "Timeout"))).alias("timeouts"))
+    return d.select("doc", none(F.size(F.array_distinct("d.paths.scanned"))).alias("scanned"), none(kinds("SyntaxError", "ParseError")).alias("unparsed"), none(kinds("PartialParsing")).alias("partial"), none(F.size(F.filter("d.errors", lambda e: of(e) == "Timeout"))).alias("timeouts"))
 
 
 def scan_scope(docs: DataFrame) -> DataFrame:

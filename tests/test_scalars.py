@@ -8,6 +8,9 @@ from karst.functions import scalars as S
 from karst.operators import aggregates as A
 from karst.operators import filters as P
 from karst.operators import graphs as G
+from karst.operators import joins as J
+from karst.operators import lifecycle as L
+from karst.operators import planning as N
 from karst.operators import sets
 
 
@@ -70,3 +73,57 @@ def test_cycles_have_no_wave(spark):
 
 def test_terms():
     assert P.parse_terms('one "two words" -three') == [("one", True), ("two words", True), ("three", False)]
+
+
+def test_unreadable_fixes_come_last(spark):
+    row = lambda *values: spark.createDataFrame([values], "i string, f array<string>").select(S.lowest_fix_above(F.col("i"), F.col("f"))).first()[0]
+    assert row("3.0", ["???", "2.0"]) == "2.0" and row("1.0", ["???", "10.0", "9.0", None]) == "9.0"
+    assert row("1.0", ["???"]) == "???" and row(None, ["2.0", "10.0"]) == "2.0" and row("1.0", []) is None
+
+
+def signatures(spark, old, new):
+    kind = "symbol string, params array<struct<name:string,kind:string,default:string,type:string>>"
+    return N.signature_change(spark.createDataFrame([("f", old)], kind), spark.createDataFrame([("f", new)], kind))
+
+
+def test_calls_bind_by_position(spark):
+    a, issuer, subject = ("a", "pos", None, "int"), ("issuer", "pos", None, "str"), ("subject", "pos", "None", "str")
+    facts = signatures(spark, [a, issuer], [a, subject, issuer])
+    assert facts.first()["change"] == "params_changed"
+
+    def safety(facts, positional, keywords=(), spread=False):
+        calls = spark.createDataFrame([("f", positional, list(keywords), spread)], "symbol string, positional int, keywords array<string>, spread boolean")
+        return N.call_safety(calls, facts).first()["safety"]
+
+    assert safety(facts, 2) == "breaks" and safety(facts, 1, ["issuer"]) == "safe" and safety(facts, 1, ["issuer"], True) == "unknown"
+    behind = signatures(spark, [a, issuer], [a, issuer, subject])
+    assert behind.first()["change"] == "annotation_only" and safety(behind, 2) == "safe"
+    assert safety(signatures(spark, [a, subject], [a, ("subject", "kw", "None", "str")]), 2) == "breaks"
+    assert safety(signatures(spark, [a, subject], [a, ("subject", "pos", None, "str")]), 1) == "breaks"
+    assert safety(signatures(spark, [a, subject], [a, ("subject", "pos", None, "str")]), 2) == "safe"
+    assert safety(signatures(spark, [a, subject], [a, ("subject", "pos", "1", "str")]), 2) == "unknown"
+    assert safety(signatures(spark, [("x", "posonly", None, "int")], [("y", "posonly", None, "int")]), 1) == "safe"
+    assert safety(signatures(spark, [a, ("rest", "args", None, None)], [a]), 1) == "unknown"
+
+
+def test_policy_of_its_time(spark):
+    rows = spark.createDataFrame([(1, "x", 5), (2, "x", 1), (3, None, 5), (1, "x", 5), (4, "x", 9)], "id int, k string, at int")
+    policy = spark.createDataFrame([("x", 3, 10), ("x", 6, 20), ("x", 6, 15)], "k string, valid_from int, days int")
+    got = J.policy_asof(rows, policy, "at", ["k"], "days").select("id", "days").collect()
+    assert sorted(map(tuple, got)) == [(1, 10), (1, 10), (2, None), (3, None), (4, 20)]
+    assert J.policy_asof(rows, policy.limit(0), "at", ["k"], "days").where("days is not null").count() == 0
+
+
+def test_either_key_cases(spark):
+    left = spark.createDataFrame([(1, 10, 20), (2, 10, 10), (3, None, 99)], "id int, a int, b int")
+    right = spark.createDataFrame([(7, 10), (8, 20), (9, None), (7, 10)], "own int, k int")
+    got = J.either_key(left, right, "id", [("a", "k"), ("b", "k")], "own").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 7), (1, 8), (2, 7), (3, None)], key=str)
+
+
+def test_routes_of_several_patterns(spark):
+    alerts = spark.createDataFrame([(1, "High", "t"), (2, "Low", None), (3, None, "t")], "alert_id int, severity string, scan string")
+    routes = spark.createDataFrame([("all", None, None), ("high", "High", None), ("both", "High", "t"), ("scan", None, "t")], "route string, want_severity string, want_scan string")
+    got = {tuple(r) for r in L.route_alerts(alerts, routes, ["severity", "scan"]).collect()}
+    assert got == {(1, "all"), (2, "all"), (3, "all"), (1, "high"), (1, "both"), (1, "scan"), (3, "scan")}
+    assert L.route_alerts(alerts, routes.limit(0), ["severity", "scan"]).count() == 0
