@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of finished steps: it does so when the driver's JVM drops what refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 # ---------------------------------------------------------------- text as bytes
 

@@ -379,11 +379,12 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     scratch = Scratch(spark, "setjoin")
     levels = spark.sparkContext.broadcast(sketch(docs, k))
-    described = scratch.save(_described(docs, k, percent, levels), "described")
+    described = scratch.save(_described(docs, k, percent, levels), "with_leads")
+    leads, described = described, scratch.save(described.select("doc_id", "n", "class"), "described")
 
     classes = described.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("cid"))
     classes = scratch.save(classes, "classes")
-    first = described.join(classes, "class").where("doc_id = cid").select("cid", "n", "ga", "gb", "leads")
+    first = leads.join(classes, "class").where("doc_id = cid").select("cid", "n", "ga", "gb", "leads")
     postings = first.select(F.posexplode("leads").alias("pos", "token"), "cid", "n")
     twice = postings.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
     shared = scratch.save(postings.join(twice, "token"), "shared")
@@ -391,11 +392,15 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     few = F.least(F.lit(LEAD), F.ceil(F.col("n") * percent / 100 * percent / 100))
     some = shared.groupBy("cid").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= few).select("cid")
     ids = scratch.save(first.select("cid", "n", "ga", "gb").join(some, "cid", "left_semi"), "ids")
+    scratch.drop("with_leads")
+    scratch.free()
     parts = scratch.save(_parts(ids, "ga", 2).union(_parts(ids, "gb", GROUP)), "near_parts")
     tokens = scratch.save(_tokens_of(docs, k, parts.select("cid").distinct()), "tokens", "none")
     near = parts.join(tokens.select("cid", "tokens"), "cid").groupBy("by", "key", "part").applyInArrow(_pairs_of(percent), "u long, v long")
-    found = scratch.save(components(near, scratch, "near_cc"), "found")
-    scratch.drop("tokens")
+    # written before its components are made: two Python steps in one stage would keep twice as many workers
+    found = scratch.save(components(scratch.save(near, "near"), scratch, "near_cc"), "found")
+    scratch.drop("tokens", "near")
+    scratch.free()
 
     comp = F.coalesce("component", "cid").alias("comp")
     grouped = ids.select("cid", "n", "ga").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "ga", comp)
@@ -413,6 +418,8 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         ask = _asked(rows, members, percent, scratch, name, name == "all")
         asked = scratch.save(ask if asked is None else ask.join(asked, ["gid", "cid"], "left_anti"), f"{name}_asked")
         far = scratch.save(_across(docs, k, asked, groups, percent, scratch, name), f"{name}_far")
+        scratch.drop(f"{name}_tokens", f"{name}_matrix")
+        scratch.free()
         links = links.union(far.select("u", "v"))
         if name == "major":
             found = scratch.save(components(links, scratch, "major_cc"), "major_found")
