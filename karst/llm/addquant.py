@@ -9,24 +9,29 @@ sum, with MARGIN times the error to be expected from the norm of what the codes
 how many are opened follows from the codes' errors and not from a fixed number.
 
 Queries and index rows meet block by block: every query block against every index block in a task of its own, of
-which only the k best per query leave.
-
-Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length
-than most; fewer candidates than k are all returned; ties go to the smaller id; a row is no candidate of its own id;
-an empty table gives no rows; other columns are not read.
+which only the k best per query leave. A row goes to as many tasks as there are query blocks, so these are large, and
+vectors given in single precision travel in it. They travel with the codes: which rows must be opened is known only where
+the codes are, and they are too many to be fetched one by one (about 15 in 100 a query and block).
+
+Cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors of each length are
+searched apart, with codebooks of their own, for there is no inner product between lengths; norms beyond single precision
+are scaled by a power of two while codes are made; fewer candidates than k are all returned; ties go to the smaller id; a
+row is no candidate of its own id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .vectors import array, matrix, usable
 
 SAMPLE, STAGES, WORDS, BEAM, FIT_ROUNDS = 8192, 8, 256, 4, 6
-INDEX_BLOCK, QUERY_BLOCK, SHORTLIST, MARGIN = 8192, 512, 160, 2.5
+INDEX_BLOCK, QUERY_BLOCK, SHORTLIST, MARGIN = 8192, 2048, 160, 2.5
 
 
 def fit(sample: np.ndarray, stages: int = STAGES, words: int = WORDS, seed: int = 5) -> np.ndarray:
@@ -77,8 +82,8 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes.astype(np.uint8 if words <= 256 else np.int16), np.linalg.norm(decoded, axis=1), np.linalg.norm(x - decoded, axis=1)
 
 
-def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """(id, v) -> (id, v, code, norm, missed): every row encoded."""
+def index(rows: DataFrame, books: np.ndarray, exponent: int = 0) -> DataFrame:
+    """(id, v) -> (id, v, code, norm, missed): every row encoded, at 2**-exponent of its size."""
 
     def run(batches):
         import pyarrow as pa
@@ -86,20 +91,20 @@ def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                code, norm, missed = encode(matrix(part.column(1)), books)
+                code, norm, missed = encode(np.ldexp(matrix(part.column(1)).astype(float), -exponent), books)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm, pa.float32()), pa.array(missed, pa.float32())], ["id", "v", "code", "norm", "missed"])
 
-    return rows.select("id", "v").mapInArrow(run, "id long, v array<double>, code binary, norm float, missed float")
+    return small_batches(rows).select("id", "v").mapInArrow(run, f"id long, v {rows.schema['v'].dataType.simpleString()}, code binary, norm float, missed float")
 
 
-def _search(books: np.ndarray, k: int, shortlist: int):
+def _search(books: np.ndarray, k: int, shortlist: int, exponent: int):
     stages, words, d = books.shape
 
     def run(group):
         import pyarrow as pa
 
         query = array(group.column("asks").cast("int8")) == 1
-        ids, v = array(group.column("id")), matrix(group.column("v"))
+        ids, v = array(group.column("id")), matrix(group.column("v")).astype(float)
         have, rows = np.flatnonzero(~query), np.flatnonzero(query)
         out = ([], [], [])
         if len(have) and len(rows):
@@ -109,7 +114,8 @@ def _search(books: np.ndarray, k: int, shortlist: int):
             for lo in range(0, len(rows), 128):
                 own = rows[lo : lo + 128]
                 q = v[own]
-                table = np.einsum("qd,mwd->mqw", q.astype(np.float32), books, optimize=True)
+                small = np.ldexp(q, -exponent)
+                table = np.einsum("qd,mwd->mqw", small.astype(np.float32), books, optimize=True)
                 score = np.zeros((len(own), len(have)), np.float32)
                 for m in range(stages):
                     score += table[m][:, code[:, m]]
@@ -119,7 +125,7 @@ def _search(books: np.ndarray, k: int, shortlist: int):
                     first = best[i][cid[best[i]] != ids[own[i]]]
                     exact = cv[first] @ q[i]
                     least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
-                    more = np.flatnonzero(score[i] + np.linalg.norm(q[i]) * error >= least)
+                    more = np.flatnonzero(score[i] + np.linalg.norm(small[i]) * error >= np.ldexp(least, -2 * exponent))
                     opened = np.union1d(first, more)
                     exact, names = cv[opened] @ q[i], cid[opened]
                     order = np.lexsort((names, -exact))
@@ -137,22 +143,27 @@ def search(df: DataFrame, queries: str, id_col: str = "vec_id", vector_col: str
     """The k rows of df with the largest inner product for each row that meets the SQL condition `queries` on id."""
     spark = df.sparkSession
     scratch = Scratch(spark, "addquant")
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(df, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == sizes["d"])
-    total = sizes["count"]
+    if df.schema[vector_col].dataType.simpleString() == "array<float>":
+        rows = rows.withColumn("v", F.col("v").cast("array<float>"))
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), largest.alias("largest")).orderBy(F.desc("n"), "d").collect()  # a row a length
+    found = [_of_length(rows.where(F.size("v") == d), n, int(np.frexp(most)[1]), queries, k, shortlist, scratch, f"index{d}") for d, n, most in sizes if n > 1]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found)
+
+
+def _of_length(rows: DataFrame, total: int, exponent: int, queries: str, k: int, shortlist: int, scratch: Scratch, name: str) -> DataFrame:
     # the sample's bound is SAMPLE rows
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()])
-    books = fit(sample)
-    coded = scratch.save(index(rows, books), "index", "none")
+    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()], float)
+    books = fit(np.ldexp(sample, -exponent))
+    coded = scratch.save(index(rows, books, exponent), name, "none")
     asked = coded.where(queries).select("id", "v")
     blocks, asks = max(1, -(-total // INDEX_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
     # every index block meets every query block: one row of a block for each block of the other side
     have = coded.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("b"), F.explode(F.expr(f"sequence(0L, {asks - 1}L)")).alias("a"), F.lit(0).alias("asks"), "id", "v", "code", "missed")
     want = asked.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(asks)).alias("a"), F.lit(1).alias("asks"), "id", "v", F.lit(None).cast("binary").alias("code"), F.lit(0.0).cast("float").alias("missed"))
-    found = have.union(want).groupBy("a", "b").applyInArrow(_search(books, k, shortlist), "query_id long, vec_id long, score double")
+    found = have.union(want).groupBy("a", "b").applyInArrow(_search(books, k, shortlist, exponent), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,12 +16,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
@@ -321,9 +324,11 @@ def sample(docs: DataFrame) -> list[tuple[str, int, str, str]]:
 
     from pyspark.sql import Window
 
-    found = docs.select("text").mapInArrow(run, "kind int, key long, before string, match string, after string").distinct()
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("key"))
-    rows = found.withColumn("r", rank).where(f"r <= {SAMPLE}").orderBy("kind", "key").collect()  # at most 4 SAMPLE rows
+    found = small_batches(docs).select("text").mapInArrow(run, "kind int, key long, before string, match string, after string").distinct()
+    # first within parts of a kind, then among what they leave
+    rank = lambda *by: F.row_number().over(Window.partitionBy("kind", *by).orderBy("key"))
+    few = found.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64))).withColumn("r", rank("part")).where(f"r <= {SAMPLE}")
+    rows = few.withColumn("r", rank()).where(f"r <= {SAMPLE}").orderBy("kind", "key").collect()  # at most 4 SAMPLE rows
     return [(r["before"], r["kind"], r["match"], r["after"]) for r in rows]
 
 
@@ -336,7 +341,16 @@ def spans(text: str, w: np.ndarray | None) -> tuple[list, list]:
     if w is not None:
         for a, z in regions(text, base):
             more += [(a + s, kind, a + e) for s, kind, e in Lattice(text[a:z]).best(w)]
-    return base, sorted(base + [x for x in more if not any(s < x[2] and x[0] < e for s, _, e in base)])
+    starts, ends, furthest = [s for s, _, _ in base], [], 0
+    for _, _, e in base:
+        furthest = max(furthest, e)
+        ends.append(furthest)
+
+    def free(x):
+        at = bisect_left(starts, x[2])  # those before begin before x ends
+        return not at or ends[at - 1] <= x[0]
+
+    return base, sorted(base + [x for x in more if free(x)])
 
 
 def written(found: list[tuple[int, int, int]]) -> str:
@@ -365,7 +379,7 @@ def find(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
             n = np.array(counts, np.int64).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(n[:, i]) for i in range(len(KINDS))), pa.array(hashes, pa.string()), pa.array(lists, pa.string())], [*batch.schema.names[1:], *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    rows = docs.select(F.col("text").alias("_text"), *(columns or ["doc_id"]))
+    rows = small_batches(docs).select(F.col("text").alias("_text"), *(columns or ["doc_id"]))
     schema = rows.drop("_text").schema
     for k in KINDS:
         schema = schema.add(f"n_{k}", "long")
@@ -398,4 +412,4 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -1,10 +1,11 @@
 """Cases in which the corpus operators once did less than the whole job."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from karst.llm import linededup, pieces, pii, queries, warc
+from karst.llm import addquant, linededup, nearvec, pieces, pii, queries, warc
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,51 @@ def test_ids_do_not_depend_on_chunks(spark, text):
     for chunk in (17, 40, 101, 100_000):
         made.add(b"".join(bytes(r["ids"]) for r in sorted(pieces.encode(docs, queries.PIECES, chunk, with_ids=True).collect(), key=lambda r: r["chunk"])))
     assert len(made) == 1 and pieces.decode(made.pop(), queries.PIECES) == text
+
+
+def test_vectors_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in (v[i % 3] + 1e-3 * v[i]) * s], 1) for i, s in enumerate((1e200, 1e-200, 1.0, 1e-300, 1e300, 1e150))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nearvec.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (1, i % 3) for i in range(6)}
+
+
+def test_cosines_at_the_threshold(spark):
+    angle = np.arccos(0.93) + np.array([-1e-9, 1e-9, -1e-5, 1e-5, -1e-13])
+    rows = [(0, [3.0, 0.0, 0.0], 1)] + [(i + 1, [float(np.cos(a)) * 7, float(np.sin(a)) * 7, 0.0], 1) for i, a in enumerate(angle)]
+    want = {i: sum(j != i and np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.93 for j, y, _ in rows) for i, x, _ in rows}
+    got = {r["vec_id"]: r["n_links"] for r in nearvec.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == want
+
+
+def test_search_within_each_length(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=5 if i % 3 else 9) * 1e30]) for i in range(120)] + [(400, [1.0])]
+    got = addquant.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 10 = 0", k=4).collect()
+    v = {i: np.array(x) for i, x in rows}
+    for q in range(0, 120, 10):
+        want = sorted((-float(v[q] @ x), i) for i, x in v.items() if i != q and len(x) == len(v[q]))[:4]
+        own = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in own] == [i for _, i in want] and np.allclose([r["score"] for r in own], [-s for s, _ in want], rtol=1e-12)
+    assert all(r["query_id"] != 400 for r in got)
+
+
+def test_recall_with_a_short_list(spark):
+    """A shortlist of 40 of 10,000 rows: what the codes' errors open beside it must find the rest."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(10_000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = addquant.search(df, "id % 100 = 0", k=20, shortlist=40).collect()
+    exact = v.astype(float) @ v[::100].astype(float).T
+    hits = 0
+    for j in range(100):
+        exact[100 * j, j] = -np.inf
+        hits += len(set(np.argsort(-exact[:, j])[:20].tolist()) & {r["vec_id"] for r in got if r["query_id"] == 100 * j})
+    assert hits >= 0.9 * 2000
+
+
+def test_spans_beside_many_matches():
+    text = "a@b.cd " * 3000 + "call (415) 555-2671 " * 3
+    base, every = pii.spans(text, np.zeros((len(pii.NAMES), len(pii.KINDS))))
+    assert len(base) == 3000 and set(base) <= set(every)
