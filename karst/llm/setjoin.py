@@ -395,11 +395,11 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     scratch.drop("with_leads")
     scratch.free()
     parts = scratch.save(_parts(ids, "ga", 2).union(_parts(ids, "gb", GROUP)), "near_parts")
-    tokens = scratch.save(_tokens_of(docs, k, parts.select("cid").distinct()), "tokens", "none")
+    tokens = _tokens_of(docs, k, parts.select("cid").distinct())
     near = parts.join(tokens.select("cid", "tokens"), "cid").groupBy("by", "key", "part").applyInArrow(_pairs_of(percent), "u long, v long")
     # written before its components are made: two Python steps in one stage would keep twice as many workers
     found = scratch.save(components(scratch.save(near, "near"), scratch, "near_cc"), "found")
-    scratch.drop("tokens", "near")
+    scratch.drop("near")
     scratch.free()
 
     comp = F.coalesce("component", "cid").alias("comp")
