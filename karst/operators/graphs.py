@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; an own one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset a local session gets its
+    own; on a cluster a local folder would lose data, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-karst-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -28,6 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut a loop's lineage with a written table, which survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(made)  # with the driver's end
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -186,10 +186,13 @@ query("src_lock_resolutions", "SELECT p_partkey AS doc, 2 AS line, concat('a', C
 query("src_manifest_declarations", "SELECT p_partkey AS doc, 2 AS line, 'dependencies' AS section, concat('lib', CAST(p_size AS VARCHAR(20))) AS name, '^1.2' AS spec FROM part UNION ALL SELECT p_partkey, 4, 'dev', 'tool', '>=3' FROM part")(lambda v: D.manifest_declarations(v.part.selectExpr("p_partkey AS doc", "concat('[dependencies]\nlib', p_size, ' = \"^1.2\"\n[dev]\ntool = \">=3\"\n') AS content")))
 query("src_import_spans", "SELECT p_partkey AS doc, 'import' AS template, 1 AS line, concat('import m', CAST(p_size AS VARCHAR(20))) AS span, false AS cut FROM part")(lambda v: D.import_spans(v.part.selectExpr("p_partkey AS doc", "concat('import m', p_size, '\nx = 1\nimport m', p_size, '\n') AS content"), {"import": r"import \w+"}))
 query("src_changed_lines", "SELECT p_partkey AS doc, concat('f', CAST(p_size AS VARCHAR(20)), '.py') AS path, CAST(unnest(range(10, 10 + p_size % 4)) AS INT) AS line FROM part")(lambda v: D.changed_lines(v.part.selectExpr("p_partkey AS doc", "concat('--- a/x\n+++ b/f', p_size, '.py\n@@ -3,2 +10,', p_size % 4, ' @@\n+x\n') AS content")))
-query("src_covered_lines", "SELECT p_partkey AS doc, 'a.py' AS path, CAST(unnest([p_size, p_size + 2]) AS INT) AS line FROM part")(lambda v: D.covered_lines(v.part.selectExpr("p_partkey AS doc", "concat('{\"files\": {\"a.py\": {\"executed_lines\": [', p_size, ',', p_size + 2, ']}}}') AS content")))
-query("src_edge_documents", "SELECT s_suppkey AS doc, 'inv' AS source, concat('image:', CAST(s_suppkey AS VARCHAR(20))) AS from_key, concat('cloud:', CAST(s_nationkey AS VARCHAR(20))) AS to_key, 'deployed_as' AS edge_type, 'low' AS confidence FROM supplier")(lambda v: D.edge_documents(v.supplier.selectExpr("s_suppkey AS doc", "to_json(named_struct('source', 'inv', 'edges', array(named_struct('from', concat('image:', s_suppkey), 'to', concat('cloud:', s_nationkey), 'type', 'deployed_as')))) AS content")))
-query("src_asset_documents", "SELECT s_suppkey AS doc, s_name AS asset_ref, 'team' AS field, 'form' AS source FROM supplier UNION ALL SELECT s_suppkey, s_name, 'zone', concat('n', CAST(s_nationkey AS VARCHAR(20))) FROM supplier")(lambda v: D.asset_documents(v.supplier.selectExpr("s_suppkey AS doc", "to_json(named_struct('asset_ref', s_name, 'field_provenance', map('team', 'form', 'zone', concat('n', s_nationkey)))) AS content")))
-query("src_job_log_steps", "SELECT p_partkey AS doc, CAST(step AS BIGINT) AS step, CASE step WHEN 1 THEN p_type WHEN 2 THEN 'end' END AS name, CASE step WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 1 END AS lines, CASE step WHEN 1 THEN 1 ELSE 0 END AS errors FROM part, (VALUES (0), (1), (2)) AS t(step)")(lambda v: D.job_log_steps(v.part.selectExpr("p_partkey AS doc", "concat('start\n##[group]', p_type, '\nx\n##[error]y\n##[group]end') AS content")))
+_COVERED = """CASE p_partkey % 3 WHEN 0 THEN concat('{"files": {"a.py": {"executed_lines": [', p_size, ',', p_size + 2, ']}}}')
+ WHEN 1 THEN concat('{"k.js": {"path": "b.js", "statementMap": {"0": {"start": {"line": ', p_size, '}, "end": {"line": ', p_size + 1, '}}, "1": {"start": {"line": 900}, "end": {"line": 900}}}, "s": {"0": 3, "1": 0}}}')
+ ELSE concat('mode: set\nm/c.go:', p_size, '.2,', p_size + 2, '.9 4 1\nm/c.go:950.1,960.2 1 0\n') END"""
+query("src_covered_lines", "SELECT p_partkey AS doc, CASE p_partkey % 3 WHEN 0 THEN 'a.py' WHEN 1 THEN 'b.js' ELSE 'm/c.go' END AS path, CAST(unnest(CASE p_partkey % 3 WHEN 0 THEN [p_size, p_size + 2] WHEN 1 THEN [p_size, p_size + 1] ELSE [p_size, p_size + 1, p_size + 2] END) AS INT) AS line FROM part")(lambda v: D.covered_lines(v.part.selectExpr("p_partkey AS doc", f"{_COVERED} AS content")))
+query("src_edge_documents", "SELECT s_suppkey AS doc, 'inv' AS source, concat('image:', CAST(s_suppkey AS VARCHAR(20))) AS from_key, concat('cloud:', CAST(s_nationkey AS VARCHAR(20))) AS to_key, 'deployed_as' AS edge_type, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS evidence, CASE WHEN s_suppkey % 3 = 0 THEN 'high' ELSE 'low' END AS confidence FROM supplier")(lambda v: D.edge_documents(v.supplier.selectExpr("s_suppkey AS doc", "to_json(named_struct('source', 'inv', 'edges', array(named_struct('from', concat('image:', s_suppkey), 'to', concat('cloud:', s_nationkey), 'type', 'deployed_as', 'evidence', CASE WHEN s_suppkey % 2 = 0 THEN s_name END, 'confidence', CASE WHEN s_suppkey % 3 = 0 THEN 'high' END)))) AS content")))
+query("src_asset_documents", "SELECT s_suppkey AS doc, s_name AS asset_ref, 'identity' AS part, 'name' AS field, s_name AS value, CAST(NULL AS VARCHAR) AS source FROM supplier UNION ALL SELECT s_suppkey, s_name, 'governance', 'team', concat('t', CAST(s_nationkey AS VARCHAR(20))), 'form' FROM supplier UNION ALL SELECT s_suppkey, s_name, 'provenance', 'zone', NULL, concat('n', CAST(s_nationkey AS VARCHAR(20))) FROM supplier")(lambda v: D.asset_documents(v.supplier.selectExpr("s_suppkey AS doc", "to_json(named_struct('asset_ref', s_name, 'identity', map('name', s_name), 'governance', map('team', concat('t', s_nationkey)), 'field_provenance', map('team', 'form', 'zone', concat('n', s_nationkey)))) AS content")))
+query("src_job_log_steps", "SELECT p_partkey AS doc, CAST(step AS BIGINT) AS step, CASE step WHEN 1 THEN p_type WHEN 2 THEN 'end' END AS name, CASE step WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 1 END AS lines, CASE step WHEN 1 THEN 1 ELSE 0 END AS errors, step = 1 AND p_size % 2 = 0 AS closed FROM part, (VALUES (0), (1), (2)) AS t(step)")(lambda v: D.job_log_steps(v.part.selectExpr("p_partkey AS doc", "concat('start\n##[group]', p_type, '\nx\n##[error]y\n', CASE WHEN p_size % 2 = 0 THEN '##[endgroup]' ELSE 'z' END, '\n##[group]end') AS content")))
 
 
 @query("snk_report_document", "SELECT scan_type, severity AS rule, path, count(*) AS n FROM findings GROUP BY 1, 2, 3")

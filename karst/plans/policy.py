@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,8 +44,9 @@ class Policy:
 
 def at_or_above(df: DataFrame, column: str, floor: str, ranks: DataFrame) -> DataFrame:
     """Rows whose value ranks at or above a floor; unknown values never do."""
-    least = ranks.where(F.col(column) == floor).select(F.col("rnk").alias("_least"))
-    return df.join(F.broadcast(ranks), column).join(F.broadcast(least), F.col("rnk") >= F.col("_least")).drop("_least")
+    order = Window.orderBy(F.desc("rnk")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # a row a rank
+    at = ranks.withColumn("_passed", F.count_if(F.col(column) == floor).over(order)).withColumn("_here", F.count_if(F.col(column) == floor).over(Window.partitionBy("rnk")))
+    return df.join(at.where((F.col("_passed") == 0) | (F.col("_here") > 0)).drop("_passed", "_here"), column)
 
 
 def bound(df: DataFrame, policy: DataFrame, keys: list[str]) -> DataFrame:

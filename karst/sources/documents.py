@@ -149,26 +149,47 @@ def changed_lines(diffs: DataFrame) -> DataFrame:
     return rows.where("n > 0").select("doc", "path", F.explode(F.expr("sequence(a, a + n - 1)")).alias("line"))
 
 
+COVERAGE = """struct<files: map<string, struct<executed_lines: array<int>>>>"""
+STATEMENTS = """map<string, struct<path: string, statementMap: map<string, struct<start: struct<line: int>, `end`: struct<line: int>>>, s: map<string, int>>>"""
+
+
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """(path, line) that ran, of a coverage document with executed line lists."""
-    d = docs.select("doc", F.from_json("content", "struct<files: map<string, struct<executed_lines: array<int>>>>").alias("d"))
-    return d.select("doc", F.explode("d.files").alias("path", "f")).select("doc", "path", F.explode("f.executed_lines").alias("line"))
+    """(doc, path, line) that ran, of coverage in any of three forms: lists of executed lines, statement maps with hit
+    counts, and profiles whose lines are `path:from.column,to.column statements count`. Each line counts once."""
+    kind = docs.withColumn("_profile", F.col("content").startswith("mode:"))
+    lists = kind.where("NOT _profile").select("doc", F.from_json("content", COVERAGE).alias("d"), "content")
+    executed = lists.select("doc", F.explode("d.files").alias("path", "f")).select("doc", "path", F.explode("f.executed_lines").alias("line"))
+    maps = lists.where("d.files IS NULL").select("doc", F.explode(F.from_json("content", STATEMENTS)).alias("path", "f"))
+    statements = maps.select("doc", F.coalesce("f.path", "path").alias("path"), F.col("f.s").alias("hits"), F.explode("f.statementMap").alias("n", "at"))
+    statements = statements.where(F.try_element_at("hits", "n") > 0).select("doc", "path", F.explode(F.sequence("at.start.line", F.greatest("at.start.line", "at.end.line"))).alias("line"))
+    part = lambda i: F.regexp_extract("text", r"^(.+):(\d+)\.\d+,(\d+)\.\d+ \d+ (\d+)$", i)
+    spans = lines(kind.where("_profile")).select("doc", part(1).alias("path"), part(2).alias("a"), part(3).alias("z"), part(4).alias("n")).where("path <> ''")
+    spans = spans.where("CAST(n AS BIGINT) > 0").select("doc", "path", F.explode(F.expr("sequence(CAST(a AS INT), greatest(CAST(a AS INT), CAST(z AS INT)))")).alias("line"))
+    return executed.union(statements).union(spans).distinct()
 
 
 def edge_documents(docs: DataFrame) -> DataFrame:
-    d = docs.select("doc", F.from_json("content", "struct<source: string, edges: array<struct<from: string, to: string, type: string, confidence: string>>>").alias("d"))
-    return d.select("doc", "d.source", F.explode("d.edges").alias("e")).select("doc", "source", F.col("e.from").alias("from_key"), F.col("e.to").alias("to_key"), F.col("e.type").alias("edge_type"), F.coalesce("e.confidence", F.lit("low")).alias("confidence"))
+    """The edges of inventory documents with their source and evidence; an edge without a stated confidence is low."""
+    d = docs.select("doc", F.from_json("content", "struct<source: string, edges: array<struct<from: string, to: string, type: string, evidence: string, confidence: string>>>").alias("d"))
+    return d.select("doc", "d.source", F.explode("d.edges").alias("e")).select("doc", "source", F.col("e.from").alias("from_key"), F.col("e.to").alias("to_key"), F.col("e.type").alias("edge_type"), F.col("e.evidence").alias("evidence"), F.coalesce("e.confidence", F.lit("low")).alias("confidence"))
 
 
 def asset_documents(docs: DataFrame) -> DataFrame:
-    """(asset_ref, field, source) of an inventory's per-field provenance."""
-    d = docs.select("doc", F.from_json("content", "struct<asset_ref: string, identity: map<string, string>, field_provenance: map<string, string>>").alias("d"))
-    return d.select("doc", "d.asset_ref", F.explode("d.field_provenance").alias("field", "source"))
+    """(asset_ref, part, field, value, source): identity and governance fields of an inventory, with where each came from.
+    A field whose source is stated but that has no value stays, as part `provenance`."""
+    d = docs.select("doc", F.from_json("content", "struct<asset_ref: string, identity: map<string, string>, governance: map<string, string>, field_provenance: map<string, string>>").alias("d"))
+    entries = lambda c, part: F.transform(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lit(part).alias("part"), e["key"].alias("field"), e["value"].alias("value")))
+    have = F.concat(entries("d.identity", "identity"), entries("d.governance", "governance"))
+    named = F.transform(have, lambda e: e["field"])
+    rest = F.transform(F.filter(F.map_keys(F.coalesce(F.col("d.field_provenance"), F.create_map().cast("map<string,string>"))), lambda k: ~F.array_contains(named, k)), lambda k: F.struct(F.lit("provenance").alias("part"), k.alias("field"), F.lit(None).cast("string").alias("value")))
+    rows = d.select("doc", "d.asset_ref", F.col("d.field_provenance").alias("p"), F.explode(F.concat(have, rest)).alias("e"))
+    return rows.select("doc", "asset_ref", "e.part", "e.field", "e.value", F.try_element_at("p", F.col("e.field")).alias("source"))
 
 
 def job_log_steps(logs: DataFrame) -> DataFrame:
-    """(doc, step, name, lines) of a job log: a group marker opens a step, what follows belongs to it."""
+    """(doc, step, name, lines, errors, closed) of a job log: a group marker opens a step, what follows belongs to it; closed
+    says whether an end marker follows before the next step."""
     w = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     head = F.regexp_extract("text", r"##\[group\](.*)$", 1)
     rows = lines(logs).withColumn("step", F.sum((head != "").cast("int")).over(w))
-    return rows.groupBy("doc", "step").agg(F.max(F.nullif(head, F.lit(""))).alias("name"), F.count("*").alias("lines"), F.count_if(F.col("text").contains("##[error]")).alias("errors"))
+    return rows.groupBy("doc", "step").agg(F.max(F.nullif(head, F.lit(""))).alias("name"), F.count("*").alias("lines"), F.count_if(F.col("text").contains("##[error]")).alias("errors"), F.bool_or(F.col("text").contains("##[endgroup]")).alias("closed"))
