@@ -1,9 +1,11 @@
 """Removal of repeated multi-line chunks, with DataFrame functions alone.
 
-A line's hash is the first 32 bits of its MD5. A rolling hash over WINDOW lines, h[i-1] * 31 + h[i], ends a chunk where
-it is divisible by DIVISOR, and a text's end ends its last chunk; so boundaries depend on nearby lines only and shift
-with them. A chunk of two lines or more, of LEAST characters or more, that occurs more than once in the corpus is kept
-where (doc_id, place) is smallest. Elsewhere it is removed if its bytes equal those of the kept one.
+A line's hash is the first 32 bits of its MD5. A rolling hash over WINDOW lines, (h[i-1] * 31 + h[i]) mod MODULUS, ends a
+chunk where it is smaller than the one before and no larger than the one after; so boundaries depend on nearby lines only,
+shift with them, and never lie one line apart. A line of over LONE words is a chunk of its own, and no boundary leaves
+another line alone beside it or at a text's end. A chunk of two lines or more, of LEAST characters or more, or a lone line
+of over LONE words, that occurs more than once in the corpus is kept where (doc_id, place) is smallest. Elsewhere it is
+removed if its bytes equal those of the kept one.
 
 Only hashes and places of chunks are grouped; the kept chunks' texts are then fetched and joined to the other places.
 A chunk that a third of all documents share is one row on one side of a join that adaptive execution may split.
@@ -19,11 +21,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, DIVISOR, LEAST = 2, 3, 20
+WINDOW, MODULUS, LEAST, LONE = 2, 1_000_003, 20, 50
 
 _LINES = "split(text, '\n', -1)"
-_HASH = "transform(_lines, l -> cast(conv(substring(md5(l), 1, 8), 16, 10) as bigint))"
-_ENDS = f"filter(sequence(0, size(_lines) - 1), i -> i = size(_lines) - 1 or (i > 0 and pmod(_h[greatest(i, 1) - 1] * 31 + _h[i], {DIVISOR}) = 0))"
+
+
+def _lone(line: str) -> str:
+    """Whether a line has over LONE words, which takes more than 2 * LONE characters."""
+    return f"(length({line}) > {2 * LONE} and regexp_count({line}, '[^\\\\x20\\\\x09-\\\\x0D]+') > {LONE})"
+
+
+_HASH = f"transform(_lines, l -> named_struct('h', cast(conv(substring(md5(l), 1, 8), 16, 10) as bigint), 'lone', {_lone('l')}))"
+_ROLL = f"transform(_h, (x, i) -> pmod(if(i = 0, 0, get(_h, i - 1).h) * 31 + x.h, {MODULUS}))"
+_LOW = "i > 0 and i < size(_h) - 2 and get(_r, i) < get(_r, i - 1) and get(_r, i) <= get(_r, i + 1)"
+_ENDS = f"""filter(sequence(0, size(_h) - 1), i -> i = size(_h) - 1 or get(_h, i).lone or get(_h, i + 1).lone
+    or ({_LOW} and not get(_h, i - 1).lone and not get(_h, i + 2).lone))"""
 
 
 def _chunk(k: str) -> str:
@@ -34,13 +46,14 @@ def _chunk(k: str) -> str:
 
 def chunked(docs: DataFrame) -> DataFrame:
     """Adds the lines and the last line of each chunk, as _lines and _ends. The caller's columns are out of reach here: `_parted`."""
-    return docs.withColumn("_lines", F.expr(_LINES)).withColumn("_h", F.expr(_HASH)).withColumn("_ends", F.expr(_ENDS)).drop("_h")
+    hashed = docs.withColumn("_lines", F.expr(_LINES)).withColumn("_h", F.expr(_HASH)).withColumn("_r", F.expr(_ROLL))
+    return hashed.withColumn("_ends", F.expr(_ENDS)).drop("_h", "_r")
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, key) of the chunks of two lines or more."""
+    """(doc_id, k, key) of the chunks that may be removed."""
     size = "_ends[k] - if(k = 0, -1, _ends[greatest(k, 1) - 1])"
-    some = f"filter(sequence(0, size(_ends) - 1), k -> {size} > 1 and length({_chunk('k')}) >= {LEAST})"
+    some = f"filter(sequence(0, size(_ends) - 1), k -> if({size} > 1, length({_chunk('k')}) >= {LEAST}, {_lone('_lines[_ends[k]]')}))"
     keyed = f"transform({some}, k -> named_struct('k', k, 'key', xxhash64({_chunk('k')})))"
     rows = chunked(docs.where("doc_id is not null and text is not null")).select("doc_id", F.explode(F.expr(keyed)).alias("c"))
     return rows.select("doc_id", "c.k", "c.key")
@@ -78,22 +91,28 @@ def removed(docs: DataFrame, columns: list[str], counted: bool = False) -> DataF
     return joined.select(*out)
 
 
-ORACLE = f"""
+ORACLE = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i,
          len(string_split(text, chr(10))) AS n
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
+hashed AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > {LONE} AS lone
+  FROM lines),
+rolled AS (
+  SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % {MODULUS} AS r FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 marked AS (
-  SELECT *, CASE WHEN i = n - 1 OR (i > 0 AND (lag(h) OVER w * 31 + h) % {DIVISOR} = 0) THEN 1 ELSE 0 END AS last
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  SELECT *, CASE WHEN i = n - 1 OR lone OR lead(lone) OVER w
+                   OR (i > 0 AND i < n - 2 AND r < lag(r) OVER w AND r <= lead(r) OVER w
+                       AND NOT lag(lone) OVER w AND NOT lead(lone, 2) OVER w) THEN 1 ELSE 0 END AS last
+  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (
   SELECT *, coalesce(sum(last) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM marked),
 chunks AS (
-  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size FROM numbered GROUP BY doc_id, k),
+  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size, bool_or(lone) AS lone FROM numbered GROUP BY doc_id, k),
 ranked AS (
-  SELECT *, size > 1 AND length(chunk) >= {LEAST}
-         AND row_number() OVER (PARTITION BY chunk, size > 1 ORDER BY doc_id, k) > 1 AS gone FROM chunks),
+  SELECT *, (lone OR size > 1 AND length(chunk) >= {LEAST})
+         AND row_number() OVER (PARTITION BY chunk, size ORDER BY doc_id, k) > 1 AS gone FROM chunks),
 rebuilt AS (
   SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text,
          count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed

@@ -166,12 +166,20 @@ def test_warc(spark):
 
 
 def plain_line_dedup(source):
+    def lone(line):
+        return len(re.findall("[^ \t-\r]+", line)) > linededup.LONE
+
+    def free(c):
+        return len("\n".join(c)) >= linededup.LEAST if len(c) > 1 else lone(c[0])
+
     def chunks(text):
         lines, out, own = text.split("\n"), [], []
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        h = [0] + [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        r = [(a * 31 + b) % linededup.MODULUS for a, b in itertools.pairwise(h)]
         for i, x in enumerate(lines):
             own.append(x)
-            if i == len(lines) - 1 or i and (h[i - 1] * 31 + h[i]) % linededup.DIVISOR == 0:
+            low = 0 < i < len(lines) - 2 and r[i - 1] > r[i] <= r[i + 1]
+            if i == len(lines) - 1 or lone(x) or lone(lines[i + 1]) or low and not lone(lines[i - 1]) and not lone(lines[i + 2]):
                 out.append(own)
                 own = []
         return out
@@ -179,18 +187,31 @@ def plain_line_dedup(source):
     first = {}
     for r in sorted((r for r in source if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         for k, c in enumerate(chunks(r[1])):
-            if len(c) > 1 and len("\n".join(c)) >= linededup.LEAST:
+            if free(c):
                 first.setdefault("\n".join(c), (r[0], k))
     out = []
     for r in source:
         if r[0] is None or r[1] is None:
             out.append((r[0], r[1]))
             continue
-        kept = ["\n".join(c) for k, c in enumerate(chunks(r[1])) if len(c) < 2 or first.get("\n".join(c), (r[0], k)) == (r[0], k)]
+        kept = ["\n".join(c) for k, c in enumerate(chunks(r[1])) if not free(c) or first.get("\n".join(c), (r[0], k)) == (r[0], k)]
         out.append((r[0], "\n".join(kept)))
     return out
 
 
+def test_passages_of_lines(spark):
+    rng = random.Random(11)
+    long_line, block = sentence(rng, 60), [sentence(rng, 6) for _ in range(30)]
+    around = [[sentence(rng, rng.randint(2, 30)) for _ in range(5)] for _ in range(6)]
+    texts = [long_line, "\n".join([around[0][0], long_line]), "\n".join([*around[1], *block, *around[2]]), "\n".join([*around[3], *block, *around[4]]), "\n".join(around[5])]
+    source = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"] for r in linededup.remove(spark.createDataFrame(source, "doc_id long, text string")).collect()}
+    assert got == dict(plain_line_dedup(source))
+    # a lone long line goes from all texts but the first, and of a long block at most the lines at its ends stay
+    assert [got[i] for i in (0, 2, 4)] == [texts[i] for i in (0, 2, 4)] and got[1] == around[0][0]
+    assert set(around[3] + around[4]) <= set(got[3].split("\n")) and len(set(block) & set(got[3].split("\n"))) < 15
+
+
 def test_line_dedup(docs, none):
     got = linededup.remove(docs.drop("n_chunks")).collect()
     assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(plain_line_dedup(rows()))
