@@ -379,19 +379,21 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     scratch = Scratch(spark, "setjoin")
     levels = spark.sparkContext.broadcast(sketch(docs, k))
+    scratch.free()
     described = scratch.save(_described(docs, k, percent, levels), "with_leads")
     leads, described = described, scratch.save(described.select("doc_id", "n", "class"), "described")
 
     classes = described.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("cid"))
     classes = scratch.save(classes, "classes")
     first = leads.join(classes, "class").where("doc_id = cid").select("cid", "n", "ga", "gb", "leads")
-    postings = first.select(F.posexplode("leads").alias("pos", "token"), "cid", "n")
-    twice = postings.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
+    # every leading token travels twice, so with as little as can be: lengths are joined to what is left of them
+    postings = first.select(F.posexplode("leads").alias("pos", "token"), "cid")
+    twice = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = scratch.save(postings.join(twice, "token"), "shared")
 
     few = F.least(F.lit(LEAD), F.ceil(F.col("n") * percent / 100 * percent / 100))
-    some = shared.groupBy("cid").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= few).select("cid")
-    ids = scratch.save(first.select("cid", "n", "ga", "gb").join(some, "cid", "left_semi"), "ids")
+    some = shared.groupBy("cid").agg(F.count("*").alias("c"))
+    ids = scratch.save(first.select("cid", "n", "ga", "gb").join(some, "cid").where(F.col("c") >= few).drop("c"), "ids")
     scratch.drop("with_leads")
     scratch.free()
     parts = scratch.save(_parts(ids, "ga", 2).union(_parts(ids, "gb", GROUP)), "near_parts")
@@ -407,7 +409,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     chunk = grouped.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("chunks"))
     groups = grouped.join(chunk, "comp").select("cid", F.xxhash64("comp", F.pmod(F.xxhash64("ga", "cid"), "chunks")).alias("gid"))
     groups = scratch.save(groups, "groups")
-    shared = shared.join(ids.select("cid"), "cid", "left_semi").select("token", "pos", "cid", "n")
+    shared = shared.join(ids.select("cid", "n").distinct(), "cid").select("token", "pos", "cid", "n")
 
     # First against each token's major component alone, which takes in most of what is left of large clusters; then
     # everyone, without the questions that have been asked.
