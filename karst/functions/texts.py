@@ -44,13 +44,14 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
-def token_overlap(questions: DataFrame, canon: DataFrame, gap: float = 0.05) -> DataFrame:
+def token_overlap(questions: DataFrame, canon: DataFrame, gap: float = 0.05, others: bool = False) -> DataFrame:
     """The canonical text of most shared words for each question; near ties are ambiguous, none is unresolved.
 
-    Joined on words, so only texts that share one meet."""
+    Joined on words, so only texts that share one meet; with others, a question's own id is no answer to it."""
     q = questions.select("question_id", tokens(F.col("question")).alias("qt"))
     c = canon.select("canon_id", tokens(F.col("canon")).alias("ct"))
     shared = q.select("question_id", F.size("qt").alias("nq"), F.explode("qt").alias("t")).join(c.select("canon_id", F.size("ct").alias("nc"), F.explode("ct").alias("t")), "t")
+    shared = shared.where("question_id <> canon_id") if others else shared
     score = shared.groupBy("question_id", "canon_id", "nq", "nc").agg(F.count("*").alias("both"))
     score = score.withColumn("score", F.col("both") / (F.col("nq") + F.col("nc") - F.col("both")))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "canon_id")

@@ -152,9 +152,10 @@ query("tx_vector_topk", "SELECT query_id, vec_id, pos FROM (SELECT q.vec_id AS q
 query("tx_dim_guard", "SELECT vec_id, CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'wrong_length' END AS rejected FROM embeddings")(lambda v: T.dim_guard(v.embeddings, "embedding", 64).select("vec_id", "rejected"))
 query("tx_token_overlap", """
 WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM benchmark),
-s AS (SELECT q.item_id AS question_id, c.item_id AS canon_id, 1.0 * len(list_intersect(q.w, c.w)) / (len(q.w) + len(c.w) - len(list_intersect(q.w, c.w))) AS score FROM t q JOIN t c ON len(list_intersect(q.w, c.w)) > 0 WHERE q.item_id % 2 = 0)
-SELECT question_id, canon_id, round(score, 6) AS score, CASE WHEN score - coalesce(nxt, 0) < 0.05 THEN 'ambiguous' ELSE 'resolved' END AS state
-FROM (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, canon_id)) WHERE n = 1""")(lambda v: T.token_overlap(v.benchmark.where("item_id % 2 = 0").selectExpr("item_id AS question_id", "text AS question"), v.benchmark.selectExpr("item_id AS canon_id", "text AS canon")))
+s AS (SELECT q.item_id AS question_id, c.item_id AS canon_id, 1.0 * len(list_intersect(q.w, c.w)) / (len(q.w) + len(c.w) - len(list_intersect(q.w, c.w))) AS score FROM t q JOIN t c ON len(list_intersect(q.w, c.w)) > 0 AND q.item_id <> c.item_id)
+SELECT item_id AS question_id, canon_id, round(score, 6) AS score, CASE WHEN canon_id IS NULL THEN 'unresolved' WHEN score - coalesce(nxt, 0) < 0.05 THEN 'ambiguous' ELSE 'resolved' END AS state
+FROM benchmark LEFT JOIN (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, canon_id)) b
+  ON b.question_id = item_id AND b.n = 1""")(lambda v: T.token_overlap(v.benchmark.selectExpr("item_id AS question_id", "text AS question"), v.benchmark.selectExpr("item_id AS canon_id", "text AS canon"), others=True))
 query("tx_catalog_search", "SELECT p_partkey, 1 AS hits FROM part WHERE list_contains(string_split_regex(lower(p_type), '[^a-z0-9]+'), 'promo')")(lambda v: T.catalog_search(v.part, "p_type", ["promo"]).select("p_partkey", "hits"))
 query("tx_context_block", "SELECT conv_id, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS block FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3 GROUP BY 1")(lambda v: T.context_block(v.conversations, "conv_id", "turn", "text", "role"))
 query("po_bind_policy", "SELECT severity, count(*) AS n FROM findings WHERE severity IN ('Critical', 'High', 'Medium') GROUP BY 1")(lambda v: at_or_above(v.findings, "severity", Policy(v.policy).floor("severity_floor"), v.severity_rank).groupBy("severity").agg(F.count("*").alias("n")))
