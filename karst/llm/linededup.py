@@ -2,8 +2,8 @@
 
 A line's hash is the first 32 bits of its MD5. A rolling hash over WINDOW lines, (h[i-1] * 31 + h[i]) mod MODULUS, ends a
 chunk where it is smaller than the one before and no larger than the one after; so boundaries depend on nearby lines only,
-shift with them, and never lie one line apart. A line of over LONE words is a chunk of its own, and no boundary leaves
-another line alone beside it or at a text's end. A chunk of two lines or more, of LEAST characters or more, or a lone line
+shift with them, and never lie one line apart. A line of over LONE words is a chunk of its own, and no low point leaves
+another line alone beside it or at a text's end (a short line between two lone ones is alone, and stays). A chunk of two lines or more, of LEAST characters or more, or a lone line
 of over LONE words, that occurs more than once in the corpus is kept where (doc_id, place) is smallest. Elsewhere it is
 removed if its bytes equal those of the kept one.
 
