@@ -319,13 +319,11 @@ def _opened(percent: int):
     return run
 
 
-def _asked(shared: DataFrame, members: DataFrame, percent: int, scratch: Scratch, name: str, everyone: bool) -> DataFrame:
+def _asked(by: DataFrame, members: DataFrame, percent: int, scratch: Scratch, name: str, everyone: bool) -> DataFrame:
     """(gid, cid): groups that a class must be compared with, of components that share leading tokens.
 
-    shared: (token, pos, cid, n, comp); members: (cid, gid, comp). Each token is one row a component. Components meet a
+    by: (token, comp, c, low, high, first), one row a token and component; members: (cid, gid, comp). Components meet a
     token's major component, the one of most classes there, or all others (everyone), each pair once a token."""
-    facts = [F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first")]
-    by = shared.groupBy("token", "comp").agg(F.count("*").alias("c"), *facts)
     major = by.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major")).where("comps > 1").select("token", "comps", "major")
     matrix = scratch.save(by.join(major, "token"), f"{name}_matrix")
     # Nothing before a pair's first common token is common, and one of the first LEAD common ones has LEAD - 1 before it at
@@ -404,7 +402,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     scratch.drop("near")
     scratch.free()
 
-    comp = F.coalesce("component", "cid").alias("comp")
+    comp, comp_now = (F.coalesce("component", c).alias("comp") for c in ("cid", "comp"))
     grouped = ids.select("cid", "n", "ga").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "ga", comp)
     chunk = grouped.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("chunks"))
     groups = grouped.join(chunk, "comp").select("cid", F.xxhash64("comp", F.pmod(F.xxhash64("ga", "cid"), "chunks")).alias("gid"))
@@ -416,11 +414,19 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links, asked = found.select(F.col("node").alias("u"), F.col("component").alias("v")), None
     for name in ("major", "all"):
         members = scratch.save(groups.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", comp), f"{name}_ids")
-        rows = shared.join(members.select("cid", "comp"), "cid")
-        ask = _asked(rows, members, percent, scratch, name, name == "all")
+        if name == "major":
+            facts = [F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first")]
+            by = shared.join(members.select("cid", "comp"), "cid").groupBy("token", "comp").agg(*facts)
+        else:
+            # components have only merged since, so a token of one component then has one now, and facts merge as they are
+            facts = [F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")]
+            before = scratch.load("major_matrix").select("token", "comp", "c", "low", "high", "first")
+            merged = before.join(found.withColumnRenamed("node", "comp"), "comp", "left")
+            by = merged.groupBy("token", comp_now).agg(*facts)
+        ask = _asked(by, members, percent, scratch, name, name == "all")
         asked = scratch.save(ask if asked is None else ask.join(asked, ["gid", "cid"], "left_anti"), f"{name}_asked")
         far = scratch.save(_across(docs, k, asked, groups, percent, scratch, name), f"{name}_far")
-        scratch.drop(f"{name}_tokens", f"{name}_matrix")
+        scratch.drop(f"{name}_tokens", *(["major_matrix", "all_matrix"] if name == "all" else []))
         scratch.free()
         links = links.union(far.select("u", "v"))
         if name == "major":
