@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixtures import VIEWS
 from ..functions import scalars as S
 from ..operators import graphs as G
 from ..operators import planning as N
@@ -38,8 +39,8 @@ query("gr_code_verdict", "SELECT path, CASE WHEN c = 0 THEN 'inconclusive' WHEN
 query("gr_certainty", "SELECT package_id, concat_ws(',', CASE WHEN package_id % 2 > 0 THEN 'graph' END, CASE WHEN package_id % 3 > 0 THEN 'entries' END) AS unmet, CASE WHEN package_id % 6 = 0 THEN 'known' ELSE 'unknown' END AS certainty FROM packages")(lambda v: N.certainty(v.packages.select("package_id"), {"graph": F.expr("package_id % 2 = 0"), "entries": F.expr("package_id % 3 = 0")}))
 query("gr_library_kind", "SELECT p_partkey AS module, CASE WHEN p_partkey % 2 = 0 THEN 'own_file' WHEN p_partkey % 3 = 0 THEN 'built_in' WHEN p_partkey % 5 = 0 THEN 'ours' ELSE 'third_party' END AS kind FROM part")(lambda v: N.library_kind(v.part.selectExpr("p_partkey AS module"), *(v.part.where(f"p_partkey % {k} = 0").selectExpr("p_partkey AS module") for k in (2, 3, 5))))
 query("gr_reached_through", "SELECT DISTINCT child AS package, parent AS through FROM requirements WHERE parent % 3 = 0")(lambda v: N.reached_through(v.requirements.selectExpr("child AS package", "parent"), v.part.where("p_partkey % 3 = 0").selectExpr("p_partkey AS package")))
-_TREE = "WITH RECURSIVE r(node, d) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 160 UNION SELECT q.parent, r.d + 1 FROM r JOIN (SELECT p_partkey AS child, CAST(floor(p_partkey / 2) AS BIGINT) AS parent FROM part WHERE p_partkey > 1) q ON q.child = r.node WHERE r.d < 3)"
-_walk = lambda v: G.reach(v.part.where("p_partkey > 1").selectExpr("p_partkey AS from_key", "CAST(floor(p_partkey / 2) AS BIGINT) AS to_key"), v.part.where("p_partkey = 160").selectExpr("p_partkey AS node"), 3)
+_TREE = ("WITH RECURSIVE r(node, d) AS (SELECT package_id, 0 FROM ({seeds}) UNION SELECT q.parent, r.d + 1 FROM r JOIN (SELECT p_partkey AS child, CAST(floor(p_partkey / 2) AS BIGINT) AS parent FROM part WHERE p_partkey > 1) q ON q.child = r.node WHERE r.d < 3)").format(seeds=f"SELECT package_id FROM ({VIEWS['packages']}) WHERE is_deleted")
+_walk = lambda v: G.reach(v.part.where("p_partkey > 1").selectExpr("p_partkey AS from_key", "CAST(floor(p_partkey / 2) AS BIGINT) AS to_key"), v.packages.where("is_deleted").select(F.col("package_id").alias("node")), 3)
 query("gr_install_walk", f"{_TREE} SELECT node, min(d) AS distance FROM r GROUP BY 1")(lambda v: _walk(v).select("node", "distance"))
 query("gr_pins_on_path", f"{_TREE} SELECT p_partkey AS tree, CASE WHEN p_size % 2 = 0 THEN '==1.0' ELSE '>=1' END AS spec, CASE WHEN d IS NULL THEN 'ignored:not_reached' WHEN d = 0 THEN 'source' WHEN p_size % 2 = 0 THEN 'ships' ELSE 'request' END AS role FROM part LEFT JOIN (SELECT node, min(d) AS d FROM r GROUP BY 1) w ON p_partkey = w.node")(lambda v: N.pins_on_path(_walk(v), v.part.selectExpr("p_partkey AS tree", "CASE WHEN p_size % 2 = 0 THEN '==1.0' ELSE '>=1' END AS spec")))
 query("gr_must_move", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'member' WHEN 1 THEN 'fine' WHEN 2 THEN 'undecidable' ELSE 'fine' END AS move FROM part")(lambda v: N.must_move(v.part.selectExpr("p_partkey", "CASE p_size % 4 WHEN 0 THEN '==1.0' WHEN 1 THEN '>=1,<3' WHEN 2 THEN 'workspace:*' ELSE '^2.0' END AS spec"), F.lit("2.5")).select("p_partkey", "move"))
