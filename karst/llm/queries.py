@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import addquant, idfile, langid, linededup, nearvec, packing, pieces, pii, setjoin, warc
+from . import addquant, idfile, langid, linededup, nearvec, packing, phrases, pieces, pii, setjoin, toxicity, warc, whitening
 from .common import Scratch
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,18 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return setjoin.link_components(table(spark, sf_dir, "documents"), 4, 85)
 
 
+def op11_incremental_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_first_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_ratio_scaled_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +82,9 @@ QUERIES = {
         op8_rotation_code_dedup,
         op9_max_plus_pieces,
         op10_semi_markov_pii,
+        op11_incremental_whitening,
+        op12_best_first_phrases,
+        op13_ratio_scaled_toxicity,
     )
 }
-ORACLE = {"op3_line_chunk_dedup": linededup.ORACLE}
+ORACLE = {"op3_line_chunk_dedup": linededup.ORACLE, "op12_best_first_phrases": phrases.ORACLE}
