@@ -112,4 +112,5 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
-    return f"WITH {ctes}, {sql[4:]}" if re.match(r"WITH\b", sql) else f"WITH {ctes} {sql}"
+    own = re.match(r"WITH( RECURSIVE)?\b", sql)
+    return f"{own[0]} {ctes}, {sql[own.end() :]}" if own else f"WITH {ctes} {sql}"

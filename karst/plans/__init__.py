@@ -4,7 +4,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("basic", "more", "planning")
+MODULES = ("basic", "more", "planning", "stateful")
 
 
 def _load():

@@ -230,13 +230,7 @@ query("snk_quarantine", "SELECT finding_id, concat_ws(',', CASE WHEN cve_id IS N
 # ------------------------------------------------ streams, run over all rows that are there
 
 _events = lambda v: X.stream_table(v.spark, f"{v.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-query("st_idempotent_ingest", "SELECT DISTINCT user_id, event_type FROM events")(lambda v: X.run_to_end(_events(v).select("user_id", "event_type", "ts").withWatermark("ts", "3650 days").dropDuplicates(["user_id", "event_type"])).select("user_id", "event_type"))
 query("st_tumbling_counts", "SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda v: X.run_to_end(X.tumbling_counts(_events(v), "ts", "event_type"), "complete"))
 query("st_sliding_failures", "SELECT start, user_id, count(*) AS failures FROM (SELECT user_id, to_timestamp(epoch(time_bucket(INTERVAL '3 hours', CAST(ts AS TIMESTAMP))) - o * 10800)::TIMESTAMP AS start FROM events, (VALUES (0), (1)) AS t(o) WHERE event_type = 'error') GROUP BY 1, 2")(lambda v: X.run_to_end(X.sliding_failures(_events(v).where("event_type = 'error'"), "ts", "user_id"), "complete"))
 query("st_session_folding", "SELECT min(ts) AS start, max(ts) + INTERVAL '30' MINUTE AS \"end\", user_id, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS c FROM audit)) GROUP BY user_id, g")(lambda v: X.session_folding(v.audit, "ts", "user_id"))
-query("st_late_run_guard", "SELECT source, max_by(status, (ts, event_id)) AS status FROM runs GROUP BY 1")(lambda v: X.late_run_guard(v.runs, "source", ["ts", "event_id"], "status"))
-query("st_incremental_watermark", "SELECT event_id, status FROM runs")(lambda v: X.incremental(v.runs, "event_id", [300, 700], lambda df: df.select("event_id", "status")))
-query("st_lockout", "SELECT event_id, user_id, streak FROM (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS BIGINT) AS streak FROM (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT event_id, ts, user_id % 10 AS user_id, ok FROM audit))) WHERE NOT ok AND streak % 2 = 0")(lambda v: X.lockout(v.audit.withColumn("user_id", F.expr("user_id % 10")), "user_id", ["ts", "event_id"], "ok", 2).select("event_id", "user_id", "streak"))
 query("st_stream_static_enrich", "SELECT e.event_id, c.c_mktsegment AS segment FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey")(lambda v: X.run_to_end(X.static_enrich(_events(v).select("event_id", "user_id"), v.customer.selectExpr("c_custkey AS user_id", "c_mktsegment AS segment"), "user_id")).select("event_id", "segment"))
-query("st_live_alerts", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 50")(lambda v: X.run_to_end(X.live_alerts(_events(v).where("event_type = 'error' AND value > 50").select("user_id", "ts"), "true", ["user_id"], "ts")).select("user_id").distinct())
-query("st_cursor_per_source", "SELECT source, max(event_id) AS cursor, count(*) AS n FROM runs GROUP BY 1")(lambda v: v.runs.groupBy("source").agg(F.max("event_id").alias("cursor"), F.count("*").alias("n")))

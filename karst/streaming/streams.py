@@ -4,9 +4,7 @@ Tumbling, sliding and session windows re-aim activity and audit summaries at str
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graphs import shared_dir
@@ -33,12 +31,37 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
 
         q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    _until_the_end(stream.sparkSession, base)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def feed(parts: list[DataFrame], trigger: int = 1) -> DataFrame:
+    """The parts as a stream that takes so many files at a time, each part's files after those of the parts before it."""
+    import uuid
+
+    spark = parts[0].sparkSession
+    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    _until_the_end(spark, path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", trigger).parquet(path)
+
+
+def _until_the_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends."""
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(made)
+
+
 def idempotent_ingest(stream: DataFrame, key: list[str], ts: str, late: str = "10 minutes") -> DataFrame:
-    """A scan sent again changes nothing."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key) if stream.isStreaming else stream.dropDuplicates(key)
+    """A row sent again changes nothing, if it comes within the delay; state is kept for the delay.
+
+    Over a whole table: the first row in time of each key."""
+    if stream.isStreaming:
+        return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
+    row = F.struct(ts, *(c for c in stream.columns if c != ts))
+    first = stream.groupBy(*key).agg(F.min(row).alias("karst row"))
+    return first.select(*(F.col("karst row").getField(c).alias(c) for c in stream.columns))
 
 
 def tumbling_counts(events: DataFrame, ts: str, by: str, size: str = "1 day") -> DataFrame:
@@ -56,39 +79,15 @@ def session_folding(events: DataFrame, ts: str, by: str, gap: str = "30 minutes"
     return out.groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def late_run_guard(runs: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """The value of the newest run of each key: an older run that arrives later changes nothing."""
-    return runs.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
-
-
-def after_mark(df: DataFrame, column: str, mark) -> DataFrame:
-    """Rows beyond a stored high-water mark; without a mark, all."""
-    return df if mark is None else df.where(F.col(column) > F.lit(mark))
-
-
-def incremental(df: DataFrame, column: str, marks: list, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A job run increment by increment up to each mark, appended."""
-    out, last = None, None
-    for mark in [*marks, None]:
-        part = after_mark(df, column, last)
-        part = job(part if mark is None else part.where(F.col(column) <= F.lit(mark)))
-        out, last = part if out is None else out.unionByName(part), mark
-    return out
-
-
-def lockout(events: DataFrame, user: str, order: list[str], ok: str, limit: int = 5) -> DataFrame:
-    """The events at which a user is locked: each limit-th failure in a row; a success resets."""
-    w = Window.partitionBy(user).orderBy(*order)
-    run = events.withColumn("_s", F.sum(F.col(ok).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("streak", F.sum((~F.col(ok)).cast("int")).over(Window.partitionBy(user, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    return run.where(~F.col(ok) & (F.col("streak") % limit == 0)).drop("_s")
-
-
 def static_enrich(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
     """A stream's rows with an inventory's columns, whether the inventory has them or not."""
     return stream.join(static, key, "left")
 
 
-def live_alerts(stream: DataFrame, condition: str, key: list[str], ts: str) -> DataFrame:
-    """Rows that meet a rule, each key once."""
-    return idempotent_ingest(stream.where(condition), key, ts)
+def live_alerts(stream: DataFrame, condition: str, key: list[str], ts: str, every: str = "1 day") -> DataFrame:
+    """(key..., since): one alert for each key and period in which a row meets a rule, as soon as the first one comes.
+
+    Rows of one period lie within its length of each other, so that length as the delay is enough to know them again."""
+    hits = stream.where(condition).select(*key, ts, F.window(ts, every)["start"].alias("since"))
+    once = hits.withWatermark(ts, every).dropDuplicatesWithinWatermark([*key, "since"]) if stream.isStreaming else hits.dropDuplicates([*key, "since"])
+    return once.select(*key, "since")
