@@ -1,10 +1,11 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text's features are the n-grams of 3 to 6 bytes of its lower-cased words (letters, digits and wider bytes; each
-word with a space on both sides), hashed to 2**BITS numbers. Over all labelled documents, distributed, it is counted in how many
-of each class a feature occurs; its log-count ratio r scales it, and a logistic regression over the scaled features is
-fitted on a bounded sample: the SAMPLE documents of each class with the smallest hashes of id and text. A score is
-the logistic of the sum of r * w * value over the distinct n-grams of the whole text.
+word with a space on both sides), hashed to 2**BITS numbers. The classifier is fitted on a bounded sample: the SAMPLE
+labelled ids of each class with the smallest hashes. Their documents are found without moving any text: the sampled ids, at
+most 2 * SAMPLE, are broadcast. In how many documents of each class a feature occurs is counted by Spark; the log-count ratio
+r of these counts scales the feature in a logistic regression. A score is the logistic of the sum of r * w * value over the
+distinct n-grams of the whole text.
 
 A feature's value in a text is log(1 + RATE * its count / the text's words), so that a word that comes once by chance in a
 long text weighs less than one that keeps coming. A ratio that is less than SURE standard errors from zero is taken as
@@ -19,13 +20,13 @@ read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, utf8_blocks
 
-#: The bound of the sample that the weights are fitted on, documents a class.
-SAMPLE = 1500
+#: The bound of the sample that the classifier is fitted on, ids a class.
+SAMPLE = 4000
 BITS, SIZES, SURE, SMOOTH, RIDGE, FIT_STEPS, RATE = 18, (3, 4, 5, 6), 3.0, 1.0, 1e-3, 300, 300
 WIDTH = 1 << BITS
 
@@ -172,15 +173,17 @@ def fit(features: list[np.ndarray], value: list[np.ndarray], toxic: np.ndarray,
     return Model(weights, float(w[-1]))
 
 
-def sample(labelled: DataFrame, totals: np.ndarray) -> DataFrame:
-    """A few more than SAMPLE rows (h, text, toxic) of each class, those with the smallest hashes of ids and texts."""
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, (2.0 * SAMPLE + 20) / totals[1]))).otherwise(F.lit(min(1.0, (2.0 * SAMPLE + 20) / totals[0])))
-    rows = labelled.select(F.xxhash64("doc_id", "text", F.lit(13)).alias("h"), "text", "toxic")
-    return rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+def sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of the documents of at most SAMPLE ids of each class, those with the smallest hashes, of (doc_id, toxic)."""
+    there = marks.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit(13)))
+    few = [there.where(F.col("toxic") == mark).orderBy("h", "doc_id").limit(SAMPLE) for mark in (0, 1)]
+    ids = [tuple(r) for part in few for r in part.select("doc_id", "toxic").collect()]  # 2 * SAMPLE at most
+    known = docs.sparkSession.createDataFrame(ids, marks.select("doc_id", "toxic").schema)
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
 def train(labelled: DataFrame) -> Model | None:
-    """Fit a model on documents (doc_id, text, toxic 0 or 1); None without both classes."""
+    """Fit a model on a sample (doc_id, text, toxic 0 or 1); None without both classes."""
     counts, totals = np.zeros((2, WIDTH), np.int64), np.zeros(2, np.int64)
     table = class_counts(labelled).toArrow()  # at most 2 * (WIDTH + 1) rows at any size
     feature, mark, n = (np.asarray(table.column(i).combine_chunks()) for i in range(3))
@@ -198,13 +201,14 @@ def train(labelled: DataFrame) -> Model | None:
             own = [(f.astype("<i4").tobytes(), v.tobytes()) for _, f, v in values(batch.column(1), use)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in own], pa.binary()) for i in (0, 1)), batch.column(2)], ["h", "features", "vals", "toxic"])
 
-    few = small_batches(sample(labelled, totals)).mapInArrow(run, "h long, features binary, vals binary, toxic int")
-    rows = []
-    for mark in (0, 1):  # SAMPLE rows at most, of features that are sure
-        rows += few.where(F.col("toxic") == mark).orderBy(F.pmod("h", F.lit(1 << 30)), "h", "features").limit(SAMPLE).select("features", "vals", "toxic").collect()
-    if not rows:
-        return None
-    return fit([np.frombuffer(f, "<i4") for f, _, _ in rows], [np.frombuffer(v, float) for _, v, _ in rows], np.array([y for _, _, y in rows]), ratio)
+    sized = labelled.select(F.xxhash64("doc_id", "text", F.lit(13)).alias("h"), "text", F.col("toxic").cast("int"))
+    few = small_batches(sized).mapInArrow(run, "h long, features binary, vals binary, toxic int")
+    # ids that have many documents do not make the sample longer: SAMPLE rows a class, of features that are sure
+    order = F.row_number().over(Window.partitionBy("toxic", F.pmod("h", F.lit(64))).orderBy("h", "features"))
+    few = few.withColumn("place", order).where(F.col("place") <= SAMPLE // 64 * 2)
+    rows = sorted(few.select("h", "features", "vals", "toxic").collect(), key=lambda r: (r[3], r[0], r[1]))
+    rows = [r for mark in (0, 1) for r in [r for r in rows if r[3] == mark][:SAMPLE]]
+    return fit([np.frombuffer(r[1], "<i4") for r in rows], [np.frombuffer(r[2], float) for r in rows], np.array([r[3] for r in rows]), ratio)
 
 
 def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
@@ -230,7 +234,7 @@ def held_out():
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Train on the labelled documents that are not held out and score all: doc_id, held_out, score, predicted."""
-    marks = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text").join(marks, "doc_id")
-    out = predict(docs.select("doc_id", "text").withColumn("held_out", held_out()), train(labelled), ["doc_id", "held_out"])
+    marks = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    out = predict(docs.select("doc_id", "text").withColumn("held_out", held_out()), train(sample(docs, marks)), ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
