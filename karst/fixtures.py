@@ -74,6 +74,38 @@ FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01 00:00:00' GROUP BY 1""",
 SELECT CONCAT('f', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS fingerprint,
        min(concat('src/f', CAST(CAST(floor(l_partkey / 5) AS BIGINT) AS VARCHAR(20)), CASE WHEN l_linenumber = 6 THEN '.pyi' ELSE '.py' END)) AS path, min(l_linestatus) AS rule
 FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01 00:00:00' GROUP BY 1""",
+    "target_cases": """
+SELECT p_partkey AS package_id, p_size, CAST(floor(p_partkey / 7) AS INT) AS n, CAST(floor(p_partkey / 7) AS INT) % 14 AS k, CAST(floor(p_partkey / 7) AS INT) % 5 AS s FROM part""",
+    "target_packages": """
+SELECT package_id, 'npm' AS ecosystem, concat('lib', CAST(n AS VARCHAR(20))) AS name,
+       CASE WHEN k <> 5 THEN concat('1.', CAST(s + p_size % 2 AS VARCHAR(20)), '.0') END AS installed,
+       CASE WHEN k = 3 THEN '2.1.0' WHEN k = 10 THEN '2.4.0' WHEN k = 7 THEN '2.0.0' WHEN k = 9 THEN concat('1.', CAST(s + 1 AS VARCHAR(20)), '.0')
+            WHEN k <> 4 OR p_size % 3 > 0 THEN concat('1.', CAST(s + 2 AS VARCHAR(20)), '.0') END AS scanner_target
+FROM target_cases""",
+    "target_templates": """
+SELECT * FROM (VALUES (0, 'A', '0', '+2', NULL), (1, 'A', '0', '+2', NULL), (1, 'B', '+2', '+4', NULL), (2, 'A', '0', '2.0.0', NULL), (3, 'A', '0', '1.7.0-rc1', NULL), (5, 'A', '0', '+2', NULL),
+  (6, 'A', '0', '+2', NULL), (6, 'B', '0', '+5', NULL), (7, 'A', '0', '+2', NULL), (7, 'B', '+2', '+3', NULL), (7, 'C', '+3', '+6', NULL), (8, 'A', '0', '+2', NULL), (8, 'B', '+2', NULL, NULL), (9, 'A', '0', NULL, NULL),
+  (10, 'A', '0', '+3', NULL), (10, 'A', '2.0.0', '2.4.0', NULL), (11, 'A', '0', NULL, '+1'), (12, 'A', '0', '+2', NULL), (12, 'B', 'oops', '+9', NULL), (13, 'A', '0', '+2', NULL), (13, 'B', '+2', '2.0.0', NULL))
+  AS t(k, advisory, lo, hi, last)""",
+    "target_spans": """
+SELECT DISTINCT 'npm' AS ecosystem, concat('lib', CAST(n AS VARCHAR(20))) AS name, advisory,
+       CASE WHEN lo LIKE '+%' THEN concat('1.', CAST(s + CAST(substr(lo, 2) AS INT) AS VARCHAR(20)), '.0') ELSE lo END AS introduced,
+       CASE WHEN hi LIKE '+%' THEN concat('1.', CAST(s + CAST(substr(hi, 2) AS INT) AS VARCHAR(20)), '.0') ELSE hi END AS fixed,
+       CASE WHEN last LIKE '+%' THEN concat('1.', CAST(s + CAST(substr(last, 2) AS INT) AS VARCHAR(20)), '.0') ELSE last END AS last_affected
+FROM target_cases JOIN target_templates USING (k)""",
+    "type_parts": """
+SELECT p_partkey AS id, p_partkey % 5 AS a, p_size % 4 AS b, p_partkey % 6 AS c, p_size % 7 AS d,
+       CASE p_partkey % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'typing.List[str]' WHEN 2 THEN 'Literal["a|b, c"]' WHEN 3 THEN 'mymod.Dict' ELSE 'Tuple' END AS x,
+       CASE p_size % 4 WHEN 0 THEN 'str' WHEN 1 THEN 'Callable[[int, A | B], None]' WHEN 2 THEN 'None' ELSE 'dict[str, int]' END AS y
+FROM part""",
+    "type_pairs": """
+SELECT id, a, b, c, d, CASE c WHEN 0 THEN x WHEN 1 THEN concat('Optional[', x, ']') WHEN 2 THEN concat('Union[', y, ', ', x, ']') WHEN 3 THEN concat(x, ' | ', y, ' |', x)
+            WHEN 4 THEN concat('Optional[Union[', x, ',', y, ']]') ELSE concat('Union[', x, ', Optional[', y, '], ', y, '|int]') END AS t
+FROM type_parts""",
+    "type_spellings": """
+SELECT id, CASE d WHEN 0 THEN t WHEN 1 THEN concat('Dict[str, ', t, ']') WHEN 2 THEN concat(' typing.Optional[ ', t, ' ]') WHEN 3 THEN concat('t.Set[List[', t, ']]')
+            WHEN 4 THEN concat('other.Union[', t, ', int]') WHEN 5 THEN concat('Foo[', t) ELSE concat(t, ' | None') END AS spelling
+FROM type_pairs""",
     "scan_scope": "SELECT DISTINCT concat('src/f', CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS VARCHAR(20)), '.py') AS path FROM part WHERE p_size < 40",
 }
 
@@ -89,7 +121,7 @@ class Views:
             if name in VIEWS:
                 import re
 
-                read = {t: self.table(t) for t in set(re.findall(r"\w+", VIEWS[name])) & set(TABLES)}
+                read = {t: self.table(t) for t in set(re.findall(r"\b(?:FROM|JOIN) (\w+)", VIEWS[name])) & {*TABLES, *VIEWS}}
                 # named arguments keep the base tables out of the session's catalogue
                 text = re.sub(r"\b(FROM|JOIN) (" + "|".join(read or ["none"]) + r")\b", r"\1 {\2}", VIEWS[name])
                 self.made[name] = self.spark.sql(text, **read)
@@ -104,11 +136,16 @@ class Views:
 
 
 def with_views(sql: str) -> str:
-    """The SQL preceded by the views it names, for DuckDB."""
+    """The SQL preceded by the views it names, and those that these name, for DuckDB."""
     import re
 
-    names = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
-    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in names)
+    names: set[str] = set()
+    new = {v for v in VIEWS if re.search(rf"\b{v}\b", sql)}
+    while new:
+        names |= new
+        new = {v for v in VIEWS if v not in names and any(re.search(rf"\b{v}\b", VIEWS[n]) for n in names)}
+    # in the order in which they are defined, which is that in which they build on each other
+    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in names)
     sql = sql.strip()
     if not ctes:
         return sql

@@ -131,11 +131,18 @@ def version_key(version: Column) -> Column:
 
 
 def semver_key(version: Column) -> Column:
-    """Release numbers, then whether it is a release, then the pre-release identifiers."""
-    part = lambda i: F.regexp_extract(version, r"^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:-([0-9A-Za-z.-]+))?", i)
-    number = lambda i: F.coalesce(F.nullif(part(i), F.lit("")).cast("long"), F.lit(0))
-    identifiers = F.transform(F.split(part(4), r"\."), lambda t: F.struct(F.when(t.rlike(r"^\d+$"), 0).otherwise(1).alias("word"), F.when(t.rlike(r"^\d+$"), F.lpad(t, 20, "0")).otherwise(t).alias("value")))
-    return F.when(part(1) != "", F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), (part(4) == "").alias("release"), identifiers.alias("pre")))
+    """Release numbers, then whether it is a release, then the pre-release identifiers; null for what is no strict version.
+
+    Three numbers without leading zeros, then -identifiers and +build words, which do not count."""
+    number = r"(0|[1-9]\d*)"
+    pattern = rf"^\s*[v=]?\s*{number}\.{number}\.{number}(?:-([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*))?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?\s*$"
+    part = lambda i: F.regexp_extract(version, pattern, i)
+    # numbers of any length compare as text behind their length
+    sized = lambda t: F.concat(F.lpad(F.length(t).cast("string"), 4, "0"), t)
+    bare = lambda t: F.regexp_replace(t, r"^0+(?=\d)", "")
+    identifiers = F.transform(F.split(part(4), r"\."), lambda t: F.struct(F.when(t.rlike(r"^\d+$"), 0).otherwise(1).alias("word"), F.when(t.rlike(r"^\d+$"), sized(bare(t))).otherwise(t).alias("value")))
+    pre = F.when(part(4) == "", F.array().cast("array<struct<word:int,value:string>>")).otherwise(identifiers)
+    return F.when(part(1) != "", F.struct(sized(part(1)).alias("major"), sized(part(2)).alias("minor"), sized(part(3)).alias("patch"), (part(4) == "").alias("release"), pre.alias("pre")))
 
 
 def pep440_key(version: Column) -> Column:
@@ -222,13 +229,3 @@ def sla_state(due: Column, as_of: Column, lead_days: int) -> Column:
 
 def age_days(ts: Column, as_of: Column) -> Column:
     return F.datediff(as_of, ts)
-
-
-def canonical_type(text: Column) -> Column:
-    """Old and new spellings of a type alike: Optional and Union become sorted alternatives, generics lower case."""
-    c = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), r"\btyping\.", "")
-    c = F.regexp_replace(c, r"^Optional\[(.*)\]$", "$1|None")
-    c = F.regexp_replace(F.regexp_replace(c, r"^Union\[(.*)\]$", "$1"), r",(?![^\[]*\])", "|")
-    for old, new in (("List", "list"), ("Dict", "dict"), ("Tuple", "tuple"), ("Set", "set")):
-        c = F.regexp_replace(c, rf"\b{old}\[", f"{new}[")
-    return F.array_join(F.array_sort(F.split(c, r"\|")), "|")

@@ -53,9 +53,11 @@ def closed_domain(df: DataFrame, column: str, domain: DataFrame) -> DataFrame:
 
 
 def parse_terms(query: str, limit: int = 8) -> list[tuple[str, bool]]:
-    """Words, quoted phrases and -exclusions of a query as (term, wanted)."""
+    """Words, quoted phrases and -exclusions of a query as (term, wanted); more than `limit` are an error, none is dropped."""
     found = re.findall(r'(-?)(?:"([^"]+)"|(\S+))', query)
-    return [((phrase or word).lower(), sign != "-") for sign, phrase, word in found][:limit]
+    if len(found) > limit:
+        raise ValueError(f"{len(found)} terms; at most {limit} are searched")
+    return [((phrase or word).lower(), sign != "-") for sign, phrase, word in found]
 
 
 def term_search(parents: DataFrame, children: DataFrame, key: str, text: str, child_text: str, query: str) -> DataFrame:
@@ -70,8 +72,8 @@ def term_search(parents: DataFrame, children: DataFrame, key: str, text: str, ch
 
 
 def topic(df: DataFrame, columns: list[str], word: str) -> DataFrame:
-    """Case-insensitive substring on any of several columns."""
-    return df.where(reduce(lambda a, b: a | b, (F.coalesce(F.col(c).ilike(f"%{word}%"), F.lit(False)) for c in columns)))
+    """Case-insensitive substring on any of several columns; no character of the word is a wildcard."""
+    return df.where(reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(c), F.lower(F.lit(word))), F.lit(False)) for c in columns)))
 
 
 _OPERATORS = {"eq": lambda c, v: c == v, "ne": lambda c, v: ~c.eqNullSafe(F.lit(v)), "gt": lambda c, v: c > v, "ge": lambda c, v: c >= v, "lt": lambda c, v: c < v, "le": lambda c, v: c <= v, "in": lambda c, v: c.isin(v), "contains": lambda c, v: c.contains(v), "is_null": lambda c, v: c.isNull() if v else c.isNotNull()}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pep440_key
+from ..functions.types import canonical_type
 
 _COMPARATOR = r"^(>=|<=|===?|!=|~=|>|<|\^|~|=)?\s*v?([0-9]+(?:\.[0-9]+)*[0-9A-Za-z.+-]*?)(\.[*x])?$"
 
@@ -185,17 +186,6 @@ def runtime_stale(verdicts: DataFrame, running: DataFrame, key: str) -> DataFram
     return verdicts.join(running.select(key).distinct().withColumn("_r", F.lit(True)), key, "left").withColumn("stale", F.col("_r").isNull()).drop("_r")
 
 
-def clean_target(candidates: DataFrame, affected: DataFrame, key) -> DataFrame:
-    """(package_id, candidate, installed) -> the lowest candidate above the installed version without open advisories, on its line first."""
-    from ..functions.scalars import prerelease, version_line
-
-    c, i = F.col("candidate"), F.col("installed")
-    clean = candidates.join(affected.select("package_id", "candidate"), ["package_id", "candidate"], "left_anti").where((key(c) > key(i)) & ~prerelease(c))
-    order = F.struct((version_line(c) != version_line(i)).alias("off"), key(c).alias("k"))
-    best = clean.groupBy("package_id").agg(F.min_by("candidate", order).alias("target"))
-    return candidates.select("package_id").distinct().join(best, "package_id", "left")
-
-
 def classify_fix(rows: DataFrame, declared: DataFrame, key=pep440_key) -> DataFrame:
     """lock_only, edit_declaration, not_declared, declined:no_target or declined:unreadable, for (package_id, target)."""
     out = rows.join(declared.select("package_id", "spec"), "package_id", "left")
@@ -228,80 +218,104 @@ def scope_check(places: DataFrame, planned: DataFrame, current: DataFrame) -> Da
     return out.select(*keys, F.when(F.col("_c").isNull(), "stale").when(F.col("_p"), "in_plan").otherwise("out_of_scope").alias("state"))
 
 
-def signature_change(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(symbol, params: array of name, kind, default, type) before and after -> what changed, and what of it can break a call.
+_PARAM = "struct<name:string,kind:string,default:string,type:string>"
+_FACT = "struct<rule:string,name:string,at:int>"
+
 
-    Kinds are posonly, pos, kw, args and kwargs. `breaks` lists (rule, name, at): what changed for callers, at which place
-    of the positional sequence. Parameters are compared by place and by name within a row, so symbols meet once, by name.
-    A change of names alone that no caller can notice (an optional parameter behind all others) is annotation_only."""
-    both = old.select("symbol", F.col("params").alias("a")).join(new.select("symbol", F.col("params").alias("b")), "symbol", "full_outer")
+def signature_change(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Declarations before and after -> what changed, and what of it can break a call.
+
+    A declaration is (symbol, params: array of name, kind, default, type), and where it has them kind, returns, bases (array of
+    strings, for a class) and value (for an attribute). Parameters' kinds are posonly, pos, kw, args and kwargs. `breaks` lists
+    (rule, name, at): what changed for callers, at which place of the positional sequence. Types, and defaults that are types,
+    are alike in any spelling. A change that no caller can notice (an optional parameter behind all others, a type)
+    is annotation_only; a side without any declaration, or declarations of two sorts, are opaque: nothing is known."""
+    has = lambda df, c, t: (F.col(c) if c in df.columns else F.lit(None)).cast(t)
+    fields = (("params", f"array<{_PARAM}>"), ("kind", "string"), ("returns", "string"), ("bases", "array<string>"), ("value", "string"))
+    side = lambda df, new: df.select("symbol", F.struct(*(has(df, c, t).alias(c) for c, t in fields)).alias("d"), F.lit(new).alias("new"))
+    rows = side(old, False).unionByName(side(new, True))
+    # every type of a declaration in one list: defaults, types, bases, value; null for what it does not have
+    each = lambda field: F.coalesce(F.transform("d.params", lambda p: p[field]), F.array().cast("array<string>"))
+    texts = F.concat(each("default"), each("type"), F.coalesce("d.bases", F.array().cast("array<string>")), F.array("d.value"))
+    rows = rows.withColumn("types", F.transform(texts, lambda t: canonical_type(t)))
+    n, m = F.coalesce(F.size("d.params"), F.lit(0)), F.coalesce(F.size("d.bases"), F.lit(0))
+    n, m = F.greatest(n, F.lit(0)), F.greatest(m, F.lit(0))
+    plain = F.transform("d.params", lambda p, i: F.struct(p["name"].alias("name"), p["kind"].alias("kind"), F.get("types", i).alias("default"), F.get("types", i + n).alias("type")))
+    rows = rows.select("symbol", "new", F.struct("d", plain.alias("params"), F.when(F.col("d.bases").isNotNull(), F.slice("types", 2 * n + 1, m)).alias("bases"), F.element_at("types", -1).alias("value")).alias("x"))
+    # a symbol declared several times is taken as its greatest declaration
+    both = rows.groupBy("symbol").agg(F.max(F.when(~F.col("new"), F.col("x"))).alias("xo"), F.max(F.when(F.col("new"), F.col("x"))).alias("xn"))
+    both = both.select("symbol", "xo", "xn", F.col("xo.d").alias("o"), F.col("xn.d").alias("n"), F.col("xo.params").alias("a"), F.col("xn.params").alias("b"))
+    two = F.col("a").isNotNull() & F.col("b").isNotNull()
+    both = both.withColumn("breaks", F.when(two, _facts(F.col("a"), F.col("b"))).otherwise(F.array().cast(f"array<{_FACT}>")))
     names = lambda c: F.transform(c, lambda p: p["name"])
-    part = lambda f: F.exists(F.zip_with("a", "b", lambda x, y: ~x[f].eqNullSafe(y[f])), lambda d: d)
-    both = both.withColumn("breaks", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), _facts(F.col("a"), F.col("b"))).otherwise(F.array().cast("array<struct<rule:string,name:string,at:int>>")))
-    hard = F.size(F.filter("breaks", lambda f: f["rule"] != "default_changed"))
-    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a").eqNullSafe(F.col("b")), "identical").when((names("a") != names("b")) & (hard > 0), "params_changed").when((names("a") == names("b")) & part("kind"), "kind_changed").when(F.size("breaks") > 0, F.when(hard > 0, "params_changed").otherwise("default_changed")).otherwise("annotation_only")
+    kinds = F.exists(F.zip_with("a", "b", lambda x, y: ~x["kind"].eqNullSafe(y["kind"])), lambda d: d)
+    hard = F.size(F.filter("breaks", lambda f: f["rule"] != "default_changed")) > 0
+    same = names("a") == names("b")
+    function = F.when(~same & hard, "params_changed").when(same & kinds, "kind_changed").when(hard, "params_changed").when(F.size("breaks") > 0, "default_changed").otherwise("annotation_only")
+    bare = lambda s: F.col(f"{s}.params").isNull() & F.col(f"{s}.bases").isNull() & F.col(f"{s}.value").isNull()
+    classes = F.when(F.col("xo.bases") == F.col("xn.bases"), "identical").otherwise("bases_changed")
+    values = F.when(F.col("xo.value").eqNullSafe(F.col("xn.value")), "identical").otherwise("value_changed")
+    change = (
+        F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(bare("o") | bare("n"), "opaque").when(F.col("o.kind") != F.col("n.kind"), "became_other")
+        .when(F.col("o").eqNullSafe(F.col("n")), "identical").when(two, function).when(F.col("a").isNotNull() | F.col("b").isNotNull(), "opaque")
+        .when(F.col("o.bases").isNotNull() & F.col("n.bases").isNotNull(), classes).when(F.col("o.value").isNotNull() & F.col("n.value").isNotNull(), values).otherwise("opaque")
+    )
     gone = F.size(F.array_except(names("a"), names("b")))
     need = F.size(F.filter("b", lambda p: p["default"].isNull() & p["kind"].isin("posonly", "pos", "kw") & ~F.array_contains(names("a"), p["name"])))
-    return both.select("symbol", change.alias("change"), F.coalesce(gone, F.lit(0)).alias("removed_params"), F.coalesce(need, F.lit(0)).alias("new_required"), "breaks")
+    return both.select("symbol", change.alias("change"), F.greatest(F.coalesce(gone, F.lit(0)), F.lit(0)).alias("removed_params"), F.greatest(F.coalesce(need, F.lit(0)), F.lit(0)).alias("new_required"), "breaks")
 
 
 def _facts(a: Column, b: Column) -> Column:
-    """What callers can notice between two parameter lists, as (rule, name, at)."""
-    placed = lambda c: F.filter(c, lambda p: p["kind"].isin("posonly", "pos"))
-    named = lambda c: F.filter(c, lambda p: p["kind"].isin("pos", "kw"))
-    called = lambda c, name: F.try_element_at(F.filter(c, lambda p: p["name"] == name), F.lit(1))
-    fact = lambda rule, name, at: F.struct(rule.alias("rule"), name.alias("name"), at.cast("int").alias("at"))
-    have = lambda c, name: F.exists(c, lambda p: p["name"] == name)
-    # a caller who passes n values by place binds the first n parameters
-    by_place = F.transform(
-        placed(a),
-        lambda p, i: fact(
-            F.when(F.try_element_at(placed(b), i + 1).isNotNull(), F.when((F.try_element_at(placed(b), i + 1)["name"] != p["name"]) & (p["kind"] != "posonly"), "position_renamed"))
-            .when(~have(b, p["name"]), "positional_removed").when(have(placed(b), p["name"]), "moved").otherwise("now_keyword_only"),
-            p["name"], i,
-        ),
-    )
-    # a name that a caller may pass must still be taken by name
-    by_name = F.transform(
-        named(a),
-        lambda p: fact(
-            F.when(called(named(b), p["name"]).isNull(), F.when(have(b, p["name"]), "no_longer_keyword").otherwise("keyword_removed"))
-            .when(p["default"].isNotNull() & called(named(b), p["name"])["default"].isNull(), "lost_default")
-            .when(~p["default"].eqNullSafe(called(named(b), p["name"])["default"]) & p["default"].isNotNull(), "default_changed"),
-            p["name"], F.array_position(F.transform(placed(b), lambda q: q["name"]), p["name"]) - 1,
-        ),
-    )
-    variadic = F.transform(F.filter(a, lambda p: p["kind"].isin("args", "kwargs") & ~F.exists(b, lambda q: q["kind"] == p["kind"])), lambda p: fact(F.lit("variadic_removed"), p["name"], F.lit(None)))
-    count = F.when(F.size(F.filter(a, lambda p: p["kind"] == "posonly")) != F.size(F.filter(b, lambda p: p["kind"] == "posonly")), F.array(fact(F.lit("positional_only_count"), F.lit(None).cast("string"), F.lit(None)))).otherwise(F.array().cast("array<struct<rule:string,name:string,at:int>>"))
-    # what is new behind the old positional sequence, and new keywords without a default
-    added = F.transform(
-        placed(b),
-        lambda q, i: fact(
-            F.when((i >= F.size(placed(a))) & ~have(a, q["name"]), F.when(q["default"].isNull(), "required_added").when(F.exists(F.slice(placed(b), i + 2, F.size(placed(b))), lambda r: have(a, r["name"])), "optional_inserted")),
-            q["name"], i,
-        ),
-    )
-    keywords = F.transform(F.filter(b, lambda q: (q["kind"] == "kw") & q["default"].isNull() & ~have(a, q["name"])), lambda q: fact(F.lit("required_keyword_added"), q["name"], F.lit(None)))
-    return F.filter(F.concat(by_place, by_name, variadic, count, added, keywords), lambda f: f["rule"].isNotNull())
+    """What callers can notice between two parameter lists, as (rule, name, at).
+
+    Both lists are aligned by name: a slot is a name with its parameter and its place before and after. Each rule is a
+    condition on one slot; the rule names are fixed values."""
+    placed = lambda c: F.transform(F.filter(c, lambda p: p["kind"].isin("posonly", "pos")), lambda p: p["name"])
+    called = lambda c, n: F.try_element_at(F.filter(c, lambda p: p["name"] == n), F.lit(1))
+    place = lambda c, n: F.nullif(F.array_position(placed(c), n), F.lit(0)) - 1
+    slot = lambda n: F.struct(n.alias("name"), called(a, n).alias("p"), called(b, n).alias("q"), place(a, n).alias("was"), place(b, n).alias("now"))
+    slots = F.transform(F.array_union(F.transform(a, lambda p: p["name"]), F.transform(b, lambda p: p["name"])), slot)
+    fact = lambda rule, name, at: F.struct(rule.alias("rule"), name.alias("name"), at.cast("int").alias("at")).cast(_FACT)
+
+    def rules(s):
+        p, q, was, now = s["p"], s["q"], s["was"], s["now"]
+        heir = F.get(placed(b), was.cast("int"))
+        # values by place: who now stands where this parameter stood
+        by_place = F.when(was.isNull(), None).when(heir.isNotNull() & (heir != s["name"]) & (p["kind"] != "posonly"), "position_renamed").when(heir.isNull(), F.when(q.isNull(), "positional_removed").when(now.isNotNull(), "moved").otherwise("now_keyword_only"))
+        # values by name: whether the name is still taken, and what stands for it when it is left out
+        by_name = F.when(~p["kind"].isin("pos", "kw") | p.isNull(), None).when(q.isNull(), "keyword_removed").when(~q["kind"].isin("pos", "kw"), "no_longer_keyword").when(p["default"].isNotNull() & q["default"].isNull(), "lost_default").when(p["default"].isNotNull() & ~p["default"].eqNullSafe(q["default"]), "default_changed")
+        # what is new: behind the old sequence, or by keyword
+        later = F.exists(F.slice(placed(b), now.cast("int") + 2, F.size(placed(b))), lambda n: F.exists(a, lambda r: r["name"] == n))
+        new = F.when(p.isNotNull(), None).when(now >= F.size(placed(a)), F.when(q["default"].isNull(), "required_added").when(later, "optional_inserted")).when((q["kind"] == "kw") & q["default"].isNull(), "required_kwonly_added")
+        gone = F.when(p["kind"].isin("args", "kwargs") & ~F.exists(b, lambda r: r["kind"] == p["kind"]), "variadic_removed")
+        return F.array(fact(by_place, s["name"], was), fact(by_name, s["name"], now), fact(new, s["name"], now), fact(gone, s["name"], F.lit(None)))
+
+    nameless = lambda c: F.size(F.filter(c, lambda p: p["kind"] == "posonly"))
+    count = F.array(fact(F.when(nameless(a) != nameless(b), "positional_only_count"), F.lit(None), F.lit(None)))
+    return F.filter(F.concat(F.flatten(F.transform(slots, rules)), count), lambda f: f["rule"].isNotNull())
 
 
 def call_safety(calls: DataFrame, facts: DataFrame) -> DataFrame:
-    """(symbol, positional: how many values by place, self included; keywords; spread: whether it unpacks arguments) calls
-    against (symbol, change, breaks) of `signature_change`: the worst of safe, unknown and breaks per symbol.
-
-    A call is safe only where nothing that changed can reach it; what a fact does not settle is unknown."""
-    out = calls.join(facts, "symbol")
-    by_place = lambda f: F.col("positional") > f["at"]
-    by_name = lambda f: F.array_contains("keywords", f["name"])
-
-    def state(f):
-        hit = F.when(f["rule"].isin("position_renamed", "moved", "now_keyword_only", "optional_inserted"), by_place(f))
-        hit = hit.when(f["rule"] == "positional_removed", by_place(f) | by_name(f)).when(f["rule"].isin("keyword_removed", "no_longer_keyword"), by_name(f))
-        hit = hit.when(f["rule"].isin("lost_default", "required_added", "required_keyword_added"), ~by_name(f) & ~F.coalesce(by_place(f), F.lit(False)))
-        # null: a default that changed, variadics, counts of nameless parameters
-        return F.when(hit, 2).when(hit.isNull() | F.col("spread"), 1).otherwise(0)
-
-    worst = F.when(F.col("change").isin("identical", "annotation_only"), 0).when(F.col("change") == "removed", 2).when(F.size("breaks") > 0, F.array_max(F.transform("breaks", state))).otherwise(1)
+    """(symbol, positional: how many values by place, self included; keywords; spread: whether it unpacks values by place; kwspread, if
+    there is such a column: whether it unpacks values by name) calls against (symbol, change, breaks) of `signature_change`:
+    the worst of safe, unknown and breaks per symbol.
+
+    A call is safe only where nothing that changed can reach it. Unpacked values may hold what is missing, so they are
+    never proof of a break: a lost default breaks a call that leaves the value out, unless it unpacks values. A changed default
+    is unknown; a new required parameter breaks every call. Symbols without facts are unknown."""
+    kwspread = F.coalesce(F.col("kwspread"), F.lit(False)) if "kwspread" in calls.columns else F.lit(False)
+    out = calls.withColumn("kwspread", kwspread).join(facts.select("symbol", "change", "breaks"), "symbol", "left")
+    by_name = lambda f: F.coalesce(F.array_contains("keywords", f["name"]), F.lit(False))
+    named = ("keyword_removed", "no_longer_keyword", "positional_removed")
+    placed = ("position_renamed", "moved", "now_keyword_only", "optional_inserted", "positional_removed")
+    certain = F.exists("breaks", lambda f: f["rule"].isin("required_added", "required_kwonly_added"))
+    lost = lambda f: (f["rule"] == "lost_default") & ~by_name(f) & ~F.coalesce(F.col("positional") > f["at"], F.lit(False))
+    open_ = F.exists("breaks", lambda f: ~f["rule"].isin(*named, *placed, "lost_default") | (lost(f) & F.col("kwspread")) | (f["rule"].isin(*named) & F.col("kwspread") & ~by_name(f)) | (f["rule"].isin(*placed) & f["at"].isNull()))
+    hit = F.exists("breaks", lambda f: lost(f) | (f["rule"].isin(*placed) & (F.col("positional") > f["at"])) | (f["rule"].isin(*named) & by_name(f)))
+    worst = (
+        F.when(F.col("change").isin("identical", "annotation_only"), 0).when(F.col("change") == "removed", 2).when(F.coalesce(F.size("breaks"), F.lit(0)) <= 0, 1)
+        .when(F.coalesce(F.col("spread"), F.lit(True)), 1).when(certain, 2).when(open_, 1).when(hit, 2).otherwise(0)
+    )
     most = F.max(worst)
     return out.groupBy("symbol").agg(F.when(most == 2, "breaks").when(most == 1, "unknown").otherwise("safe").alias("safety"), F.count("*").alias("calls"))
 

@@ -40,7 +40,8 @@ SELECT p_partkey, p_name FROM part p WHERE
  AND (contains(lower(p_name), 'r') OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND contains(lower(l_returnflag), 'r')))
  AND NOT (contains(lower(p_name), 'widget') OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND contains(lower(l_returnflag), 'widget')))
 """)(lambda v: P.term_search(v.part.select("p_partkey", "p_name"), v.lineitem.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "p_name", "l_returnflag", 'large "r" -widget'))
-query("flt_topic_ilike", "SELECT p_partkey FROM part WHERE p_name ILIKE '%promo%' OR p_type ILIKE '%promo%'")(lambda v: P.topic(v.part, ["p_name", "p_type"], "promo").select("p_partkey"))
+_SAID = "CASE p_size % 5 WHEN 0 THEN concat('a_b ', p_name) WHEN 1 THEN concat('axb ', p_name) WHEN 2 THEN concat('A_B', p_type) WHEN 3 THEN concat('100%_', p_type) END"
+query("flt_topic_ilike", f"SELECT p_partkey FROM (SELECT p_partkey, p_type, {_SAID} AS said FROM part) WHERE contains(lower(said), 'a_b') OR contains(lower(p_type), 'a_b')")(lambda v: P.topic(v.part.selectExpr("p_partkey", "p_type", f"{_SAID} AS said"), ["said", "p_type"], "A_b").select("p_partkey"))
 query("flt_expression_map", "SELECT finding_id FROM findings WHERE severity IN ('Critical', 'High') AND status = 'Open' AND score >= 0.5 AND cve_id IS DISTINCT FROM 'CVE-3'")(lambda v: P.expression_map(v.findings, {"severity": ["Critical", "High"], "status": "Open", "score": {"op": "ge", "value": 0.5}, "cve_id": {"op": "ne", "value": "CVE-3"}}).select("finding_id"))
 query("flt_time_window", "SELECT count(*) AS n FROM findings WHERE first_detected >= TIMESTAMP '1999-01-01 00:00:00' - INTERVAL '900' DAY AND first_detected <= TIMESTAMP '1999-01-01 00:00:00'")(lambda v: P.time_window(v.findings, "first_detected", AS_OF, "900d").agg(F.count("*").alias("n")))
 query("flt_ttl_live", f"SELECT finding_id FROM findings WHERE NOT coalesce(is_deleted, false) AND (package_id % 3 = 0 OR first_detected + INTERVAL '1' DAY * CAST(package_id % 3 * 1500 AS INT) > {AS_OF})")(lambda v: P.ttl_live(v.findings.withColumn("ttl", F.expr("CASE WHEN package_id % 3 <> 0 THEN CAST(package_id % 3 * 1500 AS INT) END")), "first_detected", "ttl", "is_deleted", AS_OF).select("finding_id"))

@@ -65,7 +65,6 @@ query("fn_key_parts", "SELECT from_key, split_part(from_key, ':', 1) AS scheme,
 query("fn_ecosystem", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'pypi' WHEN 1 THEN 'npm' WHEN 2 THEN 'golang' END AS ecosystem FROM part")(lambda v: v.part.select("p_partkey", F.try_element_at(F.create_map(*(F.lit(x) for x in ("pip", "pypi", "npm", "npm", "gomod", "golang"))), F.expr("CASE p_size % 4 WHEN 0 THEN 'pip' WHEN 1 THEN 'npm' WHEN 2 THEN 'gomod' ELSE 'other' END")).alias("ecosystem")))
 query("fn_package_normalise", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN lower(regexp_replace(p_name, '[-_.]+', '-', 'g')) ELSE p_name END AS name FROM part")(lambda v: v.part.select("p_partkey", S.package_normalise(F.col("p_name"), F.expr("CASE WHEN p_size % 2 = 0 THEN 'PyPI' ELSE 'npm' END")).alias("name")))
 query("fn_version_key", "SELECT ecosystem, max_by(version, (a, b, c, package_id)) AS newest FROM (SELECT *, CAST(split_part(version, '.', 1) AS INT) AS a, CAST(split_part(version, '.', 2) AS INT) AS b, CAST(split_part(version, '.', 3) AS INT) AS c FROM packages) GROUP BY 1")(lambda v: v.packages.groupBy("ecosystem").agg(F.max_by("version", F.struct(S.version_key(F.col("version")).alias("k"), "package_id")).alias("newest")))
-query("fn_semver_key", "SELECT ecosystem, min_by(version, (a, b, c, package_id)) AS oldest FROM (SELECT *, CAST(split_part(version, '.', 1) AS INT) AS a, CAST(split_part(version, '.', 2) AS INT) AS b, CAST(split_part(version, '.', 3) AS INT) AS c FROM packages) GROUP BY 1")(lambda v: v.packages.groupBy("ecosystem").agg(F.min_by("version", F.struct(S.semver_key(F.col("version")).alias("k"), "package_id")).alias("oldest")))
 query("fn_pep440_key", "SELECT ecosystem, max_by(version, (a, b, c, package_id)) AS newest FROM (SELECT *, CAST(split_part(version, '.', 1) AS INT) AS a, CAST(split_part(version, '.', 2) AS INT) AS b, CAST(split_part(version, '.', 3) AS INT) AS c FROM packages) GROUP BY 1")(lambda v: v.packages.groupBy("ecosystem").agg(F.max_by("version", F.struct(S.pep440_key(F.col("version")).alias("k"), "package_id")).alias("newest")))
 query("fn_lowest_fix_above", "SELECT p_partkey, CASE WHEN p_size < 9 THEN '9.9' WHEN p_size < 20 THEN '20.0' WHEN p_size < 35 THEN '35.1' ELSE '9.9' END AS fix FROM part")(lambda v: v.part.select("p_partkey", S.lowest_fix_above(F.expr("concat(p_size, '.99')"), F.array(F.lit("35.1"), F.lit("9.9"), F.lit("20.0"))).alias("fix")))
 query("fn_version_line", "SELECT package_id, CASE WHEN split_part(version, '.', 1) = '0' THEN concat('0.', split_part(version, '.', 2)) ELSE split_part(version, '.', 1) END AS line FROM packages")(lambda v: v.packages.select("package_id", S.version_line(F.col("version")).alias("line")))
@@ -80,7 +79,6 @@ query("fn_age_columns", "SELECT finding_id, date_diff('day', CAST(first_detected
 query("fn_label_parts", "SELECT finding_id, concat_ws(' on ', cve_id, CAST(asset_id AS VARCHAR(20))) AS title FROM findings")(lambda v: v.findings.select("finding_id", P.label("cve_id", "asset_id").alias("title")))
 query("fn_json_bag", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda v: v.events.select("event_id", F.from_json("props", "k int")["k"].alias("k")))
 query("fn_three_clocks", f"SELECT source, CAST(max(ts) AS DATE) AS data_as_of, date_diff('day', CAST(max(ts) AS DATE), DATE '1999-01-01') AS behind FROM runs GROUP BY 1")(lambda v: v.runs.groupBy("source").agg(F.max("ts").cast("date").alias("data_as_of"), F.datediff(F.expr(AS_OF), F.max("ts")).alias("behind")))
-query("fn_canonical_type", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'None|int' WHEN 1 THEN 'int|str' ELSE 'list[int]' END AS t FROM part")(lambda v: v.part.select("p_partkey", S.canonical_type(F.expr("CASE p_size % 3 WHEN 0 THEN 'Optional[int]' WHEN 1 THEN 'typing.Union[str, int]' ELSE 'List[int]' END")).alias("t")))
 
 # ------------------------------------------------ graphs
 

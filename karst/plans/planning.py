@@ -52,26 +52,57 @@ query("dq_diff_coverage", "SELECT path, CASE WHEN s % 4 = 0 THEN 'no_suite' WHEN
 
 query("lc_fix_status", "SELECT CASE WHEN package_id % 5 = 0 THEN 'dismissed' WHEN fixed_at IS NULL THEN 'unavailable' WHEN first_detected + INTERVAL '20' DAY <= fixed_at THEN 'waiting' WHEN asset_id % 2 = 0 THEN 'still_reported' ELSE 'cleared' END AS fix_status, count(*) AS n FROM findings GROUP BY 1")(lambda v: N.fix_status(v.findings.selectExpr("fixed_at AS merged", "first_detected + INTERVAL '20' DAY AS scanned", "asset_id % 2 = 0 AS reported", "package_id % 5 = 0 AS dismissed")).groupBy("fix_status").agg(F.count("*").alias("n")))
 query("lc_runtime_stale", "SELECT finding_id, asset_id NOT IN (SELECT asset_id FROM assets WHERE environment = 'prod') AS stale FROM findings")(lambda v: N.runtime_stale(v.findings, v.assets.where("environment = 'prod'"), "asset_id").select("finding_id", "stale"))
-_cands = lambda v: v.part.selectExpr("p_partkey AS package_id", "'5.1.0' AS installed", "explode(array('4.9.0', '5.2.0', '5.3.0rc1', '5.4.0', '6.0.0')) AS candidate")
-_TARGET = "SELECT p_partkey AS package_id, CASE p_partkey % 4 WHEN 0 THEN '5.2.0' WHEN 1 THEN '5.4.0' WHEN 2 THEN '6.0.0' END AS target FROM part"
-_open = lambda v: v.part.selectExpr("p_partkey AS package_id", "explode(CASE p_partkey % 4 WHEN 0 THEN array('4.9.0') WHEN 1 THEN array('5.2.0') WHEN 2 THEN array('5.2.0', '5.4.0') ELSE array('5.2.0', '5.4.0', '6.0.0') END) AS candidate")
-query("lc_target_line", _TARGET)(lambda v: N.clean_target(_cands(v), _open(v), S.semver_key))
-query("lc_clean_target", _TARGET)(lambda v: N.clean_target(_cands(v), _open(v), S.pep440_key))
 query("lc_classify_fix", "SELECT p_partkey AS package_id, CASE WHEN p_partkey % 5 = 0 THEN 'declined:no_target' WHEN p_size % 4 = 0 THEN 'not_declared' WHEN p_size % 4 = 1 THEN 'declined:unreadable' WHEN p_size % 4 = 2 THEN 'lock_only' ELSE 'edit_declaration' END AS verdict FROM part")(lambda v: N.classify_fix(v.part.selectExpr("p_partkey AS package_id", "CASE WHEN p_partkey % 5 > 0 THEN '2.5' END AS target"), v.part.where("p_size % 4 > 0").selectExpr("p_partkey AS package_id", "CASE p_size % 4 WHEN 1 THEN 'file:../x' WHEN 2 THEN '>=2' ELSE '<2' END AS spec")))
 query("lc_parents_admit", "SELECT p_partkey AS package_id, CASE WHEN p_size % 3 = 0 THEN false WHEN p_size % 3 = 1 THEN NULL ELSE true END AS admitted, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS refusing FROM part")(lambda v: N.parents_admit(v.part.selectExpr("p_partkey AS package_id", "'2.5' AS target"), v.part.selectExpr("p_partkey AS package_id", "explode(array('>=1', CASE p_size % 3 WHEN 0 THEN '<2' WHEN 1 THEN 'link:x' ELSE '^2' END)) AS spec")))
 query("lc_runtime_floor", "SELECT p_partkey, p_size % 3 = 0 AS refused FROM part")(lambda v: N.runtime_floor(v.part.selectExpr("p_partkey", "CASE p_size % 3 WHEN 0 THEN '>=3.9' WHEN 1 THEN 'any of them' ELSE '>=3.7,<4' END AS req"), F.lit("3.8"), "req").select("p_partkey", "refused"))
 query("lc_explain_move", "SELECT p_partkey AS package_id, CASE WHEN p_partkey % 3 = 0 THEN 'pinned' WHEN p_partkey % 2 = 0 THEN 'newly_capped' ELSE 'needed' END AS why FROM part")(lambda v: N.explain_move(v.part.selectExpr("p_partkey AS package_id"), v.part.where("p_partkey % 3 = 0").selectExpr("p_partkey AS package_id"), v.part.where("p_partkey % 2 = 0").selectExpr("p_partkey AS package_id")))
 query("lc_scope_check", "SELECT c_custkey AS repository_id, 'p' AS path, CASE WHEN c_custkey % 3 = 0 THEN 'stale' WHEN c_custkey % 2 = 0 THEN 'in_plan' ELSE 'out_of_scope' END AS state FROM customer")(lambda v: N.scope_check(*(v.customer.where(w).selectExpr("c_custkey AS repository_id", "'p' AS path") for w in ("true", "c_custkey % 2 = 0", "c_custkey % 3 > 0"))))
-_params = lambda v, t: v.part.where(f"p_partkey % 11 <> {t[0]}").selectExpr("p_partkey AS symbol", f"array(named_struct('name', 'a', 'kind', 'pos', 'default', CAST(NULL AS STRING), 'type', 'int'), named_struct('name', {t[1]}, 'kind', {t[2]}, 'default', {t[3]}, 'type', {t[4]})) AS params")
-query("lc_signature_change", "SELECT p_partkey AS symbol, CASE WHEN p_partkey % 11 = 1 THEN 'added' WHEN p_partkey % 11 = 2 THEN 'removed' WHEN p_size % 5 = 0 THEN 'params_changed' WHEN p_size % 5 = 1 THEN 'kind_changed' WHEN p_size % 5 = 2 THEN 'default_changed' WHEN p_size % 5 = 3 THEN 'annotation_only' ELSE 'identical' END AS change, CASE WHEN p_size % 5 = 0 AND p_partkey % 11 NOT IN (1, 2) THEN 1 ELSE 0 END AS removed_params FROM part")(lambda v: N.signature_change(_params(v, (1, "'b'", "'pos'", "'1'", "'int'")), _params(v, (2, "CASE WHEN p_size % 5 = 0 THEN 'c' ELSE 'b' END", "CASE WHEN p_size % 5 = 1 THEN 'kw' ELSE 'pos' END", "CASE WHEN p_size % 5 = 2 THEN '2' ELSE '1' END", "CASE WHEN p_size % 5 = 3 THEN 'str' ELSE 'int' END"))).select("symbol", "change", "removed_params"))
-# of a(first, second=1, third=2): six ways in which it changed, by symbol
-_WAYS = "CASE p_size % 6 {} END"
-_A = "named_struct('name', 'first', 'kind', 'pos', 'default', CAST(NULL AS STRING), 'type', 'int')"
-_B, _C, _D = (f"named_struct('name', '{n}', 'kind', '{k}', 'default', '{d}', 'type', '{t}')" for n, k, d, t in (("second", "pos", "1", "int"), ("third", "pos", "2", "int"), ("extra", "pos", "0", "int")))
-_AFTER = [f"array({_A}, {_B}, {_C})", f"array({_A}, {_D}, {_B}, {_C})", f"array({_A}, {_C})", f"array({_A}, {_B}, {_C.replace('pos', 'kw')})", f"array({_A}, {_B.replace(chr(39) + '1' + chr(39), chr(39) + '7' + chr(39))}, {_C})", f"array({_A}, {_B}, {_C.replace('int', 'str')}, {_D})"]
-_CALLS = "SELECT p_size, p_size % 6 AS way, p_partkey % 4 AS n, CASE WHEN p_partkey % 5 = 1 THEN 'second' WHEN p_partkey % 5 = 2 THEN 'third' ELSE 'other' END AS k, p_partkey % 7 = 0 AS spread FROM part"
-query("lc_call_safety", f"SELECT p_size AS symbol, CASE max(CASE WHEN way IN (0, 5) THEN 0 WHEN way = 4 THEN 1 WHEN (way = 1 AND n > 1) OR (way = 2 AND (n > 1 OR k = 'second')) OR (way = 3 AND n > 2) THEN 2 WHEN spread THEN 1 ELSE 0 END) WHEN 2 THEN 'breaks' WHEN 1 THEN 'unknown' ELSE 'safe' END AS safety, count(*) AS calls FROM ({_CALLS}) GROUP BY 1")(
-    lambda v: N.call_safety(v.part.selectExpr("p_size AS symbol", "CAST(p_partkey % 4 AS INT) AS positional", "array(CASE WHEN p_partkey % 5 = 1 THEN 'second' WHEN p_partkey % 5 = 2 THEN 'third' ELSE 'other' END) AS keywords", "p_partkey % 7 = 0 AS spread"), N.signature_change(v.part.selectExpr("p_size AS symbol", f"{_AFTER[0]} AS params").dropDuplicates(["symbol"]), v.part.selectExpr("p_size AS symbol", f"{_WAYS.format(' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_AFTER)))} AS params").dropDuplicates(["symbol"])))
+# twelve ways in which a declaration changed, by symbol; some symbols are new and some are gone
+_P = "named_struct('name', '{}', 'kind', '{}', 'default', CAST({} AS STRING), 'type', '{}')"
+_FIRST, _NONE = _P.format("a", "pos", "NULL", "int"), "CAST(NULL AS array<struct<name:string,kind:string,default:string,type:string>>)"
+_case = lambda ways, default: "CASE p_size % 12 " + " ".join(f"WHEN {i} THEN {x}" for i, x in ways.items()) + f" ELSE {default} END"
+_list = lambda *p: f"array({_FIRST}, {_P.format(*p)})"
+_DECLARED = {
+    "old": {
+        "params": _case({5: _list("b", "pos", "'1'", "Optional[int]"), **dict.fromkeys((6, 7, 8, 9, 10), _NONE)}, _list("b", "pos", "'1'", "int")),
+        "bases": _case({6: "array('Base', 'typing.Generic[T]')", 7: "array('List[int]')", 8: "array('Base')"}, "CAST(NULL AS array<string>)"),
+        "value": _case({9: "'Dict[str, int]'"}, "CAST(NULL AS STRING)"),
+        "kind": _case({6: "'class'", 7: "'class'", 8: "'class'", 9: "'attribute'", 11: "CAST(NULL AS STRING)"}, "'function'"),
+    },
+    "new": {
+        "params": _case({0: _list("c", "pos", "'1'", "int"), 1: _list("b", "kw", "'1'", "int"), 2: _list("b", "pos", "'2'", "int"), 3: _list("b", "pos", "'1'", "str"), 5: _list("b", "pos", "'1'", "int | None"), **dict.fromkeys((6, 7, 8, 9, 11), _NONE)}, _list("b", "pos", "'1'", "int")),
+        "bases": _case({6: "array('Base')", 7: "array('list[int]')", 11: "array('Base')"}, "CAST(NULL AS array<string>)"),
+        "value": _case({8: "'Base'", 9: "'dict[str, str]'"}, "CAST(NULL AS STRING)"),
+        "kind": _case({6: "'class'", 7: "'class'", 8: "'attribute'", 9: "'attribute'", 11: "CAST(NULL AS STRING)"}, "'function'"),
+    },
+}
+_declared = lambda v, side, absent: v.part.where(f"p_partkey % 11 <> {absent}").selectExpr("p_partkey AS symbol", *(f"{e} AS {c}" for c, e in _DECLARED[side].items()))
+query("lc_signature_change", """SELECT p_partkey AS symbol, CASE WHEN p_partkey % 11 = 1 THEN 'added' WHEN p_partkey % 11 = 2 THEN 'removed' ELSE CASE p_size % 12 WHEN 0 THEN 'params_changed' WHEN 1 THEN 'kind_changed' WHEN 2 THEN 'default_changed' WHEN 3 THEN 'annotation_only'
+    WHEN 4 THEN 'identical' WHEN 5 THEN 'annotation_only' WHEN 6 THEN 'bases_changed' WHEN 7 THEN 'identical' WHEN 8 THEN 'became_other' WHEN 9 THEN 'value_changed' ELSE 'opaque' END END AS change,
+    CASE WHEN p_size % 12 = 0 AND p_partkey % 11 NOT IN (1, 2) THEN 1 ELSE 0 END AS removed_params FROM part""")(lambda v: N.signature_change(_declared(v, "old", 1), _declared(v, "new", 2)).select("symbol", "change", "removed_params"))
+
+# of a(first, second=1, third=2): eight ways in which it changed, by symbol; one symbol in ten has no facts
+_A, _B, _C, _D = _P.format("first", "pos", "NULL", "int"), _P.format("second", "pos", "'1'", "int"), _P.format("third", "pos", "'2'", "int"), _P.format("extra", "pos", "'0'", "int")
+_AFTER = [
+    f"array({_A}, {_B}, {_C})",
+    f"array({_A}, {_D}, {_B}, {_C})",
+    f"array({_A}, {_C})",
+    f"array({_A}, {_B}, {_P.format('third', 'kw', chr(39) + '2' + chr(39), 'int')})",
+    f"array({_A}, {_P.format('second', 'pos', chr(39) + '7' + chr(39), 'int')}, {_C})",
+    f"array({_A}, {_B}, {_P.format('third', 'pos', chr(39) + '2' + chr(39), 'str')}, {_D})",
+    f"array({_A}, {_P.format('second', 'pos', 'NULL', 'int')}, {_C})",
+    f"array({_A}, {_B}, {_C}, {_P.format('extra', 'pos', 'NULL', 'int')})",
+]
+_CALLS = "SELECT p_size, p_size % 8 AS way, p_partkey % 4 AS n, CASE WHEN p_partkey % 5 = 1 THEN 'second' WHEN p_partkey % 5 = 2 THEN 'third' ELSE 'other' END AS k, p_partkey % 7 = 0 AS spread, p_partkey % 6 = 5 AS kwspread FROM part WHERE {}"
+# calls of a symbol are judged together, so calls are kept apart by what they pass
+_CALL_ID = "p_size * 1000 + p_partkey % 420"
+query("lc_call_safety", f"""SELECT symbol, CASE max(CASE WHEN p_size % 10 = 0 THEN 1 WHEN way IN (0, 5) THEN 0 WHEN spread THEN 1 WHEN way = 7 THEN 2 WHEN way = 4 THEN 1 WHEN way = 6 THEN CASE WHEN k = 'second' OR n > 1 THEN 0 WHEN kwspread THEN 1 ELSE 2 END WHEN way = 2 AND kwspread AND k <> 'second' THEN 1
+    WHEN (way = 1 AND n > 1) OR (way = 2 AND (n > 1 OR k = 'second')) OR (way = 3 AND n > 2) THEN 2 ELSE 0 END) WHEN 2 THEN 'breaks' WHEN 1 THEN 'unknown' ELSE 'safe' END AS safety, count(*) AS calls
+    FROM (SELECT *, {_CALL_ID} AS symbol FROM part JOIN ({_CALLS.format('true').replace('SELECT p_size,', 'SELECT p_partkey,')}) USING (p_partkey)) GROUP BY 1""")(
+    lambda v: N.call_safety(
+        v.part.selectExpr(f"{_CALL_ID} AS symbol", "CAST(p_partkey % 4 AS INT) AS positional", "array(CASE WHEN p_partkey % 5 = 1 THEN 'second' WHEN p_partkey % 5 = 2 THEN 'third' ELSE 'other' END) AS keywords", "p_partkey % 7 = 0 AS spread", "p_partkey % 6 = 5 AS kwspread"),
+        N.signature_change(*(v.part.where("p_size % 10 > 0").selectExpr(f"{_CALL_ID} AS symbol", "p_size").dropDuplicates(["symbol"]).selectExpr("symbol", f"{e} AS params") for e in (_AFTER[0], "CASE p_size % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_AFTER)) + " END"))),
+    )
 )
 query("lc_api_touch", "SELECT p_partkey AS package_id, CASE WHEN p_size % 2 = 0 AND p_size % 3 > 0 THEN '4' ELSE '3' END AS verdict, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS sites FROM part")(lambda v: N.api_touch(v.part.selectExpr("p_partkey AS package_id", "'pkg.f' AS symbol", "CASE WHEN p_size % 3 = 0 THEN 'annotation_only' ELSE 'removed' END AS kind"), v.part.where("p_size % 2 = 0").selectExpr("p_partkey AS package_id", "CASE WHEN p_partkey % 2 = 0 THEN 'alias.f' ELSE 'pkg.f' END AS symbol"), v.spark.sql("SELECT 'alias.f' AS symbol, 'pkg.f' AS canonical"), True))
 query("lc_weak_answer", "SELECT package_id, path, greatest(n - 10, 0) AS more FROM (SELECT l_partkey AS package_id, concat('p', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-', CAST(l_shipdate AS VARCHAR)) AS path, count(*) OVER (PARTITION BY l_partkey) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY concat('p', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-', CAST(l_shipdate AS VARCHAR))) AS r FROM lineitem WHERE l_linenumber % 2 = 0 AND l_partkey % 3 = 0) WHERE r <= 10")(lambda v: N.weak_answer(v.part.selectExpr("p_partkey AS package_id", "CASE WHEN p_partkey % 3 = 0 THEN 'not_imported' ELSE 'imported' END AS answer"), v.lineitem.selectExpr("l_partkey AS package_id", "concat('p', l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', CAST(l_shipdate AS STRING)) AS path", "CASE WHEN l_linenumber % 2 = 0 THEN 'm = importlib(x)' ELSE 'import x' END AS text")))
