@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Spread
+
 
 def top_n_per_class(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("pos") <= n)
@@ -34,43 +36,56 @@ def latest_version(df: DataFrame, key: list[str], order: list[Column]) -> DataFr
 
 def tightest_deadline(df: DataFrame, key: str, order: list[str], deadline: str, reopened: str) -> DataFrame:
     """The tightest deadline so far within a cycle; a reopening begins a new cycle."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("cycle", F.sum(F.coalesce(F.col(reopened), F.lit(False)).cast("int")).over(w))
-    inner = Window.partitionBy(key, "cycle").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("in_force", F.min(deadline).over(inner))
+    rows = Spread(df, [key], order)
+    rows.running(F.coalesce(rows.row(reopened), F.lit(False)).cast("int"), "cycle")
+    rows.running(rows.row(deadline), "in_force", "min", by=("cycle",))
+    return rows.table(cycle="cycle", in_force="in_force")
+
+
+def _islands(df: DataFrame, key: str, order: list[str], state: str) -> Spread:
+    rows = Spread(df, [key], order)
+    rows.lag(rows.row(state), "previous")
+    same = F.col("previous").isNotNull() & rows.row(state).eqNullSafe(F.col("previous.x"))
+    return rows.running((~same).cast("int"), "island")
 
 
 def islands(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
-    """Number the runs of equal states of each key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    change = (~F.col(state).eqNullSafe(F.lag(state).over(w))).cast("int")
-    return df.withColumn("_c", change).withColumn("island", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    """Number the runs of equal states of each key, from 1."""
+    return _islands(df, key, order, state).table(island="island")
 
 
 def failure_streaks(runs: DataFrame, key: str, ts: str, row_id: str, status: str = "status") -> DataFrame:
     """The failing streaks of each source: first and last failure, length, and whether the source is still failing."""
-    runs = islands(runs, key, [ts, row_id], status)
-    groups = runs.groupBy(key, "island").agg(F.min(status).alias("_s"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("length"))
-    last = F.max("island").over(Window.partitionBy(key))
-    return groups.withColumn("current", F.col("island") == last).where("_s = 'failure'").select(key, "first_ts", "last_ts", "length", "current")
+    rows = _islands(runs, key, [ts, row_id], status)
+    row = rows.row
+    groups = rows.rows.groupBy("key", "island").agg(F.min(row(status)).alias("state"), F.min(row(ts)).alias("first_ts"), F.max(row(ts)).alias("last_ts"), F.count("*").alias("length"))
+    last = groups.groupBy("key").agg(F.max("island").alias("last island"))
+    out = groups.where("state = 'failure'").join(last, "key")
+    return out.select(F.col("key").getField(key).alias(key), "first_ts", "last_ts", "length", (F.col("island") == F.col("last island")).alias("current"))
 
 
 def fold_repeats(df: DataFrame, key: str, order: list[str], what: str, ts: str) -> DataFrame:
     """Consecutive equal events as one row with a count."""
-    return islands(df, key, order, what).groupBy(key, "island").agg(F.min(what).alias(what), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("times")).drop("island")
+    rows = _islands(df, key, order, what)
+    row = rows.row
+    groups = rows.rows.groupBy("key", "island").agg(F.min(row(what)).alias("what"), F.min(row(ts)).alias("first_ts"), F.max(row(ts)).alias("last_ts"), F.count("*").alias("times"))
+    return groups.select(F.col("key").getField(key).alias(key), F.col("what").alias(what), "first_ts", "last_ts", "times")
 
 
 def state_transition(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """The rows where a key's state differs from the one before; repeats write nothing."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    return df.withColumn("previous", F.lag(state).over(w)).withColumn("_f", first).where(F.col("_f") | ~F.col(state).eqNullSafe(F.col("previous"))).drop("_f")
+    rows = Spread(df, [key], order)
+    rows.lag(rows.row(state), "before")
+    rows.rows = rows.rows.where(F.col("before").isNull() | ~rows.row(state).eqNullSafe(F.col("before.x")))
+    return rows.table(previous=F.col("before.x"))
 
 
 def reopened(df: DataFrame, key: str, order: list[str], status: str, closed: str) -> DataFrame:
     """Rows of a key that follow a closed one and are not closed."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("previous", F.lag(status).over(w)).where((F.col("previous") == closed) & (F.col(status) != closed))
+    rows = Spread(df, [key], order)
+    rows.lag(rows.row(status), "before")
+    rows.rows = rows.rows.where((F.col("before.x") == closed) & (rows.row(status) != closed))
+    return rows.table(previous=F.col("before.x"))
 
 
 def carry_block_state(lines: DataFrame, key: str, line: str, begin: Column, end: Column) -> DataFrame:
@@ -97,9 +112,19 @@ def trend_delta(df: DataFrame, by: str, period: str, value: str) -> DataFrame:
 
 
 def ntile_distribution(df: DataFrame, by: str, value: str, row_id: str) -> DataFrame:
-    """Percent rank and quartile of a value within its class; over grouped counts where values repeat."""
-    w = Window.partitionBy(by).orderBy(value, row_id)
-    return df.withColumn("pct_rank", F.round(F.percent_rank().over(Window.partitionBy(by).orderBy(value)), 4)).withColumn("quartile", F.ntile(4).over(w))
+    """Percent rank and quartile of a value within its class, from each row's number in it."""
+    rows = Spread(df, [by], [value, row_id])
+    rows.running(F.lit(1), "number")
+    sizes = rows.rows.groupBy("key").agg(F.count("*").alias("size"))
+    # rows of one value share the place of the first of them
+    firsts = rows.rows.groupBy("key", F.struct(rows.row(value)).alias("value")).agg(F.min("number").alias("first"))
+    rows.rows = rows.rows.withColumn("value", F.struct(rows.row(value))).join(firsts, ["key", "value"]).join(sizes, "key")
+    size, number = F.col("size"), F.col("number")
+    share, rest = F.floor(size / 4), size % 4
+    longer = rest * (share + 1)
+    quartile = F.when(number <= longer, F.floor((number - 1) / (share + 1)) + 1).otherwise(rest + F.floor((number - 1 - longer) / F.greatest(share, F.lit(1))) + 1)
+    rank = F.when(size == 1, F.lit(0.0)).otherwise((F.col("first") - 1) / (size - 1))
+    return rows.table(pct_rank=F.round(rank, 4), quartile=quartile.cast("int"))
 
 
 def severity_order(column: str = "severity") -> Column:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("basic", "more", "planning", "targets", "stateful")
+MODULES = ("basic", "more", "planning", "locks", "targets", "stateful")
 
 
 def _load():

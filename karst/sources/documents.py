@@ -115,13 +115,6 @@ def lock_edges(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "line", F.col("carried").alias("package"), parent.alias("parent")).where("parent NOT IN ('', 'via') AND package IS NOT NULL")
 
 
-def lock_resolutions(docs: DataFrame) -> DataFrame:
-    """Pins of a list with their line, and whether the list names another origin than the public one."""
-    rows = lines(docs).select("doc", "line", F.regexp_extract("text", PIN, 1).alias("package"), F.regexp_extract("text", PIN, 2).alias("version")).where("package <> ''")
-    other = F.max(F.col("text").rlike(r"^\s*--(extra-)?index-url\s")).alias("other")
-    return rows.join(lines(docs).groupBy("doc").agg(other), "doc").select("doc", "line", "package", "version", F.when(F.col("other"), "other").otherwise("public").alias("origin"))
-
-
 def manifest_declarations(docs: DataFrame) -> DataFrame:
     """Declarations under section headers: (doc, line, section, name, spec)."""
     section = F.nullif(F.regexp_extract("text", r"^\s*\[([^\]]+)\]\s*$", 1), F.lit(""))
