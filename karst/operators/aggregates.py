@@ -166,8 +166,32 @@ def widget_series(df: DataFrame, by: str, value: Column) -> DataFrame:
     return df.groupBy(by).agg(value.alias("y")).select(F.col(by).cast("string").alias("x"), "y")
 
 
-def permission_union(grants: DataFrame, members: DataFrame, roles: DataFrame) -> DataFrame:
-    """(user, permission) over own roles and those of the user's groups."""
-    people = grants.join(members.select(F.col("grp").alias("principal")), "principal", "left_anti")
-    own = people.select(F.col("principal").alias("user"), "role").unionByName(members.join(grants, F.col("grp") == F.col("principal")).select("user", "role"))
-    return own.distinct().join(roles, "role").select("user", "permission").distinct()
+def permission_union(grants: DataFrame, members: DataFrame, roles: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """(user, permission) over the roles (principal, role) of users and of the groups they are in (user, grp), groups within groups included.
+
+    A permission `resource:*` stands for all actions of a resource and `*` for all there are, if the catalog (permission) of
+    concrete permissions is given; each of these is matched by its own patterns, so the join is on equal text. Whoever
+    has members is a group and no user; groups that hold each other are allowed."""
+    from .graphs import cut
+
+    members = members.select(F.col("user").cast("string").alias("user"), F.col("grp").cast("string").alias("grp")).where("user is not null and grp is not null").distinct()
+    grants = grants.select(F.col("principal").cast("string").alias("principal"), "role").where("principal is not null").distinct()
+    groups = cut(members.select(F.col("grp").alias("user")).distinct())
+    # what each group is in, at any distance: new pairs only go on
+    links = cut(members.join(groups, "user", "left_semi"))
+    within = frontier = links
+    while not frontier.isEmpty():
+        step = frontier.join(links.select(F.col("user").alias("grp"), F.col("grp").alias("over")), "grp").select("user", F.col("over").alias("grp")).distinct()
+        frontier = cut(step.join(within, ["user", "grp"], "left_anti"))
+        within = cut(within.unionByName(frontier))
+    # roles of a group are those of all groups it is in
+    over = within.unionByName(groups.select("user", F.col("user").alias("grp"))).distinct()
+    given = over.join(grants.select(F.col("principal").alias("grp"), "role"), "grp").select(F.col("user").alias("grp"), "role").distinct()
+    people = grants.join(groups.select(F.col("user").alias("principal")), "principal", "left_anti").select(F.col("principal").alias("user"), "role")
+    joined = members.join(groups, "user", "left_anti").join(given, "grp").select("user", "role")
+    held = people.unionByName(joined).distinct().join(roles.select("role", "permission"), "role").select("user", "permission").distinct()
+    if catalog is None:
+        return held
+    patterns = F.array(F.col("permission"), F.concat(F.substring_index("permission", ":", 1), F.lit(":*")), F.lit("*"))
+    known = catalog.select("permission").where("permission is not null").distinct().select(F.col("permission").alias("concrete"), F.explode(F.array_distinct(patterns)).alias("permission"))
+    return held.join(known, "permission").select("user", F.col("concrete").alias("permission")).distinct()

@@ -103,6 +103,20 @@ def shortest_chain(edges: DataFrame, roots: DataFrame, rounds: int | None = None
     return seen
 
 
+def path_to_entry(reached: DataFrame) -> DataFrame:
+    """(node, chain, uncertain): of the rows of `reachable`, the nodes from an entry to each node and how many hops are not certain.
+
+    Parents are followed by doubling: each round joins every open chain with the chain of the node it hangs on, so a chain of n
+    hops takes about log2(n) rounds. Chains that have reached their entry take no part in later rounds."""
+    rows = reached.select(F.col("node").cast("string").alias("node"), F.col("parent").alias("up"), F.array(F.col("node").cast("string")).alias("chain"), F.when(F.col("parent").isNotNull() & ~F.col("certain"), 1).otherwise(0).alias("uncertain"))
+    rows = cut(rows)
+    while not rows.where("up is not null").isEmpty():
+        above = rows.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("chain").alias("before"), F.col("uncertain").alias("more"))
+        step = rows.where("up is not null").join(above, "up").select("node", F.col("next").alias("up"), F.concat("before", "chain").alias("chain"), (F.col("uncertain") + F.col("more")).alias("uncertain"))
+        rows = cut(rows.where("up is null").unionByName(step))
+    return rows.select("node", "chain", "uncertain")
+
+
 def direct_parents(requirements: DataFrame, packages: DataFrame) -> DataFrame:
     return requirements.join(packages, "child", "left_semi").select("child", "parent").distinct()
 

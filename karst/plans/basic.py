@@ -127,10 +127,17 @@ query("agg_batch_rollup", "SELECT count(DISTINCT source) AS sources, count(*) AS
 _PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, min(CAST({c} AS VARCHAR)) AS lowest, max(CAST({c} AS VARCHAR)) AS highest FROM assets" for c in ("asset_id", "team", "environment"))
 query("agg_table_profile", _PROFILE)(lambda v: A.table_profile(v.assets, ["asset_id", "team", "environment"]))
 query("agg_fill_and_shape", f"SELECT column_name, n_rows - n_null AS filled, CASE WHEN n_rows = n_null THEN 'empty' WHEN n_distinct = 1 THEN 'constant' WHEN n_distinct = n_rows - n_null THEN 'key' WHEN n_distinct <= 25 THEN 'enum' ELSE 'high_cardinality' END AS shape FROM ({_PROFILE})")(lambda v: A.fill_and_shape(A.table_profile(v.assets, ["asset_id", "team", "environment"])))
-query("agg_permission_union", """
-SELECT DISTINCT u AS user, perm AS permission FROM (
- SELECT n_nationkey AS u, n_regionkey AS role FROM nation UNION SELECT n_nationkey, (n_regionkey + 1) % 5 FROM nation WHERE n_nationkey % 2 = 0) g
- JOIN (SELECT n_regionkey AS r, n_name AS perm FROM nation) p ON g.role = p.r""")(lambda v: A.permission_union(v.nation.selectExpr("CAST(n_nationkey AS INT) AS principal", "n_regionkey AS role").union(v.region.selectExpr("CAST(r_regionkey + 100 AS INT)", "(r_regionkey + 1) % 5")), v.nation.where("n_nationkey % 2 = 0").selectExpr("n_nationkey AS user", "n_regionkey + 100 AS grp"), v.nation.selectExpr("n_regionkey AS role", "n_name AS permission")))
+_MEMBERS = """SELECT concat('u', CAST(c_custkey AS VARCHAR(20))) AS user, concat('g', CAST(c_nationkey AS VARCHAR(20))) AS grp FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT concat('g', CAST(n_nationkey AS VARCHAR(20))), concat('r', CAST(n_regionkey AS VARCHAR(20))) FROM nation
+    UNION ALL SELECT concat('r', CAST(r_regionkey AS VARCHAR(20))), 'all' FROM region WHERE r_regionkey < 4 UNION ALL SELECT 'all', 'r1'"""
+_GRANTS = """SELECT concat('g', CAST(n_nationkey AS VARCHAR(20))) AS principal, 'reader' AS role FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'r1', 'part_admin' UNION ALL SELECT 'all', 'viewer' UNION ALL SELECT 'all', 'ghost'
+    UNION ALL SELECT concat('u', CAST(c_custkey AS VARCHAR(20))), CASE WHEN c_custkey % 50 = 0 THEN 'root' ELSE 'editor' END FROM customer WHERE c_custkey % 50 = 0 OR c_custkey % 7 = 0"""
+_ROLES = "SELECT * FROM (VALUES ('viewer', 'part:read'), ('reader', 'order:read'), ('part_admin', 'part:*'), ('editor', 'order:write'), ('root', '*'), ('ghost', 'gone:*'), ('ghost', 'order')) AS t(role, permission)"
+_CATALOG = "SELECT * FROM (VALUES ('part:read'), ('part:write'), ('part:sell'), ('order:read'), ('order:write'), ('partner:read')) AS t(permission)"
+query("agg_permission_union", f"""
+WITH RECURSIVE m AS ({_MEMBERS}), i AS (SELECT user, grp FROM m UNION SELECT i.user, m.grp FROM i JOIN m ON m.user = i.grp), g AS ({_GRANTS}),
+h AS (SELECT principal AS user, role FROM g WHERE principal NOT IN (SELECT grp FROM m) UNION SELECT i.user, g.role FROM i JOIN g ON g.principal = i.grp WHERE i.user NOT IN (SELECT grp FROM m))
+SELECT DISTINCT h.user, c.permission FROM h JOIN ({_ROLES}) r ON r.role = h.role JOIN ({_CATALOG}) c ON r.permission = '*' OR r.permission = c.permission OR (r.permission LIKE '%:*' AND split_part(c.permission, ':', 1) = split_part(r.permission, ':', 1))
+""")(lambda v: A.permission_union(*(v.spark.sql(t.replace("FROM customer", "FROM {customer}").replace("FROM nation", "FROM {nation}").replace("FROM region", "FROM {region}"), **{n: v.table(n) for n in ("customer", "nation", "region") if f"FROM {n}" in t}) for t in (_GRANTS, _MEMBERS, _ROLES, _CATALOG))))
 query("agg_sighting_rollup", "SELECT package_id, asset_id, min(first_detected) AS first_seen, max(first_detected) AS last_seen, count(*) AS times_seen, count(DISTINCT scan_type) AS reporters FROM findings GROUP BY 1, 2")(lambda v: A.sighting_rollup(v.findings, ["package_id", "asset_id"], "first_detected", "scan_type"))
 query("agg_cve_across", f"SELECT cve_id, count(*) FILTER (WHERE {_OPEN}) AS open, count(*) FILTER (WHERE is_false_positive OR is_risk_accepted) AS set_aside, count(DISTINCT package_id) AS entries, count(DISTINCT asset_id) AS places FROM findings WHERE cve_id IS NOT NULL GROUP BY 1")(lambda v: v.findings.where("cve_id IS NOT NULL").groupBy("cve_id").agg(F.expr(f"count_if({_OPEN})").alias("open"), F.expr("count_if(coalesce(is_false_positive OR is_risk_accepted, false))").alias("set_aside"), F.count_distinct("package_id").alias("entries"), F.count_distinct("asset_id").alias("places")))
 query("agg_inbox_counters", "SELECT 'all' AS counter, '' AS part_of, count(*) AS n FROM findings UNION ALL SELECT 'open', 'all', count(*) FILTER (WHERE status = 'Open') FROM findings UNION ALL SELECT 'critical', 'open', count(*) FILTER (WHERE status = 'Open' AND severity = 'Critical') FROM findings")(lambda v: A.counters(v.findings, {"all": (F.lit(True), ""), "open": (F.col("status") == "Open", "all"), "critical": ((F.col("status") == "Open") & (F.col("severity") == "Critical"), "open")}))

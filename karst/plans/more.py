@@ -93,7 +93,11 @@ _SEEDS = lambda v: v.packages.where("is_deleted").select(F.col("package_id").ali
 query("gr_k_hop", _REACH.format(req=_V["requirements"], seeds=_REMOVED, limit=" WHERE r.d < 2"))(lambda v: G.reach(_EDGES(v), _SEEDS(v), 2).select("node", "distance"))
 query("gr_reachable", _REACH.format(req=_V["requirements"], seeds=_REMOVED, limit=""))(lambda v: G.reachable(_EDGES(v).withColumn("certain", F.expr("from_key % 2 = 0")), _SEEDS(v)).select("node", F.col("level").alias("distance")))
 query("gr_blast_radius", f"WITH RECURSIVE r(node, d) AS (SELECT package_id, 0 FROM ({_REMOVED}) UNION SELECT q.child, r.d + 1 FROM r JOIN ({_V['requirements']}) q ON q.parent = r.node) SELECT node, min(d) AS distance FROM r GROUP BY 1")(lambda v: G.blast_radius(_EDGES(v), _SEEDS(v)).select("node", "distance"))
-query("gr_path_to_entry", _REACH.format(req=_V["requirements"], seeds=_REMOVED, limit="").replace("min(d) AS distance", "min(d) + 1 AS links"))(lambda v: G.shortest_chain(_EDGES(v), _SEEDS(v)).select("node", F.size("chain").alias("links")))
+query("gr_path_to_entry", _REACH.format(req=_V["requirements"], seeds=_REMOVED, limit="").replace(") SELECT node, min(d) AS distance FROM r GROUP BY 1", f"""), t AS (SELECT node, min(d) AS d FROM r GROUP BY 1),
+p AS (SELECT t.node, q.child AS parent, q.child % 2 <> 0 AS unsure FROM t JOIN (SELECT DISTINCT child, parent FROM ({_V["requirements"]})) q ON q.parent = t.node JOIN t s ON s.node = q.child AND s.d = t.d - 1 WHERE t.d > 0
+    QUALIFY row_number() OVER (PARTITION BY t.node ORDER BY q.child % 2 <> 0, q.child) = 1),
+c AS (SELECT node, CAST(node AS VARCHAR) AS chain, 0 AS uncertain FROM t WHERE d = 0 UNION ALL SELECT p.node, concat(c.chain, '>', CAST(p.node AS VARCHAR)), c.uncertain + CASE WHEN p.unsure THEN 1 ELSE 0 END FROM c JOIN p ON p.parent = c.node)
+SELECT CAST(node AS VARCHAR) AS node, chain, uncertain FROM c"""))(lambda v: G.path_to_entry(G.reachable(_EDGES(v).withColumn("certain", F.expr("from_key % 2 = 0")), _SEEDS(v))).withColumn("chain", F.array_join("chain", ">")))
 query("gr_shortest_chain", f"WITH RECURSIVE r(node, d, chain) AS (SELECT package_id, 0, [CAST(package_id AS VARCHAR)] FROM ({_REMOVED}) UNION SELECT q.parent, r.d + 1, list_append(r.chain, CAST(q.parent AS VARCHAR)) FROM r JOIN ({_V['requirements']}) q ON q.child = r.node) SELECT node, d AS distance, array_to_string(min(chain), '>') AS chain FROM (SELECT *, min(d) OVER (PARTITION BY node) AS m FROM r) WHERE d = m GROUP BY 1, 2")(lambda v: G.shortest_chain(_EDGES(v), _SEEDS(v)).select("node", "distance", F.array_join("chain", ">").alias("chain")))
 query("gr_direct_parents", "SELECT DISTINCT child, parent FROM requirements WHERE child IN (SELECT package_id FROM packages WHERE is_deleted)")(lambda v: G.direct_parents(v.requirements, v.packages.where("is_deleted").select(F.col("package_id").alias("child"))))
 query("gr_edge_contract", "SELECT edge_type, split_part(from_key, ':', 1) AS from_scheme, NOT (edge_type = 'owns') AS legal, count(*) AS n FROM edges GROUP BY 1, 2, 3")(lambda v: G.edge_contract(v.edges, v.spark.sql("SELECT * FROM VALUES ('deployed_as', 'image', 'cloud'), ('exposed_via', 'cloud', 'net'), ('contains', 'image', 'pkg') AS t(edge_type, from_scheme, to_scheme)")).groupBy("edge_type", "from_scheme", "legal").agg(F.count("*").alias("n")))
