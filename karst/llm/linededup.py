@@ -12,7 +12,7 @@ A chunk that a third of all documents share is one row on one side of a join tha
 
 Cases: null texts stay null and empty ones empty; a text all of whose chunks are repeated becomes empty, its row stays;
 rows with a null doc_id take no part and stay as they are; repeated rows of one doc_id and text are treated alike;
-different texts of one id are documents apart, of which the smaller bytes are kept where both are first; an empty
+different texts of one id are documents apart, and a chunk that both hold first at one place stays in both; an empty
 table gives no rows; all other columns, whatever their names, are passed on by `remove`.
 """
 
@@ -51,12 +51,12 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, key) of the chunks that may be removed."""
+    """(doc_id, h, k, key) of the chunks that may be removed; h tells apart the texts of one id."""
     size = "_ends[k] - if(k = 0, -1, _ends[greatest(k, 1) - 1])"
     some = f"filter(sequence(0, size(_ends) - 1), k -> if({size} > 1, length({_chunk('k')}) >= {LEAST}, {_lone('_lines[_ends[k]]')}))"
     keyed = f"transform({some}, k -> named_struct('k', k, 'key', xxhash64({_chunk('k')})))"
-    rows = chunked(docs.where("doc_id is not null and text is not null")).select("doc_id", F.explode(F.expr(keyed)).alias("c"))
-    return rows.select("doc_id", "c.k", "c.key")
+    rows = chunked(docs.where("doc_id is not null and text is not null")).select("doc_id", "h", F.explode(F.expr(keyed)).alias("c"))
+    return rows.select("doc_id", "h", "c.k", "c.key")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -70,17 +70,18 @@ def removed(docs: DataFrame, columns: list[str], counted: bool = False) -> DataF
     """The given columns of documents with repeated chunks taken out of text; counted adds n_chunks and n_removed."""
     # the caller's other columns travel as one, so no name can clash
     rest = [c for c in columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")] if rest else []))
-    own = docs.select("doc_id", "text")
+    h = F.xxhash64("text").alias("h")
+    packed = docs.select("doc_id", "text", h, *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")] if rest else []))
+    own = docs.select("doc_id", "text", h)
     places = _places(own)
-    first = places.groupBy("key").agg(F.min(F.struct("doc_id", "k")).alias("f"), F.max(F.struct("doc_id", "k")).alias("l")).where("f < l").select("key", "f")
-    wanted = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("f.k").alias("k"), "key")).alias("_want"))
-    # of several texts of one id, the chunk is the one that the key was made of
-    held = chunked(own.join(wanted, "doc_id")).withColumn("w", F.explode("_want")).where("w.k < size(_ends)").select("w.key", F.expr(_chunk("w.k")).alias("kept"))
+    # what is gathered for a row is a list of its own text's chunks, however many rows share its id or its text
+    first = places.groupBy("key").agg(F.min(F.struct("doc_id", "k", "h")).alias("f"), F.max(F.struct("doc_id", "k")).alias("l")).where("struct(f.doc_id, f.k) < l").select("key", "f")
+    wanted = first.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.h").alias("h")).agg(F.collect_list(F.struct(F.col("f.k").alias("k"), "key")).alias("_want"))
+    held = chunked(own.join(wanted, ["doc_id", "h"])).withColumn("w", F.explode("_want")).where("w.k < size(_ends)").select("w.key", F.expr(_chunk("w.k")).alias("kept"))
     held = held.where("xxhash64(kept) = key").groupBy("key").agg(F.min("kept").alias("kept"))
-    others = places.join(first, "key").where("struct(doc_id, k) <> f").select("key", "doc_id", "k")
-    marks = others.join(held, "key").groupBy("doc_id").agg(F.collect_list(F.struct("k", "kept")).alias("_marks"))
-    joined = chunked(packed.join(marks, "doc_id", "left"))
+    others = places.join(first, "key").where("struct(doc_id, k) <> struct(f.doc_id, f.k)").select("key", "doc_id", "h", "k")
+    marks = others.join(held, "key").groupBy("doc_id", "h").agg(F.collect_set(F.struct("k", "kept")).alias("_marks"))
+    joined = chunked(packed.join(marks, ["doc_id", "h"], "left"))
     gone = F.expr(f"transform(filter(coalesce(_marks, array()), m -> m.k < size(_ends) and {_chunk('m.k')} = m.kept), m -> m.k)")
     joined = joined.withColumn("_gone", F.array_distinct(gone))
     rest_of = F.expr(f"array_join(transform(array_except(sequence(0, size(_ends) - 1), _gone), k -> {_chunk('k')}), '\n')")

@@ -9,6 +9,11 @@ writes the same records.
 Records are rows with their bytes; `write_files` puts them into a table of gzip members, one member a record, and
 `read_records` parses bytes back into rows. Every step is per page, so there is no shuffle.
 
+Payloads are read in the charset of their HTTP header, else of their first 1,024 bytes, else as UTF-8, after chunked transfer and
+gzip or deflate are undone; records of others may write header names in any case, without a space or folded, and may lack
+a target URI, a date or an id, which are then empty in the derived records. Patterns never look past the next `<`, so a
+page of unclosed tags takes time in proportion to its length.
+
 Cases: a null page is an empty payload; a null URL makes an empty target URI; bytes that are not valid text become
 replacement characters; unclosed tags, scripts, styles and comments end with the page, other unclosed elements
 keep their text; null or repeated ids and pages make
@@ -22,6 +27,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +40,10 @@ _OPEN = re.compile(r"<!--|<(script|style|noscript|template|svg)(?=[\s/>])", re.I
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "svg")}
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<(?:[a-zA-Z/!?])[^<>]*(?:>|\Z)")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+_TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
+_LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_CHARSET = re.compile(r"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
+_LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=", re.I)
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 
@@ -94,16 +100,32 @@ def serialise(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+#: Header names as this module writes them, by their lower-case form; others keep their own spelling.
+_NAMES = {n.lower(): n for n in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Source-Payload-Digest", "Content-Type", "Content-Length")}
+
+
+def fields(lines: list[str]) -> list[tuple[str, str]]:
+    """Names and values of header lines: any space after the colon, folded lines joined, lines without a colon left out."""
+    out: list[list[str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1][1] = f"{out[-1][1]} {line.strip()}".strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            out.append([name.strip(), value.strip()])
+    return [(n, v) for n, v in out]
+
+
 def parse(data: bytes):
-    """Yield (headers, block) of each record of a WARC stream."""
+    """Yield (headers, block) of each record of a WARC stream; header names in any case, folded or not."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("no record begins here")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
-        size = int(headers["Content-Length"])
+        headers = {_NAMES.get(n.lower(), n): v for n, v in reversed(fields(lines[1:]))}
+        size = int(headers.get("Content-Length", "0"))
         block = data[end + 4 : end + 4 + size]
         if len(block) < size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
             raise ValueError("a record is cut off")
@@ -111,6 +133,44 @@ def parse(data: bytes):
         at = end + 8 + size
 
 
+def _unchunked(payload: bytes) -> bytes:
+    """The payload of a chunked transfer; as it stands from where it is not one."""
+    out, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        size = payload[at:end].split(b";", 1)[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            break
+        n = int(size, 16)
+        out.append(payload[end + 2 : end + 2 + n])
+        at = end + 4 + n
+        if n == 0:
+            return b"".join(out)
+    return b"".join(out) if out and at >= len(payload) else payload
+
+
+def _unpacked(payload: bytes, coding: str) -> bytes:
+    """Without gzip or deflate; as it stands if it is not what it says."""
+    for name in reversed([c.strip().lower() for c in coding.split(",") if c.strip()]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(name, ()):
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    return payload
+
+
+def _decoded(payload: bytes, content_type: str) -> str:
+    """The text of a page in the charset that its header names, else the one in its own first 1,024 bytes, else UTF-8."""
+    said = re.search(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", content_type, re.I) or _CHARSET.search(payload[:1024].decode("latin-1"))
+    for name in (said[1] if said else "utf-8", "utf-8"):
+        try:
+            return payload.decode(name, "replace")
+        except (LookupError, UnicodeError):
+            continue
+    return payload.decode("latin-1")
+
+
 def response(url: str, page: str, date: str = DATE) -> bytes:
     """The response record of a page."""
     payload = page.encode("utf-8", "replace")
@@ -122,12 +182,15 @@ def response(url: str, page: str, date: str = DATE) -> bytes:
 def derive(headers: dict[str, str], block: bytes) -> list[bytes]:
     """The metadata and the conversion record of a response."""
     http, _, payload = block.partition(b"\r\n\r\n")
-    page = payload.decode("utf-8", "replace")
-    source, url, date = headers["WARC-Record-ID"], headers["WARC-Target-URI"], headers["WARC-Date"]
+    status, *rest = http.decode("latin-1").split("\r\n")
+    told = {k.lower(): v for k, v in fields(rest)}
+    if "chunked" in told.get("transfer-encoding", "").lower():
+        payload = _unchunked(payload)
+    page = _decoded(_unpacked(payload, told.get("content-encoding", "")), told.get("content-type", ""))
+    source, url, date = headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", ""), headers.get("WARC-Date", "")
     kept = headers.get("WARC-Payload-Digest") or digest(payload)
     title, lang, charset = _TITLE.search(page), _LANG.search(page), _CHARSET.search(page)
-    status, *fields = http.decode("latin-1").split("\r\n")
-    known = {"title": " ".join(html.unescape(title[1]).split()) if title else "", "lang": lang[1] if lang else "", "charset": charset[1] if charset else "", "links": str(len(_LINK.findall(page))), "http-status": status, **{f"http-{k.strip().lower()}": v.strip() for k, _, v in (f.partition(":") for f in fields)}}
+    known = {"title": " ".join(html.unescape(title[1]).split()) if title else "", "lang": lang[1] if lang else "", "charset": charset[1] if charset else "", "links": str(len(_LINK.findall(page))), "http-status": status, **{f"http-{k}": v for k, v in told.items()}}
     linked = [("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", url), ("WARC-Date", date)]
     out = []
     for kind, kind_of, own in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in known.items()).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"))):

@@ -218,3 +218,64 @@ def test_toxicity_without_labels(spark):
     assert {r["score"] for r in toxicity.score(docs, labels.where("toxic = 1")).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.5}
+
+
+# ------------------------------------------------ line dedup of repeated ids, web records of others
+
+
+def test_many_texts_of_one_id(spark):
+    import time
+
+    from karst.llm import linededup
+
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(400)]
+    shared = "\n".join("".join(rng.choice("xyz ") for _ in range(50)) for _ in range(30))
+    rows = [(1, "\n".join(rng.choice(lines) for _ in range(60))) for _ in range(1000)] + [(1, shared)] * 1000 + [(2, shared), (None, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    start = time.time()
+    got = linededup.remove(df).collect()
+    assert len(got) == len(rows) and time.time() - start < 60
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in got)
+    assert kept[1, shared] == 1000 and kept[None, shared] == 1 and sum(r["n_removed"] for r in got if r["doc_id"] == 2) > 0
+
+
+def record(headers, http, payload):
+    block = http + b"\r\n\r\n" + payload
+    return b"WARC/1.0\r\n" + headers + b"\r\ncontent-length:" + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_others(spark):
+    import gzip
+
+    from karst.llm import warc
+
+    page = "<title>caf\u00e9</title><p>d\u00e9j\u00e0 vu</p>"
+    latin, packed = page.encode("latin-1"), gzip.compress(page.encode())
+    chunked = b"".join(b"%x;q=1\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    cases = [
+        record(b"warc-type:response\r\nWARC-Record-Id: <a>\r\nWARC-Target-URI:http://x/\r\n  y\r\nnonsense", b"HTTP/1.1 200 OK\r\ncontent-type:text/html;\r\n\tcharset=ISO-8859-1", latin),
+        record(b"WARC-Type: response", b"HTTP/1.0 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked),
+        record(b"WARC-Type: response", b"HTTP/1.0 200 OK\r\nContent-Encoding: gzip\r\nContent-Type: text/html; charset=nonsense", page.encode()),
+        record(b"WARC-Type: response", b"HTTP/1.0 200 OK", b'<meta charset="latin-1">' + latin),
+    ]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "page_id long, record binary")
+    got = [r for r in warc.derivatives(df).collect() if r["warc_type"] == "conversion"]
+    assert len(got) == len(cases)
+    for r in got:
+        _, block = next(warc.parse(bytes(r["record"])))
+        assert "d\u00e9j\u00e0 vu" in block.decode(), r["page_id"]
+    first = next(r for r in got if r["page_id"] == 0)
+    assert first["refers_to"] == "<a>" and first["target_uri"] == "http://x/ y"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<html ", "<meta ", "<title ", "<a href", "<title>x", "<svg ", "<!-- "])
+def test_long_pages_take_little_time(piece):
+    import time
+
+    from karst.llm import warc
+
+    start = time.time()
+    _, block = next(warc.parse(warc.response("u", piece * (1_000_000 // len(piece)))))
+    warc.derive({"WARC-Record-ID": "<a>"}, block)
+    assert time.time() - start < 8
