@@ -186,7 +186,13 @@ query("src_scan_coverage", "SELECT p_partkey AS doc, CASE WHEN p_name = p_type T
 _lock = lambda v: v.part.selectExpr("p_partkey AS doc", "concat('--index-url https://x', '\n', 'a', p_size, '==1.', p_size, '\n    # via\n    #   root\n    #   b', p_size, '\nb', p_size, '==2.0\n    # via a', p_size, '\n') AS content")
 query("src_lock_edges", "SELECT p_partkey AS doc, concat('a', s) AS package, 'root' AS parent, 4 AS line FROM (SELECT p_partkey, CAST(p_size AS VARCHAR(20)) AS s FROM part) UNION ALL SELECT p_partkey, concat('a', CAST(p_size AS VARCHAR(20))), concat('b', CAST(p_size AS VARCHAR(20))), 5 FROM part UNION ALL SELECT p_partkey, concat('b', CAST(p_size AS VARCHAR(20))), concat('a', CAST(p_size AS VARCHAR(20))), 7 FROM part")(lambda v: D.lock_edges(_lock(v)))
 query("src_manifest_declarations", "SELECT p_partkey AS doc, 2 AS line, 'dependencies' AS section, concat('lib', CAST(p_size AS VARCHAR(20))) AS name, '^1.2' AS spec FROM part UNION ALL SELECT p_partkey, 4, 'dev', 'tool', '>=3' FROM part")(lambda v: D.manifest_declarations(v.part.selectExpr("p_partkey AS doc", "concat('[dependencies]\nlib', p_size, ' = \"^1.2\"\n[dev]\ntool = \">=3\"\n') AS content")))
-query("src_import_spans", "SELECT p_partkey AS doc, 'import' AS template, 1 AS line, concat('import m', CAST(p_size AS VARCHAR(20))) AS span, false AS cut FROM part")(lambda v: D.import_spans(v.part.selectExpr("p_partkey AS doc", "concat('import m', p_size, '\nx = 1\nimport m', p_size, '\n') AS content"), {"import": r"import \w+"}))
+_SIZE = "CAST(p_size AS VARCHAR(20))"
+_SOURCE = f"concat('import m', {_SIZE}, chr(10), 'from pkg import (', chr(10), '  a', {_SIZE}, ',', chr(10), '  b', chr(10), ')', chr(10), 'x as y as z', chr(10), 'import m', {_SIZE}, chr(10), 'ximport no', chr(10), ' from q import (c)', CASE WHEN p_size % 2 = 0 THEN concat(chr(10), 'import late') ELSE '' END)"
+_LONG = f"concat('from pkg import (', chr(10), '  a', {_SIZE}, ',', chr(10), '  b', chr(10), ')')"
+query("src_import_spans", f"""SELECT p_partkey AS doc, t.template, CAST(t.line AS INT) AS line, substr(t.span, 1, 24) AS span, length(t.span) > 24 AS cut FROM part, LATERAL (SELECT unnest(['import', 'from', 'from', 'alias', 'alias', 'import']) AS template, unnest([1, 2, 9, 6, 6, 10]) AS line,
+    unnest([concat('import m', {_SIZE}), {_LONG}, 'from q import (c)', 'x as y', 'y as z', CASE WHEN p_size % 2 = 0 THEN 'import late' END]) AS span) t WHERE t.span IS NOT NULL""")(
+    lambda v: D.import_spans(v.part.selectExpr("p_partkey AS doc", f"{_SOURCE} AS content"), {"import": r"(?m:^)import \w+", "from": r"\bfrom \w+ import \([^)]*\)", "alias": r"\b\w+ as \w+"}, 24)
+)
 query("src_changed_lines", "SELECT p_partkey AS doc, concat('f', CAST(p_size AS VARCHAR(20)), '.py') AS path, CAST(unnest(range(10, 10 + p_size % 4)) AS INT) AS line FROM part")(lambda v: D.changed_lines(v.part.selectExpr("p_partkey AS doc", "concat('--- a/x\n+++ b/f', p_size, '.py\n@@ -3,2 +10,', p_size % 4, ' @@\n+x\n') AS content")))
 _COVERED = """CASE p_partkey % 3 WHEN 0 THEN concat('{"files": {"a.py": {"executed_lines": [', p_size, ',', p_size + 2, ']}}}')
  WHEN 1 THEN concat('{"k.js": {"path": "b.js", "statementMap": {"0": {"start": {"line": ', p_size, '}, "end": {"line": ', p_size + 1, '}}, "1": {"start": {"line": 900}, "end": {"line": 900}}}, "s": {"0": 3, "1": 0}}}')

@@ -123,13 +123,29 @@ def manifest_declarations(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "line", F.col("carried").alias("section"), F.regexp_extract("text", entry, 1).alias("name"), F.regexp_extract("text", entry, 2).alias("spec")).where("name <> '' AND section IS NOT NULL")
 
 
+#: Set before each match to find its place; where a text holds it itself, it is read as a replacement character.
+_MARK = "\ue000"
+
+
 def import_spans(files: DataFrame, templates: dict[str, str], width: int = 400) -> DataFrame:
-    """Distinct matches of each template in each file with their first line; long ones are cut and marked."""
+    """Distinct matches of each template in each whole file with the line of the first; long ones are cut and marked.
+
+    Matches may overlap and go over lines: each place is tried by looking ahead. A mark before each match and the line ends
+    between the marks give the lines. Matches that begin with a line end are left out; (doc, content) rows of one doc are one file each."""
     rows = None
+    text = F.regexp_replace("content", _MARK, "\ufffd")
     for name, pattern in templates.items():
-        found = lines(files).where(F.col("text").rlike(pattern)).select("doc", "line", F.lit(name).alias("template"), F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("span"))
+        ahead = f"(?=({pattern}))"
+        found = files.select("doc", text.alias("content")).where(F.col("content").rlike(pattern)).withColumn("file", F.xxhash64("content"))
+        parts = F.split(F.regexp_replace("content", ahead, _MARK), _MARK, -1)
+        ends = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
+        # the span of the n-th match stands behind the n-th mark
+        both = F.arrays_zip(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))).alias("ends"), F.regexp_extract_all("content", F.lit(ahead), 1).alias("span"))
+        found = found.select("doc", "file", F.posexplode(both).alias("n", "m")).select("doc", "file", "n", "m.ends", "m.span")
+        so_far = Window.partitionBy("doc", "file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+        found = found.distinct().withColumn("line", (F.sum("ends").over(so_far) + 1).cast("int")).select("doc", "line", F.lit(name).alias("template"), "span")
         rows = found if rows is None else rows.union(found)
-    out = rows.groupBy("doc", "template", "span").agg(F.min("line").alias("line"))
+    out = rows.where(~F.col("span").startswith("\n") & (F.col("span") != "")).groupBy("doc", "template", "span").agg(F.min("line").alias("line"))
     return out.select("doc", "template", "line", F.substring("span", 1, width).alias("span"), (F.length("span") > width).alias("cut"))
 
 
