@@ -117,6 +117,36 @@ def path_to_entry(reached: DataFrame) -> DataFrame:
     return rows.select("node", "chain", "uncertain")
 
 
+def install_walk(edges: DataFrame, trees: DataFrame, primaries: DataFrame, most: int = 50) -> DataFrame:
+    """(primary, tree, pos, depth, via, why): from each primary, the trees it installs from in breadth-first order, and the gaps.
+
+    Edges are (src, dst) with any columns that order them, trees are those whose manifests were read, pos counts from 0 at the
+    primary. A walk takes `most` trees; why is null for a tree on the walk, `not loaded` for one that was not read, `cap` for one
+    beyond the walk's end, and a gap is listed once for each tree it is met from. All walks go on level by level together;
+    a level's new trees are ordered by who met them first, in the order of the level before."""
+    others = [c for c in edges.columns if c not in ("src", "dst")]
+    out_of = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min(F.struct("dst", *others)).alias("rank"))
+    known = trees.select(F.col("tree").alias("dst")).where("tree is not null").distinct().withColumn("loaded", F.lit(True))
+    out_of = cut(out_of.join(known, "dst", "left"))
+    seen = cut(primaries.select(F.col("tree").alias("primary")).where("tree is not null").distinct().select("primary", F.col("primary").alias("tree"), F.lit(0).alias("pos"), F.lit(0).alias("depth")))
+    frontier, gaps = seen, None
+    while not frontier.isEmpty():
+        met = frontier.join(out_of, F.col("tree") == F.col("src")).select("primary", "src", "dst", F.struct("pos", "rank").alias("at"), (F.col("depth") + 1).alias("depth"), "loaded")
+        met = met.join(seen.select("primary", F.col("tree").alias("dst"), F.lit(True).alias("old")), ["primary", "dst"], "left").where("old is null").drop("old")
+        met = cut(met)
+        first = met.where("loaded").groupBy("primary", "dst").agg(F.min("at").alias("at"), F.min("depth").alias("depth"))
+        taken = seen.groupBy("primary").agg(F.count("*").alias("taken"))
+        place = F.row_number().over(Window.partitionBy("primary").orderBy("at"))
+        ranked = first.withColumn("place", place).where(F.col("place") < most).join(taken, "primary").withColumn("pos", (F.col("taken") + F.col("place") - 1).cast("int"))
+        frontier = cut(ranked.where(F.col("pos") < most).select("primary", F.col("dst").alias("tree"), "pos", "depth"))
+        left = met.join(frontier.select("primary", F.col("tree").alias("dst")), ["primary", "dst"], "left_anti")
+        left = left.select("primary", F.col("dst").alias("tree"), F.lit(None).cast("int").alias("pos"), "depth", F.col("src").alias("via"), F.when(F.col("loaded"), "cap").otherwise("not loaded").alias("why"))
+        gaps = left if gaps is None else gaps.unionByName(left)
+        seen = seen.unionByName(frontier)
+    walk = seen.select("primary", "tree", "pos", "depth", F.lit(None).cast(seen.schema["tree"].dataType).alias("via"), F.lit(None).cast("string").alias("why"))
+    return walk if gaps is None else walk.unionByName(gaps)
+
+
 def direct_parents(requirements: DataFrame, packages: DataFrame) -> DataFrame:
     return requirements.join(packages, "child", "left_semi").select("child", "parent").distinct()
 

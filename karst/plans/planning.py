@@ -41,7 +41,16 @@ query("gr_library_kind", "SELECT p_partkey AS module, CASE WHEN p_partkey % 2 =
 query("gr_reached_through", "SELECT DISTINCT child AS package, parent AS through FROM requirements WHERE parent % 3 = 0")(lambda v: N.reached_through(v.requirements.selectExpr("child AS package", "parent"), v.part.where("p_partkey % 3 = 0").selectExpr("p_partkey AS package")))
 _TREE = ("WITH RECURSIVE r(node, d) AS (SELECT package_id, 0 FROM ({seeds}) UNION SELECT q.parent, r.d + 1 FROM r JOIN (SELECT p_partkey AS child, CAST(floor(p_partkey / 2) AS BIGINT) AS parent FROM part WHERE p_partkey > 1) q ON q.child = r.node WHERE r.d < 3)").format(seeds=f"SELECT package_id FROM ({VIEWS['packages']}) WHERE is_deleted")
 _walk = lambda v: G.reach(v.part.where("p_partkey > 1").selectExpr("p_partkey AS from_key", "CAST(floor(p_partkey / 2) AS BIGINT) AS to_key"), v.packages.where("is_deleted").select(F.col("package_id").alias("node")), 3)
-query("gr_install_walk", f"{_TREE} SELECT node, min(d) AS distance FROM r GROUP BY 1")(lambda v: _walk(v).select("node", "distance"))
+_INSTALLS = "SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst, 'lock' AS kind FROM {part} WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey + 1, 'wheel' FROM {part} WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 2) AS BIGINT), 'wheel' FROM {part} WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey, p_partkey + 1000000, 'lock' FROM {part} WHERE p_partkey % 4 = 0"
+query("gr_install_walk", f"""WITH RECURSIVE x AS (SELECT DISTINCT src, dst FROM ({_INSTALLS.format(part='part')})), t AS (SELECT p_partkey AS tree FROM part WHERE p_partkey % 10 <> 7),
+o AS (SELECT src, list(dst ORDER BY dst) FILTER (WHERE dst IN (SELECT tree FROM t)) AS inside, list(dst ORDER BY dst) FILTER (WHERE dst NOT IN (SELECT tree FROM t)) AS outside FROM x GROUP BY 1),
+w AS (SELECT package_id AS prim, [package_id] AS ord, [0] AS deps, 0 AS i, CAST([] AS BIGINT[]) AS lost, CAST([] AS BIGINT[]) AS gone FROM ({VIEWS['packages']}) WHERE is_deleted
+    UNION ALL SELECT prim, list_concat(ord, fresh[1:9 - len(ord)]), list_concat(deps, [deps[i + 1] + 1 FOR y IN fresh[1:9 - len(ord)]]), i + 1, fresh[10 - len(ord):], outs FROM (
+        SELECT w.prim, w.ord, w.deps, w.i, [y FOR y IN coalesce(o.inside, []) IF NOT list_contains(w.ord, y)] AS fresh, [y FOR y IN coalesce(o.outside, []) IF NOT list_contains(w.ord, y)] AS outs FROM w LEFT JOIN o ON o.src = w.ord[w.i + 1] WHERE w.i < len(w.ord))),
+e AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY prim ORDER BY i DESC) = 1)
+SELECT prim AS primary, unnest(ord) AS tree, CAST(unnest(range(len(ord))) AS INT) AS pos, CAST(unnest(deps) AS INT) AS depth, CAST(NULL AS BIGINT) AS via, CAST(NULL AS VARCHAR) AS why FROM e
+UNION ALL SELECT prim, unnest(lost), NULL, deps[i] + 1, ord[i], 'cap' FROM w WHERE len(lost) > 0 UNION ALL SELECT prim, unnest(gone), NULL, deps[i] + 1, ord[i], 'not loaded' FROM w WHERE len(gone) > 0
+""".replace("prim AS primary", 'prim AS "primary"'))(lambda v: G.install_walk(v.spark.sql(_INSTALLS, part=v.part), v.part.where("p_partkey % 10 <> 7").selectExpr("p_partkey AS tree"), v.packages.where("is_deleted").selectExpr("package_id AS tree"), 9))
 query("gr_pins_on_path", f"{_TREE} SELECT p_partkey AS tree, CASE WHEN p_size % 2 = 0 THEN '==1.0' ELSE '>=1' END AS spec, CASE WHEN d IS NULL THEN 'ignored:not_reached' WHEN d = 0 THEN 'source' WHEN p_size % 2 = 0 THEN 'ships' ELSE 'request' END AS role FROM part LEFT JOIN (SELECT node, min(d) AS d FROM r GROUP BY 1) w ON p_partkey = w.node")(lambda v: N.pins_on_path(_walk(v), v.part.selectExpr("p_partkey AS tree", "CASE WHEN p_size % 2 = 0 THEN '==1.0' ELSE '>=1' END AS spec")))
 query("gr_must_move", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'member' WHEN 1 THEN 'fine' WHEN 2 THEN 'undecidable' ELSE 'fine' END AS move FROM part")(lambda v: N.must_move(v.part.selectExpr("p_partkey", "CASE p_size % 4 WHEN 0 THEN '==1.0' WHEN 1 THEN '>=1,<3' WHEN 2 THEN 'workspace:*' ELSE '^2.0' END AS spec"), F.lit("2.5")).select("p_partkey", "move"))
 
