@@ -1,10 +1,10 @@
-"""Queries of lock files: five formats, six kinds of origin, nested copies and unreadable files."""
+"""Queries of lock files and manifests: their formats, kinds of origin, nested copies and unreadable files."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import locks
+from ..sources import locks, manifests
 from .registry import query
 
 _I, _S = "CAST(p_partkey AS VARCHAR(20))", "CAST(p_size AS VARCHAR(20))"
@@ -14,8 +14,8 @@ _FROM = f"""CASE p_partkey % 6 WHEN 0 THEN concat('https://registry.npmjs.org/a'
 
 def _text(*rows: str) -> str:
     """A concat of lines in which <i>, <s> and <url> stand for values of the row."""
-    out = "'" + "', chr(10), '".join(row.replace("'", "''") for row in rows) + "'"
-    for mark, sql in (("<i>", _I), ("<s>", _S), ("<url>", _FROM)):
+    out = "'" + "', chr(10), '".join(row.replace("'", "<q>").replace("\\", "<b>") for row in rows) + "'"
+    for mark, sql in (("<q>", "chr(39)"), ("<b>", "chr(92)"), ("<i>", _I), ("<s>", _S), ("<url>", _FROM)):
         out = out.replace(mark, f"', {sql}, '")
     return f"concat({out})"
 
@@ -62,3 +62,38 @@ query("src_lock_resolutions", f"""WITH p AS (SELECT p_partkey AS doc, p_partkey
     _rows(4, "pinned", 2, "a", "concat('1.', s)", "''", "false", _INDEX),
     _rows(4, "pinned", 4, "'b'", "'2.0'", "''", "false", _INDEX),
 ]))(lambda v: locks.lock_resolutions(v.part.selectExpr(*_DOCS)).withColumn("nested_under", F.array_join("nested_under", ">")))
+
+# ------------------------------------------------ manifests
+
+_LIST = _text("# all", "lib<s>[extra] >=1.0, \\", "    <2 ; python_version > '3'  # why", "--index-url https://x", "other==2.<i>", "bare", "-e ./local", "url @ https://x/y.whl")
+_TOML = _text(
+    "[project]", 'name = "p"', "dependencies = [  # those", '    "lib<s>>=1.0,<2",', "    'odd[x]~=3.0 ; os > \"a]\"', # more", "]", "[project.optional-dependencies]", 'dev = ["tool==<i>", "lint"]', "", "[tool.poetry.dependencies]",
+    'python = "^3.9"', 'poet = "^1.<s>"', "inline = { extras = ['a'], version = '>=4' }", 'path = { path = "../x" }', "[tool.poetry.group.test.dependencies]", "check = '*'", "[tool.other]", 'nothing = "1"',
+)
+_OPEN = _text("[project]", "dependencies = [", '  "lib<s>"')
+_JSON = _text("{", '  "name": "app",', '  "dependencies": {', '    "lib<s>": "^1.<i>",', '    "@s/b": "*"', "  },", '  "devDependencies": {', '    "lib<s>": "~2"', "  }", "}")
+_FILES = (
+    "p_partkey AS doc",
+    "CASE WHEN p_size % 5 = 0 THEN 'a/requirements.txt' WHEN p_size % 5 < 3 THEN 'pyproject.toml' WHEN p_size % 5 = 3 THEN 'b/package.json' ELSE 'setup.py' END AS name",
+    f"CASE p_size % 5 WHEN 0 THEN {_LIST} WHEN 1 THEN {_TOML} WHEN 2 THEN {_OPEN} WHEN 3 THEN CASE WHEN p_partkey % 10 = 9 THEN '{{' ELSE {_JSON} END ELSE 'lib==1' END AS content",
+)
+
+
+def _declares(f: int, *rows: tuple) -> str:
+    return " UNION ALL ".join(f"SELECT doc, CAST({line} AS INT) AS line, '{section}' AS section, {name} AS name, {spec} AS spec, '{syntax}' AS syntax FROM p WHERE f = {f} AND NOT bad" for line, section, name, spec, syntax in rows)
+
+
+query("src_manifest_declarations", f"""WITH p AS (SELECT p_partkey AS doc, p_size % 5 AS f, p_size % 5 = 3 AND p_partkey % 10 = 9 AS bad, {_I} AS i, {_S} AS s, concat('lib', {_S}) AS lib FROM part)
+""" + " UNION ALL ".join([
+    _declares(0, (2, "main", "lib", "'>=1.0,<2'", "requirements"), (5, "main", "'other'", "concat('==2.', i)", "requirements"), (6, "main", "'bare'", "''", "requirements"), (8, "main", "'url'", "''", "requirements")),
+    _declares(1, (4, "main", "lib", "'>=1.0,<2'", "pep508"), (5, "main", "'odd'", "'~=3.0'", "pep508"), (8, "dev", "'tool'", "concat('==', i)", "pep508"), (8, "dev", "'lint'", "''", "pep508"),
+              (12, "main", "'poet'", "concat('^1.', s)", "poetry"), (13, "main", "'inline'", "'>=4'", "poetry"), (16, "test", "'check'", "'*'", "poetry")),
+    _declares(2, (3, "main", "lib", "''", "pep508")),
+    _declares(3, (4, "dependencies", "lib", "concat('^1.', i)", "npm"), (5, "dependencies", "'@s/b'", "'*'", "npm"), (8, "devDependencies", "lib", "'~2'", "npm")),
+    "SELECT doc, NULL, NULL, NULL, CASE WHEN f = 2 OR bad THEN 'unreadable' ELSE 'readable' END, CASE WHEN f = 0 THEN 'requirements' WHEN f < 3 THEN 'pyproject' ELSE 'package' END FROM p WHERE f < 4",
+]))(lambda v: _both(*manifests.manifests(v.part.selectExpr(*_FILES))))
+
+
+def _both(declared, files):
+    """Declarations, and the files themselves as rows without a name."""
+    return declared.unionByName(files.select("doc", "syntax", F.when(F.col("readable"), "readable").otherwise("unreadable").alias("spec")), allowMissingColumns=True)

@@ -185,7 +185,6 @@ query("src_rule_signals", "SELECT p_partkey AS doc, p_type AS rule, p_name AS pa
 query("src_scan_coverage", "SELECT p_partkey AS doc, CASE WHEN p_name = p_type THEN 1 ELSE 2 END AS scanned, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS unparsed, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS partial, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS timeouts FROM part")(lambda v: D.scan_coverage(_signals(v)))
 _lock = lambda v: v.part.selectExpr("p_partkey AS doc", "concat('--index-url https://x', '\n', 'a', p_size, '==1.', p_size, '\n    # via\n    #   root\n    #   b', p_size, '\nb', p_size, '==2.0\n    # via a', p_size, '\n') AS content")
 query("src_lock_edges", "SELECT p_partkey AS doc, concat('a', s) AS package, 'root' AS parent, 4 AS line FROM (SELECT p_partkey, CAST(p_size AS VARCHAR(20)) AS s FROM part) UNION ALL SELECT p_partkey, concat('a', CAST(p_size AS VARCHAR(20))), concat('b', CAST(p_size AS VARCHAR(20))), 5 FROM part UNION ALL SELECT p_partkey, concat('b', CAST(p_size AS VARCHAR(20))), concat('a', CAST(p_size AS VARCHAR(20))), 7 FROM part")(lambda v: D.lock_edges(_lock(v)))
-query("src_manifest_declarations", "SELECT p_partkey AS doc, 2 AS line, 'dependencies' AS section, concat('lib', CAST(p_size AS VARCHAR(20))) AS name, '^1.2' AS spec FROM part UNION ALL SELECT p_partkey, 4, 'dev', 'tool', '>=3' FROM part")(lambda v: D.manifest_declarations(v.part.selectExpr("p_partkey AS doc", "concat('[dependencies]\nlib', p_size, ' = \"^1.2\"\n[dev]\ntool = \">=3\"\n') AS content")))
 _SIZE = "CAST(p_size AS VARCHAR(20))"
 _SOURCE = f"concat('import m', {_SIZE}, chr(10), 'from pkg import (', chr(10), '  a', {_SIZE}, ',', chr(10), '  b', chr(10), ')', chr(10), 'x as y as z', chr(10), 'import m', {_SIZE}, chr(10), 'ximport no', chr(10), ' from q import (c)', CASE WHEN p_size % 2 = 0 THEN concat(chr(10), 'import late') ELSE '' END)"
 _LONG = f"concat('from pkg import (', chr(10), '  a', {_SIZE}, ',', chr(10), '  b', chr(10), ')')"

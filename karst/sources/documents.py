@@ -115,14 +115,6 @@ def lock_edges(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "line", F.col("carried").alias("package"), parent.alias("parent")).where("parent NOT IN ('', 'via') AND package IS NOT NULL")
 
 
-def manifest_declarations(docs: DataFrame) -> DataFrame:
-    """Declarations under section headers: (doc, line, section, name, spec)."""
-    section = F.nullif(F.regexp_extract("text", r"^\s*\[([^\]]+)\]\s*$", 1), F.lit(""))
-    entry = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*=\s*[\"']?([^\"'#]*?)[\"']?\s*$"
-    rows = _carried(docs, section)
-    return rows.select("doc", "line", F.col("carried").alias("section"), F.regexp_extract("text", entry, 1).alias("name"), F.regexp_extract("text", entry, 2).alias("spec")).where("name <> '' AND section IS NOT NULL")
-
-
 #: Set before each match to find its place; where a text holds it itself, it is read as a replacement character.
 _MARK = "\ue000"
 
