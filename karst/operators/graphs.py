@@ -154,7 +154,7 @@ def direct_parents(requirements: DataFrame, packages: DataFrame) -> DataFrame:
 def edge_contract(edges: DataFrame, contract: DataFrame) -> DataFrame:
     """Edges with whether their type may join these schemes."""
     e = edges.withColumn("from_scheme", F.split_part("from_key", F.lit(":"), F.lit(1))).withColumn("to_scheme", F.split_part("to_key", F.lit(":"), F.lit(1)))
-    return e.join(contract.withColumn("_ok", F.lit(True)), ["edge_type", "from_scheme", "to_scheme"], "left").withColumn("legal", F.coalesce("_ok", F.lit(False))).drop("_ok")
+    return e.join(contract.withColumn("karst ok", F.lit(True)), ["edge_type", "from_scheme", "to_scheme"], "left").withColumn("legal", F.coalesce("karst ok", F.lit(False))).drop("karst ok")
 
 
 def unconnected(entities: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -185,9 +185,9 @@ def governance_ladder(df: DataFrame, rungs: list[tuple[str, str]]) -> DataFrame:
 
 def running_state(df: DataFrame, key: str, running: DataFrame, recorded: DataFrame, exposed: DataFrame) -> DataFrame:
     """running, recorded_only, exposed_only or not_observed, counted; the four add up to the total."""
-    for name, other in (("_r", running), ("_d", recorded), ("_e", exposed)):
+    for name, other in (("karst r", running), ("karst d", recorded), ("karst e", exposed)):
         df = df.join(other.select(key).distinct().withColumn(name, F.lit(True)), key, "left")
-    state = F.when(F.col("_r"), "running").when(F.col("_d"), "recorded_only").when(F.col("_e"), "exposed_only").otherwise("not_observed")
+    state = F.when(F.col("karst r"), "running").when(F.col("karst d"), "recorded_only").when(F.col("karst e"), "exposed_only").otherwise("not_observed")
     return df.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 

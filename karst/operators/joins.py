@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 def enrich_coverage(left: DataFrame, right: DataFrame, key: str, condition: Column | None = None) -> DataFrame:
     """Left enrichment whose right-hand conditions are part of the match, then counted: total, joined, unmatched."""
     right = right if condition is None else right.where(condition)
-    out = left.join(right.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
-    return out.agg(F.count("*").alias("total"), F.count("_hit").alias("joined"), F.count_if(F.col("_hit").isNull()).alias("unmatched"))
+    out = left.join(right.select(key).distinct().withColumn("karst hit", F.lit(1)), key, "left")
+    return out.agg(F.count("*").alias("total"), F.count("karst hit").alias("joined"), F.count_if(F.col("karst hit").isNull()).alias("unmatched"))
 
 
 def trust_report(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
     """Share of the left side's distinct keys that the right side lacks, and whether to rely on the join."""
     keys = left.where(F.col(key).isNotNull()).select(key).distinct()
-    have = right.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_hit", F.lit(1))
-    counts = keys.join(have, key, "left").agg(F.count("*").alias("keys"), F.count_if(F.col("_hit").isNull()).alias("orphans"), F.count("_hit").alias("_found"))
+    have = right.where(F.col(key).isNotNull()).select(key).distinct().withColumn("karst hit", F.lit(1))
+    counts = keys.join(have, key, "left").agg(F.count("*").alias("keys"), F.count_if(F.col("karst hit").isNull()).alias("orphans"), F.count("karst hit").alias("_found"))
     rate = F.col("orphans") / F.nullif(F.col("keys"), F.lit(0))
     tag = F.when(rate.isNull(), "UNMEASURED").when(rate <= 0.01, "RELY").when(rate <= 0.2, "DEGRADED").otherwise("NORELY")
     return counts.select(F.lit(name).alias("join_name"), "keys", "orphans", F.round(100 * rate, 2).alias("orphan_pct"), tag.alias("trust"))
@@ -81,9 +81,9 @@ def fallback_key(df: DataFrame, right: DataFrame, first: str, second: str, value
 
 def nth_occurrence(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
     """Pair the n-th left row of a key with its n-th right row, each used once; rows without a partner stay."""
-    a = left.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*left_order)))
-    b = right.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*right_order)))
-    return a.join(b, [*key, "_n"], "full_outer").withColumnRenamed("_n", "n")
+    a = left.withColumn("karst n", F.row_number().over(Window.partitionBy(*key).orderBy(*left_order)))
+    b = right.withColumn("karst n", F.row_number().over(Window.partitionBy(*key).orderBy(*right_order)))
+    return a.join(b, [*key, "karst n"], "full_outer").withColumnRenamed("karst n", "n")
 
 
 def path_suffix(changed: DataFrame, covered: DataFrame) -> DataFrame:

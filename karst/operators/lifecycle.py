@@ -77,8 +77,8 @@ def work_queue(df: DataFrame, by: list[str], row_id: str, measured: DataFrame) -
 
 def falls_out(requirements: DataFrame, removed: DataFrame) -> DataFrame:
     """Packages all of whose requirers are removed."""
-    gone = removed.select(F.col("package").alias("parent")).distinct().withColumn("_g", F.lit(True))
-    out = requirements.join(gone, "parent", "left").groupBy("child").agg(F.every(F.coalesce("_g", F.lit(False))).alias("out"))
+    gone = removed.select(F.col("package").alias("parent")).distinct().withColumn("karst g", F.lit(True))
+    out = requirements.join(gone, "parent", "left").groupBy("child").agg(F.every(F.coalesce("karst g", F.lit(False))).alias("out"))
     return out.where("out").select("child")
 
 

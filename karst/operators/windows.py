@@ -99,8 +99,8 @@ def carry_block_state(lines: DataFrame, key: str, line: str, begin: Column, end:
 def tail_budget(lines: DataFrame, key: str, line: str, text: str, lines_each: int, characters: int) -> DataFrame:
     """The last lines of each step, at most so many, within a budget of characters counted from the end."""
     w = Window.partitionBy(key).orderBy(F.desc(line))
-    out = lines.withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.where((F.col("_n") <= lines_each) & (F.col("_sum") <= characters)).drop("_n", "_sum")
+    out = lines.withColumn("karst n", F.row_number().over(w)).withColumn("karst sum", F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.where((F.col("karst n") <= lines_each) & (F.col("karst sum") <= characters)).drop("karst n", "karst sum")
 
 
 def trend_delta(df: DataFrame, by: str, period: str, value: str) -> DataFrame:
@@ -145,10 +145,10 @@ def keyset_page(df: DataFrame, keys: list[str], after: tuple | None, n: int) ->
         df = df.where(row > F.struct(*(F.lit(v).alias(k) for k, v in zip(keys, after, strict=True))))
     page = df.orderBy(*keys).limit(n + 1)
     w = Window.orderBy(*keys)  # n + 1 rows
-    return page.withColumn("_n", F.row_number().over(w)).withColumn("has_more", F.count("*").over(Window.partitionBy()) > n).where(F.col("_n") <= n).drop("_n")
+    return page.withColumn("karst n", F.row_number().over(w)).withColumn("has_more", F.count("*").over(Window.partitionBy()) > n).where(F.col("karst n") <= n).drop("karst n")
 
 
 def last_activity(own: DataFrame, members: DataFrame, key: str, own_ts: str, member_ts: str) -> DataFrame:
     """The newest change of an entry or of any of its members."""
-    newest = members.groupBy(key).agg(F.max(member_ts).alias("_m"))
-    return own.join(newest, key, "left").withColumn("last_activity", F.greatest(own_ts, "_m")).drop("_m")
+    newest = members.groupBy(key).agg(F.max(member_ts).alias("karst m"))
+    return own.join(newest, key, "left").withColumn("last_activity", F.greatest(own_ts, "karst m")).drop("karst m")
