@@ -62,7 +62,7 @@ def st_lockout(v):
     sent = [a.unionByName(b) for a, b in zip([*late[::2], empty], [empty, *late[1::2]], strict=True)]
     # the last event of all, far on in time and of no consequence, moves the watermark past all others
     last = rows.agg(F.max("ts").alias("ts")).selectExpr("CAST(-1 AS BIGINT) AS user", f"ts + make_interval(0, 0, 0, 0, 0, 0, {2 * width}) AS ts", "CAST(-1 AS BIGINT) AS id", "'success' AS kind").where("ts IS NOT NULL")
-    changes = streams.run_to_end(lockouts.lockout_stream(streams.feed([*sent, last]), f"{2 * width} seconds"))
+    changes = streams.run_to_end(lockouts.lockout_stream(streams.feed([*sent, last]), f"{2 * width} seconds", seconds=width // 16 + 1))
     return changes
 
 

@@ -22,6 +22,8 @@ LIMIT, HOURS = 5, 24
 KINDS = ("failure", "success", "unlock")
 CHANGES = "user long, change string, at long, until long"
 _HOUR = 3_600_000_000
+#: Most waiting events in a chunk of the state.
+_CHUNK = 4096
 
 
 def step(state: tuple[int, int | None], at: int, kind: str | None, limit: int, hours: int) -> tuple[tuple[int, int | None], list[tuple[str, int, int | None]]]:
@@ -52,65 +54,106 @@ def known(events: DataFrame) -> DataFrame:
 
 
 class _Machine(StatefulProcessor):
-    """Waiting events as a map (time, id) -> kind, and the user's state; a timer for each waiting time and each lock's end."""
+    """Waiting events in chunks of a map (slice of time, number) -> rows, and the user's state, with one timer for the earliest thing due.
 
-    def __init__(self, limit: int, hours: int):
-        self.limit, self.hours = limit, hours
+    An event is written once and read when its slice falls due (again only in the slice that the watermark stands in), so the work
+    grows with the events, and memory holds one slice of one user."""
+
+    def __init__(self, limit: int, hours: int, seconds: int):
+        self.limit, self.hours, self.width = limit, hours, seconds * 1_000_000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, id long", "kind string")
+        self.waiting = handle.getMapState("waiting", "slice long, number long", "at array<long>, id array<long>, kind array<string>")
         self.state = handle.getValueState("state", "failures int, until long")
+        self.next = handle.getValueState("next", "timer long, number long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        timers = set()
+        timer, number = self._next()
+        earliest, chunks = None, {}
         for row in rows:
-            # repeated deliveries of an event are one; of two kinds under one id the first in order stays, whatever came first
-            place = (row["at"], row["id"])
-            if self.waiting.containsKey(place):
-                before = self.waiting.getValue(place)[0]
-                if before <= row["kind"]:
-                    continue
-            self.waiting.updateValue(place, (row["kind"],))
-            timers.add(row["at"] // 1000)
-        for at in timers:
-            self.handle.registerTimer(at)
+            at = row["at"]
+            earliest = at if earliest is None else min(earliest, at)
+            chunk = chunks.setdefault(at // self.width, [])
+            chunk.append((at, row["id"], row["kind"]))
+            if len(chunk) == _CHUNK:
+                number = self._put(at // self.width, number, chunk)
+                chunk.clear()
+        for place, chunk in chunks.items():
+            number = self._put(place, number, chunk) if chunk else number
+        self._wake(timer, [t for t in (timer, None if earliest is None else earliest // 1000) if t is not None], number)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         from pyspark.sql import Row
 
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        due = sorted((at, -1 if number is None else number, number, kind) for (at, number), (kind,) in self.waiting.iterator() if at // 1000 <= now)
+        _, number = self._next()
         state = tuple(self.state.get()) if self.state.exists() else (0, None)
-        changes = []
-        for at, _, number, kind in due:
-            state, out = step(state, at, kind, self.limit, self.hours)
-            changes += out
-            self.waiting.removeKey((at, number))
+        later, due = [], {}
+        for place, n in list(self.waiting.keys()):
+            if place * self.width // 1000 <= now:
+                due.setdefault(place, []).append(n)
+            else:
+                later.append(place * self.width // 1000)
+        for place in sorted(due):
+            # repeated deliveries of an event are one; of two kinds under one id the first in order stays, whatever came first
+            kinds, left = {}, []
+            for n in due[place]:
+                for at, i, kind in zip(*self.waiting.getValue((place, n)), strict=True):
+                    if at // 1000 > now:
+                        left.append((at, i, kind))
+                    elif (at, i) not in kinds or kind < kinds[at, i]:
+                        kinds[at, i] = kind
+                self.waiting.removeKey((place, n))
+            for start in range(0, len(left), _CHUNK):
+                number = self._put(place, number, left[start : start + _CHUNK])
+            later += [min(left)[0] // 1000] if left else []
+            for at, _, kind in sorted((at, -1 if i is None else i, kind) for (at, i), kind in kinds.items()):
+                state, out = step(state, at, kind, self.limit, self.hours)
+                yield from (Row(user=key[0], change=change, at=t, until=until) for change, t, until in out)
         if state[1] is not None and state[1] // 1000 <= now:
             state, out = step(state, state[1], None, self.limit, self.hours)
-            changes += out
+            yield from (Row(user=key[0], change=change, at=t, until=until) for change, t, until in out)
         if state == (0, None):
             self.state.clear()
         else:
             self.state.update(state)
-            if state[1] is not None:
-                self.handle.registerTimer(state[1] // 1000)
-
-        for change, at, until in changes:
-            yield Row(user=key[0], change=change, at=at, until=until)
+            later += [] if state[1] is None else [state[1] // 1000]
+        self._wake(None, later, number)
+
+    def _next(self) -> tuple[int | None, int]:
+        """The timer that is set, if any, and the number of the next chunk."""
+        return tuple(self.next.get()) if self.next.exists() else (None, 0)
+
+    def _put(self, place: int, number: int, chunk: list) -> int:
+        at, i, kind = (list(c) for c in zip(*chunk, strict=True))
+        self.waiting.updateValue((place, number), (at, i, kind))
+        return number + 1
+
+    def _wake(self, timer: int | None, times: list[int], number: int) -> None:
+        """Set the timer to the earliest of the times."""
+        if not times:
+            self.next.clear()
+            return
+        if min(times) != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(min(times))
+        self.next.update((min(times), number))
 
     def close(self) -> None:
         pass
 
 
-def lockout_stream(events: DataFrame, delay: str = "1 hour", limit: int = LIMIT, hours: int = HOURS) -> DataFrame:
-    """Lock, unlock and end rows of a stream of (user, ts, id, kind). Needs the RocksDB state store."""
+def lockout_stream(events: DataFrame, delay: str = "1 hour", limit: int = LIMIT, hours: int = HOURS, seconds: int = 3600) -> DataFrame:
+    """Lock, unlock and end rows of a stream of (user, ts, id, kind). Needs the RocksDB state store.
+
+    Waiting events are kept in slices of so many seconds."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = known(events).withWatermark("ts", delay)
-    return _times(rows.groupBy("user").transformWithState(_Machine(limit, hours), CHANGES, "Append", "EventTime"))
+    return _times(rows.groupBy("user").transformWithState(_Machine(limit, hours, seconds), CHANGES, "Append", "EventTime"))
 
 
 def _times(changes: DataFrame) -> DataFrame:

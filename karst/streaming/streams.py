@@ -35,16 +35,27 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def feed(parts: list[DataFrame], trigger: int = 1) -> DataFrame:
-    """The parts as a stream that takes so many files at a time, each part's files after those of the parts before it."""
+def feed(parts: list[DataFrame]) -> DataFrame:
+    """The parts as a stream that takes one part a batch, in order, however many files a part makes.
+
+    Each part gets the same number of files, some of them without rows, and that number is taken at a time."""
     import uuid
 
     spark = parts[0].sparkSession
     path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    for part in parts:
-        part.write.mode("append").parquet(path)
+    files = spark.sparkContext.defaultParallelism
+    fs_path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = fs_path(path).getFileSystem(conf)
+    written = lambda folder: fs.globStatus(fs_path(f"{folder}/*.parquet"))
+    spark.createDataFrame([], parts[0].schema).coalesce(1).write.parquet(f"{path}-blank")
+    blank = written(f"{path}-blank")[0].getPath()
+    for number, part in enumerate(parts, 1):
+        part.coalesce(files).write.mode("append").parquet(path)
+        for k in range(len(written(path)), files * number):
+            spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, blank, fs, fs_path(f"{path}/blank-{k}.parquet"), False, conf)
     _until_the_end(spark, path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", trigger).parquet(path)
+    _until_the_end(spark, f"{path}-blank")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _until_the_end(spark: SparkSession, path: str) -> None:

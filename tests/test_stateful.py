@@ -177,3 +177,66 @@ def test_newest_is_merged_before_the_shuffle(spark):
     out = stores.newest(rows, ["k"], ["o"])
     assert [tuple(r) for r in out.collect()] == [("hot", 999, 1998)]
     assert "partial_max" in out._jdf.queryExecution().toString()
+
+
+def test_a_part_of_many_files_is_one_batch(spark):
+    parts = [spark.range(k * 100, k * 100 + 100, 1, 3).select("id", F.timestamp_seconds(F.col("id") * 86400).alias("ts")) for k in range(3)]
+    seen = []
+    q = streams.feed([parts[0], parts[0].where("false"), *parts[1:]]).writeStream.foreachBatch(lambda df, n: seen.append(sorted(r["id"] for r in df.collect()))).option("checkpointLocation", folder(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert seen == [list(range(100)), [], list(range(100, 200)), list(range(200, 300))]
+
+
+class Kept:
+    """A handle that keeps state in memory and counts what is read and which timers are set."""
+
+    def __init__(self):
+        self.data, self.reads, self.timers = {}, 0, []
+        self.registerTimer, self.deleteTimer = self.timers.append, self.timers.remove
+
+    def getMapState(self, name, *_):
+        return self
+
+    def containsKey(self, k):
+        return k in self.data
+
+    def getValue(self, k):
+        self.reads += 1
+        return self.data[k]
+
+    def updateValue(self, k, v):
+        self.data[k] = v
+
+    def removeKey(self, k):
+        del self.data[k]
+
+    def keys(self):
+        return iter(list(self.data))
+
+    def iterator(self):
+        self.reads += len(self.data)
+        return iter(list(self.data.items()))
+
+    def getValueState(self, name, *_):
+        class Value:
+            exists, get = lambda s: hasattr(s, "v"), lambda s: s.v
+            update, clear = lambda s, v: setattr(s, "v", v), lambda s: s.__dict__.pop("v", None)
+
+        return Value()
+
+
+def test_lockout_reads_each_waiting_event_once(spark):
+    from types import SimpleNamespace as N
+
+    from pyspark.sql import Row
+
+    kept, machine_, minute = Kept(), lockouts._Machine(5, 24, 3600), 60_000_000
+    machine_.init(kept)
+    list(machine_.handleInputRows((1,), iter([Row(user=1, at=k * minute, id=k, kind="failure") for k in range(3000)]), None))
+    out = []
+    for now in range(0, 2900, 290):  # the watermark moves on by 290 minutes; timers that are due are called
+        for timer in [t for t in kept.timers if t <= now * 60_000]:
+            kept.timers.remove(timer)
+            out += list(machine_.handleExpiredTimer((1,), N(getCurrentWatermarkInMs=lambda now=now: now * 60_000), N(getExpiryTimeInMs=lambda timer=timer: timer)))
+    assert [(r["change"], r["at"] // minute) for r in out] == [("locked", 4), ("expired", 1444), ("locked", 1448)]
+    assert len(kept.timers) == 1 and kept.reads <= 70
