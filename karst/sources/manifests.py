@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .documents import lines
+from .documents import each, lines
 
 COLUMNS = ("doc", "line", "section", "name", "spec", "syntax")
 _ENTRY = "struct<line:int,section:string,key:string,text:string,form:string>"
@@ -75,27 +75,35 @@ def _table_step(s: Column, line: Column) -> Column:
     )
 
 
-def _requirement(rows: DataFrame, syntax: str) -> DataFrame:
-    name, spec = F.regexp_extract("text", _REQUIREMENT, 1), F.regexp_extract("text", _REQUIREMENT, 2)
-    out = rows.withColumn("name", name).withColumn("spec", F.regexp_replace(spec, r"\s+|,\s*$", "")).withColumn("syntax", F.lit(syntax))
-    return out.where("name <> ''").select(*COLUMNS)
+def _requirement(text: str) -> tuple[Column, Column]:
+    """The name that a requirement states, if it is one, and its version specification."""
+    return F.regexp_extract(text, _REQUIREMENT, 1), F.regexp_replace(F.regexp_extract(text, _REQUIREMENT, 2), r"\s+|,\s*$", "")
 
 
 def requirement_list(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     got = _fold(docs, _list_step)
-    rows = got.select("doc", F.explode("s.out").alias("e")).select("doc", "e.line", "e.section", "e.text")
-    return _requirement(rows, "requirements"), got.select("doc", F.lit("requirements").alias("syntax"), (~F.col("missing") & F.col("s.open").isNull()).alias("readable"))
+    rows = each(got, "s.out", "e", "doc").select("doc", "e.line", "e.section", "e.text")
+    name, spec = _requirement("text")
+    return rows.withColumns({"name": name, "spec": spec, "syntax": F.lit("requirements")}).where("name <> ''").select(*COLUMNS), got.select("doc", F.lit("requirements").alias("syntax"), (~F.col("missing") & F.col("s.open").isNull()).alias("readable"))
 
 
 def project_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     got = _fold(docs, _table_step)
-    rows = got.select("doc", F.explode("s.out").alias("e")).select("doc", "e.*")
-    own = rows.where("form = 'array' AND ((section = 'project' AND key = 'dependencies') OR section IN ('project.optional-dependencies', 'dependency-groups'))")
-    own = _requirement(own.withColumn("section", F.when(F.col("section") == "project", "main").otherwise(F.col("key"))), "pep508")
-    pairs = rows.where("form <> 'array' AND text IS NOT NULL AND (section = 'tool.poetry.dependencies' OR section RLIKE '^tool[.]poetry[.]group[.].+[.]dependencies$') AND key <> 'python'")
+    rows = each(got, "s.out", "e", "doc").select("doc", "e.*")
+    # lists of requirements and single pairs are told apart row by row, so that no document is folded twice for its rows
+    own = F.expr("form = 'array' AND ((section = 'project' AND key = 'dependencies') OR section IN ('project.optional-dependencies', 'dependency-groups'))")
+    pair = F.expr("form <> 'array' AND text IS NOT NULL AND (section = 'tool.poetry.dependencies' OR section RLIKE '^tool[.]poetry[.]group[.].+[.]dependencies$') AND key <> 'python'")
     group = F.regexp_extract("section", r"^tool\.poetry\.group\.(.+)\.dependencies$", 1)
-    pairs = pairs.select("doc", "line", F.when(group == "", "main").otherwise(group).alias("section"), F.col("key").alias("name"), F.col("text").alias("spec"), F.lit("poetry").alias("syntax"))
-    return own.unionByName(pairs), got.select("doc", F.lit("pyproject").alias("syntax"), (~F.col("missing") & F.col("s.open").isNull()).alias("readable"))
+    name, spec = _requirement("text")
+    rows = rows.where(own | pair).withColumn("own", F.expr("form = 'array'")).select(
+        "doc",
+        "line",
+        F.when(F.col("own"), F.when(F.col("section") == "project", "main").otherwise(F.col("key"))).otherwise(F.when(group == "", "main").otherwise(group)).alias("section"),
+        F.when(F.col("own"), name).otherwise(F.col("key")).alias("name"),
+        F.when(F.col("own"), spec).otherwise(F.col("text")).alias("spec"),
+        F.when(F.col("own"), "pep508").otherwise("poetry").alias("syntax"),
+    )
+    return rows.where("name <> ''"), got.select("doc", F.lit("pyproject").alias("syntax"), (~F.col("missing") & F.col("s.open").isNull()).alias("readable"))
 
 
 def json_manifest(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
