@@ -169,8 +169,15 @@ query("po_table_fn", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, unnest(rang
 # ------------------------------------------------ readers and writers, over documents that Spark makes from the tables
 
 _SARIF = "to_json(named_struct('version', '2.1.0', 'runs', array(named_struct('tool', named_struct('driver', named_struct('name', scan_type, 'rules', array(named_struct('id', severity, 'name', severity), named_struct('id', severity, 'name', 'later')))), 'results', array(named_struct('ruleId', severity, 'level', 'error', 'message', named_struct('text', status), 'locations', array(named_struct('physicalLocation', named_struct('artifactLocation', named_struct('uri', path), 'region', named_struct('startLine', CAST(package_id % 90 AS INT))))))))))) AS content"
-# few, large files make few tasks: spread before documents are made and parsed
-_spread = lambda v: v.findings.repartition(v.spark.sparkContext.defaultParallelism)
+
+
+
+def _spread(v):
+    """Findings; where the table's files make fewer tasks than there are cores, spread before documents are made and parsed."""
+    cores = v.spark.sparkContext.defaultParallelism
+    return v.findings if v.lineitem.rdd.getNumPartitions() >= cores else v.findings.repartition(cores)
+
+
 _reports = lambda v: _spread(v).selectExpr("finding_id AS doc", _SARIF)
 query("src_sarif_findings", "SELECT finding_id AS doc, scan_type AS tool, severity AS rule, 'error' AS level, status AS message, path, CAST(package_id % 90 AS INT) AS line FROM findings")(lambda v: D.sarif_findings(_reports(v)).select("doc", "tool", "rule", "level", "message", "path", "line"))
 query("src_sarif_rules", "SELECT finding_id AS doc, 0 AS run, severity AS rule, severity AS name FROM findings")(lambda v: D.sarif_rules(_reports(v)))
@@ -205,8 +212,8 @@ query("src_job_log_steps", "SELECT p_partkey AS doc, CAST(step AS BIGINT) AS ste
 @query("snk_report_document", "SELECT scan_type, severity AS rule, path, count(*) AS n FROM findings GROUP BY 1, 2, 3")
 def _(v):
     made = K.report_document(v.findings.withColumn("scan", F.lit(1)), "scan", "scan_type", "severity", ["finding_id"], ["path"], 500)
-    back = made.select("scan_type", F.explode(F.from_json("content", "struct<runs: array<struct<results: array<struct<ruleId: string, path: string>>>>>")["runs"]).alias("r"))
-    return back.select("scan_type", F.explode("r.results").alias("x")).groupBy("scan_type", F.col("x.ruleId").alias("rule"), F.col("x.path").alias("path")).agg(F.count("*").alias("n"))
+    back = D.each(made, F.from_json("content", "struct<runs: array<struct<results: array<struct<ruleId: string, path: string>>>>>")["runs"], "r", "scan_type")
+    return D.each(back, "r.results", "x", "scan_type").groupBy("scan_type", F.col("x.ruleId").alias("rule"), F.col("x.path").alias("path")).agg(F.count("*").alias("n"))
 
 
 query("snk_keyed_upsert", "SELECT coalesce(h.fingerprint, b.fingerprint) AS fingerprint, coalesce(h.path, b.path) AS path, CASE WHEN h.fingerprint IS NULL THEN b.rule = 'A' ELSE false END AS is_deleted FROM scan_base b FULL JOIN scan_head h ON b.fingerprint = h.fingerprint")(lambda v: K.keyed_upsert(v.scan_base.selectExpr("fingerprint", "path", "rule = 'A' AS is_deleted"), v.scan_head.selectExpr("fingerprint", "path", "false AS is_deleted"), ["fingerprint"], "path"))

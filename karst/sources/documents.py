@@ -3,7 +3,7 @@ or a table column gives it, with a declared schema, so nothing is inferred and o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SARIF = """struct<version: string, runs: array<struct<
@@ -28,51 +28,58 @@ def parsed(docs: DataFrame, schema: str) -> DataFrame:
     return docs.select("doc", F.from_json("content", schema).alias("d"))
 
 
+def each(rows: DataFrame, items: str | Column, name: str, *keep: str | Column, place: str = "karst place") -> DataFrame:
+    """A row for each item of an array, with the kept columns and the item's place from 0.
+
+    A plain explode has Spark ask for the array's size first, below joins and shuffles too, and so parse each document several times."""
+    return rows.select(*keep, F.posexplode_outer(items).alias(place, name)).where(F.col(f"`{place}`").isNotNull())
+
+
 def sarif_findings(docs: DataFrame) -> DataFrame:
     """One row per result of every run, at its first location."""
-    runs = parsed(docs, SARIF).select("doc", F.posexplode("d.runs").alias("run", "r"))
+    runs = each(parsed(docs, SARIF), "d.runs", "r", "doc", place="run")
     # of a run only what its results need goes on
     runs = runs.select("doc", "run", F.col("r.tool.driver.name").alias("tool"), F.try_element_at("r.versionControlProvenance", F.lit(1)).alias("vc"), F.col("r.results").alias("results"))
-    rows = runs.select("doc", "run", "tool", "vc", F.posexplode("results").alias("result", "x"))
+    rows = each(runs, "results", "x", "doc", "run", "tool", "vc", place="result")
     place = F.try_element_at("x.locations", F.lit(1))["physicalLocation"]
     return rows.select("doc", "run", "result", "tool", F.col("x.ruleId").alias("rule"), F.coalesce("x.level", F.lit("warning")).alias("level"), F.col("x.message.text").alias("message"), place["artifactLocation"]["uri"].alias("path"), place["region"]["startLine"].alias("line"), place["region"]["snippet"]["text"].alias("snippet"), F.try_element_at("x.partialFingerprints", F.lit("primary")).alias("fingerprint"), F.col("vc.repositoryUri").alias("repository"), F.col("vc.revisionId").alias("revision"), F.col("x.properties").alias("properties"))
 
 
 def sarif_rules(docs: DataFrame) -> DataFrame:
     """The rules of each run; of an id's definitions the first. Rules lie in one document row, so no shuffle is needed to find it."""
-    runs = parsed(docs, SARIF).select("doc", F.posexplode("d.runs").alias("run", "r"))
+    runs = each(parsed(docs, SARIF), "d.runs", "r", "doc", place="run")
     rows = runs.select("doc", "run", F.col("r.tool.driver.rules").alias("rules"))
     first = F.filter("rules", lambda x, i: F.array_position(F.transform("rules", lambda y: y["id"]), x["id"]) == i + 1)
-    return rows.select("doc", "run", F.explode(first).alias("x")).select("doc", "run", F.col("x.id").alias("rule"), F.col("x.name").alias("name"))
+    return each(rows, first, "x", "doc", "run").select("doc", "run", F.col("x.id").alias("rule"), F.col("x.name").alias("name"))
 
 
 def scanner_vulns(docs: DataFrame) -> DataFrame:
     """Findings of a scanner's document: a CVE only if the id is one, the first weakness, a fixed version or none."""
-    rows = parsed(docs, SCANNER).select("doc", F.explode("d.Results").alias("r")).select("doc", "r.Target", "r.Class", F.explode("r.Vulnerabilities").alias("x"))
+    rows = each(each(parsed(docs, SCANNER), "d.Results", "r", "doc"), "r.Vulnerabilities", "x", "doc", "r.Target", "r.Class")
     identity = F.col("x.VulnerabilityID")
     return rows.select("doc", F.col("Target").alias("target"), F.col("Class").alias("class"), identity.alias("vulnerability"), F.when(identity.startswith("CVE-"), identity).alias("cve_id"), F.col("x.PkgName").alias("package"), F.col("x.InstalledVersion").alias("installed"), F.nullif(F.col("x.FixedVersion"), F.lit("")).alias("fixed"), F.initcap("x.Severity").alias("severity"), F.try_element_at("x.CweIDs", F.lit(1)).alias("cwe"))
 
 
 def scanner_packages(docs: DataFrame) -> DataFrame:
-    rows = parsed(docs, SCANNER).select("doc", F.explode("d.Results").alias("r")).select("doc", "r.Target", F.explode("r.Packages").alias("x"))
+    rows = each(each(parsed(docs, SCANNER), "d.Results", "r", "doc"), "r.Packages", "x", "doc", "r.Target")
     return rows.select("doc", F.col("Target").alias("target"), F.col("x.Name").alias("package"), F.col("x.Version").alias("version"), F.coalesce("x.Relationship", F.lit("unknown")).alias("relationship"))
 
 
 def advisories(docs: DataFrame) -> dict[str, DataFrame]:
     """An advisory document's tables: aliases, vectors and affected ranges (introduced, fixed, last affected)."""
     d = parsed(docs, ADVISORY).select("d.*")
-    affected = d.select("id", F.explode("affected").alias("a"))
-    events = affected.select("id", "a.package.name", "a.package.ecosystem", F.posexplode("a.ranges").alias("n", "r")).select("id", "name", "ecosystem", "n", F.posexplode("r.events").alias("e", "m"))
+    affected = each(d, "affected", "a", "id")
+    events = each(each(affected, "a.ranges", "r", "id", "a.package.name", "a.package.ecosystem", place="n"), "r.events", "m", "id", "name", "ecosystem", "n", place="e")
     rows = events.select("id", "name", "ecosystem", "n", "e", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("introduced", "fixed", "last_affected")))
     return {
-        "aliases": d.select("id", F.explode("aliases").alias("alias")),
-        "vectors": d.select("id", F.explode("severity").alias("s")).select("id", F.col("s.type").alias("type"), F.col("s.score").alias("vector")),
+        "aliases": each(d, "aliases", "alias", "id").select("id", "alias"),
+        "vectors": each(d, "severity", "s", "id").select("id", F.col("s.type").alias("type"), F.col("s.score").alias("vector")),
         "ranges": rows,
     }
 
 
 def rule_signals(docs: DataFrame) -> DataFrame:
-    rows = parsed(docs, SIGNALS).select("doc", F.explode("d.results").alias("x"))
+    rows = each(parsed(docs, SIGNALS), "d.results", "x", "doc")
     m = "x.extra.metadata."
     return rows.select("doc", F.col("x.check_id").alias("rule"), F.col("x.path").alias("path"), F.col("x.start.line").alias("line"), F.col(f"{m}confidence").alias("confidence"), F.col(f"{m}impact").alias("impact"), F.col(f"{m}likelihood").alias("likelihood"), F.try_element_at(f"{m}subcategory", F.lit(1)).alias("subcategory"))
 
@@ -89,13 +96,13 @@ def scan_coverage(docs: DataFrame) -> DataFrame:
 
 def scan_scope(docs: DataFrame) -> DataFrame:
     """The files that a dependency scan opened."""
-    rows = parsed(docs, SCANNER).select("doc", F.explode("d.Results").alias("r"))
+    rows = each(parsed(docs, SCANNER), "d.Results", "r", "doc")
     return rows.where(F.col("r.Class") == "lang-pkgs").select("doc", F.col("r.Target").alias("path")).distinct()
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc, line, text) of text documents, lines from 1."""
-    return docs.select("doc", F.posexplode(F.split("content", "\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return each(docs, F.split("content", "\r?\n"), "text", "doc", place="line").withColumn("line", F.col("line") + 1).select("doc", "line", "text")
 
 
 def _carried(docs: DataFrame, what) -> DataFrame:
@@ -133,7 +140,7 @@ def import_spans(files: DataFrame, templates: dict[str, str], width: int = 400)
         ends = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
         # the span of the n-th match stands behind the n-th mark
         both = F.arrays_zip(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))).alias("ends"), F.regexp_extract_all("content", F.lit(ahead), 1).alias("span"))
-        found = found.select("doc", "file", F.posexplode(both).alias("n", "m")).select("doc", "file", "n", "m.ends", "m.span")
+        found = each(found, both, "m", "doc", "file", place="n").select("doc", "file", "n", "m.ends", "m.span")
         so_far = Window.partitionBy("doc", "file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
         found = found.distinct().withColumn("line", (F.sum("ends").over(so_far) + 1).cast("int")).select("doc", "line", F.lit(name).alias("template"), "span")
         rows = found if rows is None else rows.union(found)
@@ -172,7 +179,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 def edge_documents(docs: DataFrame) -> DataFrame:
     """The edges of inventory documents with their source and evidence; an edge without a stated confidence is low."""
     d = docs.select("doc", F.from_json("content", "struct<source: string, edges: array<struct<from: string, to: string, type: string, evidence: string, confidence: string>>>").alias("d"))
-    return d.select("doc", "d.source", F.explode("d.edges").alias("e")).select("doc", "source", F.col("e.from").alias("from_key"), F.col("e.to").alias("to_key"), F.col("e.type").alias("edge_type"), F.col("e.evidence").alias("evidence"), F.coalesce("e.confidence", F.lit("low")).alias("confidence"))
+    return each(d, "d.edges", "e", "doc", "d.source").select("doc", "source", F.col("e.from").alias("from_key"), F.col("e.to").alias("to_key"), F.col("e.type").alias("edge_type"), F.col("e.evidence").alias("evidence"), F.coalesce("e.confidence", F.lit("low")).alias("confidence"))
 
 
 def asset_documents(docs: DataFrame) -> DataFrame:
@@ -183,7 +190,7 @@ def asset_documents(docs: DataFrame) -> DataFrame:
     have = F.concat(entries("d.identity", "identity"), entries("d.governance", "governance"))
     named = F.transform(have, lambda e: e["field"])
     rest = F.transform(F.filter(F.map_keys(F.coalesce(F.col("d.field_provenance"), F.create_map().cast("map<string,string>"))), lambda k: ~F.array_contains(named, k)), lambda k: F.struct(F.lit("provenance").alias("part"), k.alias("field"), F.lit(None).cast("string").alias("value")))
-    rows = d.select("doc", "d.asset_ref", F.col("d.field_provenance").alias("p"), F.explode(F.concat(have, rest)).alias("e"))
+    rows = each(d, F.concat(have, rest), "e", "doc", "d.asset_ref", F.col("d.field_provenance").alias("p"))
     return rows.select("doc", "asset_ref", "e.part", "e.field", "e.value", F.try_element_at("p", F.col("e.field")).alias("source"))
 
 
