@@ -1,4 +1,7 @@
-"""Graph operators over an edge table. Loops write each frontier to the shared folder and stop when it is empty."""
+"""Graph operators over an edge table. Loops write each frontier to the shared folder and stop when it is empty.
+
+Edges are written once, not worked out again each round. Frontiers and nodes seen are merged, never broadcast: a written table of
+ids is far smaller than its rows in memory, so Spark would send them through the driver round by round."""
 
 from __future__ import annotations
 
@@ -48,13 +51,13 @@ def neighbors(edges: DataFrame, seeds: DataFrame, direction: str = "out", edge_t
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
     """(node, distance, parent) of what the seeds reach within so many hops (None: all): the nearest, then the smallest parent."""
-    edges = edges.select("from_key", "to_key").distinct()
+    edges = cut(edges.select("from_key", "to_key").distinct())
     seen = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")))
     frontier = seen
     for hop in rounds_of(1, hops):
-        step = edges.join(frontier.select(F.col("node").alias("from_key")), "from_key")
+        step = edges.join(frontier.select(F.col("node").alias("from_key")).hint("merge"), "from_key")
         step = step.groupBy(F.col("to_key").alias("node")).agg(F.min(F.col("from_key").cast("string")).alias("parent"))
-        frontier = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("distance"), "parent"))
+        frontier = cut(step.join(seen.select("node").hint("merge"), "node", "left_anti").select("node", F.lit(hop).alias("distance"), "parent"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -68,14 +71,14 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, hops: int | None = None) ->
 
 def reachable(calls: DataFrame, entries: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, level, parent, certain): the parent of the smallest (uncertain, name) of the level before."""
-    calls = calls.groupBy("from_key", "to_key").agg(F.bool_or("certain").alias("certain"))
+    calls = cut(calls.groupBy("from_key", "to_key").agg(F.bool_or("certain").alias("certain")))
     seen = cut(entries.select("node").distinct().select("node", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("certain")))
     frontier = seen
     for level in rounds_of(1, rounds):
-        step = calls.join(frontier.select(F.col("node").alias("from_key")), "from_key")
+        step = calls.join(frontier.select(F.col("node").alias("from_key")).hint("merge"), "from_key")
         best = F.min(F.struct((~F.col("certain")).alias("u"), F.col("from_key").alias("p")))
         step = step.groupBy(F.col("to_key").alias("node")).agg(best.alias("b"))
-        new = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level"), F.col("b.p").cast("string").alias("parent"), (~F.col("b.u")).alias("certain"))
+        new = step.join(seen.select("node").hint("merge"), "node", "left_anti").select("node", F.lit(level).alias("level"), F.col("b.p").cast("string").alias("parent"), (~F.col("b.u")).alias("certain"))
         frontier = cut(new)
         if frontier.isEmpty():
             break
@@ -87,13 +90,13 @@ def reachable(calls: DataFrame, entries: DataFrame, rounds: int | None = None) -
 
 def shortest_chain(edges: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, distance, chain): the shortest chain from a root, ties by the names along it."""
-    edges = edges.select("from_key", "to_key").distinct()
+    edges = cut(edges.select("from_key", "to_key").distinct())
     seen = cut(roots.select("node").distinct().select("node", F.lit(0).alias("distance"), F.array(F.col("node").cast("string")).alias("chain")))
     frontier = seen
     for hop in rounds_of(1, rounds):
-        step = edges.join(frontier.select(F.col("node").alias("from_key"), "chain"), "from_key")
+        step = edges.join(frontier.select(F.col("node").alias("from_key"), "chain").hint("merge"), "from_key")
         step = step.groupBy(F.col("to_key").alias("node")).agg(F.min("chain").alias("c"))
-        new = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("distance"), F.concat("c", F.array(F.col("node").cast("string"))).alias("chain"))
+        new = step.join(seen.select("node").hint("merge"), "node", "left_anti").select("node", F.lit(hop).alias("distance"), F.concat("c", F.array(F.col("node").cast("string"))).alias("chain"))
         frontier = cut(new)
         if frontier.isEmpty():
             break
@@ -193,21 +196,21 @@ def running_state(df: DataFrame, key: str, running: DataFrame, recorded: DataFra
 
 def waves(reads: DataFrame, rounds: int | None = None) -> DataFrame:
     """(job, wave): 1 for a job that reads no other, else 1 + the highest of those it reads; null on or behind a cycle."""
-    jobs = reads.select(F.col("job").alias("j")).union(reads.select(F.col("reads").alias("j"))).distinct().withColumnRenamed("j", "job")
     left = cut(reads.select("job", "reads").distinct())
-    known = jobs.where("job is not null")
-    done = cut(known.join(left, "job", "left_anti").select("job", F.lit(1).alias("wave")))
-    ready = done
+    jobs = cut(left.select("job").union(left.select("reads")).distinct())
+    ready = done = cut(jobs.where("job is not null").join(left.select("job").hint("merge"), "job", "left_anti").select("job", F.lit(1).alias("wave")))
     for wave in rounds_of(2, rounds):
-        left = cut(left.join(ready.select(F.col("job").alias("reads")), "reads", "left_anti").select("job", "reads"))
-        new = known.join(done.select("job"), "job", "left_anti").join(left, "job", "left_anti").select("job", F.lit(wave).alias("wave"))
-        ready = cut(new)
+        met = cut(left.join(ready.select(F.col("job").alias("reads"), F.lit(True).alias("met")).hint("merge"), "reads", "left").select("job", "reads", "met"))
+        left = met.where("met is null").select("job", "reads")
+        # only a job that has just lost one of its reads can have lost the last
+        new = met.where("met and job is not null").select("job").distinct().join(left.select("job").hint("merge"), "job", "left_anti")
+        ready = cut(new.select("job", F.lit(wave).alias("wave")))
         if ready.isEmpty():
             break
         done = done.unionByName(ready)
     else:
         raise RuntimeError("rounds ended before the nodes did")
-    return jobs.join(done, "job", "left")
+    return jobs.join(done.hint("merge"), "job", "left")
 
 
 def layer_prefix(images: DataFrame) -> DataFrame:
