@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_SALTS = 256
+
+
 def report_document(findings: DataFrame, scan: str, tool: str, rule: str, order: list[str], fields: list[str], per_document: int = 5000) -> DataFrame:
     """(scan, part, content): findings as nested report documents, one run per tool.
 
-    A scan of more results than `per_document` becomes several documents, so no task holds a whole scan."""
+    A scan of more results than `per_document` becomes several documents, so no task holds a whole scan; neither does
+    the join with the scans' sizes, which deals a scan's rows to `_SALTS` places."""
     part = F.pmod(F.xxhash64(*order), F.col("_parts")).alias("part")
-    sizes = findings.groupBy(scan, tool).agg(F.ceil(F.count("*") / per_document).alias("_parts"))
-    rows = findings.join(sizes, [scan, tool]).select(scan, tool, part, F.struct(*order, F.col(rule).alias("ruleId"), *fields).alias("r"))
+    sizes = findings.groupBy(scan, tool).agg(F.ceil(F.count("*") / per_document).alias("_parts")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = findings.withColumn("_salt", F.pmod(F.xxhash64(*order, F.lit("salt")), F.lit(_SALTS)).cast("int"))
+    rows = salted.join(sizes, [scan, tool, "_salt"]).select(scan, tool, part, F.struct(*order, F.col(rule).alias("ruleId"), *fields).alias("r"))
     grouped = rows.groupBy(scan, tool, "part").agg(F.sort_array(F.collect_list("r")).alias("results"))
     rules = F.transform(F.array_sort(F.array_distinct(F.transform("results", lambda r: r["ruleId"]))), lambda i: F.struct(i.alias("id")))
     run = F.struct(F.struct(F.struct(F.col(tool).alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), F.col("results"))

@@ -25,3 +25,16 @@ def test_manifests_are_folded_once_for_their_rows(spark):
 def test_empty_and_missing_arrays_have_no_rows(spark):
     made = spark.createDataFrame([(1, [None, "a"]), (2, []), (3, None), (4, ["b"])], "doc int, xs array<string>")
     assert sorted((r["doc"], r["n"], r["x"]) for r in D.each(made, "xs", "x", "doc", place="n").collect()) == [(1, 0, None), (1, 1, "a"), (4, 0, "b")]
+
+
+def test_sizes_of_a_scan_are_joined_at_many_places(spark):
+    from karst.sources import sinks
+
+    rows = spark.range(1000).selectExpr("1 AS scan", "'t' AS tool", "'r' AS rule", "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = sinks.report_document(rows, "scan", "tool", "rule", ["id"], [], 100)
+        assert "_salt" in made._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+        assert made.select(F.explode(F.from_json("content", "struct<runs: array<struct<results: array<struct<id: long>>>>>")["runs"][0]["results"])).count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
