@@ -19,13 +19,21 @@ def _upper(version: Column, at: Column) -> Column:
     return F.array_join(F.concat(F.slice(numbers, 1, at - 1), F.array((F.element_at(numbers, at).cast("long") + 1).cast("string"))), ".")
 
 
-def _comparator(version: Column, text: Column, key) -> Column:
-    """Whether one comparator admits a version; null if it cannot be read."""
-    text = F.trim(text)
-    op, bound, star = (F.regexp_extract(text, _COMPARATOR, i) for i in (1, 2, 3))
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _comparator(v: Column, text: Column, key) -> Column:
+    """Whether one comparator admits a version of this key; null if it cannot be read."""
+    read = lambda t: F.struct(t.alias("text"), *(F.regexp_extract(t, _COMPARATOR, i).alias(n) for i, n in ((1, "op"), (2, "bound"), (3, "star"))))
+    return _let(F.trim(text), lambda t: _let(read(t), lambda c: _let(key(c["bound"]), lambda b: _holds(v, c, b, key))))
+
+
+def _holds(v: Column, c: Column, b: Column, key) -> Column:
+    text, op, bound, star = (c[n] for n in ("text", "op", "bound", "star"))
     numbers = F.split(F.regexp_extract(bound, r"^(\d+(?:\.\d+)*)", 1), r"\.")
     size = F.size(numbers)
-    v, b = key(version), key(bound)
     caret = F.when(numbers[0] != "0", 1).when((size > 1) & (F.try_element_at(numbers, F.lit(2)) != "0"), 2).otherwise(size)
     within = lambda at: (v >= b) & (v < key(_upper(bound, at)))
     out = F.when(text.isin("*", "", "latest", "x") & (text != "latest"), v.isNotNull())
@@ -42,8 +50,8 @@ def admits(version: Column, spec: Column, key=pep440_key) -> Column:
     Comparators joined by commas or spaces must all hold; alternatives are joined by ||. Addresses, tags and workspace
     references are undecidable."""
     clean = F.regexp_replace(F.regexp_replace(F.trim(spec), r"(>=|<=|==|!=|~=|>|<|\^|~|=)\s+", "$1"), r"\s*,\s*|\s+(?!\|)(?<!\|\s)", ",")
-    kleene_and = lambda c: F.aggregate(F.split(c, ","), F.lit(True), lambda a, x: a & _comparator(version, x, key))
-    return F.when(spec.isNotNull(), F.aggregate(F.split(clean, r",?\s*\|\|\s*,?"), F.lit(False), lambda a, x: a | kleene_and(x)))
+    kleene_and = lambda v, c: F.aggregate(F.split(c, ","), F.lit(True), lambda a, x: a & _comparator(v, x, key))
+    return F.when(spec.isNotNull(), _let(key(version), lambda v: F.aggregate(F.split(clean, r",?\s*\|\|\s*,?"), F.lit(False), lambda a, x: a | kleene_and(v, x))))
 
 
 def _any(column: Column) -> Column:

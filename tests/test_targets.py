@@ -108,3 +108,20 @@ def test_targets(spark, seed, most):
 def test_targets_of_nothing(spark):
     t = Targets(spark.createDataFrame([], PACKAGES), spark.createDataFrame([], SPANS), semver_key)
     assert t.target_line().count() == t.clean_target().count() == 0
+
+
+def test_admits_works_the_version_key_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from karst.operators import planning
+
+    keys = []
+
+    def key(text):
+        keys.append(text)
+        return planning.pep440_key(text)
+
+    rows = spark.createDataFrame([("1.5", ">=1.0,<2"), ("1.5", "^2 || ~=1.4"), ("1.5", "git+x"), (None, "*"), ("x y", ">1"), ("2.0", "!=1.*")], "version string, spec string")
+    got = [r[0] for r in rows.select(planning.admits(F.col("version"), F.col("spec"), key)).collect()]
+    assert got == [True, True, None, False, None, True]
+    assert sum("version" in k._jc.toString() for k in keys) == 1
