@@ -181,17 +181,26 @@ def _local_forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[label[keep]])], ["u", "v"])
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether every edge leads from a node that has no other to one that has none of its own."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("leads"), F.lit(0).alias("met")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("leads").alias("leads"), F.max("met").alias("met")).where("leads > 1 OR leads = 1 AND met = 1").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 60) -> DataFrame:
     """(u long, v long) links -> (node, component): the smallest node each one reaches. Nodes without links are absent.
 
     Partitions first contract their own edges; then large-star and small-star rounds, each written to the shared
-    folder, run until the edges stay as they are. A hub's edges never meet in one task: its minimum is a partial
-    aggregate, and the join back is one that adaptive execution can split.
+    folder, run until the edges are stars, which further rounds leave as they are. A hub's edges never meet in one task: its
+    minimum is a partial aggregate, and the join back is one that adaptive execution can split.
     """
     e = edges.where("u <> v").select("u", "v").mapInArrow(_local_forest, "u long, v long")
     e = scratch.save(e.distinct(), f"{name}0")
-    before = None
-    for i in range(1, rounds + 1):
+    i = 0
+    while not _settled(e):  # a round is some ten jobs, whose plans and tasks the driver keeps; this is one
+        i += 1
+        if i > rounds:
+            raise RuntimeError("the components did not settle")
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -202,14 +211,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e3 = small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v")
-        e3 = scratch.save(e3.distinct(), f"{name}{i}")
-        now = e3.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e = scratch.save(e3.distinct(), f"{name}{i}")
         scratch.drop(f"{name}{i - 1}")
-        e = e3
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the components did not settle")
     # every edge now goes from a member to its smallest member
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

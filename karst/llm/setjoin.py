@@ -148,9 +148,9 @@ def bitmap(values: DataFrame, column: str) -> np.ndarray:
     """A bitmap of 2**MAP_BITS bits over the top bits of a 64-bit column; its size does not depend on the rows."""
     shift = 64 - MAP_BITS
     words = values.select(F.shiftrightunsigned(column, shift).alias("bit")).groupBy(F.shiftrightunsigned("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
-    got = words.toPandas()
+    got = words.toArrow()  # columns: rows would be an object a word in the driver
     out = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
     return out
 
 

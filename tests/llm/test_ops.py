@@ -320,6 +320,20 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in parent}
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    saved, save = [], common.Scratch.save
+    monkeypatch.setattr(common.Scratch, "save", lambda self, df, name, *a: saved.append(name) or save(self, df, name, *a))
+    for edges, rounds in (([], 0), ([(5, 1), (5, 1), (9, 1), (3, 2)], 0), ([(5, 1), (1, 5), (7, 7), (9, 5)], 0)):
+        saved.clear()
+        got = common.components(spark.createDataFrame(edges, "u long, v long").coalesce(1), common.Scratch(spark, "t"), "s").collect()
+        assert saved == [f"s{i}" for i in range(rounds + 1)]
+        assert {r["node"]: r["component"] for r in got} == ({} if not edges else {1: 1, 5: 1, 9: 1, 3: 2, 2: 2} if (3, 2) in edges else {1: 1, 5: 1, 9: 1})
+    saved.clear()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long").repartition(40, "u")
+    got = common.components(chain, common.Scratch(spark, "t"), "c").collect()
+    assert len(saved) > 1 and {r["node"]: r["component"] for r in got} == {i: 0 for i in range(41)} and len(got) == 41
+
+
 # ------------------------------------------------ vectors
 
 
