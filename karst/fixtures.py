@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Bytes of input to a part of a shuffle, at most; of shuffled parts that are put together; and of a file that one task scans.
+PART_BYTES, TOGETHER_BYTES, SCAN_BYTES = 4 << 20, 16 << 20, 32 << 20
+
 AS_OF = "TIMESTAMP '1999-01-01 00:00:00'"
 
 VIEWS = {
@@ -110,11 +113,25 @@ FROM type_pairs""",
 }
 
 
+def grow_parts(spark: SparkSession, size: int) -> None:
+    """From now on this session's shuffles have as many parts as an input of this size needs, so that one task's sort or hash table
+    does not grow with the input. Adaptive execution puts small parts together; settings that already do more stay."""
+    if size <= SCAN_BYTES:
+        return
+    name, parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", -(-size // PART_BYTES)
+    if parts > int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(name, str(parts))
+    to_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", TOGETHER_BYTES), ("spark.sql.files.maxPartitionBytes", SCAN_BYTES)):
+        if to_bytes(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))
+
+
 class Views:
     """Lazily made views of one folder: `views.findings`, `views.lineitem`, ..."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
+        self.spark, self.sf_dir, self.made, self.size = spark, sf_dir, {}, 0
 
     def table(self, name: str) -> DataFrame:
         if name not in self.made:
@@ -126,6 +143,9 @@ class Views:
                 text = re.sub(r"\b(FROM|JOIN) (" + "|".join(read or ["none"]) + r")\b", r"\1 {\2}", VIEWS[name])
                 self.made[name] = self.spark.sql(text, **read)
             else:
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+                self.size += path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+                grow_parts(self.spark, self.size)
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
 

@@ -2,12 +2,13 @@
 
 import datetime
 import decimal
+import os
 
 import duckdb
 import pytest
 from conftest import SF
 
-from karst import plans
+from karst import fixtures, plans
 from karst.fixtures import TABLES
 
 QUERIES, ORACLE = plans.queries(), plans.oracle_sql()
@@ -47,3 +48,26 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["agg_monthly_flow"])
+def test_parts_grow_with_the_input(spark, monkeypatch, name):
+    confs = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    before, query = {c: spark.conf.get(c, None) for c in confs}, QUERIES[name]
+    rows = sorted(map(str, query(spark, SF).collect()))
+    assert {c: spark.conf.get(c, None) for c in confs} == before  # small inputs leave the session as it is
+    try:
+        for c, v in (("PART_BYTES", 1024), ("SCAN_BYTES", 4096), ("TOGETHER_BYTES", 2048)):
+            monkeypatch.setattr(fixtures, c, v)
+        df = query(spark, SF)
+        size = sum(os.path.getsize(f"{SF}/{t}.parquet") for t in (["lineitem", "orders"] if name == "agg_monthly_flow" else ["supplier", "nation", "lineitem", "customer"]))
+        parts = -(-size // 1024)
+        assert [spark.conf.get(c) for c in confs] == [str(parts), "2048", "4096"]
+        assert f", {parts})" in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, df.collect())) == rows
+        spark.conf.set(confs[0], str(parts + 1))  # what does more already stays
+        query(spark, SF)
+        assert spark.conf.get(confs[0]) == str(parts + 1)
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
