@@ -50,7 +50,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["agg_monthly_flow"])
+@pytest.mark.parametrize("name", ["agg_monthly_flow", "gr_distinct_targets"])
 def test_parts_grow_with_the_input(spark, monkeypatch, name):
     confs = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
     before, query = {c: spark.conf.get(c, None) for c in confs}, QUERIES[name]
