@@ -24,6 +24,8 @@ from .common import small_batches, utf8_blocks
 
 SAMPLE, BITS, FIT_STEPS, SOFT = 400, 15, 60, 1.0
 WIDTH = 2 << BITS
+#: Bytes of text whose n-grams are worked out at once; they take some 80 times as much.
+GRAM_BYTES = 1 << 17
 
 
 def _letters():
@@ -79,7 +81,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for lo, hi, data, offsets in utf8_blocks(batch.column(1)):
+            for lo, hi, data, offsets in utf8_blocks(batch.column(1), GRAM_BYTES):
                 grams, at, _ = ngrams(data, offsets)
                 own = [np.unique(grams[at[i] : at[i + 1]], return_counts=True) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.astype("<u2").tobytes() for x, _ in own], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in own], pa.binary())], ["lang", "feature", "n"])
@@ -236,7 +238,7 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFra
             text = batch.column(place)
             names, scores = np.full(len(text), "und", object), np.zeros(len(text))
             if model is not None:
-                for lo, hi, data, offsets in utf8_blocks(text):
+                for lo, hi, data, offsets in utf8_blocks(text, GRAM_BYTES):
                     grams, at, some = ngrams(data, offsets)
                     sums, means = np.zeros(len(grams) + 1), np.zeros((hi - lo, len(model.plan)))
                     for j in range(len(model.plan)):

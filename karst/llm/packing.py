@@ -177,8 +177,11 @@ def ranked(rows: DataFrame, counts: dict[int, int], key: str, tie: list[str]) ->
 
     Each key's rows are salted into about the square root of their number; salts are counted, and the counts before
     a salt plus a row's number within it are its rank. No task holds more than a key's square root."""
-    spark = rows.sparkSession
-    salts = spark.createDataFrame([(k, int(n**0.5) + 1) for k, n in counts.items()], f"{key} long, salts long")
+    import pyarrow as pa
+
+    # as an Arrow table: from a list of rows, Spark would make it in Python workers of another kind, which then stay beside the others
+    salts = pa.table({key: pa.array(list(counts), pa.int64()), "salts": pa.array([int(n**0.5) + 1 for n in counts.values()], pa.int64())})
+    salts = rows.sparkSession.createDataFrame(salts)
     rows = rows.join(F.broadcast(salts), key).withColumn("salt", F.expr(f"pmod(xxhash64({', '.join(tie)}), salts)")).drop("salts")
     before = Window.partitionBy(key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy(key, "salt").count().select(key, "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

@@ -1,11 +1,15 @@
 """Cases in which the corpus operators once did less than the whole job."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import corpus_pipeline
-from karst.llm import addquant, linededup, nearvec, pieces, pii, queries, warc
+from karst.llm import addquant, langid, linededup, nearvec, packing, pieces, pii, queries, warc
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +134,29 @@ def test_spans_beside_many_matches():
     text = "a@b.cd " * 3000 + "call (415) 555-2671 " * 3
     base, every = pii.spans(text, np.zeros((len(pii.NAMES), len(pii.KINDS))))
     assert len(base) == 3000 and set(base) <= set(every)
+
+
+def test_lengths_take_no_python_of_their_own(spark):
+    rows = spark.range(40).select("id", (F.col("id") % 3).alias("length"))
+    ranked = packing.ranked(rows, {0: 14, 1: 13, 2: 13}, "length", ["id"])
+    assert sorted((r["length"], r["rank"]) for r in ranked.collect()) == sorted((i % 3, i // 3) for i in range(40))
+    assert "ExistingRDD" not in ranked._jdf.queryExecution().toString()  # what Python workers would make
+    assert packing.ranked(rows.limit(0), {}, "length", ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("step", ["profiles", "predict"])
+def test_language_of_long_batches_takes_little_memory(monkeypatch, step):
+    class Docs:  # gives the function that a task would run
+        schema = StructType()
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    monkeypatch.setattr(langid, "small_batches", lambda docs: docs)
+    text = ["plain words of some length " * 400] * 200
+    model = langid.Model(["a", "b"], [[0, 1]], np.ones((1, langid.WIDTH), np.float32), np.ones(1), [("pair", 0, 1)])
+    run = langid.profiles(Docs()) if step == "profiles" else langid.predict(Docs(), model, ["lang", "text"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run([pa.RecordBatch.from_pydict({"lang": ["a"] * 200, "text": text})])) == 200
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6, most
