@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Bytes of input to a part of a shuffle, at most; of shuffled parts that are put together; and of a file that one task scans.
-PART_BYTES, TOGETHER_BYTES, SCAN_BYTES = 4 << 20, 16 << 20, 32 << 20
+PART_BYTES, TOGETHER_BYTES, SCAN_BYTES = 4 << 20, 4 << 20, 8 << 20
 
 AS_OF = "TIMESTAMP '1999-01-01 00:00:00'"
 
@@ -116,7 +116,7 @@ FROM type_pairs""",
 def grow_parts(spark: SparkSession, size: int) -> None:
     """From now on this session's shuffles have as many parts as an input of this size needs, so that one task's sort or hash table
     does not grow with the input. Adaptive execution puts small parts together; settings that already do more stay."""
-    if size <= SCAN_BYTES:
+    if size <= 4 * SCAN_BYTES:
         return
     name, parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", -(-size // PART_BYTES)
     if parts > int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions")):

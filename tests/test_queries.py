@@ -71,3 +71,18 @@ def test_parts_grow_with_the_input(spark, monkeypatch, name):
     finally:
         for c, v in before.items():
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_parts_of_a_large_input_are_small(spark):
+    confs = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = {c: spark.conf.get(c, None) for c in confs}
+    try:
+        fixtures.grow_parts(spark, 32 << 20)
+        assert {c: spark.conf.get(c, None) for c in confs} == before
+        for gb in (1, 6):
+            fixtures.grow_parts(spark, gb << 30)
+            parts, together, scan = (int(spark.conf.get(c)) for c in confs)
+            assert (gb << 30) / parts <= 4 << 20 and together <= 4 << 20 and scan <= 8 << 20
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
